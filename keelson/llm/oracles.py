@@ -39,4 +39,23 @@ SELECT d.doc_id, d.s AS source, CAST(r AS BIGINT) AS source_rank, CAST((r // 8)
 FROM ranked d JOIN share ON share.s = d.s JOIN plan ON plan.s = d.s AND plan.j = (r // 8) % share.a
 """
 
-ORACLES = {"op2_mix_sources": MIX_SQL, "op7_warc": WARC_SQL, "op9_line_dedup": LINE_SQL}
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS s FROM w),
+c AS (SELECT min(doc_id) AS c, s, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+e AS (SELECT c, n, unnest(s) AS x FROM c),
+often AS (SELECT x, count(*) AS uses FROM e GROUP BY x HAVING count(*) > 1),
+r AS (SELECT c, n, e.x, row_number() OVER (PARTITION BY c ORDER BY coalesce(uses, 1), e.x) AS k, uses FROM e LEFT JOIN often ON often.x = e.x),
+p AS (SELECT c, n, x FROM r WHERE k <= n - ((85 * n + 99) // 100) + 1 AND uses > 1),
+pairs AS (SELECT DISTINCT a.c AS a, b.c AS b FROM p a JOIN p b ON a.x = b.x AND a.c < b.c AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n),
+links AS (SELECT pairs.a, pairs.b FROM pairs JOIN c a ON a.c = pairs.a JOIN c b ON b.c = pairs.b
+  WHERE 100 * len(list_intersect(a.s, b.s)) >= 85 * (a.n + b.n - len(list_intersect(a.s, b.s)))),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT c AS a, c AS b FROM c UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.b),
+comp AS (SELECT a AS c, min(b) AS m FROM reach GROUP BY a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m, s.doc_id) AS component_id, s.doc_id = coalesce(m, s.doc_id) AS kept
+FROM s LEFT JOIN c ON c.s = s.s LEFT JOIN comp ON comp.c = c.c
+"""
+
+ORACLES = {"op6_near_dedup": NEAR_SQL, "op2_mix_sources": MIX_SQL, "op7_warc": WARC_SQL, "op9_line_dedup": LINE_SQL}
