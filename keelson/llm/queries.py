@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from keelson.llm import bpe, fingerprint, linededup, mixing, neardup, pii, quality, urlfilter, warc
+from keelson.llm import bpe, fingerprint, linededup, lm, mixing, neardup, pii, quality, urlfilter, warc
 from keelson.llm.common import parallel, table
 from keelson.llm.oracles import ORACLES
 
@@ -30,6 +30,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(parallel(table(spark, sf_dir, "documents")), RANKS, public_tokenizers.PATTERN)
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(parallel(table(spark, sf_dir, "documents")))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(parallel(table(spark, sf_dir, "documents")), width=3, percent=85)
 
@@ -51,5 +55,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints_with_next(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mix_sources, op3_pii, op4_bpe, op6_near_dedup, op7_warc, op8_quality_rules, op9_line_dedup, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mix_sources, op3_pii, op4_bpe, op5_lm_scores, op6_near_dedup, op7_warc, op8_quality_rules, op9_line_dedup, op10_fingerprints)}
 __all__ = ["ORACLES", "QUERIES"]
