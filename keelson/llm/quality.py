@@ -186,8 +186,11 @@ def fit(stats: DataFrame, labels: DataFrame, max_labelled: int = 20_000, **how:
     max_labelled bounds what is fitted on: the labelled rows with the least hash of doc_id. Rows whose label is null,
     or that the base rules reject already, teach nothing. No usable label: no rules."""
     lab = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    rows = with_features(stats).where(~base_failed()).join(lab, "doc_id").select(*FEATURES, "quality", F.xxhash64("doc_id").alias("_h"), "doc_id").orderBy("_h", "doc_id").limit(max_labelled).toPandas()
-    return learn({k: rows[k].to_numpy(float) for k in FEATURES}, rows["quality"].to_numpy() == 0, **how)
+    rows = with_features(stats).where(~base_failed()).join(lab, "doc_id").select("doc_id", *FEATURES, "quality")
+    share = min(1.0, 1.2 * max_labelled / max(1, lab.count()))  # of the hashes, so that few rows more than the bound are sorted
+    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    found = rows.withColumn("_h", low).where(F.col("_h") < int(share * (1 << 30))).orderBy("_h", "doc_id").limit(max_labelled).toPandas()
+    return learn({k: found[k].to_numpy(float) for k in FEATURES}, found["quality"].to_numpy() == 0, **how)
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, **how: float) -> DataFrame:
@@ -196,3 +199,25 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_
     rules = fit(stats, labels, max_labelled, **how)
     out = with_features(stats).withColumns({"base_failed": base_failed(), "rule": rejected(rules)})
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+
+
+def _stats_beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [stats_of(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
+        cols = list(zip(*rows)) if rows else [()] * 10
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, pa.int64()) for c in cols)], names=[*batch.schema.names[:-1], *STATS_ARROW.names[1:]])
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, **how: float) -> DataFrame:
+    """docs, with its own columns, without the rows that the base rules or the learned rules reject.
+
+    The statistics stand beside the whole rows, so that repeated doc_ids need no join; the decision list is the ordered
+    conditional expression over them. Columns of docs are renamed on the way, so that none clashes."""
+    names = docs.columns
+    own = {c: f"_c{i}" for i, c in enumerate(names)}
+    rules = fit(written(document_stats(docs), "quality-stats"), labels, max_labelled, **how)
+    rows = docs.select(*(F.col(f"`{c}`").alias(own[c]) for c in names), text_of(docs).alias("_t"))
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + [f"{c} bigint" for c in STATS_ARROW.names[1:]]
+    judged = with_features(rows.mapInArrow(_stats_beside, ", ".join(fields)))
+    kept = judged.where(~base_failed() & rejected(rules).isNull())
+    return kept.select(*(F.col(own[c]).alias(c) for c in names))
