@@ -20,7 +20,7 @@ from keelson.llm.common import schema_of, text_of
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+DOTTED = re.compile(r"[0-9][0-9]*(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
@@ -109,7 +109,8 @@ def _glyphs() -> dict[str, str]:
 
 
 GLYPHS = _glyphs()
-GLYPH = re.compile("[" + "".join(map(re.escape, GLYPHS)) + "]")
+#: A quick test: only characters of this class can be in GLYPHS.
+MAYBE_GLYPH = re.compile("[\xa0\xad\xb2\xb3\xb9\u0100-\U0010ffff]")
 DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 TIMES = {"double": 2, "triple": 3}
 WORD = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
@@ -127,6 +128,10 @@ DISGUISED = re.compile(
     rf"|(?:@|{AT_BARE}){LABEL}(?:\.{LABEL})*(?:{DOT_MARK}|{DOT_BARE}){LABEL}(?:(?:\.|{DOT_MARK}|{DOT_BARE}){LABEL})*)", re.I)
 #: A dot disguised between the parts of the name before a disguised @, or between numbers of an address.
 NAME_DOT = re.compile(rf"(?<=[A-Za-z0-9])(?:{DOT_MARK})(?=[A-Za-z0-9])|(?<=[0-9])(?:{DOT_BARE})(?=[0-9])", re.I)
+#: Common top-level names; words alone ("at", "dot") make an address only before one of these.
+TOP_LEVEL = frozenset("com net org edu gov mil int info biz io co ai app dev me tv us uk eu de fr es it nl be at ch se no dk fi pl pt ru ua cn jp kr in br mx ar ca au nz za".split())
+BRACKETED_AT = re.compile(AT_MARK, re.I)
+NAME_BEFORE = re.compile(rf"[A-Za-z0-9_%+-]+(?:(?:\.|{DOT_BARE}|{DOT_MARK})[A-Za-z0-9_%+-]+)+\Z", re.I)
 MARKS_IN = re.compile(rf"({AT_MARK}|{AT_BARE})|({DOT_MARK}|{DOT_BARE})", re.I)
 
 
@@ -154,8 +159,12 @@ class Mapped:
         self.text, self.start, self.end = "".join(text), start + self.start[at:], end + self.end[at:]
 
 
+def has_glyph(text: str) -> bool:
+    return not text.isascii() and MAYBE_GLYPH.search(text) is not None and not GLYPHS.keys().isdisjoint(text)
+
+
 def glyph_edits(text: str) -> list:
-    return [(m.start(), m.end(), [(m.start(), m.end(), c)] if (c := GLYPHS[m[0]]) else []) for m in GLYPH.finditer(text)]
+    return [(i, i + 1, [(i, i + 1, GLYPHS[c])] if GLYPHS[c] else []) for i, c in enumerate(text) if c in GLYPHS]
 
 
 def digit_edits(text: str) -> list:
@@ -179,6 +188,10 @@ def digit_edits(text: str) -> list:
 def address_edits(text: str) -> list:
     out = []
     for m in DISGUISED.finditer(text):
+        if not BRACKETED_AT.match(m[0]) and re.split(r"[^A-Za-z0-9-]+", m[0])[-1].lower() not in TOP_LEVEL:
+            continue
+        name = NAME_BEFORE.search(text, max(0, m.start() - 100), m.start())
+        out += [(p.start(), p.end(), [(p.start(), p.end(), ".")]) for p in MARKS_IN.finditer(text, name.start(), m.start()) if p[2]] if name else []
         for p in MARKS_IN.finditer(text, m.start(), m.end()):
             out.append((p.start(), p.end(), [(p.start(), p.end(), "@" if p[1] else ".")]))
     taken = {a for a, _, _ in out}
@@ -192,20 +205,27 @@ def address_edits(text: str) -> list:
     return clear
 
 
-def may_hide(text: str) -> tuple[bool, bool, bool]:
-    """Whether homoglyphs, spelled digits or at/dot disguises are worth a look: exact on absence."""
-    low = text.lower()
-    glyphs = not text.isascii() and GLYPH.search(text) is not None
-    digits = sum(map(low.count, DIGITS)) > 0 and SPELLED.search(text) is not None if sum(map(low.count, DIGITS)) >= 1 and _spelled_run(low) else False
-    marks = "dot" in low or "at]" in low or "at)" in low or "at}" in low or "at>" in low or "at " in low and "[ at" in low or any(x in text for x in ("[.", "(.", "{.", "[ .", "[@", "(@", "{@", "[ @", "( @", "point]", "point)")) or "( at" in low or "{ at" in low or "< at" in low
-    return glyphs, digits, marks
+#: What a disguised @ or dot cannot do without.
+SIGNS = ("dot", "at]", "at)", "at}", "at>", "[ at", "( at", "{ at", "< at", "[.", "(.", "{.", "<.", "[ .", "( .", "[@", "(@", "{@", "<@", "[ @", "( @", "point]", "point)", "point}", "point ")
+NEXT_DIGIT = re.compile(rf"{WORD}[ ,.()-]{{0,3}}(?:{WORD}|[0-9]|double|triple)")
+DIGIT_BEFORE = re.compile(r"[0-9][ ,.()-]{0,3}\Z")
 
 
-_RUN = re.compile(rf"{WORD}[ ,.()-]{{0,3}}(?:{WORD}|[0-9]|double|triple)|[0-9][ ,.()-]{{0,3}}{WORD}[ ,.()-]{{0,3}}[0-9]")
+def may_spell(low: str) -> bool:
+    """Whether a spelled digit stands where a run of digits could be: not inside a word, a digit before or after it."""
+    for word in DIGITS:
+        at = low.find(word)
+        while at >= 0:
+            if not (at and "a" <= low[at - 1] <= "z") and (NEXT_DIGIT.match(low, at) or DIGIT_BEFORE.search(low[max(0, at - 4) : at])):
+                return True
+            at = low.find(word, at + 1)
+    return False
 
 
-def _spelled_run(low: str) -> bool:
-    return _RUN.search(low) is not None
+def may_hide(text: str) -> tuple[bool, bool, bool]:
+    """Whether homoglyphs, spelled digits or at/dot disguises are worth a look; False is certain."""
+    low = text.lower()
+    return has_glyph(text), may_spell(low), any(x in low for x in SIGNS)
 
 
 def hidden_spans(text: str) -> list[Span]:
