@@ -89,3 +89,14 @@ def get_file(folder: str, name: str) -> bytes:
 
 def local_name(path: str) -> str:
     return os.path.basename(path.rstrip("/"))
+
+
+def tucked(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns under names that nothing else uses, and the new name of each: none clashes with an operator's."""
+    names = {c: f"_c{i}" for i, c in enumerate(df.columns)}
+    return df.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), names
+
+
+def untucked(names: dict[str, str], but: tuple[str, ...] = ()) -> list[Column]:
+    """The columns under their own names again, less those of `but`."""
+    return [F.col(n).alias(c) for c, n in names.items() if c not in but]

@@ -19,8 +19,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from keelson.llm.common import get_file, new_folder, put_file, schema_of, text_of
+from keelson.llm.common import get_file, new_folder, put_file, schema_of, text_of, tucked, untucked
 
 COUNT_SPARK, COUNT_ARROW = schema_of(hi="long", lo="long", n="long")
 #: Shards are read when a probe needs them; a worker keeps so many bytes of them.
@@ -267,16 +269,13 @@ def drop_common_lines_in_place(docs: DataFrame, min_docs: int = 10, min_chars: i
     """docs with its own columns, text without the common lines and n_chars made to fit; for pipelines.
 
     A document whose text is null keeps null. A document all of whose lines go stays, with an empty text."""
-    from pyspark.sql.types import LongType, StringType, StructField, StructType
-
     folder, shards, full = build_index(line_counts(docs, min_chars), min_docs)
-    names = docs.columns
-    rows = docs.withColumns({"_was_null": F.col("text").isNull(), "_bytes": text_of(docs).cast("binary")})
-    extra = [StructField("_n_lines", LongType()), StructField("_n_dropped", LongType()), StructField("_kept", StringType())]
-    schema = StructType([*rows.schema.fields[:-1], *extra])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
+    rows, own = tucked(docs)
+    rows = rows.withColumn("bytes", F.coalesce(F.col(own["text"]).cast("string"), F.lit("")).cast("binary"))
+    schema = StructType([*rows.schema.fields[:-1], StructField("n_lines", LongType()), StructField("n_dropped", LongType()), StructField("kept", StringType())])
     out = rows.mapInArrow(_Drop(folder, shards, full, min_docs, min_chars, True, to_arrow_schema(schema)), schema)
-    text = F.when(F.col("_was_null"), F.lit(None)).otherwise(F.col("_kept"))
-    changed = {"text": text} | ({"n_chars": F.when(F.col("_was_null"), F.col("n_chars")).otherwise(F.length("_kept")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
-    return out.withColumns(changed).select(*names)
+    missing = F.col(own["text"]).isNull()
+    changed = {own["text"]: F.when(~missing, F.col("kept"))}
+    if "n_chars" in own:
+        changed[own["n_chars"]] = F.when(missing, F.col(own["n_chars"])).otherwise(F.length("kept")).cast(docs.schema["n_chars"].dataType)
+    return out.withColumns(changed).select(*untucked(own))

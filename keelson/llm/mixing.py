@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keelson.llm.common import written
+from keelson.llm.common import tucked, untucked, written
 
 #: Rows of a source that one task numbers at a time, about.
 NUMBERED = 20_000
@@ -56,12 +56,28 @@ def schedule(share: DataFrame, period: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, block: int = 8, period: int = 1000) -> DataFrame:
-    """docs with source_rank (from 0 within the source), slot and position, by which the mixture is ordered.
+    """docs with source_rank (from 0 within the source), slot and position, by which the mixture is ordered. Columns of
+    docs that have these names give way to them.
 
     weights: target weight of each source; None: size ** alpha. block: rows that one slot takes. period: slots after
     which the schedule repeats, to whose fractions weights are rounded; at least the number of sources."""
-    key = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    rows = docs.withColumns({"_source": key, "_order": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))})
+    placed, own = _placed(docs, weights, alpha, block, period)
+    places = ("source_rank", "slot", "position")
+    return placed.select(*untucked(own, places), *places)
+
+
+def mix_in_order(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, block: int = 8, period: int = 1000) -> DataFrame:
+    """docs with its own columns, in the order of the mixture: files of a range of positions each, sorted."""
+    placed, own = _placed(docs, weights, alpha, block, period)
+    placed = written(placed.select(*own.values(), "position"), "mixed")
+    return placed.repartitionByRange("position").sortWithinPartitions("position").select(*untucked(own))
+
+
+def _placed(docs: DataFrame, weights: dict[str, float] | None, alpha: float, block: int, period: int) -> tuple[DataFrame, dict[str, str]]:
+    rows, own = tucked(docs)
+    key = F.coalesce(F.col(own["source"]).cast("string"), F.lit(""))
+    id_ = own["doc_id"]
+    rows = rows.withColumns({"_source": key, "_order": F.md5(F.coalesce(F.col(id_).cast("string"), F.lit("")).cast("binary"))})
     sizes = written(rows.groupBy(F.col("_source").alias("source")).agg(F.count("*").alias("n")), "mix-sizes")
     found, most = sizes.agg(F.count("*"), F.max("n")).first()
     if found > period:
@@ -74,7 +90,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     counts = rows.groupBy("_source", "_part").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select(F.col("_source").alias("_s"), F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_source", "_part").orderBy("_order", "doc_id"))
+    within = F.row_number().over(Window.partitionBy("_source", "_part").orderBy("_order", id_))
     ranked = rows.withColumn("_within", within).join(starts, (F.col("_source") == F.col("_s")) & (F.col("_part") == F.col("_p")))
     ranked = ranked.withColumn("source_rank", (F.col("_before") + F.col("_within") - 1).cast("long"))
     plan = plan.select(F.col("source").alias("_ps"), F.col("a").alias("_a"), F.col("j").alias("_j"), F.col("slot").alias("_slot"))
@@ -84,9 +100,4 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     ranked = ranked.join(share, F.col("_source") == F.col("_as")).withColumn("_jj", F.expr("cast(_block % _share as int)"))
     out = ranked.join(F.broadcast(plan), (F.col("_source") == F.col("_ps")) & (F.col("_jj") == F.col("_j")))
     slot = F.expr(f"(_block div _share) * {period} + _slot").cast("long")
-    return out.withColumn("slot", slot).withColumn("position", F.expr(f"slot * {block} + source_rank % {block}").cast("long")).select(*docs.columns, "source_rank", "slot", "position")
-
-
-def in_order(mixed: DataFrame) -> DataFrame:
-    """The mixture as rows in order of position: files of a range each, sorted."""
-    return mixed.repartitionByRange("position").sortWithinPartitions("position")
+    return out.withColumn("slot", slot).withColumn("position", F.expr(f"slot * {block} + source_rank % {block}").cast("long")), own

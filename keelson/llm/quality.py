@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import schema_of, text_of, written
+from keelson.llm.common import schema_of, text_of, tucked, untucked, written
 
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -213,11 +213,9 @@ def kept_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_00
 
     The statistics stand beside the whole rows, so that repeated doc_ids need no join; the decision list is the ordered
     conditional expression over them. Columns of docs are renamed on the way, so that none clashes."""
-    names = docs.columns
-    own = {c: f"_c{i}" for i, c in enumerate(names)}
     rules = fit(written(document_stats(docs), "quality-stats"), labels, max_labelled, **how)
-    rows = docs.select(*(F.col(f"`{c}`").alias(own[c]) for c in names), text_of(docs).alias("_t"))
+    rows, own = tucked(docs)
+    rows = rows.withColumn("t", F.coalesce(F.col(own["text"]).cast("string"), F.lit("")))
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + [f"{c} bigint" for c in STATS_ARROW.names[1:]]
     judged = with_features(rows.mapInArrow(_stats_beside, ", ".join(fields)))
-    kept = judged.where(~base_failed() & rejected(rules).isNull())
-    return kept.select(*(F.col(own[c]).alias(c) for c in names))
+    return judged.where(~base_failed() & rejected(rules).isNull()).select(*untucked(own))
