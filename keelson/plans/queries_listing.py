@@ -48,9 +48,7 @@ def s6(v):
 
 @query("s7_walk_totals", f"SELECT count(*) AS files, CAST(sum(CASE WHEN size > 0 THEN size ELSE 0 END) AS BIGINT) AS bytes, (SELECT count(DISTINCT prefix) FROM (SELECT {UP} AS prefix FROM f1_inventory)) AS dirs FROM f1_inventory")
 def s7(v):
-    inv = v("f1_inventory")
-    dirs = L.prefixes(inv).agg(F.count("*").alias("dirs"))
-    return inv.agg(F.count("*").alias("files"), F.sum(F.greatest("size", F.lit(0))).alias("bytes")).join(F.broadcast(dirs))
+    return L.usage(v("f1_inventory")).where("prefix = ''").select("files", "bytes", "dirs")
 
 
 @query("s8_version_listing", "SELECT key, version_id, is_delete_marker, strftime(last_modified, '%Y-%m-%dT%H:%M:%SZ') AS last_modified FROM f3_versions WHERE starts_with(key, 'c1/')")

@@ -71,9 +71,12 @@ def version_order(versions: DataFrame) -> Window:
 
 def versions_after(versions: DataFrame, key_marker: str, version_marker: str) -> DataFrame:
     """Versions after a marker pair: later keys, and of the marker's key those after the marked version."""
-    ranked = versions.where(F.col("key") >= key_marker).withColumn("_rn", F.row_number().over(version_order(versions)))
-    marked = ranked.where((F.col("key") == key_marker) & (F.col("version_id") == version_marker)).agg(F.max("_rn").alias("_at"))
-    return ranked.join(F.broadcast(marked)).where((F.col("key") > key_marker) | F.when(F.lit(version_marker != ""), F.col("_rn") > F.coalesce("_at", F.lit(0))).otherwise(F.lit(False))).drop("_rn", "_at")
+    if not version_marker:
+        return versions.where(F.col("key") > key_marker)
+    rn = F.row_number().over(version_order(versions))
+    ranked = versions.where(F.col("key") >= key_marker).withColumn("_rn", rn)
+    at = F.max(F.when((F.col("key") == key_marker) & (F.col("version_id") == version_marker), F.col("_rn"))).over(Window.partitionBy("bucket", "key"))
+    return ranked.withColumn("_at", at).where((F.col("key") > key_marker) | (F.col("_rn") > F.coalesce("_at", F.lit(0)))).drop("_rn", "_at")
 
 
 def under_entries(rows: DataFrame, entries: DataFrame) -> DataFrame:

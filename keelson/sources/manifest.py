@@ -78,7 +78,8 @@ def output_key(key: Column, encoded: Column) -> Column:
 def journal_events(lines: DataFrame, torn_tail: bool = False) -> DataFrame:
     """line_no, kind, prefix, token. A torn last line is left out; another malformed line is an error, as is no line."""
     if torn_tail:
-        lines = lines.join(F.broadcast(lines.agg(F.max("line_no").alias("_last"))), F.col("line_no") < F.col("_last"), "left_semi")
+        last = lines.agg(F.max("line_no")).first()[0]
+        lines = lines.where(F.col("line_no") != F.lit(last))
     at = lines.withColumn("_j", R.journal_fields(F.col("line")))
     checked = at.where(F.when(F.col("_j").isNull(), F.raise_error(F.concat(F.lit("malformed journal line "), F.col("line_no").cast("string")))).otherwise(True))
     return checked.select("line_no", "_j.kind", "_j.prefix", "_j.token")
