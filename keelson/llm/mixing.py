@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from keelson.llm.common import tucked, untucked, written
 
 #: Rows of a source that one task numbers at a time, about.
-NUMBERED = 20_000
+NUMBERED = 2_000
 
 
 def shares(sizes: DataFrame, weights: dict[str, float] | None, alpha: float, period: int) -> DataFrame:
