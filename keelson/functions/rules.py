@@ -188,7 +188,7 @@ def with_slash(prefix: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    unit = lambda by, name: F.concat(F.format_string("%.2f", n / by), F.lit(name))
+    unit = lambda by, name: F.concat(F.format_string("%.2f", F.bround(n / by, 2)), F.lit(name))
     return F.when(n >= 1 << 30, unit(1 << 30, "GiB")).when(n >= 1 << 20, unit(1 << 20, "MiB")).when(n >= 1 << 10, unit(1 << 10, "KiB")).otherwise(F.concat(n.cast("string"), F.lit("B")))
 
 
