@@ -31,7 +31,7 @@ from keelson.llm.graph import components
 
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 #: Members of a posting list in one side of a tile, and shingles of a side.
-TILE_ROWS, TILE_SHINGLES = 1024, 1_000_000
+TILE_ROWS, TILE_SHINGLES = 512, 1_000_000
 MARK_SPARK, MARK_ARROW = schema_of(doc_id="long", n_shingles="long", node="long", keys="longs")
 SET_SPARK, SET_ARROW = schema_of(node="long", keys="longs", shingles="longs")
 
