@@ -115,8 +115,8 @@ DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four":
 TIMES = {"double": 2, "triple": 3}
 WORD = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
 #: Seven or more digits, of which some are spelled, in a row.
-SPELLED = re.compile(rf"(?<![A-Za-z])(?:plus[ ,-]+)?(?:(?:double|triple)[ -]+)?(?:{WORD}|[0-9])(?:[ ,.()-]{{0,3}}(?:(?:double|triple)[ -]+)?(?:{WORD}|[0-9])){{6,}}(?![A-Za-z])", re.I)
-SPELLED_PART = re.compile(rf"(plus)|(?:(double|triple)[ -]+)?(?:({WORD})|([0-9]))", re.I)
+SPELLED = re.compile(rf"(?<![A-Za-z])(?:plus[ ,-]+)?(?:(?:double|triple)[ -]+)?(?:{WORD}|[0-9])(?:(?:[ ,.()-]{{0,3}}|[ ]+dot[ ]+)(?:(?:double|triple)[ -]+)?(?:{WORD}|[0-9])){{6,}}(?![A-Za-z])", re.I)
+SPELLED_PART = re.compile(rf"(plus)|(dot|[.])|(?:(double|triple)[ -]+)?(?:({WORD})|([0-9]))", re.I)
 LABEL = r"[A-Za-z0-9-]+"
 OPEN, SHUT = r"[ ]?[\[({<][ ]?", r"[ ]?[\])}>][ ]?"
 AT_MARK = rf"(?:{OPEN}(?:at|@){SHUT})"
@@ -125,6 +125,7 @@ AT_BARE, DOT_BARE = r"(?:[ ]+at[ ]+|[ ]*_at_[ ]*|[ ]+@[ ]+)", r"(?:[ ]+dot[ ]+|[
 #: An address whose @ is in brackets, or whose @ and at least one dot are spelled; or with a plain @ and such a dot.
 DISGUISED = re.compile(
     rf"(?<=[A-Za-z0-9._%+-])(?:{AT_MARK}{LABEL}(?:(?:\.|{DOT_MARK}|{DOT_BARE}){LABEL})+"
+    rf"|{AT_BARE}{LABEL}(?:\.{LABEL})+(?!{DOT_MARK}|{DOT_BARE})"
     rf"|(?:@|{AT_BARE}){LABEL}(?:\.{LABEL})*(?:{DOT_MARK}|{DOT_BARE}){LABEL}(?:(?:\.|{DOT_MARK}|{DOT_BARE}){LABEL})*)", re.I)
 #: A dot disguised between the parts of the name before a disguised @, or between numbers of an address.
 NAME_DOT = re.compile(rf"(?<=[A-Za-z0-9])(?:{DOT_MARK})(?=[A-Za-z0-9])|(?<=[0-9])(?:{DOT_BARE})(?=[0-9])", re.I)
@@ -135,6 +136,29 @@ NAME_BEFORE = re.compile(rf"[A-Za-z0-9_%+-]+(?:(?:\.|{DOT_BARE}|{DOT_MARK})[A-Za
 MARKS_IN = re.compile(rf"({AT_MARK}|{AT_BARE})|({DOT_MARK}|{DOT_BARE})", re.I)
 
 
+MARKS_DOT = re.compile(rf"{DOT_MARK}|{DOT_BARE}", re.I)
+NAME_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+HOST = re.compile(r"[A-Za-z0-9-]+\.[A-Za-z]")
+
+
+def name_like(text: str, at: int) -> bool:
+    """Whether the word before a place has a letter, and a digit, dot or underscore inside: more a mailbox than prose."""
+    m = NAME_END.search(text, max(0, at - 80), at)
+    word = m[0].strip("._-") if m else ""
+    return any(c.isalpha() for c in word) and any(c in "._" or c.isdigit() for c in word)
+
+
+def may_name_host(text: str, low: str) -> bool:
+    """Whether `name at host.tld` or `name @ host.tld` stands somewhere."""
+    for sign in (" at ", " @ "):
+        at = low.find(sign)
+        while at >= 0:
+            if HOST.match(text, at + len(sign)) and (sign == " @ " or name_like(text, at)):
+                return True
+            at = low.find(sign, at + 1)
+    return False
+
+
 class Mapped:
     """A normalised text with, for each of its characters, the source span that it stands for."""
 
@@ -174,10 +198,10 @@ def digit_edits(text: str) -> list:
             continue
         pieces = []
         for p in SPELLED_PART.finditer(text, m.start(), m.end()):
-            if p[1]:
-                pieces.append((p.start(), p.end(), "+"))
+            if p[1] or p[2]:
+                pieces.append((p.start(), p.end(), "+" if p[1] else "."))
             else:
-                pieces += [(p.start(), p.end(), DIGITS[p[3].lower()] if p[3] else p[4])] * TIMES.get((p[2] or "").lower(), 1)
+                pieces += [(p.start(), p.end(), DIGITS[p[4].lower()] if p[4] else p[5])] * TIMES.get((p[3] or "").lower(), 1)
         if m.start() and text[m.start() - 1] == "+":  # a phone number needs a character after its first digit
             first = pieces[1] if len(pieces) > 1 else pieces[0]
             pieces = [pieces[0], (pieces[0][0], pieces[0][1], "-"), first, *pieces[2:]] if len(pieces) > 1 else pieces
@@ -190,6 +214,8 @@ def address_edits(text: str) -> list:
     for m in DISGUISED.finditer(text):
         if not BRACKETED_AT.match(m[0]) and re.split(r"[^A-Za-z0-9-]+", m[0])[-1].lower() not in TOP_LEVEL:
             continue
+        if not MARKS_DOT.search(m[0]) and not BRACKETED_AT.match(m[0]) and "@" not in m[0] and not name_like(text, m.start()):
+            continue
         name = NAME_BEFORE.search(text, max(0, m.start() - 100), m.start())
         out += [(p.start(), p.end(), [(p.start(), p.end(), ".")]) for p in MARKS_IN.finditer(text, name.start(), m.start()) if p[2]] if name else []
         for p in MARKS_IN.finditer(text, m.start(), m.end()):
@@ -207,7 +233,7 @@ def address_edits(text: str) -> list:
 
 #: What a disguised @ or dot cannot do without.
 SIGNS = ("dot", "at]", "at)", "at}", "at>", "[ at", "( at", "{ at", "< at", "[.", "(.", "{.", "<.", "[ .", "( .", "[@", "(@", "{@", "<@", "[ @", "( @", "point]", "point)", "point}", "point ")
-NEXT_DIGIT = re.compile(rf"{WORD}[ ,.()-]{{0,3}}(?:{WORD}|[0-9]|double|triple)")
+NEXT_DIGIT = re.compile(rf"{WORD}(?:[ ,.()-]{{0,3}}|[ ]+dot[ ]+)(?:{WORD}|[0-9]|double|triple)")
 DIGIT_BEFORE = re.compile(r"[0-9][ ,.()-]{0,3}\Z")
 
 
@@ -225,7 +251,7 @@ def may_spell(low: str) -> bool:
 def may_hide(text: str) -> tuple[bool, bool, bool]:
     """Whether homoglyphs, spelled digits or at/dot disguises are worth a look; False is certain."""
     low = text.lower()
-    return has_glyph(text), may_spell(low), any(x in low for x in SIGNS)
+    return has_glyph(text), may_spell(low), any(x in low for x in SIGNS) or may_name_host(text, low)
 
 
 def hidden_spans(text: str) -> list[Span]:

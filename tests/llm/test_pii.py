@@ -45,9 +45,12 @@ FOUND = [
     ("four " + " ".join(["one"] * 15), "card", "four " + " ".join(["one"] * 15)),
     ("call plus one five five five one two three four five six seven today", "phone", "plus one five five five one two three four five six seven"),
     ("host 192[.]168[.]1[.]1 up", "ip", "192[.]168[.]1[.]1"),
+    ("write to hein.19 at mail5.example.com today", "email", "hein.19 at mail5.example.com"),
+    ("write to john @ example.com today", "email", "john @ example.com"),
+    ("at one nine two dot one six eight dot one dot one it is", "ip", "one nine two dot one six eight dot one dot one"),
     ("host 192 dot 168 dot 1 dot 1 up", "ip", "192 dot 168 dot 1 dot 1"),
 ]
-CLEAN = ["one two three at the dot of noon", "she was at work (dot) fine", "zero to one, two or three", "café привет 12.30", "meet at noon. Dot com firms fell.", ""]
+CLEAN = ["meet me at example.com or version 2.0 at example.com", "see it. at home.com", "one two three at the dot of noon", "she was at work (dot) fine", "zero to one, two or three", "café привет 12.30", "meet at noon. Dot com firms fell.", ""]
 
 
 def test_disguises_keep_their_places():
