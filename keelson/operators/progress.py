@@ -65,9 +65,11 @@ def failure_streaks(calls: DataFrame, threshold: int = 3) -> DataFrame:
 def isolation(calls: DataFrame, threshold: int = 3) -> DataFrame:
     """node, faults and isolated_at: the call that is the threshold-th fault of its node."""
     fault = R.is_node_fault(F.col("http_code"), F.col("err"))
-    order = Window.partitionBy("node").orderBy("call_id")
-    at = calls.withColumn("_f", fault.cast("int")).withColumn("_n", F.sum("_f").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return at.groupBy("node").agg(F.sum("_f").alias("faults"), F.min(F.when((F.col("_n") >= threshold) & (F.col("_f") == 1), F.col("call_id"))).alias("isolated_at"))
+    nodes = calls.groupBy("node").agg(F.count_if(fault).alias("faults"))
+    # tasks keep their first faults of a node only, before the shuffle
+    first = calls.where(fault).select("node", "call_id").withColumn("_n", F.row_number().over(Window.partitionBy("node").orderBy("call_id"))).where(F.col("_n") <= threshold)
+    at = first.where(F.col("_n") == threshold).select("node", F.col("call_id").alias("isolated_at"))
+    return nodes.join(at, "node", "left").select("node", "faults", "isolated_at")
 
 
 def tick_deltas(ticks: DataFrame) -> DataFrame:

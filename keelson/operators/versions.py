@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.functions import rules as R
+from keelson.sources.listing import numbered
 
 KEY = ["bucket", "key", "version_id"]
 
@@ -36,10 +37,9 @@ def deleted(current: DataFrame, rows: DataFrame) -> DataFrame:
 
 def paged(versions: DataFrame, size: int) -> DataFrame:
     """versions with row_no and page within their bucket's prefix (text up to the first '/'), in listing order."""
-    prefix = F.substring_index("key", "/", 1)
-    w = Window.partitionBy("bucket", "_p").orderBy("key", F.col("last_modified").desc(), "version_id")
-    out = versions.withColumn("_p", prefix).withColumn("row_no", F.row_number().over(w))
-    return out.withColumn("page", F.ceil(F.col("row_no") / size).cast("bigint")).withColumnRenamed("_p", "prefix")
+    out = versions.withColumn("prefix", F.substring_index("key", "/", 1))
+    out = numbered(out, ["bucket", "prefix"], [F.col("key"), F.col("last_modified").desc(), F.col("version_id")])
+    return out.withColumn("page", F.ceil(F.col("row_no") / size).cast("bigint"))
 
 
 def page_tails(pages: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keelson.sources.shared import new_folder
+
 
 def flat(inventory: DataFrame, prefix: str, start_after: str = "") -> DataFrame:
     """Every object under a prefix; the filters reach the scan."""
@@ -90,13 +92,30 @@ def resumed(inventory: DataFrame, entries: DataFrame) -> DataFrame:
     return inventory.join(e, F.expr("startswith(key, _p) AND key > _t"), "left_semi")
 
 
+def numbered(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """rows with row_no (from 1) within `by` in a total order, without a task that holds a whole group.
+
+    Rows are dealt by ranges of (by, order) and written once; a group's rows in a range are numbered from the count of
+    those in the ranges before it. The one window over a whole group has a row for each of its ranges."""
+    spark = rows.sparkSession
+    path = new_folder(spark, "numbered")
+    rows.repartitionByRange(*(F.col(c) for c in by), *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.parquet(path)
+    each = dealt.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = each.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_range").alias("_r"), F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order))
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    at = dealt.withColumn("_within", within).join(starts, [*same, F.col("_range") == F.col("_r")])
+    return at.select(*rows.columns, (F.col("_before") + F.col("_within")).cast("bigint").alias("row_no"))
+
+
 def pages(entries: DataFrame, size: int) -> DataFrame:
     """prefix, page, entries, first, next_marker and truncated for the ordered entries (prefix, entry) of each prefix."""
-    w = Window.partitionBy("prefix").orderBy("entry")
-    numbered = entries.select("prefix", "entry", F.ceil(F.row_number().over(w) / size).cast("bigint").alias("page"))
-    each = numbered.groupBy("prefix", "page").agg(F.count("*").alias("entries"), F.min("entry").alias("first"), F.max("entry").alias("next_marker"))
-    last = F.max("page").over(Window.partitionBy("prefix"))
-    return each.withColumn("truncated", F.col("page") < last)
+    at = numbered(entries.select("prefix", "entry"), ["prefix"], [F.col("entry")])
+    each = at.groupBy("prefix", F.ceil(F.col("row_no") / size).cast("bigint").alias("page")).agg(F.count("*").alias("entries"), F.min("entry").alias("first"), F.max("entry").alias("next_marker"))
+    last = each.groupBy("prefix").agg(F.max("page").alias("_last"))
+    return each.join(last, "prefix").select("prefix", "page", "entries", "first", "next_marker", (F.col("page") < F.col("_last")).alias("truncated"))
 
 
 def first_page(inventory: DataFrame, marker: str, size: int) -> DataFrame:
