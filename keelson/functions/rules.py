@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ NODE_FAULTS = ("dial tcp", "connection refused", "connection reset", "broken pip
 LIST_KEYS = ("prefix", "delimiter", "encoding-type", "marker", "max-keys")
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value evaluated once however often f names it; arrays in lambdas are not shared by the optimizer."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def is_normal_etag(etag: Column) -> Column:
     """Single-part: exactly 32 lower-case hex digits."""
     return etag.rlike(r"^[0-9a-f]{32}\z")
@@ -48,11 +55,16 @@ def offsets_of(texts: Column) -> Column:
 
 def offset_etag(etag: Column, size: Column) -> Column:
     """Part offsets of `<md5>-<n>-<off0>|<off1>...`; null unless every rule holds."""
-    parts = F.split(etag, "-", 3)
-    texts = F.split(F.get(parts, F.lit(2)), r"\|")
-    offs, n = offsets_of(texts), whole_number(F.get(parts, F.lit(1)))
-    sound = F.forall(offs, lambda x: x.isNotNull() & (x >= 0) & (x <= size)) & (F.get(offs, F.lit(0)) == 0) & increasing(offs)
-    return F.when((F.size(parts) == 3) & is_normal_etag(F.get(parts, F.lit(0))) & (n >= 1) & (F.size(offs) == n) & sound, offs)
+
+    def sound(parts: Column, offs: Column) -> Column:
+        n = whole_number(F.get(parts, F.lit(1)))
+        within = F.forall(offs, lambda x: x.isNotNull() & (x >= 0) & (x <= size))
+        return (F.size(offs) == n) & (n >= 1) & within & (F.get(offs, F.lit(0)) == 0) & increasing(offs)
+
+    def offsets(parts: Column) -> Column:
+        return let(offsets_of(F.split(F.get(parts, F.lit(2)), r"\|")), lambda offs: F.when(sound(parts, offs), offs))
+
+    return let(F.split(etag, "-", 3), lambda parts: F.when((F.size(parts) == 3) & is_normal_etag(F.get(parts, F.lit(0))), offsets(parts)))
 
 
 def segment_offsets(size: Column, segment: int) -> Column:
@@ -69,17 +81,21 @@ def resolve_offsets(etag: Column, size: Column, mode: str, segment: int = 0) ->
 
 def multipart_reason(line: Column, bucket: str) -> Column:
     """Why a line `bucket|key|count|offset...` is not well formed; null if it is."""
-    parts = F.split(line, r"\|")
-    part = lambda i: F.get(parts, F.lit(i))
-    n = whole_number(part(2))
-    texts = F.slice(parts, F.lit(4), F.greatest(F.size(parts) - 3, F.lit(0)))
-    numbers = offsets_of(texts)
-    bad = F.filter(F.transform(numbers, lambda x: F.when(x.isNull(), F.lit("offset not an integer")).when(x < 0, F.lit("offset negative"))), lambda r: r.isNotNull())
-    return (
-        F.when(is_blank(line), "empty line").when(F.size(parts) < 3, "too few fields").when(part(0) != bucket, "bucket mismatch").when(is_blank(part(1)), "empty key")
-        .when(n.isNull(), "partcnt not an integer").when(n < 1, "partcnt must be >= 1").when(F.size(parts) != n + 3, "offset count != partcnt")
-        .when(F.size(bad) > 0, F.get(bad, F.lit(0))).when(F.get(numbers, F.lit(0)) != 0, "offset0 must be 0").when(~increasing(numbers), "offsets must be strictly increasing")
-    )
+
+    def of_numbers(numbers: Column) -> Column:
+        bad = F.filter(F.transform(numbers, lambda x: F.when(x.isNull(), F.lit("offset not an integer")).when(x < 0, F.lit("offset negative"))), lambda r: r.isNotNull())
+        return F.coalesce(F.get(bad, F.lit(0)), F.when(F.get(numbers, F.lit(0)) != 0, "offset0 must be 0").when(~increasing(numbers), "offsets must be strictly increasing"))
+
+    def of_parts(parts: Column) -> Column:
+        part = lambda i: F.get(parts, F.lit(i))
+        n = whole_number(part(2))
+        texts = F.slice(parts, F.lit(4), F.greatest(F.size(parts) - 3, F.lit(0)))
+        return (
+            F.when(F.size(parts) < 3, "too few fields").when(part(0) != bucket, "bucket mismatch").when(is_blank(part(1)), "empty key").when(n.isNull(), "partcnt not an integer")
+            .when(n < 1, "partcnt must be >= 1").when(F.size(parts) != n + 3, "offset count != partcnt").otherwise(let(offsets_of(texts), of_numbers))
+        )
+
+    return F.when(is_blank(line), "empty line").otherwise(let(F.split(line, r"\|"), of_parts))
 
 
 def mixed_reason(line: Column, bucket: str) -> Column:
@@ -127,16 +143,16 @@ def probe_plan(size: Column, is_multipart: Column, offsets: Column, threshold: i
     spec = lambda start, length: F.struct(start.cast("bigint").alias("start"), length.cast("bigint").alias("length"))
     head, w = spec(F.lit(0), F.lit(WINDOW)), F.lit(WINDOW)
     tail = F.when(size > 0, F.array(spec(F.greatest(size - WINDOW, F.lit(0)), F.least(w, size)))).otherwise(F.array().cast("array<struct<start:bigint,length:bigint>>"))
-    inner = F.slice(F.coalesce(offsets, F.array().cast("array<bigint>")), F.lit(2), F.greatest(F.size(F.coalesce(offsets, F.array().cast("array<bigint>"))) - 1, F.lit(0)))
-
     def border(off: Column) -> Column:
         start = F.greatest(off - WINDOW, F.lit(0))
         end = F.when(size > 0, F.least(off + WINDOW, size)).otherwise(off + WINDOW)
         return spec(start, end - start)
 
-    borders = F.filter(F.transform(inner, border), lambda p: p["length"] > 0)
+    none = F.array().cast("array<struct<start:bigint,length:bigint>>")
+    known = F.coalesce(offsets, F.array().cast("array<bigint>"))
+    borders = let(known, lambda offs: F.filter(F.transform(F.slice(offs, F.lit(2), F.greatest(F.size(offs) - 1, F.lit(0))), border), lambda p: p["length"] > 0))
     small = (size > 0) & (size <= threshold) if threshold > 0 else F.lit(False)
-    return F.when(small, F.array(spec(F.lit(0), F.lit(threshold)))).otherwise(F.concat(F.array(head), F.when(is_multipart, borders).otherwise(F.array().cast("array<struct<start:bigint,length:bigint>>")), tail))
+    return F.when(small, F.array(spec(F.lit(0), F.lit(threshold)))).otherwise(F.concat(F.array(head), F.when(is_multipart, borders).otherwise(none), tail))
 
 
 def as_latin(body: Column) -> Column:
