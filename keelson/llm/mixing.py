@@ -69,7 +69,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
 def mix_in_order(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, block: int = 8, period: int = 1000) -> DataFrame:
     """docs with its own columns, in the order of the mixture: files of a range of positions each, sorted."""
     placed, own = _placed(docs, weights, alpha, block, period)
-    placed = written(placed.select(*own.values(), "position"), "mixed")
+    placed = placed.select(*own.values(), "position")
     return placed.repartitionByRange("position").sortWithinPartitions("position").select(*untucked(own))
 
 
