@@ -32,6 +32,8 @@ from keelson.llm.graph import components
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 #: Members of a posting list in one side of a tile, and shingles of a side.
 TILE_ROWS, TILE_SHINGLES = 512, 1_000_000
+#: So many document numbers (8 bytes each) may be sent around.
+SENT_IDS = 1_000_000
 MARK_SPARK, MARK_ARROW = schema_of(doc_id="long", n_shingles="long", node="long", keys="longs")
 SET_SPARK, SET_ARROW = schema_of(node="long", keys="longs", shingles="longs")
 
@@ -218,6 +220,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     return out.select("doc_id", "n_shingles", found.alias("component_id"), F.col("doc_id").eqNullSafe(found).alias("kept"))
 
 
+def sent(ids: DataFrame, n: int) -> DataFrame:
+    """ids, sent to all executors while there are at most SENT_IDS (so whole texts stay where they are), else joined by a shuffle."""
+    return F.broadcast(ids) if n <= SENT_IDS else ids
+
+
 def linked_classes(rows: DataFrame, classes: DataFrame, width: int, percent: int, k: int, matches: int) -> DataFrame:
     """node and comp for the classes (node, first, keys, n) that are linked with others."""
     posts = classes.select("node", F.explode("keys").alias("key"))
@@ -230,11 +237,12 @@ def linked_classes(rows: DataFrame, classes: DataFrame, width: int, percent: int
     lists = prefix.groupBy("key").agg(F.max(F.struct("m", "node")).alias("hub"), F.count("*").alias("size")).where("size > 1").select("key", F.col("hub.node").alias("b"))
     stars = written(prefix.select(F.col("node").alias("a"), "key").join(lists, "key").where("a <> b").select("a", "b").distinct(), "near-stars")
     members = written(stars.select("a").union(stars.select("b")).distinct().select(F.col("a").alias("node")), "near-members")
+    found = members.count()
     wanted = classes.select("node", "first").join(members, "node").select(F.col("first").alias("doc_id")).distinct()
-    text = rows.join(wanted, "doc_id", "left_semi")
+    text = rows.join(sent(wanted, found), "doc_id", "left_semi")
     sets = text.mapInArrow(_Marks(width, k, True), SET_SPARK).where("node is not null")
     sets = written(sets, "near-sets")
-    if sets.count() != members.count():  # a doc_id repeats, or is null
+    if sets.count() != found:  # a doc_id repeats, or is null
         missing = rows.mapInArrow(_Marks(width, k, True), SET_SPARK).where("node is not null")
         sets = written(missing.join(members, "node", "left_semi").dropDuplicates(["node"]), "near-sets")
     first = written(link_confirmed(stars, sets, percent, matches), "near-links")
