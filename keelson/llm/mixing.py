@@ -35,9 +35,12 @@ def shares(sizes: DataFrame, weights: dict[str, float] | None, alpha: float, per
     t = sizes.withColumn("w", w).withColumn("quota", quota).withColumn("base", F.greatest(F.lit(1), F.floor("quota")).cast("int"))
     t = t.withColumn("left", (F.lit(period) - F.sum("base").over(every)).cast("int"))
     more = F.row_number().over(every.orderBy((F.col("quota") - F.floor("quota")).desc(), "source"))
-    less = F.row_number().over(every.orderBy(F.col("base").desc(), "source"))
-    t = t.withColumns({"more": more, "less": less})
-    a = F.col("base") + F.when((F.col("left") > 0) & (F.col("more") <= F.col("left")), 1).when((F.col("left") < 0) & (F.col("less") <= -F.col("left")), -1).otherwise(0)
+    # slots too many: one each from the largest sources of two or more, then further ones in proportion; the last one stays
+    spare = t.where("left < 0 and base > 1").select("source", "base", "left", F.explode(F.sequence(F.lit(1), F.col("base") - 1)).alias("k"))
+    order = (F.when(F.col("k") > 1, F.col("k") / F.col("base")).otherwise(0.0), F.col("base").desc(), F.col("source"))
+    less = spare.withColumn("less", F.row_number().over(every.orderBy(*order))).where("less <= -left").groupBy(F.col("source").alias("_l")).agg(F.count("*").alias("less"))
+    t = t.withColumn("more", more).join(F.broadcast(less), F.col("source") == F.col("_l"), "left")
+    a = F.col("base") + F.when((F.col("left") > 0) & (F.col("more") <= F.col("left")), 1).otherwise(0) - F.coalesce("less", F.lit(0))
     return t.select("source", a.cast("int").alias("a"))
 
 

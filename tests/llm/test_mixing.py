@@ -49,6 +49,24 @@ def test_mix(spark, monkeypatch, weights, numbered):
         assert all(abs(seen[s] - share[s] * (slot + 1) / 20) < 1 for s in share)
 
 
+def test_small_sources_keep_a_slot(spark):
+    tail = [*[(f"big{i}", 4_000_000) for i in range(3)], *[(f"small{i:02}", 16) for i in range(30)]]
+    for sizes in (tail, [("hot", 9_000_000), *[(f"m{i}", 3_000_000) for i in range(6)], *[(f"s{i:02}", 40) for i in range(25)]]):
+        share = {r["source"]: r["a"] for r in mixing.shares(spark.createDataFrame(sizes, "source string, n bigint"), None, 0.5, 1000).collect()}
+        assert len(share) == len(sizes) and sum(share.values()) == 1000 and min(share.values()) == 1
+    share = {r["source"]: r["a"] for r in mixing.shares(spark.createDataFrame(tail, "source string, n bigint"), None, 0.5, 1000).collect()}
+    assert sorted(share.values())[-3:] == [323, 323, 324]
+
+
+@pytest.mark.parametrize("weights", [{"web": 1}, None])
+def test_no_row_of_a_long_tail_is_lost(spark, weights):
+    sizes = {"web": 500, **{f"s{i}": 2 for i in range(3 if weights else 15)}}
+    docs = spark.createDataFrame([(100 * k + i if s != "web" else 10_000 + i, s) for k, (s, n) in enumerate(sizes.items()) for i in range(n)], "doc_id bigint, source string")
+    rows = mixing.mix(docs, weights, block=2, period=20).collect()
+    assert Counter(r["source"] for r in rows) == sizes and len({r["position"] for r in rows}) == len(rows)
+    assert mixing.mix_in_order(docs, weights, block=2, period=20).count() == len(rows)
+
+
 def test_odd_tables(spark):
     docs = cases.clashing(spark)
     out = mixing.mix(docs)
