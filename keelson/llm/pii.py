@@ -114,8 +114,11 @@ MAYBE_GLYPH = re.compile("[\xa0\xad\xb2\xb3\xb9\u0100-\U0010ffff]")
 DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 TIMES = {"double": 2, "triple": 3}
 WORD = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
-#: Seven or more digits, of which some are spelled, in a row.
-SPELLED = re.compile(rf"(?<![A-Za-z])(?:plus[ ,-]+)?(?:(?:double|triple)[ -]+)?(?:{WORD}|[0-9])(?:(?:[ ,.()-]{{0,3}}|[ ]+dot[ ]+)(?:(?:double|triple)[ -]+)?(?:{WORD}|[0-9])){{6,}}(?![A-Za-z])", re.I)
+TIMED = r"(?:(?:double|triple)[ -]+)?"
+ITEM, APART = rf"{TIMED}(?:{WORD}|[0-9])", r"(?:[ ,.()-]{0,3}|[ ]+dot[ ]+)"
+NUMBER = rf"{ITEM}(?:[ -]?{ITEM}){{0,2}}"
+#: Seven or more digits, of which some are spelled, in a row; or four numbers of up to three parted by dots.
+SPELLED = re.compile(rf"(?<![A-Za-z])(?:(?:plus[ ,-]+)?{ITEM}(?:{APART}{ITEM}){{6,}}|{NUMBER}(?:(?:[ ]+dot[ ]+|\.){NUMBER}){{3}})(?![A-Za-z])", re.I)
 SPELLED_PART = re.compile(rf"(plus)|(dot|[.])|(?:(double|triple)[ -]+)?(?:({WORD})|([0-9]))", re.I)
 LABEL = r"[A-Za-z0-9-]+"
 OPEN, SHUT = r"[ ]?[\[({<][ ]?", r"[ ]?[\])}>][ ]?"
@@ -138,7 +141,6 @@ MARKS_IN = re.compile(rf"({AT_MARK}|{AT_BARE})|({DOT_MARK}|{DOT_BARE})", re.I)
 
 MARKS_DOT = re.compile(rf"{DOT_MARK}|{DOT_BARE}", re.I)
 NAME_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-HOST = re.compile(r"[A-Za-z0-9-]+\.[A-Za-z]")
 
 
 def name_like(text: str, at: int) -> bool:
@@ -148,17 +150,6 @@ def name_like(text: str, at: int) -> bool:
     return any(c.isalpha() for c in word) and any(c in "._" or c.isdigit() for c in word)
 
 
-def may_name_host(text: str, low: str) -> bool:
-    """Whether `name at host.tld` or `name @ host.tld` stands somewhere."""
-    for sign in (" at ", " @ "):
-        at = low.find(sign)
-        while at >= 0:
-            if HOST.match(text, at + len(sign)) and (sign == " @ " or name_like(text, at)):
-                return True
-            at = low.find(sign, at + 1)
-    return False
-
-
 class Mapped:
     """A normalised text with, for each of its characters, the source span that it stands for."""
 
@@ -191,6 +182,15 @@ def glyph_edits(text: str) -> list:
     return [(i, i + 1, [(i, i + 1, GLYPHS[c])] if GLYPHS[c] else []) for i, c in enumerate(text) if c in GLYPHS]
 
 
+#: What re.I takes for i and s besides what lower() makes of them; lower() would make two characters of the first.
+ALSO = {0x130: "i", 0x131: "i", 0x17F: "s"}
+
+
+def folded(text: str) -> str:
+    """In lower case as re.I sees it, each character in its place."""
+    return text.lower() if text.isascii() else text.translate(ALSO).lower()
+
+
 def digit_edits(text: str) -> list:
     out = []
     for m in SPELLED.finditer(text):
@@ -201,7 +201,7 @@ def digit_edits(text: str) -> list:
             if p[1] or p[2]:
                 pieces.append((p.start(), p.end(), "+" if p[1] else "."))
             else:
-                pieces += [(p.start(), p.end(), DIGITS[p[4].lower()] if p[4] else p[5])] * TIMES.get((p[3] or "").lower(), 1)
+                pieces += [(p.start(), p.end(), DIGITS[folded(p[4])] if p[4] else p[5])] * TIMES.get(folded(p[3] or ""), 1)
         if m.start() and text[m.start() - 1] == "+":  # a phone number needs a character after its first digit
             first = pieces[1] if len(pieces) > 1 else pieces[0]
             pieces = [pieces[0], (pieces[0][0], pieces[0][1], "-"), first, *pieces[2:]] if len(pieces) > 1 else pieces
@@ -231,43 +231,45 @@ def address_edits(text: str) -> list:
     return clear
 
 
-#: What a disguised @ or dot cannot do without.
-SIGNS = ("dot", "at]", "at)", "at}", "at>", "[ at", "( at", "{ at", "< at", "[.", "(.", "{.", "<.", "[ .", "( .", "[@", "(@", "{@", "<@", "[ @", "( @", "point]", "point)", "point}", "point ")
-NEXT_DIGIT = re.compile(rf"{WORD}(?:[ ,.()-]{{0,3}}|[ ]+dot[ ]+)(?:{WORD}|[0-9]|double|triple)")
-DIGIT_BEFORE = re.compile(r"[0-9][ ,.()-]{0,3}\Z")
+#: What stands in every AT_MARK, AT_BARE and plain @, and in every DOT_MARK and DOT_BARE.
+AT_SIGN = re.compile(r"[ \[({<_]at[ \])}>_]|@", re.I)
+DOT_SIGN = re.compile(r"[ \[({<_](?:dot|point|\.)[ \])}>_]", re.I)
+NEXT_DIGIT = re.compile(rf"{WORD}{APART}(?:{WORD}|[0-9]|double|triple)")
+DIGIT_BEFORE = re.compile(rf"[0-9]{APART}{TIMED}{WORD}")
 
 
-def may_spell(low: str) -> bool:
+def may_spell(text: str) -> bool:
     """Whether a spelled digit stands where a run of digits could be: not inside a word, a digit before or after it."""
+    low = folded(text)
     for word in DIGITS:
         at = low.find(word)
         while at >= 0:
-            if not (at and "a" <= low[at - 1] <= "z") and (NEXT_DIGIT.match(low, at) or DIGIT_BEFORE.search(low[max(0, at - 4) : at])):
+            if not (at and "a" <= low[at - 1] <= "z") and NEXT_DIGIT.match(low, at):
                 return True
             at = low.find(word, at + 1)
-    return False
+    return DIGIT_BEFORE.search(low) is not None
+
+
+def may_mark(text: str) -> bool:
+    """Whether there is an at/dot disguise, by the patterns that address_edits uses; the signs only spare them work."""
+    return (AT_SIGN.search(text) and DISGUISED.search(text) or DOT_SIGN.search(text) and NAME_DOT.search(text)) is not None
 
 
 def may_hide(text: str) -> tuple[bool, bool, bool]:
     """Whether homoglyphs, spelled digits or at/dot disguises are worth a look; False is certain."""
-    low = text.lower()
-    return has_glyph(text), may_spell(low), any(x in low for x in SIGNS) or may_name_host(text, low)
+    return has_glyph(text), may_spell(text), may_mark(text)
 
 
 def hidden_spans(text: str) -> list[Span]:
-    """Identifiers that show in the normalised text only, as spans of the source."""
-    glyphs, digits, marks = may_hide(text)
-    if not (glyphs or digits or marks):
-        return []
-    mapped = Mapped(text)
-    if glyphs:
-        mapped.replace(glyph_edits(text))
-        _, digits, marks = may_hide(mapped.text)
-    if digits:
-        mapped.replace(digit_edits(mapped.text))
-    if marks:
-        mapped.replace(address_edits(mapped.text))
-    if mapped.text == text:
+    """Identifiers that show in the normalised text only, as spans of the source. Each step looks at what the one before
+    it left."""
+    mapped = None
+    for may, edits in ((has_glyph, glyph_edits), (may_spell, digit_edits), (may_mark, address_edits)):
+        now = mapped.text if mapped else text
+        if may(now):
+            mapped = mapped or Mapped(text)
+            mapped.replace(edits(now))
+    if mapped is None or mapped.text == text:
         return []
     out = []
     for k, find in enumerate(FINDERS):

@@ -80,6 +80,41 @@ def test_prefilters_hide_nothing():
         assert any(list(f(mapped.text)) for f in pii.FINDERS) and any(pii.may_hide(text))
 
 
+DISGUISES = [
+    ("write to john.doe_at_example.com today", "email", "john.doe_at_example.com"),
+    ("write to hein.19  at  example.com today", "email", "hein.19  at  example.com"),
+    ("write to user [at ] host.com today", "email", "user [at ] host.com"),
+    ("write to user (at ) host.com today", "email", "user (at ) host.com"),
+    ("\u0130\u0130 write to hein.19 at example.com today", "email", "hein.19 at example.com"),
+    ("host one two seven dot zero dot zero dot one up", "ip", "one two seven dot zero dot zero dot one"),
+    ("host eight dot eight dot eight dot eight up", "ip", "eight dot eight dot eight dot eight"),
+    ("host 1 dot 2 dot 3 dot four up", "ip", "1 dot 2 dot 3 dot four"),
+]
+
+
+def test_disguises_need_no_other_sign():
+    for text, kind, span in DISGUISES:
+        base, every = pii.all_spans(text)
+        assert [(pii.KINDS[k], text[a:b]) for a, k, b in every if (a, k, b) not in base] == [(kind, span)], text
+    for text in ("One. Two. Three. Four.", "one dot two dot three", "look_at_this and that"):
+        assert pii.all_spans(text) == ([], []), text
+    assert pii.digit_edits("five f\u0130ve five \u017feven five five five")
+
+
+PIECES = ["one", "two", "\u017fix", "f\u0130ve", "hein.19", "a_b", "x", "at", "AT", "dot", "point", "host.com", "com", "[", "]", "(", ")", " ", "  ", "_", "@", ".", "-", ",", "5", "127", "double", "plus", "+", "\u0130", "\u0430", "\uff11", "_at_", " [at ] ", " dot "]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=25).map("".join))
+def test_filtered_and_unfiltered_agree(text):
+    got = pii.hidden_spans(text)
+    mapped = pii.Mapped(text)
+    for edits in (pii.glyph_edits, pii.digit_edits, pii.address_edits):
+        mapped.replace(edits(mapped.text))
+    whole = [(mapped.start[a], k, mapped.end[b - 1]) for k, f in enumerate(pii.FINDERS) for a, b in f(mapped.text)]
+    assert got == [(a, k, b) for (a, k, b), m in zip(whole, (mapped.text[x:y] for f in pii.FINDERS for x, y in f(mapped.text))) if text[a:b] != m]
+
+
 def test_table(spark):
     rows = [(i, t) for i, (t, *_) in enumerate(FOUND)] + [(50, None), (51, "a@b.co " * 2000), (52, "9" * 100_000 + "@" * 50_000 + "+1" * 50_000)]
     got = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
