@@ -48,21 +48,25 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     parts = F.transform(F.split(path, "/"), lambda x: F.concat(F.lit("p="), F.regexp_replace(ascii_lower(x), "[0-9]+", "#")))
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
     names = F.transform(F.split(query, "&"), lambda x: F.concat(F.lit("q="), ascii_lower(F.substring_index(x, "=", 1))))
-    every = F.concat(F.array(F.concat(F.lit("h="), host)), labels, parts, names)
+    ending = F.concat(F.lit("e="), F.regexp_extract(ascii_lower(path), r"[^/]\.([^./]+)$", 1))
+    every = F.concat(F.array(F.concat(F.lit("h="), host)), labels, parts, F.array(ending), names)
     return F.array_sort(F.array_distinct(F.filter(every, lambda x: F.length(x) > 2)))
 
 
-def mined_rules(labelled: DataFrame, min_support: int, min_confidence: float, max_items: int) -> DataFrame:
+def mined_rules(labelled: DataFrame, min_support: int, min_confidence: float) -> DataFrame:
     """items (sorted), n, n_block and confidence of the rules that stand, from rows (tokens, block).
 
-    max_items bounds the tokens of one URL that are mined: its rarest among those that min_support rows have."""
+    All tokens that min_support rows to block have are mined. Tokens of the very same rows are mined as one, since no rule
+    that stands has two of them; each of them then takes its place in the rules."""
     tokens = labelled.withColumn("_row", F.monotonically_increasing_id()).select("_row", "block", F.explode("tokens").alias("t"))
     tokens = written(tokens, "url-tokens")
     n = labelled.count()
-    often = tokens.groupBy("t").agg(F.count("*").alias("c"), F.count(F.when(F.col("block"), 1)).alias("b"))
+    same = [F.bit_xor(F.xxhash64(F.lit(i), F.col("_row"))).alias(f"x{i}") for i in range(2)]  # 128 bits of the set of rows
+    often = tokens.groupBy("t").agg(F.count("*").alias("c"), F.count(F.when(F.col("block"), 1)).alias("b"), *same)
     # a token in nearly all rows says nothing
-    often = often.where((F.col("b") >= min_support) & (F.col("c") < 0.95 * max(n, 1))).drop("b")
-    rows = tokens.join(often, "t").groupBy("_row", "block").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "t"))), 1, max_items)["t"].alias("items"))
+    often = often.where((F.col("b") >= min_support) & (F.col("c") < 0.95 * max(n, 1)))
+    alike = written(often.groupBy("c", "x0", "x1").agg(F.min("t").alias("t"), F.collect_list("t").alias("members")).select("t", "members"), "url-alike")
+    rows = tokens.join(alike.select("t"), "t").groupBy("_row", "block").agg(F.collect_list("t").alias("items"))
     rows = written(rows.select("block", "items"), "url-rows")
     if not rows.where("block").take(1):
         return rows.limit(0).select("items", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("n_block"), F.lit(0.0).alias("confidence"))
@@ -78,7 +82,10 @@ def mined_rules(labelled: DataFrame, min_support: int, min_confidence: float, ma
     shorter = rules.where(F.size("items") > 1).select("items", "confidence", F.explode("items").alias("x")).select("items", "confidence", F.array_remove("items", F.col("x")).alias("less"))
     sure = rules.select(F.col("items").alias("less"), F.col("confidence").alias("c"))
     needless = shorter.join(sure, "less").where(F.col("c") >= F.col("confidence")).select("items").distinct()
-    return rules.join(needless, "items", "left_anti")
+    rules = rules.join(needless, "items", "left_anti")
+    each = rules.select("*", F.explode("items").alias("t")).join(alike, "t").groupBy(*rules.columns).agg(F.collect_list("members").alias("members"))
+    ways = F.aggregate("members", F.array(F.array().cast("array<string>")), lambda done, m: F.flatten(F.transform(done, lambda d: F.transform(m, lambda x: F.concat(d, F.array(x))))))
+    return each.select(F.explode(ways).alias("items"), "n", "n_block", "confidence").withColumn("items", F.array_sort("items"))
 
 
 def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -94,7 +101,7 @@ def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return found.groupBy("url").agg(F.max(F.struct("confidence", F.array_join("items", " ").alias("mined"))).alias("_m")).select("url", F.col("_m.mined").alias("mined"), F.col("_m.confidence").alias("confidence"))
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[Rule], min_support: int = 10, min_confidence: float = 0.6, max_items: int = 10) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[Rule], min_support: int = 10, min_confidence: float = 0.6) -> DataFrame:
     """page_id, host, path, rule, verdict, mined (the association rule that blocks, if it decides) and confidence.
 
     labels: doc_id (the page's id), quality and toxic; a page is to block if it is toxic or of quality 0."""
@@ -103,7 +110,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[Rule], min_suppo
     bad = (F.coalesce("toxic", F.lit(0)) == 1) | (F.col("quality") == 0)
     taught = labels.where("quality is not null or toxic is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.coalesce(bad, F.lit(False))).alias("block"))
     known = rows.where("host <> ''").join(taught, F.col("page_id") == F.col("_id")).select(url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"), "block")
-    mined = mined_rules(written(known, "url-labelled"), min_support, min_confidence, max_items)
+    mined = mined_rules(written(known, "url-labelled"), min_support, min_confidence)
     hits = matches(urls.select("url", "tokens"), mined).withColumnRenamed("url", "_url")
     text, verdict = fixed_rule(rules, F.col("host"), F.col("path"))
     out = rows.join(hits, F.col("url") == F.col("_url"), "left").withColumns({"rule": text, "_v": verdict})

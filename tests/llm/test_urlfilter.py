@@ -1,3 +1,4 @@
+import random
 import re
 
 from keelson.llm import urlfilter
@@ -41,3 +42,48 @@ def test_rules_are_mined_and_matched(spark):
     assert mined == {"l=bad p=shop"}
     none = urlfilter.judge_urls(spark.createDataFrame(rows, "page_id bigint, url string"), labels(spark, [(i, 1, 0) for i in range(400)]), URL_RULES).collect()
     assert {r["verdict"] for r in none} == {"allow"}
+
+
+def test_long_urls_are_mined_whole(spark):
+    # more than ten tokens of each kind of URL are rarer than the two that make it bad together
+    def url(i):
+        kind = i // 4 % 4
+        deep = "/".join(f"d{'abcd'[kind]}{'abcdefghijkl'[k]}" for k in range(12))
+        return f"http://{'bad' if i % 2 else 'good'}.site.org/{'shop' if i % 4 > 1 else 'news'}/{deep}/x.html?q{'abcd'[kind]}=1"
+
+    bad = lambda i: i % 4 == 3
+    rows = [(i, url(i)) for i in range(720)]
+    known = [(i, 0 if bad(i) else 1, 0) for i in range(480)]
+    got = urlfilter.judge_urls(spark.createDataFrame(rows, "page_id bigint, url string"), labels(spark, known), URL_RULES, min_support=20).collect()
+    assert len(got) == 720 and all((r["verdict"] == "block") == bad(r["page_id"]) for r in got)
+
+
+def test_rules_equal_brute_force(spark):
+    from collections import Counter
+    from itertools import chain, combinations
+
+    draw = random.Random(5)
+    rows = []
+    for _ in range(60):
+        tokens = {t for t in "abcdefghijkl" if draw.random() < 0.6}
+        tokens |= {"a2"} if "a" in tokens else set()
+        rows.append((sorted(tokens), "a" in tokens and "b" in tokens or draw.random() < 0.2))
+    often = Counter(t for items, block in rows if block for t in items)
+    every, blocked = Counter(), Counter()
+    for items, block in rows:
+        kept = [t for t in items if often[t] >= 12 and sum(t in x for x, _ in rows) < 0.95 * len(rows)]
+        for rule in chain.from_iterable(combinations(kept, k) for k in range(1, len(kept) + 1)):
+            every[rule] += 1
+            blocked[rule] += block
+    sure = {r: (every[r], blocked[r]) for r in every if blocked[r] >= 12 and blocked[r] / every[r] >= 0.6}
+    want = {r: v for r, v in sure.items() if not any(s in sure and sure[s][1] * v[0] >= v[1] * sure[s][0] for s in combinations(r, len(r) - 1))}
+    got = urlfilter.mined_rules(spark.createDataFrame(rows, "tokens array<string>, block boolean"), 12, 0.6).collect()
+    assert len(got) == len(want) > 3 and {tuple(r["items"]): (r["n"], r["n_block"]) for r in got} == want
+
+
+def test_ending_is_a_token(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("http://h.org/a/b.HTML?x=1",), ("http://h.org/v1.0/b",), ("http://h.org/.x",)], "url string")
+    got = [r[0] for r in rows.select(urlfilter.url_tokens(F.col("url"), urlfilter.host_of(F.col("url")), urlfilter.path_of(F.col("url")))).collect()]
+    assert [[t for t in x if t.startswith("e=")] for x in got] == [["e=html"], [], []]
