@@ -350,7 +350,16 @@ def k13(v):
 
 @query("k14_relay_regular", "SELECT key, md5(body) AS dst_etag FROM f1_inventory WHERE doc_id % 10 = 0 AND NOT contains(key, '|')")
 def k14(v):
-    return relayed(v, v("f1_inventory").where("doc_id % 10 = 0 AND NOT contains(key, '|')").withColumn("offsets", F.lit(None).cast("array<bigint>")))
+    return relayed_regular(v, v("f1_inventory").where("doc_id % 10 = 0"))
+
+
+@query("k14_relay_regular_whole")
+def k14_whole(v):
+    return relayed_regular(v, v("f1_inventory"))
+
+
+def relayed_regular(v, rows):
+    return relayed(v, rows.where("NOT contains(key, '|')").withColumn("offsets", F.lit(None).cast("array<bigint>")))
 
 
 PARTS = "substring(hex(encode(body)), CAST(2 * (size // 2) * i + 1 AS BIGINT), CAST(CASE WHEN i = 0 THEN 2 * (size // 2) ELSE 2 * size END AS BIGINT))"
@@ -358,7 +367,16 @@ PARTS = "substring(hex(encode(body)), CAST(2 * (size // 2) * i + 1 AS BIGINT), C
 
 @query("k15_relay_multipart", f", x AS (SELECT key, body, size, unnest([0, 1]) AS i FROM f1_inventory WHERE doc_id % 10 = 3 AND size > 1 AND NOT contains(key, '|')) SELECT key, md5(unhex(string_agg(md5(unhex({PARTS})), '' ORDER BY i))) || '-2' AS dst_etag FROM x GROUP BY key")
 def k15(v):
-    rows = v("f1_inventory").where("doc_id % 10 = 3 AND size > 1 AND NOT contains(key, '|')")
+    return relayed_multipart(v, v("f1_inventory").where("doc_id % 10 = 3"))
+
+
+@query("k15_relay_multipart_whole")
+def k15_whole(v):
+    return relayed_multipart(v, v("f1_inventory"))
+
+
+def relayed_multipart(v, rows):
+    rows = rows.where("size > 1 AND NOT contains(key, '|')")
     return relayed(v, rows.withColumn("offsets", F.array(F.lit(0).cast("bigint"), F.expr("size div 2"))))
 
 

@@ -102,8 +102,17 @@ BODY = "substr(array_to_string(list_transform(range(0, CAST(ceil(size / 32.0) AS
 
 @query("s20_bodies", f", {TREE} SELECT tree, idx, CAST(strlen({BODY}) AS BIGINT) AS n, md5({BODY}) AS body_md5 FROM sized WHERE tree % 10 = 1")
 def s20(v):
+    return bodies(sized_keys(v).where("tree % 10 = 1"))
+
+
+@query("s20_bodies_whole")
+def s20_whole(v):
+    return bodies(sized_keys(v))
+
+
+def bodies(keys):
     body = S.body(F.col("key"), F.col("size"))
-    return sized_keys(v).where("tree % 10 = 1").select("tree", "idx", F.octet_length(body).cast("bigint").alias("n"), F.md5(body.cast("binary")).alias("body_md5"))
+    return keys.select("tree", "idx", F.octet_length(body).cast("bigint").alias("n"), F.md5(body.cast("binary")).alias("body_md5"))
 
 
 @query("p27_trailing_slash", "SELECT DISTINCT prefix, CASE WHEN prefix = '' OR ends_with(prefix, '/') THEN prefix ELSE prefix || '/' END AS dir FROM f8_trees")
@@ -153,8 +162,17 @@ def a15(v):
 
 @query("c8_synthetic_bucket", f", {TREE} SELECT 'bkt' || tree || '|' || key || '|' || md5({BODY}) AS line FROM sized WHERE tree % 10 = 2")
 def c8(v):
+    return manifest_lines(sized_keys(v).where("tree % 10 = 2"))
+
+
+@query("c8_synthetic_bucket_whole")
+def c8_whole(v):
+    return manifest_lines(sized_keys(v))
+
+
+def manifest_lines(keys):
     body = S.body(F.col("key"), F.col("size"))
-    return sized_keys(v).where("tree % 10 = 2").select(F.concat_ws("|", F.concat(F.lit("bkt"), F.col("tree").cast("string")), "key", F.md5(body.cast("binary"))).alias("line"))
+    return keys.select(F.concat_ws("|", F.concat(F.lit("bkt"), F.col("tree").cast("string")), "key", F.md5(body.cast("binary"))).alias("line"))
 
 
 @query("l1_prefix_filter", "SELECT key FROM f1_inventory WHERE starts_with(key, 'src2/en/')")
