@@ -6,11 +6,18 @@ stands for its group (by its last bytes) and has a share of the group by its cou
 over classes of words of like frequency, then one over the words of the class. Documents are read as whole sequences in
 lanes; the state goes on from window to window and is cleared where a document starts.
 
-Learning: one bounded sample warms the parameters up (`warm_docs`, about; it only sets where training starts); then
-every partition of the training documents trains on all its documents, and the parameters are averaged by tokens.
+Learning: one bounded sample warms the parameters up (`warm_docs`, about; it only sets where training starts). Then all
+training documents are dealt by a hash of doc_id and text to rounds and shards, whose number follows from the number of
+tokens alone. In a round each shard trains on its documents in the order of that hash, and parameters and step sizes are
+averaged by tokens; the next round starts there. So the scores don't depend on how many partitions or cores there are.
+
+Texts are read twice: to count words, and to write each document's token ids (2 bytes each), from which the rounds and
+the scores are made.
 
 Null text counts as empty: the end is its one token. A null doc_id counts as '' for the fold. Rows that repeat count and
-are scored each. Without any training document all counts are 0 and the model is the untrained one.
+are scored each; rows equal in doc_id and text train in one shard. Texts of any length are read whole. Without any
+training document all counts are 0 and the model is the untrained one; an empty table gives an empty result. Other
+columns of docs are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,10 +41,14 @@ from keelson.llm.common import get_file, new_folder, put_file, schema_of, text_o
 END = b""
 #: Words whose counts are sent to the executors; others are joined.
 HEAD_WORDS = 100_000
-VOCABULARY, GROUPS, CLASSES, HIDDEN = 1024, 32, 24, 12
+VOCABULARY, GROUPS, CLASSES, HIDDEN = 1024, 32, 24, 24
 LANES, TRAIN_STEPS, SCORE_STEPS = 256, 16, 16
 #: Tokens that a task trains on or scores at once.
 CHUNK_TOKENS = 3_000_000
+#: A shard has about so many training tokens, but there are at most MOST_SHARDS; each is dealt to so many rounds.
+SHARD_TOKENS, MOST_SHARDS, ROUNDS = 1_000_000, 16_384, 4
+#: Multiplications of one matrix product: for larger ones the BLAS starts threads, whose waiting takes other tasks' cores.
+PRODUCT = 200_000
 #: Distinct words that a task counts before it passes them on.
 COUNTED_WORDS = 400_000
 LN10 = float(np.log(10))
@@ -78,6 +89,26 @@ def group_column(word: Column) -> Column:
     return (F.crc32(F.when(n > 3, F.substring(word, n - 2, F.lit(3))).otherwise(word)) % GROUPS).cast("int")
 
 
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b, by blocks of rows."""
+    step = max(1, PRODUCT // max(1, b.size))
+    if len(a) <= step:
+        return a @ b
+    out = np.empty((len(a), b.shape[1]), np.result_type(a, b))
+    for at in range(0, len(a), step):
+        np.matmul(a[at : at + step], b, out=out[at : at + step])
+    return out
+
+
+def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b, by blocks of rows."""
+    step = max(1, PRODUCT // max(1, a.shape[1] * b.shape[1]))
+    out = a[:step].T @ b[:step]
+    for at in range(step, len(a), step):
+        out += a[at : at + step].T @ b[at : at + step]
+    return out
+
+
 class Net:
     """Gated recurrent units and a class-factored softmax, in numpy. Tokens are sorted so that classes are ranges."""
 
@@ -98,13 +129,15 @@ class Net:
         self.g = {k: np.full(v.shape, 1e-2, np.float32) for k, v in self.p.items()}
 
     def vector(self) -> np.ndarray:
-        return np.concatenate([self.p[k].ravel() for k in self.NAMES])
+        """Parameters, and the sums of squares that their step sizes come from."""
+        return np.concatenate([part[k].ravel() for part in (self.p, self.g) for k in self.NAMES])
 
     def load(self, v: np.ndarray) -> None:
         at = 0
-        for k in self.NAMES:
-            self.p[k] = v[at : at + self.p[k].size].reshape(self.p[k].shape).astype(np.float32)
-            at += self.p[k].size
+        for part in (self.p, self.g):
+            for k in self.NAMES:
+                part[k] = v[at : at + part[k].size].reshape(part[k].shape).astype(np.float32)
+                at += part[k].size
 
     def steps(self, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, list]:
         """States after each of ids (T, B), the last state, and what backward needs. fresh: a document starts here."""
@@ -116,7 +149,7 @@ class Net:
         for t in range(len(ids)):
             if any_fresh[t]:
                 h = h * ~fresh[t][:, None]
-            hu = h @ p["u"]
+            hu = product(h, p["u"])
             zr = x[t, :, : 2 * n] + hu[:, : 2 * n]
             np.negative(zr, out=zr)
             np.exp(zr, out=zr)
@@ -137,7 +170,7 @@ class Net:
         """Natural log-probabilities of target after hs (M, H), and if asked for the gradients."""
         p = self.p
         own = self.class_of[target]
-        a = hs @ p["wc"]
+        a = product(hs, p["wc"])
         a += p["bc"]
         rows = np.arange(len(target))
         picked = a[rows, own]
@@ -148,8 +181,8 @@ class Net:
         if learn:
             a /= total[:, None]
             a[rows, own] -= 1
-            grads |= {"wc": hs.T @ a, "bc": a.sum(axis=0)}
-            dh = a @ p["wc"].T
+            grads |= {"wc": inner(hs, a), "bc": a.sum(axis=0)}
+            dh = product(a, p["wc"].T)
             grads["wo"], grads["bo"] = np.zeros_like(p["wo"]), np.zeros_like(p["bo"])
         order = np.argsort(own, kind="stable")
         ends = np.searchsorted(own[order], np.arange(len(self.starts)))
@@ -160,7 +193,7 @@ class Net:
             if i == j or e - s == 1:
                 continue
             part, at = sorted_h[i:j], sorted_t[i:j] - s
-            w = part @ p["wo"][s:e].T
+            w = product(part, p["wo"][s:e].T)
             w += p["bo"][s:e]
             mine = w[rows[: j - i], at]
             np.exp(w, out=w)
@@ -169,9 +202,9 @@ class Net:
             if learn:
                 w /= total[:, None]
                 w[rows[: j - i], at] -= 1
-                grads["wo"][s:e] = w.T @ part
+                grads["wo"][s:e] = inner(w, part)
                 grads["bo"][s:e] = w.sum(axis=0)
-                dh[order[i:j]] += w @ p["wo"][s:e]
+                dh[order[i:j]] += product(w, p["wo"][s:e])
         lp[order] += sorted_lp
         return lp, dh, grads
 
@@ -196,7 +229,7 @@ class Net:
             dhu[t, :, : 2 * n] = x[:, : 2 * n]
             dhu[t, :, 2 * n :] = da * r
             before[t] = h
-            back = dhu[t] @ ut
+            back = product(dhu[t], ut)
             back += d * z
             if any_fresh[t]:
                 back *= ~fresh[t][:, None]
@@ -204,7 +237,7 @@ class Net:
         order = np.argsort(flat.astype(np.uint16) if len(p["e"]) < 65536 else flat, kind="stable")
         tokens, first = np.unique(flat[order], return_index=True)
         per_token = np.add.reduceat(dx.reshape(-1, 3 * n)[order], first, axis=0)
-        return {"u": before.reshape(-1, n).T @ dhu.reshape(-1, 3 * n), "b": per_token.sum(axis=0), "e": (tokens, per_token)}
+        return {"u": inner(before.reshape(-1, n), dhu.reshape(-1, 3 * n)), "b": per_token.sum(axis=0), "e": (tokens, per_token)}
 
     def update(self, grads: dict, rate: float, scale: float) -> None:
         """Adagrad on gradients times scale."""
@@ -309,25 +342,66 @@ def loaded(folder: str, name: str) -> object:
     return _loaded[folder, name]
 
 
+TOKENS_SPARK = "doc_id bigint, held_out boolean, hash bigint, row bigint, n_tokens bigint, n_known bigint, base double, share double, tail array<binary>, uses array<bigint>, ids binary"
+TOKENS_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("hash", pa.int64()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("share", pa.float64()), ("tail", pa.list_(pa.binary())), ("uses", pa.list_(pa.int64())), ("ids", pa.binary())])
+#: Token ids as they are written.
+ID = np.dtype("<u2")
+
+
+class _Tokens:
+    """A document's token ids, and all of its scores that needs no model and no counts of rare words."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Words = loaded(self.folder, "words")
+        end = words.known[END]
+        row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+        for batch in batches:
+            rows = []
+            for doc, held, h, text in zip(*(c.to_pylist() for c in batch.columns)):
+                tokens, tail, head = words.read(text)
+                uses = Counter(tail)
+                # what is missing of words of the tail is their log10(count + 0.5), in both scores
+                share = float(words.log_share[head].sum()) - sum(words.log_groups[group_of(w)] * n for w, n in uses.items())
+                known = int(words.has_count[head].sum()) + int(words.has_count[end])
+                rows.append((doc, held, h, row, len(tokens) + 1, known, float(words.log_count[head].sum() + words.log_count[end]), share, list(uses), list(uses.values()), tokens.astype(ID).tobytes()))
+                row += 1
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), TOKENS_ARROW)], schema=TOKENS_ARROW)
+
+
 class _Train:
-    """Trains on all documents of the partition; returns its parameters in pieces, times its tokens."""
+    """Trains on the documents of each shard, in order; returns its parameters in pieces, with its tokens as weight."""
 
     def __init__(self, folder: str, start: str, lanes: int, passes: int, rate: float):
         self.folder, self.start, self.lanes, self.passes, self.rate = folder, start, lanes, passes, rate
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Words = loaded(self.folder, "words")
-        net: Net = pickle.loads(pickle.dumps(loaded(self.folder, self.start)))
-        docs, held, seen = [], 0, 0
+        net, of, docs, held, seen = None, None, [], 0, 0
 
         def learn() -> None:
             with np.errstate(over="ignore"):
                 for _ in range(self.passes):
                     net.read(docs, words.end, self.lanes, TRAIN_STEPS, self.rate)
 
+        def pieces() -> pa.RecordBatch:
+            v = net.vector().astype("<f4")
+            at = range(0, len(v), PIECE)
+            return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([of] * len(at), pa.int64()), pa.array([float(seen)] * len(at), pa.float64()), pa.array([v[i : i + PIECE].tobytes() for i in at], pa.binary())], names=["at", "shard", "w", "v"])
+
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                docs.append(words.read(text)[0])
+            for shard, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if shard != of:
+                    if docs:
+                        learn()
+                    if of is not None:
+                        yield pieces()
+                    # a copy of its own: the shared one stays as it is for other shards
+                    net, of, docs, held, seen = pickle.loads(pickle.dumps(loaded(self.folder, self.start))), shard, [], 0, 0
+                docs.append(np.frombuffer(ids, ID))
                 held += len(docs[-1]) + 1
                 seen += len(docs[-1]) + 1
                 if held >= CHUNK_TOKENS:
@@ -335,56 +409,63 @@ class _Train:
                     docs, held = [], 0
         if docs:
             learn()
-        if seen:
-            v = net.vector().astype(float) * seen
-            yield pa.RecordBatch.from_arrays([pa.array([i for i in range(0, len(v), 4096)], pa.int64()), pa.array([v[i : i + 4096] for i in range(0, len(v), 4096)], pa.list_(pa.float64())), pa.array([float(seen)] * -(-len(v) // 4096), pa.float64())], names=["at", "v", "w"])
+        if of is not None:
+            yield pieces()
 
 
-def trained(rows: DataFrame, folder: str, start: str, lanes: int, passes: int, rate: float) -> np.ndarray | None:
-    """The average of what the partitions of rows (text) learn, by their tokens. Values are summed in the shuffle."""
-    pieces = rows.select("text").mapInArrow(_Train(folder, start, lanes, passes, rate), "at bigint, v array<double>, w double")
-    each = pieces.select("at", "w", F.posexplode("v").alias("i", "x")).groupBy((F.col("at") + F.col("i")).alias("k")).agg((F.sum("x") / F.sum("w")).alias("x"))
-    found = each.toPandas()
-    return found.sort_values("k")["x"].to_numpy() if len(found) else None
+#: Parameters of a piece.
+PIECE = 8192
 
 
-SCORE_SPARK = "doc_id bigint, row bigint, n_tokens bigint, n_known bigint, base double, score double, tail array<binary>, uses array<bigint>"
-SCORE_ARROW = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.binary())), ("uses", pa.list_(pa.int64()))])
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces (at, shard, w, v) to their weighted sums by at, one piece at a time."""
+    sums: dict[int, np.ndarray] = {}
+    weights: Counter[int] = Counter()
+    for batch in batches:
+        for at, w, v in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            x = np.frombuffer(v, "<f4").astype(float) * w
+            sums[at] = sums[at] + x if at in sums else x
+            weights[at] += w
+    yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int64()), pa.array([weights[k] for k in sums], pa.float64()), pa.array([list(x) for x in sums.values()], pa.list_(pa.float64()))], names=["at", "w", "v"])
+
+
+def trained(rows: DataFrame, folder: str, start: str, lanes: int, passes: int, rate: float) -> np.ndarray | None:
+    """The average of what the shards of rows (shard, hash, ids) learn, by their tokens.
+
+    A shard's rows are one run of a partition. The model's size bounds what a sum holds and what comes to the driver."""
+    dealt = rows.select("shard", "ids", "hash").sortWithinPartitions("shard", "hash", "ids").select("shard", "ids")
+    pieces = dealt.mapInArrow(_Train(folder, start, lanes, passes, rate), "at bigint, shard bigint, w double, v binary")
+    each = pieces.repartition("at").sortWithinPartitions("at", "shard").mapInArrow(_sums, "at bigint, w double, v array<double>")
+    found = sorted((r["at"], np.array(r["v"]) / r["w"]) for r in each.collect())
+    return np.concatenate([v for _, v in found]) if found else None
 
 
 class _Score:
+    """row and the model's log10 probability of its tokens, from (row, ids)."""
+
     def __init__(self, folder: str):
         self.folder = folder
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Words = loaded(self.folder, "words")
         net: Net = loaded(self.folder, "net")
-        end = words.known[END]
-        row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         docs, rows, held = [], [], 0
 
-        def score() -> Iterator[pa.RecordBatch]:
+        def score() -> pa.RecordBatch:
             with np.errstate(over="ignore"):
                 lp = net.read(docs, words.end, LANES, SCORE_STEPS) / LN10
-            for at in range(0, len(rows), 2000):
-                part = [(*r[:5], r[5] + x, *r[6:]) for r, x in zip(rows[at : at + 2000], lp[at : at + 2000].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), SCORE_ARROW)], schema=SCORE_ARROW)
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(lp, pa.float64())], names=["row", "lp"])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokens, tail, head = words.read(text)
-                uses = Counter(tail)
-                # what is missing of words of the tail is their log10(count + 0.5), in both scores
-                share = float(words.log_share[head].sum()) - sum(words.log_groups[group_of(w)] * n for w, n in uses.items())
-                docs.append(tokens)
-                rows.append((doc, row, len(tokens) + 1, int(words.has_count[head].sum()) + int(words.has_count[end]), float(words.log_count[head].sum() + words.log_count[end]), share, list(uses), list(uses.values())))
-                row += 1
-                held += len(tokens) + 1
+            for row, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                docs.append(np.frombuffer(ids, ID))
+                rows.append(row)
+                held += len(docs[-1]) + 1
                 if held >= CHUNK_TOKENS:
-                    yield from score()
+                    yield score()
                     docs, rows, held = [], [], 0
         if docs:
-            yield from score()
+            yield score()
 
 
 def head_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
@@ -403,42 +484,57 @@ def head_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(((bytes(r["word"]), r["n"]) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
-def score_documents(docs: DataFrame, warm_docs: int = 800, head: int = HEAD_WORDS, rate: float = 0.03) -> DataFrame:
+def score_documents(docs: DataFrame, warm_docs: int = 800, head: int = HEAD_WORDS, rate: float = 0.06) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).cast("binary").alias("text"), held_out(docs["doc_id"]).alias("held_out"))
-    train = rows.where(~F.col("held_out"))
-    counts = written(word_counts(train), "lm-counts")
+    counts = written(word_counts(rows.where(~F.col("held_out"))), "lm-counts")
     n, v, found = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.sum(F.when(F.octet_length("word") == 0, F.col("n")))).first()
-    top = head_words(counts, head)
-    groups = np.full(GROUPS, 0.5)
-    for r in counts.groupBy(group_column(F.col("word")).alias("g")).agg(F.sum(F.col("n") + 0.5).alias("s")).collect():
-        groups[r["g"]] += r["s"]
-    for w, c in [*top[:VOCABULARY], *([(END, found)] if found and END not in {w for w, _ in top[:VOCABULARY]} else [])]:
-        groups[group_of(w)] -= c + 0.5
-    if found and END not in {w for w, _ in top}:
-        top.append((END, found))
-    groups = np.maximum(groups, 0.5)
-    words = Words(top, groups, n, v)
+    words = head_and_groups(counts, n, v, found, head)
     folder = new_folder(spark, "lm-model")
     net = Net(words.freq)
     put_file(folder, "words", pickle.dumps(words))
     put_file(folder, "start", pickle.dumps(net))
+    read = rows.select("doc_id", "held_out", F.xxhash64("doc_id", "text").alias("hash"), "text").mapInArrow(_Tokens(folder), TOKENS_SPARK)
+    tokens = written(read, "lm-tokens")
     if found:
-        some = train.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(max(1, found // warm_docs))) == 0).select("text").coalesce(1)
-        start = trained(some, folder, "start", 64, 2, 0.1)
-        if start is not None:
-            net.load(start)
-        put_file(folder, "warm", pickle.dumps(net))
-        every = trained(train, folder, "warm", LANES, 1, rate)
-        if every is not None:
-            net.load(every)
+        net = learned(tokens.where(~F.col("held_out")).select("hash", "ids"), net, folder, n, max(1, found // warm_docs), rate)
     put_file(folder, "net", pickle.dumps(net))
-    scored = written(rows.select("doc_id", "text").mapInArrow(_Score(folder), SCORE_SPARK), "lm-scored")
-    tail = scored.select("row", F.explode(F.arrays_zip("tail", "uses")).alias("x")).select("row", F.col("x.tail").alias("word"), F.col("x.uses").alias("uses"))
+    scored = tokens.select("row", "ids").mapInArrow(_Score(folder), "row bigint, lp double")
+    tail = tokens.select("row", F.explode(F.arrays_zip("tail", "uses")).alias("x")).select("row", F.col("x.tail").alias("word"), F.col("x.uses").alias("uses"))
     joined = tail.join(counts, "word", "left")
     sums = joined.groupBy("row").agg(F.sum(F.col("uses") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("uses")).otherwise(0)).alias("met"))
     more, met = F.coalesce("more", F.lit(0.0)), F.coalesce("met", F.lit(0))
-    return scored.join(sums, "row", "left").select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("n_known") + met).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + more - F.col("n_tokens") * F.lit(words.log_total)).alias("base_score"), (F.col("score") + more).alias("score"))
+    flat = tokens.select("doc_id", "held_out", "row", "n_tokens", "n_known", "base", "share")
+    return flat.join(scored, "row").join(sums, "row", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + met).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("base") + more - F.col("n_tokens") * F.lit(words.log_total)).alias("base_score"), (F.col("lp") + F.col("share") + more).alias("score"))
+
+
+def head_and_groups(counts: DataFrame, n: int, v: int, found: int | None, head: int) -> Words:
+    """What tasks need to know of words, from the counts of all; found: how often the end is met."""
+    top = head_words(counts, head)
+    groups = np.full(GROUPS, 0.5)
+    for r in counts.groupBy(group_column(F.col("word")).alias("g")).agg(F.sum(F.col("n") + 0.5).alias("s")).collect():
+        groups[r["g"]] += r["s"]
+    for w, c in [*top[:VOCABULARY], *([(END, found)] if found and END not in {w for w, _ in top[:VOCABULARY]} else [])]:
+        groups[group_of(w)] -= c + 0.5
+    if found and END not in {w for w, _ in top}:
+        top.append((END, found))
+    return Words(top, np.maximum(groups, 0.5), n, v)
+
+
+def learned(tokens: DataFrame, net: Net, folder: str, n: int, every: int, rate: float) -> Net:
+    """net after the warm-up on one of `every` documents and ROUNDS rounds over all (hash, ids) of n tokens."""
+    warm = tokens.where(F.pmod(F.xxhash64("hash"), F.lit(every)) == 0).select("hash", "ids", F.lit(0).cast("long").alias("shard"))
+    v = trained(warm.repartition(1), folder, "start", 64, 2, 0.1)
+    if v is not None:
+        net.load(v)
+    shards = min(MOST_SHARDS, -(-n // SHARD_TOKENS))
+    dealt = tokens.select("hash", "ids", F.pmod(F.shiftrightunsigned("hash", 2), F.lit(shards)).alias("shard"))
+    for k in range(ROUNDS):
+        put_file(folder, f"round-{k}", pickle.dumps(net))
+        v = trained(dealt.where(F.pmod("hash", F.lit(ROUNDS)) == k).repartition(shards, "shard"), folder, f"round-{k}", LANES, 1, rate)
+        if v is not None:
+            net.load(v)
+    return net

@@ -98,3 +98,60 @@ def test_odd_tables(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
     one = lm.score_documents(spark.createDataFrame([(held, "a b")], "doc_id bigint, text string")).collect()
     assert [(r["n_tokens"], r["n_known"], r["train_tokens"]) for r in one] == [(3, 0, 0)] and one[0]["score"] < 0
+
+
+def test_products_in_blocks(monkeypatch):
+    r = np.random.default_rng(3)
+    a, b, c = r.standard_normal((50, 7)), r.standard_normal((7, 9)), r.standard_normal((50, 4))
+    monkeypatch.setattr(lm, "PRODUCT", 100)
+    assert np.allclose(lm.product(a, b), a @ b) and np.allclose(lm.inner(a, c), a.T @ c)
+    assert lm.product(a[:0], b).shape == (0, 9)
+
+
+def plain_score(net, words, docs):
+    """Gates, states and both softmaxes written out for one token after the other."""
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    n, out = net.h, []
+    for doc in docs:
+        h, before, total = np.zeros(n), words.end, 0.0
+        for token in [*doc, words.end]:
+            x, hu = p["e"][before] + p["b"], h @ p["u"]
+            z, r = 1 / (1 + np.exp(-(x[:n] + hu[:n]))), 1 / (1 + np.exp(-(x[n : 2 * n] + hu[n : 2 * n])))
+            new = np.tanh(x[2 * n :] + r * hu[2 * n :])
+            h = z * h + (1 - z) * new
+            c = net.class_of[token]
+            a = h @ p["wc"] + p["bc"]
+            s, e = net.starts[c], net.starts[c + 1]
+            w = p["wo"][s:e] @ h + p["bo"][s:e]
+            total += a[c] - np.log(np.exp(a).sum()) + (w[token - s] - np.log(np.exp(w).sum()) if e - s > 1 else 0)
+            before = token
+        out.append(total)
+    return out
+
+
+def test_against_a_plain_model():
+    counts = [(f"w{i}".encode(), 100 - i) for i in range(30)]
+    words = lm.Words(counts, np.full(lm.GROUPS, 3.0), 3000, 40, vocabulary=20)
+    net = lm.Net(words.freq, classes=4, hidden=5)
+    texts = [b"w1 W2 w3 w25 unknown w1", b"", b"w9", b" ".join(b"w%d" % (i * 7 % 30) for i in range(70))]
+    docs = [words.read(t)[0] for t in texts]
+    for _ in range(3):
+        net.read(docs, words.end, 2, 8, 0.1)
+    assert np.allclose(net.read(docs, words.end, 3, 16), plain_score(net, words, docs), rtol=1e-4)
+
+
+def test_scores_do_not_depend_on_partitions_or_chunks(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").union(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(3))
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 20_000)
+    scores = [sorted((r["doc_id"], r["score"]) for r in lm.score_documents(docs.repartition(n)).collect()) for n in (2, 7)]
+    assert [i for i, _ in scores[0]] == [i for i, _ in scores[1]] and len(scores[0]) == 203
+    assert np.allclose([s for _, s in scores[0]], [s for _, s in scores[1]], rtol=1e-6)
+    words = lm.Words([(b"a", 5), (b"b", 3)], np.full(lm.GROUPS, 1.0), 8, 2)
+    net = lm.Net(words.freq)
+    monkeypatch.setattr(lm, "loaded", lambda folder, name: {"words": words, "net": net}[name])
+    rows = [(i, np.array([i % 2] * i, lm.ID).tobytes()) for i in range(40)]
+    batch = __import__("pyarrow").RecordBatch.from_arrays([[r[0] for r in rows], [r[1] for r in rows]], names=["row", "ids"])
+    whole = {r: s for b in lm._Score("")(iter([batch])) for r, s in zip(b[0].to_pylist(), b[1].to_pylist())}
+    monkeypatch.setattr(lm, "CHUNK_TOKENS", 50)
+    parts = [b for b in lm._Score("")(iter([batch]))]
+    assert len(parts) > 5 and all(math.isclose(whole[r], s, rel_tol=1e-4) for b in parts for r, s in zip(b[0].to_pylist(), b[1].to_pylist()))
