@@ -16,6 +16,8 @@ import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from keelson.llm.common import schema_of, text_of
 
@@ -83,14 +85,17 @@ class _Encode:
                     back = enc.decode_bytes(ids)
                     rows.append((len(ids), hashlib.sha256(",".join([names[i] for i in ids]).encode()).hexdigest(), hashlib.sha256(back).hexdigest(), len(back), *([ids] if self.ids else [])))
                 cols = zip(*rows) if rows else [()] * (4 + self.ids)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(cols, list(self.schema)[1:]))], schema=self.schema)
+                arrays = [batch.column(0), *batch.columns[2:], *(pa.array(c, f.type) for c, f in zip(cols, list(self.schema)[batch.num_columns - 1 :]))]
+                yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, self.schema)], schema=self.schema)
 
 
-def bpe_round_trip(docs: DataFrame, ranks: str, pattern: str, ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes and, if asked for, ids, for each row of docs (doc_id, text)."""
-    spark_schema, arrow = schema_of(doc_id="long", n_tokens="long", ids_sha256="string", decoded_sha256="string", n_bytes="long", **({"ids": "longs"} if ids else {}))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    return rows.mapInArrow(_Encode(ranks, pattern, arrow, ids), spark_schema)
+def bpe_round_trip(docs: DataFrame, ranks: str, pattern: str, ids: bool = False, beside: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of docs named in `beside`, n_tokens, ids_sha256, decoded_sha256, n_bytes and, if asked for, ids,
+    for each row of docs (doc_id, text). An empty table gives an empty result; columns not named are not looked at."""
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"), *(docs[c] for c in beside))
+    made = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType()), StructField("n_bytes", LongType()), *([StructField("ids", ArrayType(LongType()))] if ids else [])]
+    schema = StructType([rows.schema["doc_id"], *(rows.schema[c] for c in beside), *made])
+    return rows.mapInArrow(_Encode(ranks, pattern, to_arrow_schema(schema), ids), schema)
 
 
 class _Decode:

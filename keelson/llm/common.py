@@ -8,6 +8,7 @@ import uuid
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,15 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_files(df: DataFrame) -> DataFrame:
+    """df if it is a scan of files, whose rows have a place; else df written and read back."""
+    try:
+        df.select(df.metadataColumn("_metadata")["row_index"])
+        return df
+    except AnalysisException:
+        return written(df, "rows")
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
@@ -61,6 +71,30 @@ def parallel(df: DataFrame, least: int | None = None) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= least else df.repartition(least)
 
 
+#: A key with more than one of so many rows is dealt to SPREAD tasks.
+SHARE, SPREAD = 512, 16
+
+
+def hot_keys(df: DataFrame, key: str) -> DataFrame:
+    """Keys with over 1 / SHARE of df's rows: fewer than SHARE, whatever the data."""
+    n = df.count()
+    return df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > n / SHARE).select(key)
+
+
+def join_spread(many: DataFrame, one: DataFrame, key: str, by: str | list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """many joined with one (a row for each key), also where a few keys hold most rows of many.
+
+    hot: keys as `hot_keys` finds them. This short list is sent around; its keys' rows of many are dealt by a hash of the
+    columns `by` to SPREAD tasks, and one's row goes to each of these."""
+    hot = F.broadcast(written(hot.select(F.col(key).alias("_hot")), "hot-keys"))
+    by = [by] if isinstance(by, str) else by
+    salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*by), F.lit(SPREAD))).otherwise(F.lit(0).cast("long"))
+    left = many.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot")
+    top = F.when(F.col("_hot").isNotNull(), F.lit(SPREAD - 1)).otherwise(F.lit(0)).cast("long")
+    right = one.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), top))).drop("_hot")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
 def arrow_type(kind: str) -> pa.DataType:
     return {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary(), "int": pa.int32(), "longs": pa.list_(pa.int64())}[kind]
 

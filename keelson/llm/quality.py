@@ -1,7 +1,9 @@
 """Quality rules (operator 8): document statistics and a learned, ordered decision list.
 
-Words are runs of characters other than space and U+0009 to U+000D. Statistics are exact and of whole texts;
-null text counts as empty (no words, n_lines 1). Rows that repeat are each judged; a null doc_id is kept as it is.
+Words are runs of characters other than space and U+0009 to U+000D. Statistics are exact and of whole texts, of any
+length; null text counts as empty (no words, n_lines 1). Rows that repeat are each judged; a null doc_id is kept as it is
+and has no label. An empty table gives an empty result. `quality_verdicts` looks at doc_id and text only;
+`kept_documents` returns all columns as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +32,11 @@ def repeated_words(ids: np.ndarray) -> int:
     if n < 4:
         return 0
     top = int(ids.max()) + 1
-    keys = (ids[:-2] * top + ids[1:-1]) * top + ids[2:]
+    pairs = ids[:-1] * top + ids[1:]
+    if top > 2_000_000:  # the product of three would not fit: pairs are numbered first
+        pairs = np.unique(pairs, return_inverse=True)[1]
+        top = max(top, int(pairs.max()) + 1)
+    keys = pairs[:-1] * top + ids[2:]
     order = np.argsort(keys, kind="stable")
     ranked = keys[order]
     same = ranked[1:] == ranked[:-1]
@@ -180,24 +186,26 @@ def rejected(rules: list[Rule]) -> Column:
     return out
 
 
-def fit(stats: DataFrame, labels: DataFrame, max_labelled: int = 20_000, **how: float) -> list[Rule]:
-    """Learn rules from labelled statistics.
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, **how: float) -> list[Rule]:
+    """Learn rules from the statistics of labelled documents.
 
-    max_labelled bounds what is fitted on: the labelled rows with the least hash of doc_id. Rows whose label is null,
-    or that the base rules reject already, teach nothing. No usable label: no rules."""
-    lab = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    rows = with_features(stats).where(~base_failed()).join(lab, "doc_id").select("doc_id", *FEATURES, "quality")
+    max_labelled bounds what is fitted on: the labels with the least hash of doc_id. So their list can be sent to the
+    tasks, and only texts with such a label are counted. Rows whose label is null, or that the base rules reject already,
+    teach nothing. No usable label: no rules."""
+    lab = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     share = min(1.0, 1.2 * max_labelled / max(1, lab.count()))  # of the hashes, so that few rows more than the bound are sorted
     low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    found = rows.withColumn("_h", low).where(F.col("_h") < int(share * (1 << 30))).orderBy("_h", "doc_id").limit(max_labelled).toPandas()
+    taken = written(lab.withColumn("_h", low).where(F.col("_h") < int(share * (1 << 30))).orderBy("_h", "doc_id").limit(max_labelled), "quality-labels")
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).join(F.broadcast(taken.select("doc_id")), "doc_id", "left_semi")
+    rows = with_features(document_stats(texts)).where(~base_failed()).join(F.broadcast(taken), "doc_id").select("_h", "doc_id", *FEATURES, "quality")
+    found = rows.toPandas().sort_values(["_h", "doc_id", *FEATURES], kind="stable")
     return learn({k: found[k].to_numpy(float) for k in FEATURES}, found["quality"].to_numpy() == 0, **how)
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, **how: float) -> DataFrame:
     """doc_id, the counts, base_failed, rule (which learned rule rejects, else null) and kept, a row for each row of docs."""
-    stats = written(document_stats(docs), "quality-stats")
-    rules = fit(stats, labels, max_labelled, **how)
-    out = with_features(stats).withColumns({"base_failed": base_failed(), "rule": rejected(rules)})
+    rules = fit(docs, labels, max_labelled, **how)
+    out = with_features(document_stats(docs)).withColumns({"base_failed": base_failed(), "rule": rejected(rules)})
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
@@ -213,7 +221,7 @@ def kept_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_00
 
     The statistics stand beside the whole rows, so that repeated doc_ids need no join; the decision list is the ordered
     conditional expression over them. Columns of docs are renamed on the way, so that none clashes."""
-    rules = fit(written(document_stats(docs), "quality-stats"), labels, max_labelled, **how)
+    rules = fit(docs, labels, max_labelled, **how)
     rows, own = tucked(docs)
     rows = rows.withColumn("t", F.coalesce(F.col(own["text"]).cast("string"), F.lit("")))
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + [f"{c} bigint" for c in STATS_ARROW.names[1:]]

@@ -1,12 +1,15 @@
 """WARC (operator 7): archives written by Spark tasks, and a reader that salvages what damage leaves.
 
 Archives are gzip members, one for each record, in files of the shared folder. The first record of a payload is a
-response, later ones of an equal payload are revisits that refer to it. The reader checks each member and record
-(gzip's sum, version line, length, block digest); after a failed check it looks for the next member or version line
-that is valid, goes on there, and logs the bytes between as a quarantined gap.
-
-Null html is an empty payload. Rows that share the smallest page_id of a payload are all responses; a null page_id is
-later than all others. An empty table writes no file and reads as no rows.
+response, later ones of an equal payload are revisits that refer to it. The reader takes plain archives and members of
+any number of records, and checks each of them (gzip's sum, version line, length, block digest). After a failed check it
+looks for the next valid version line or member, goes on there, and logs the bytes between as a quarantined gap, in a
+member by places in its unpacked bytes. Of a member that is cut off or damaged the records before the fault are kept,
+after damage only those whose block digest proves them. Members are unpacked piece by piece: a record and a piece are
+held, not the member. Records of over MAX_RECORD bytes count as damage; a table's cell holds no more.
+
+Null html is an empty payload; html and urls of any length up to that are written whole. Rows that share the smallest page_id of a payload are all responses; a null page_id is
+later than all others. An empty table writes no file and reads as no rows. Other columns of pages are not looked at.
 """
 
 from __future__ import annotations
@@ -18,13 +21,14 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import new_folder, put_file, schema_of, written
+from keelson.llm.common import SHARE, join_spread, new_folder, put_file, schema_of, written
 
 VERSION = b"WARC/1.1"
 VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
@@ -32,8 +36,10 @@ MAGIC = b"\x1f\x8b\x08"
 READ = 1 << 20
 #: A file is closed when it has so many bytes.
 FILE_BYTES = 32 << 20
-#: A header block of more bytes counts as damage.
-MAX_HEAD = 1 << 20
+#: A record of more bytes counts as damage.
+MAX_RECORD = 1 << 30
+#: Bytes of an archive that are unpacked at once.
+PIECE = 1 << 16
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -96,11 +102,12 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, file_bytes: int = FILE_
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html")).withColumn("_sha", F.sha1("html"))
     long_enough = F.octet_length("html") >= min_bytes
-    shared = rows.where(long_enough).groupBy("_sha").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    shared = rows.where(long_enough).groupBy("_sha").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"), F.lit(True).alias("_met")).where("_n > 1")
     # written, so that Spark knows its size and sends it around only if it is small
-    shared = written(shared.select(F.col("_sha").alias("_key"), "_first"), "warc-shared")
-    marked = rows.join(shared, (F.col("_sha") == F.col("_key")) & long_enough, "left")
-    revisit = F.col("_key").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
+    shared = written(shared, "warc-shared")
+    hot = shared.where(F.col("_n") > rows.count() / SHARE)  # a payload that many pages have is dealt to several tasks
+    marked = join_spread(rows, shared.select("_sha", "_first", "_met"), "_sha", by=["page_id", "url"], hot=hot, how="left")
+    revisit = F.col("_met").isNotNull() & long_enough & ~F.col("page_id").eqNullSafe(F.col("_first"))
     out = marked.select("page_id", "url", "html", revisit.alias("revisit"), F.when(revisit, F.col("_first")).alias("refers_to"))
     files = written(out.mapInArrow(_Write(folder, file_bytes), "file string, records bigint, bytes bigint"), "warc-files")
     return files.select(F.concat(F.lit(folder + "/"), "file").alias("path"), "records", "bytes")
@@ -108,13 +115,15 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, file_bytes: int = FILE_
 
 @dataclass
 class Found:
-    """A record, or a gap with the reason."""
+    """A record, or a gap with the reason: bytes of the archive and, in a member, of what it unpacks to (else None)."""
 
     start: int
     end: int
     fields: dict[str, str] = field(default_factory=dict)
     block: bytes = b""
     reason: str = ""
+    inside_start: int | None = None
+    inside_end: int | None = None
 
 
 class Source:
@@ -133,26 +142,75 @@ class Source:
         self.file.seek(at)
         return self.file.read(min(n, max(0, self.size - at)))
 
+    def forget(self, at: int) -> None:
+        """Bytes before a place won't be read again."""
+
     def find(self, what: re.Pattern[bytes], at: int) -> int:
-        """The first place from at on where what begins, or the size."""
-        while at < self.size:
-            window = self.read(at, READ)
-            m = what.search(window)
-            if m:
+        """The first place from at on where what begins, or the end."""
+        while window := self.read(at, READ):
+            if m := what.search(window):
                 return at + m.start()
-            if at + len(window) >= self.size:
-                break
+            if len(window) < READ:
+                return at + len(window)
             at += len(window) - 16
-        return self.size
+            self.forget(at)
+        return at
+
+
+class Member(Source):
+    """The unpacked bytes of the gzip member at a place of a source, from the first that wasn't forgotten on.
 
+    Once read to its end, `end` is where it ends in the source and `fault` what is wrong with it ('' if nothing)."""
 
-def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int, str]:
+    def __init__(self, source: Source, at: int):
+        self.source, self.at = source, at
+        self.z, self.fed, self.rest = zlib.decompressobj(31), at, b""
+        self.held, self.start, self.end, self.fault = bytearray(), 0, -1, ""
+
+    def read(self, at: int, n: int) -> bytes:
+        while self.end < 0 and len(self.held) < at + n - self.start:
+            self.more()
+        return bytes(self.held[at - self.start : at - self.start + n])
+
+    def forget(self, at: int) -> None:
+        del self.held[: max(0, at - self.start)]
+        self.start = max(self.start, at)
+
+    def more(self) -> None:
+        """Unpack another piece, of READ bytes at most."""
+        if not self.rest:
+            self.rest = self.source.read(self.fed, PIECE)
+            self.fed += len(self.rest)
+        if not self.rest:
+            self.end, self.fault = self.fed, "member is cut off"
+            return
+        before, piece = self.z.copy(), self.rest
+        try:
+            self.held += self.z.decompress(piece, READ)
+            self.rest = self.z.unconsumed_tail
+            if self.z.eof:
+                self.end = self.fed - len(self.z.unused_data)
+        except zlib.error as e:
+            self.fault = f"member is damaged: {re.sub(r'Error -?[0-9]+ while decompressing data: ', '', str(e))}"
+            for k in range(len(piece)):  # what comes before the fault
+                try:
+                    self.held += before.decompress(piece[k : k + 1])
+                except zlib.error:
+                    self.end = self.fed - len(piece) + k
+                    return
+
+
+def parse_record(source: Source, at: int) -> tuple[dict[str, str], bytes, int, str]:
     """Header fields (names lower-cased), block, the record's length, and what is wrong with it ('' if nothing)."""
+    size = 1 << 12
+    while (end := (data := source.read(at, size)).find(b"\r\n\r\n")) < 0:
+        if not VERSION_LINE.match(data):
+            return {}, b"", 0, "no version line"
+        if len(data) < size or size > MAX_RECORD:
+            return {}, b"", 0, "header has no end"
+        size *= 4
     if not VERSION_LINE.match(data):
         return {}, b"", 0, "no version line"
-    end = data.find(b"\r\n\r\n", 0, MAX_HEAD)
-    if end < 0:
-        return {}, b"", 0, "header has no end"
     fields = {}
     for line in data[:end].split(b"\r\n")[1:]:
         name, sep, value = line.partition(b":")
@@ -162,29 +220,42 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int, str]:
     if not re.fullmatch(r"[0-9]{1,15}", fields.get("content-length", "")):
         return {}, b"", 0, "no content length"
     length = int(fields["content-length"])
-    block = data[end + 4 : end + 4 + length]
-    whole = end + 4 + length + 4
-    if len(block) < length or data[whole - 4 : whole] != b"\r\n\r\n":
+    if length > MAX_RECORD:
+        return {}, b"", 0, "record is too long"
+    body = data[end + 4 :] if len(data) >= end + 8 + length else source.read(at + end + 4, length + 4)
+    block, after = body[:length], body[length : length + 4]
+    if len(block) < length or after != b"\r\n\r\n":
         return {}, b"", 0, "record is cut off"
     want = fields.get("warc-block-digest", "")
     if want.startswith("sha1:") and want[5:] != digest(block):
         return {}, b"", 0, "block digest differs"
-    return fields, block, whole, ""
+    return fields, block, end + 8 + length, ""
 
 
-def unpacked(source: Source, at: int) -> tuple[bytes, int, str]:
-    """The member at a place: its bytes, where it ends, what is wrong."""
-    z, out, place = zlib.decompressobj(31), [], at
-    try:
-        while not z.eof:
-            piece = source.read(place, READ if place > at else 1 << 16)
-            if not piece:
-                return b"", at, "member is cut off"
-            place += len(piece)
-            out.append(z.decompress(piece))
-    except zlib.error as e:
-        return b"", at, f"member is damaged: {re.sub(r'Error -?[0-9]+ while decompressing data: ', '', str(e))}"
-    return b"".join(out), place - len(z.unused_data), ""
+def unpacked_records(m: Member, start: int, end: int, fault: str) -> Iterator[Found]:
+    """Records and gaps of the member from start to end, in order. What follows a fault is a gap without an end inside."""
+    at, gap, why = 0, -1, ""
+    damaged = fault.startswith("member is damaged")
+    while m.read(at, 1):
+        fields, block, length, bad = parse_record(m, at)
+        if not bad and damaged and not fields.get("warc-block-digest", "").startswith("sha1:"):
+            bad = "no digest proves the record of a damaged member"
+        if bad:
+            if gap < 0:
+                gap, why = at, bad
+            at = m.find(VERSION_LINE, at + 1)
+            m.forget(at)
+            continue
+        if gap >= 0:
+            yield Found(start, end, reason=why, inside_start=gap, inside_end=at)
+            gap = -1
+        yield Found(start, end, fields, block, inside_start=at, inside_end=at + length)
+        at += length
+        m.forget(at)
+    if fault:
+        yield Found(start, end, reason=fault, inside_start=gap if gap >= 0 else at)
+    elif gap >= 0 or not at:
+        yield Found(start, end, reason=why or "empty member", inside_start=max(gap, 0), inside_end=at)
 
 
 def salvage(source: Source) -> Iterator[Found]:
@@ -192,35 +263,32 @@ def salvage(source: Source) -> Iterator[Found]:
     at, gap, why = 0, -1, ""
     mark = re.compile(re.escape(MAGIC) + rb"|WARC/1\.[01]\r\n")
     while at < source.size:
-        found: list[Found] = []
-        head = source.read(at, 16)
+        head, found = source.read(at, 16), iter(())
+        bad, end = "no member or version line", -1
         if head.startswith(MAGIC):
-            data, end, bad = unpacked(source, at)
-            place = 0
-            while not bad and place < len(data):  # a member may hold several records
-                fields, block, length, bad = parse_record(data[place:] if place else data)
-                if not bad:
-                    found.append(Found(at, end, fields, block))
-                    place += length
-            if bad and end > at:
-                # the member is whole: what it holds is quarantined, and the next member follows
-                if gap >= 0:
-                    yield Found(gap, at, reason=why)
-                    gap = -1
-                yield from found
-                yield Found(at, end, reason=bad)
-                at = end
-                continue
+            m = Member(source, at)
+            m.read(0, READ)
+            whole = m
+            if m.end < 0:  # a long one is unpacked twice, so that its end and its fault are known before its records
+                whole = Member(source, at)
+                while whole.end < 0:
+                    whole.more()
+                    whole.forget(whole.start + len(whole.held))
+            # what follows a fault may begin before the place where the fault showed
+            bad, end = whole.fault, source.find(mark, at + 1) if whole.fault else whole.end
+            found = unpacked_records(m, at, end, bad)
+            if bad:
+                first = [x for x in (next(found), next(found, None)) if x]  # the gap before a record, if any, and the record
+                if any(not x.reason for x in first):
+                    found, bad = chain(first, found), ""
         elif VERSION_LINE.match(head):
-            fields, block, length, bad = parse_plain(source, at)
-            end = at + length
+            fields, block, length, bad = parse_record(source, at)
             if not bad:
-                found.append(Found(at, end, fields, block))
-        else:
-            bad, end = "no member or version line", at
-        if bad or not found:
+                end = at + length
+                found = iter([Found(at, end, fields, block)])
+        if bad:  # bytes that only look like a member, or one of which nothing is left
             if gap < 0:
-                gap, why = at, bad or "empty member"
+                gap, why = at, bad
             at = source.find(mark, at + 1)
             continue
         if gap >= 0:
@@ -232,22 +300,7 @@ def salvage(source: Source) -> Iterator[Found]:
         yield Found(gap, source.size, reason=why)
 
 
-def parse_plain(source: Source, at: int) -> tuple[dict[str, str], bytes, int, str]:
-    """parse_record of a place in a plain archive, reading as much as the header says."""
-    data = source.read(at, 1 << 16)
-    end = data.find(b"\r\n\r\n")
-    if end < 0:
-        data = source.read(at, MAX_HEAD)
-        end = data.find(b"\r\n\r\n")
-    m = re.search(rb"(?i)\r\ncontent-length:[ \t]*([0-9]{1,15})[ \t]*\r\n", data[: end + 2]) if end >= 0 else None
-    if m and (need := end + 8 + int(m[1])) > len(data):
-        if at + need > source.size:
-            return {}, b"", 0, "record is cut off"
-        data = source.read(at, need)
-    return parse_record(data)
-
-
-READ_SPARK, READ_ARROW = schema_of(path="string", start="long", end="long", reason="string", record_type="string", record_id="string", target_uri="string", refers_to="string", payload_digest="string", payload_bytes="long", payload="binary")
+READ_SPARK, READ_ARROW = schema_of(path="string", start="long", end="long", inside_start="long", inside_end="long", reason="string", record_type="string", record_id="string", target_uri="string", refers_to="string", payload_digest="string", payload_bytes="long", payload="binary")
 
 
 class _Read:
@@ -259,7 +312,7 @@ class _Read:
             for path in batch.column(0).to_pylist():
                 rows, held = [], 0
                 for x in salvage(Source(path=path)):
-                    row = {"path": path, "start": x.start, "end": x.end, "reason": x.reason or None}
+                    row = {"path": path, "start": x.start, "end": x.end, "inside_start": x.inside_start, "inside_end": x.inside_end, "reason": x.reason or None}
                     if not x.reason:
                         body = x.block.partition(b"\r\n\r\n")[2] if x.fields.get("content-type", "").startswith("application/http") else x.block
                         kind = x.fields.get("warc-type")
@@ -277,7 +330,8 @@ class _Read:
 
 
 def read_archives(paths: DataFrame, payloads: bool = True) -> DataFrame:
-    """A row for each record and each quarantined gap (reason) of the archives named in paths (path)."""
+    """A row for each record and each quarantined gap (reason) of the archives named in paths (path): start and end are
+    bytes of the archive, inside_start and inside_end bytes of the unpacked member in them (null in plain archives)."""
     spark = paths.sparkSession
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return paths.select("path").repartition(n).mapInArrow(_Read(payloads), READ_SPARK)

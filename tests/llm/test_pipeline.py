@@ -1,7 +1,7 @@
 from collections import Counter
 
 import corpus_pipeline
-from keelson.llm import quality
+from keelson.llm import mixing, quality
 from tests.llm import cases
 from tests.llm.test_linededup import brute as lines_brute
 from tests.llm.test_neardup import brute as near_brute
@@ -33,8 +33,12 @@ def test_stages_against_brute_force(spark):
     assert sorted(r[0] for r in seen[2]) == sorted(i for i, n, c in near_brute(seen[1], 5, 80) if i == c)
     assert Counter(seen[3]) == Counter(seen[2])
     assert sorted(r[0] for r in seen[4]) == sorted(r[0] for r in seen[3])
-    ran = corpus_pipeline.run(spark, SF)
-    assert sorted(tuple(r) for r in ran.collect()) == sorted(seen[4])
+    ran = [tuple(r) for r in corpus_pipeline.run(spark, SF).collect()]
+    in_order = lambda rows: [(r[0], *r[3:]) for r in sorted(rows, key=lambda r: r[1:3])]
+    assert in_order(ran) == in_order(seen[4])
+    # the rows' places are those of the mixture
+    third = spark.createDataFrame(seen[2], cases.SCHEMA)
+    assert [r[0] for r in in_order(ran)] == [r["doc_id"] for r in mixing.mix(third).orderBy("position").collect()]
 
 
 def test_odd_tables(spark):

@@ -42,6 +42,75 @@ def test_salvage_after_each_kind_of_damage():
         assert ids(found) == ["<urn:page:0>", "<urn:page:2>", "<urn:page:3>"]
 
 
+def places(found):
+    """Gaps inside a member."""
+    return [(x.inside_start, x.inside_end) for x in found if x.reason and x.inside_start is not None]
+
+
+def test_salvage_inside_members():
+    plain = [record(i, b"text %d " % i * 40) for i in range(5)]
+    at = [sum(map(len, plain[:k])) for k in range(6)]
+    for hurt in (plain[1].replace(b"text", b"TEXT"), plain[1].replace(b"WARC/1.1", b"WARX/1.1"), plain[1][:200] + plain[1][230:]):
+        records = [plain[0], hurt, *plain[2:]]
+        found = list(warc.salvage(warc.Source(warc.member(b"".join(records)) + warc.member(record(9)))))
+        assert ids(found) == [f"<urn:page:{i}>" for i in (0, 2, 3, 4, 9)]
+        assert places(found) == [(at[1], at[1] + len(hurt))]
+        inside = [(x.inside_start, x.inside_end) for x in found[:-1]]
+        assert inside[0][0] == 0 and all(a[1] == b[0] for a, b in zip(inside, inside[1:]))
+        bare = list(warc.salvage(warc.Source(b"".join(records))))
+        assert ids(bare) == ids(found)[:-1]
+
+
+def test_salvage_of_members_that_are_cut_off_or_damaged():
+    r = random.Random(5)
+    plain = [record(i, bytes(r.choices(range(256), k=400))) for i in range(50)]
+    packed = warc.member(b"".join(plain))
+    last = warc.member(record(99))
+    for data in (packed[: len(packed) * 9 // 10], packed[: len(packed) * 9 // 10] + last, packed[:-4]):
+        found = list(warc.salvage(warc.Source(data)))
+        got = ids(found)
+        n = len(got) - data.endswith(last)
+        assert n >= 43 and got[:n] == [f"<urn:page:{i}>" for i in range(n)] and (got[-1] == "<urn:page:99>") == data.endswith(last)
+        lost = [x for x in found if x.reason]
+        assert lost[0].inside_start == sum(map(len, plain[:n])) and lost[0].inside_end is None
+        assert found[0].start == 0 and found[-1].end == len(data)
+    hurt = bytearray(packed)
+    hurt[len(hurt) // 2] ^= 255
+    found = list(warc.salvage(warc.Source(bytes(hurt) + last)))
+    assert 20 <= len(ids(found)) < 51 and ids(found)[-1] == "<urn:page:99>"
+    assert all(x.block == b"" or x.reason or x.block in b"".join(plain) + record(99) for x in found)
+    bare = [x.replace(b"WARC-Block-Digest", b"X-Block-Digest") for x in plain]
+    hurt = bytearray(warc.member(b"".join(bare)))
+    hurt[-5] ^= 1  # the sum alone: nothing proves the records
+    assert ids(warc.salvage(warc.Source(bytes(hurt)))) == []
+
+
+def test_long_members_are_unpacked_piece_by_piece(monkeypatch):
+    most = 0
+    more = warc.Member.more
+
+    def watched(self):
+        nonlocal most
+        more(self)
+        most = max(most, len(self.held))
+
+    monkeypatch.setattr(warc.Member, "more", watched)
+    data = warc.member(b"".join([record(0), b"\0" * (64 << 20), record(1)]))
+    found = list(warc.salvage(warc.Source(data)))
+    assert ids(found) == ["<urn:page:0>", "<urn:page:1>"] and len(places(found)) == 1 and most < 8 << 20
+    many = [record(i, b"y" * 5000) for i in range(1000)]
+    assert len(ids(warc.salvage(warc.Source(warc.member(b"".join(many)))))) == 1000
+    monkeypatch.setattr(warc, "MAX_RECORD", 1000)
+    assert ids(warc.salvage(warc.Source(warc.member(many[0]) + warc.member(record(1))))) == ["<urn:page:1>"]
+
+
+def test_headers_of_any_length():
+    url = "http://example.org/" + "é%" * 900_000
+    data = warc.record_bytes(1, url, b"x", None, False, warc.digest(b"x"))
+    for archive in (data, warc.member(data)):
+        assert ids(warc.salvage(warc.Source(archive + record(2)))) == ["<urn:page:1>", "<urn:page:2>"]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.integers(0, 10**6), st.integers(1, 400))
 def test_bytes_are_all_accounted_for(seed, n):
