@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.llm import bpe, linededup, mixing, neardup, quality
-from keelson.llm.common import parallel, table, written
+from keelson.llm.common import in_files, parallel, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,17 +24,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies (five words, similarity 0.8): the one with the least doc_id.
-    Rows without a doc_id can't be named and stay."""
-    verdicts = neardup.near_duplicates(parallel(docs), width=5, percent=80)
-    each = verdicts.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count_if("kept").alias("n"))
-    each = written(each, "near-kept")
-    gone, twice = each.agg(F.count_if(~F.col("kept")), F.count_if(F.col("n") > 1)).first()
-    left = docs.join(neardup.sent(each.where("not kept").select("doc_id"), gone), "doc_id", "left_anti")
-    if twice:  # whole rows that repeat: one stays
-        named = left.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
-        left = named.unionByName(left.where("doc_id is null"))
-    return left.select(docs.columns)
+    """Keep one document of each group of near copies (five words, similarity 0.8): the one with the least doc_id, of whole
+    rows that repeat the first. Rows are dropped where they stand, so texts aren't shuffled."""
+    return neardup.drop_near_duplicates(parallel(docs), width=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +35,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, digests of the ids and of the bytes that they decode to, and how many bytes these are."""
+    """doc_id, part and row (where the document stands in the order of the mixture: the number of its file, and its row
+    there), n_tokens, digests of the ids and of the bytes that they decode to, and how many bytes these are."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.bpe_round_trip(docs, ranks, public_tokenizers.PATTERN)
+    docs = in_files(docs)
+    at = docs.metadataColumn("_metadata")
+    part = F.regexp_extract(at["file_name"], "part-([0-9]+)", 1).try_cast("int")
+    placed = docs.select("doc_id", "text", part.alias("part"), at["row_index"].alias("row"))
+    return bpe.bpe_round_trip(placed, ranks, public_tokenizers.PATTERN, beside=("part", "row"))
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("MinHash near-dedup", near_dedup), ("mixing sources to target weights", mix_sources), ("byte-level BPE encoding and decoding", bpe_tokens)]
