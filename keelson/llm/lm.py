@@ -40,13 +40,15 @@ from keelson.llm.common import get_file, new_folder, put_file, schema_of, text_o
 #: The end of a document in tables of words; no word is empty.
 END = b""
 #: Words whose counts are sent to the executors; others are joined.
-HEAD_WORDS = 100_000
-VOCABULARY, GROUPS, CLASSES, HIDDEN = 1024, 32, 24, 24
+HEAD_WORDS = 300_000
+VOCABULARY, GROUPS, CLASSES, HIDDEN = 1024, 32, 24, 16
 LANES, TRAIN_STEPS, SCORE_STEPS = 256, 16, 16
 #: Tokens that a task trains on or scores at once.
 CHUNK_TOKENS = 3_000_000
 #: A shard has about so many training tokens, but there are at most MOST_SHARDS; each is dealt to so many rounds.
 SHARD_TOKENS, MOST_SHARDS, ROUNDS = 1_000_000, 16_384, 4
+#: In learning, longer documents are read in pieces of so many tokens, in lanes of their own; scores read them whole.
+LEARN_TOKENS = 512
 #: Multiplications of one matrix product: for larger ones the BLAS starts threads, whose waiting takes other tasks' cores.
 PRODUCT = 200_000
 #: Distinct words that a task counts before it passes them on.
@@ -251,8 +253,10 @@ class Net:
 
     def read(self, docs: list[np.ndarray], end: int, lanes: int, steps: int, rate: float | None = None) -> np.ndarray:
         """Natural log-probability of each document (its tokens without the end), learning on the way if rate is set."""
-        lengths = np.array([len(d) + 1 for d in docs], np.int64)
-        heap = [(0, k, []) for k in range(max(1, min(lanes, len(docs))))]
+        most = LEARN_TOKENS if rate is not None else 1 << 62
+        pieces = [(i, a, min(len(d) + 1, a + most)) for i, d in enumerate(docs) for a in range(0, len(d) + 1, most)]
+        lengths = np.array([b - a for _, a, b in pieces], np.int64)
+        heap = [(0, k, []) for k in range(max(1, min(lanes, len(pieces))))]
         for i in np.argsort(-lengths, kind="stable").tolist():
             size, k, own = heapq.heappop(heap)
             own.append(i)
@@ -264,11 +268,14 @@ class Net:
         total = int(lengths.sum())
         token, target, doc, fresh = np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total, np.int32), np.zeros(total, bool)
         fresh[starts] = True
-        for i, s in zip(order, starts.tolist()):
-            d, e = docs[i], s + len(docs[i])
-            token[s], token[s + 1 : e + 1] = end, d
-            target[s:e], target[e] = d, end
-            doc[s : e + 1] = i
+        for k, s in zip(order, starts.tolist()):
+            i, a, b = pieces[k]
+            d, e = docs[i], s + b - a
+            # reads the end and then the words; is to tell the words and then the end
+            token[s], token[s + 1 : e] = d[a - 1] if a else end, d[a : b - 1]
+            part = d[a:b]
+            target[s : s + len(part)], target[s + len(part) : e] = part, end
+            doc[s:e] = i
         offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         h, out = np.zeros((len(heap), self.h), np.float32), np.zeros(len(docs))
         for at in range(0, int(sizes[0]), steps):

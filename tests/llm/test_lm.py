@@ -65,6 +65,22 @@ def test_state_crosses_windows_and_stops_at_documents():
         assert np.allclose(net.read(docs, 0, lanes, steps), alone, rtol=1e-4)
 
 
+def test_pieces_in_learning_cover_every_token(monkeypatch):
+    docs = [np.random.default_rng(i).integers(0, 40, n) for i, n in enumerate((0, 7, 15, 16, 17, 130))]
+    monkeypatch.setattr(lm, "LEARN_TOKENS", 16)
+    net = small_net()
+    pieces = net.read(docs, 0, 4, 8, 0.0)  # no step is taken, but documents are cut
+    whole = []
+    for d in docs:
+        seen, to_tell, total = [0, *d], [*d, 0], 0.0
+        for a in range(0, len(seen), 16):
+            ids = np.array(seen[a : a + 16])[:, None]
+            hs, _, _ = net.steps(ids, np.zeros(ids.shape, bool), np.zeros((1, 6), np.float32), False)
+            total += net.output(hs[:, 0], np.array(to_tell[a : a + 16]), False)[0].sum()
+        whole.append(total)
+    assert np.allclose(pieces, whole, rtol=1e-4)
+
+
 def tokens(text):
     return [*re.findall("[^ \t-\r]+", (text or "").translate({c: c + 32 for c in range(65, 91)})), ""]
 
