@@ -1,8 +1,13 @@
 """Personal data (operator 3): base patterns, and offset-preserving deobfuscation that adds disguised identifiers.
 
-Offsets are code points of the source text, end exclusive. Null text counts as empty. Texts are read whole; every
-matcher is linear in the text. A span that the method adds is always more than what the base patterns see: it covers a
-homoglyph, a spelled digit or an at/dot disguise. Rows that repeat are each judged.
+Three finite-state transducers rewrite a text one after the other: homoglyphs to ASCII characters, spelled digits to
+digits, at/dot disguises to @ and dots. Each output character keeps the span of the source that it stands for, so that
+identifiers found in the result map back. A span that the method adds is always more than what the base patterns see: it
+covers a homoglyph, a spelled digit or an at/dot disguise.
+
+Offsets are code points of the source text, end exclusive. Null text counts as empty. Texts and names of any length are
+read whole; every matcher is linear in the text. Rows that repeat are each judged; a null doc_id is kept as it is. An
+empty table gives an empty result. Other columns of docs are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -114,39 +119,139 @@ MAYBE_GLYPH = re.compile("[\xa0\xad\xb2\xb3\xb9\u0100-\U0010ffff]")
 DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 TIMES = {"double": 2, "triple": 3}
 WORD = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
-TIMED = r"(?:(?:double|triple)[ -]+)?"
-ITEM, APART = rf"{TIMED}(?:{WORD}|[0-9])", r"(?:[ ,.()-]{0,3}|[ ]+dot[ ]+)"
-NUMBER = rf"{ITEM}(?:[ -]?{ITEM}){{0,2}}"
-#: Seven or more digits, of which some are spelled, in a row; or four numbers of up to three parted by dots.
-SPELLED = re.compile(rf"(?<![A-Za-z])(?:(?:plus[ ,-]+)?{ITEM}(?:{APART}{ITEM}){{6,}}|{NUMBER}(?:(?:[ ]+dot[ ]+|\.){NUMBER}){{3}})(?![A-Za-z])", re.I)
-SPELLED_PART = re.compile(rf"(plus)|(dot|[.])|(?:(double|triple)[ -]+)?(?:({WORD})|([0-9]))", re.I)
+TIMED, APART = r"(?:(?:double|triple)[ -]+)?", r"(?:[ ,.()-]{0,3}|[ ]+dot[ ]+)"
 LABEL = r"[A-Za-z0-9-]+"
 OPEN, SHUT = r"[ ]?[\[({<][ ]?", r"[ ]?[\])}>][ ]?"
 AT_MARK = rf"(?:{OPEN}(?:at|@){SHUT})"
 DOT_MARK = rf"(?:{OPEN}(?:dot|point|\.){SHUT})"
 AT_BARE, DOT_BARE = r"(?:[ ]+at[ ]+|[ ]*_at_[ ]*|[ ]+@[ ]+)", r"(?:[ ]+dot[ ]+|[ ]*_dot_[ ]*)"
-#: An address whose @ is in brackets, or whose @ and at least one dot are spelled; or with a plain @ and such a dot.
-DISGUISED = re.compile(
-    rf"(?<=[A-Za-z0-9._%+-])(?:{AT_MARK}{LABEL}(?:(?:\.|{DOT_MARK}|{DOT_BARE}){LABEL})+"
-    rf"|{AT_BARE}{LABEL}(?:\.{LABEL})+(?!{DOT_MARK}|{DOT_BARE})"
-    rf"|(?:@|{AT_BARE}){LABEL}(?:\.{LABEL})*(?:{DOT_MARK}|{DOT_BARE}){LABEL}(?:(?:\.|{DOT_MARK}|{DOT_BARE}){LABEL})*)", re.I)
-#: A dot disguised between the parts of the name before a disguised @, or between numbers of an address.
-NAME_DOT = re.compile(rf"(?<=[A-Za-z0-9])(?:{DOT_MARK})(?=[A-Za-z0-9])|(?<=[0-9])(?:{DOT_BARE})(?=[0-9])", re.I)
 #: Common top-level names; words alone ("at", "dot") make an address only before one of these.
 TOP_LEVEL = frozenset("com net org edu gov mil int info biz io co ai app dev me tv us uk eu de fr es it nl be at ch se no dk fi pl pt ru ua cn jp kr in br mx ar ca au nz za".split())
-BRACKETED_AT = re.compile(AT_MARK, re.I)
-NAME_BEFORE = re.compile(rf"[A-Za-z0-9_%+-]+(?:(?:\.|{DOT_BARE}|{DOT_MARK})[A-Za-z0-9_%+-]+)+\Z", re.I)
-MARKS_IN = re.compile(rf"({AT_MARK}|{AT_BARE})|({DOT_MARK}|{DOT_BARE})", re.I)
-
-
-MARKS_DOT = re.compile(rf"{DOT_MARK}|{DOT_BARE}", re.I)
-NAME_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 
-
-def name_like(text: str, at: int) -> bool:
-    """Whether the word before a place has a letter, and a digit, dot or underscore inside: more a mailbox than prose."""
-    m = NAME_END.search(text, max(0, at - 80), at)
-    word = m[0].strip("._-") if m else ""
+#: (from, to, c): the character c stands for the characters from to to.
+Piece = tuple[int, int, str]
+
+
+class Transducer:
+    """A finite-state transducer with delayed output. Its input symbols are the named groups of a pattern; moves has the
+    next state by (state, symbol). It reads as long as it can move and gives what it wrote up to the last place where it
+    was in a final state and `ends` allowed an end; None if there is no such place."""
+
+    def __init__(self, symbols: str, moves: dict, final: set, write, ends=lambda text, at: True):
+        self.symbols, self.moves, self.final, self.write, self.ends = re.compile(symbols, re.I), moves, final, write, ends
+
+    def read(self, text: str, at: int) -> tuple[int, list[Piece], object] | None:
+        """Where the last such place is, what was written until there, and the state."""
+        state, out, last = "start", [], None
+        while m := self.symbols.match(text, at):
+            state = self.moves.get((state, m.lastgroup))
+            if state is None:
+                break
+            out += self.write(m)
+            at = m.end()
+            if state in self.final and self.ends(text, at):
+                last = at, len(out), state
+        return last and (last[0], out[: last[1]], last[2])
+
+
+def no_letter(text: str, at: int) -> bool:
+    return not (at < len(text) and text[at].isascii() and text[at].isalpha())
+
+
+def write_digit(m: re.Match) -> list[Piece]:
+    kind = m.lastgroup
+    if kind == "item":
+        return [(m.start(), m.end(), DIGITS[folded(m["word"])] if m["word"] else m["digit"])] * TIMES.get(folded(m["times"] or ""), 1)
+    return [(m.start(), m.end(), "+" if kind == "plus" else ".")] if kind in ("plus", "dot", "point") else []
+
+
+def digit_transducers() -> tuple[Transducer, Transducer]:
+    """Seven or more digits, some spelled, with up to three signs or a spelled dot between; or four numbers of up to three
+    digits parted by dots. Symbols that part digits are not written."""
+    symbols = rf"(?P<plus>plus[ ,-]+)|(?P<item>(?:(?P<times>double|triple)[ -]+)?(?:(?P<word>{WORD})|(?P<digit>[0-9])))|(?P<dot>[ ]+dot[ ]+)|(?P<point>[.])|(?P<near>[ -])|(?P<sign>[,()])"
+    row = {("start", "plus"): "plus", ("start", "item"): (1, 0), ("plus", "item"): (1, 0)}
+    for n in range(1, 8):
+        row[(n, 0), "dot"] = (n, "dot")
+        for apart in (0, 1, 2, 3, "dot"):
+            row[(n, apart), "item"] = (min(n + 1, 7), 0)
+            row |= {((n, apart), c): (n, apart + 1) for c in ("point", "near", "sign") if apart in (0, 1, 2)}
+    dotted = {("start", "item"): (1, 1, 0)}
+    for n in range(1, 5):
+        dotted |= {((n, 0, 0), "item"): (n, 1, 0)}
+        for d in range(1, 4):
+            dotted |= {((n, d, apart), "item"): (n, d + 1, 0) for apart in (0, 1) if d < 3}
+            dotted[(n, d, 0), "near"] = (n, d, 1)
+            dotted |= {((n, d, 0), c): (n + 1, 0, 0) for c in ("dot", "point") if n < 4}
+    return Transducer(symbols, row, {(7, 0)}, write_digit, no_letter), Transducer(symbols, dotted, {(4, d, 0) for d in (1, 2, 3)}, write_digit, no_letter)
+
+
+def write_mark(m: re.Match) -> list[Piece]:
+    kind = m.lastgroup
+    return [(m.start(), m.end(), "@" if kind in ("mark", "bare") else ".")] if kind in ("mark", "bare", "hidden") else []
+
+
+def mark_transducer() -> Transducer:
+    """From the @ of an address on. The @ is in brackets; or words or blanks alone mark it, or it is plain, and then words
+    alone make an address by a disguised dot or by what stands around them. Labels and plain dots are not rewritten."""
+    symbols = rf"(?P<mark>{AT_MARK})|(?P<bare>{AT_BARE})|(?P<hidden>{DOT_MARK}|{DOT_BARE})|(?P<label>{LABEL})|(?P<dot>[.])|(?P<plain>@)"
+    moves = {("start", "mark"): "mark", ("start", "bare"): "bare", ("start", "plain"): "plain", ("hidden.", "label"): "hidden"}
+    for kind in ("mark", "bare", "plain"):
+        moves |= {(kind, "label"): f"{kind}1", (f"{kind}1", "dot"): f"{kind}.", (f"{kind}.", "label"): f"{kind}2", (f"{kind}2", "dot"): f"{kind}."}
+    for state in ("mark1", "mark2", "bare1", "bare2", "plain1", "plain2", "hidden"):
+        moves[state, "hidden"] = "hidden."
+    moves["hidden", "dot"] = "hidden."
+    return Transducer(symbols, moves, {"mark2", "bare2", "hidden"}, write_mark)
+
+
+LONG_RUN, DOTTED_RUN = digit_transducers()
+MARKED = mark_transducer()
+#: Where the transducers may start.
+DIGIT_START = re.compile(rf"(?<![A-Za-z])(?:plus|double|triple|{WORD}|[0-9])", re.I)
+AT_START = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?:(?P<mark>{AT_MARK})|{AT_BARE}|@)", re.I)
+#: A dot disguised in brackets, or by a word between numbers.
+NAME_DOT = re.compile(rf"(?<=[A-Za-z0-9])(?:{DOT_MARK})(?=[A-Za-z0-9])|(?<=[0-9])(?:{DOT_BARE})(?=[0-9])", re.I)
+NAME = LOCAL - {"."}
+DOT_AT_END = re.compile(rf"(?:{DOT_MARK})\Z", re.I)
+#: No DOT_MARK is longer.
+LONGEST_MARK = len(" ( point ) ")
+
+
+def dot_before(text: str, at: int) -> int:
+    """Where the disguised dot that ends at a place starts; -1 if none ends there."""
+    if m := DOT_AT_END.search(text, max(0, at - LONGEST_MARK), at):
+        return m.start()
+    word = len(text[:at].rstrip(" ")) if text[at - 1 : at] == " " else at
+    low = folded(text[max(0, word - 5) : word])
+    size = 5 if low == "_dot_" else 3 if low.endswith("dot") and word < at and text[word - 4 : word - 3] == " " else 0
+    if not size:
+        return -1
+    start = word - size
+    while start and text[start - 1] == " ":
+        start -= 1
+    return start
+
+
+def name_before(text: str, at: int) -> tuple[str, list[Piece]]:
+    """The name that ends at a place: its last run of plain characters, and the disguised dots between its parts."""
+    end, dots, last = at, [], None
+    while True:
+        start = end
+        while start and text[start - 1] in LOCAL:
+            start -= 1
+        if last is None:
+            last = text[start:end]
+        if start == end:  # a dot with no name before it is none of the name's
+            return last, dots[1:]
+        mark = dot_before(text, start)
+        if mark < 0:
+            return last, dots
+        dots.insert(0, (mark, start, "."))
+        end = mark
+
+
+def name_like(word: str) -> bool:
+    """Whether a word has a letter, and a digit, dot or underscore inside: more a mailbox than prose."""
+    word = word.strip("._-")
     return any(c.isalpha() for c in word) and any(c in "._" or c.isdigit() for c in word)
 
 
@@ -156,19 +261,21 @@ class Mapped:
     def __init__(self, text: str):
         self.text, self.start, self.end = text, list(range(len(text))), list(range(1, len(text) + 1))
 
-    def replace(self, edits: list[tuple[int, int, list[tuple[int, int, str]]]]) -> None:
-        """edits: (from, to, pieces) in order; a piece (a, b, c) puts the character c for the characters a to b."""
-        if not edits:
+    def rewrite(self, pieces: list[Piece], runs: list[tuple[int, int]]) -> None:
+        """Put pieces for the runs (from, to) of characters that they are from; both in order."""
+        if not runs:
             return
-        text, start, end, at = [], [], [], 0
-        for a, b, pieces in edits:
+        text, start, end, at, k = [], [], [], 0, 0
+        for a, b in runs:
             text.append(self.text[at:a])
             start += self.start[at:a]
             end += self.end[at:a]
-            for x, y, c in pieces:
+            while k < len(pieces) and pieces[k][0] < b:
+                x, y, c = pieces[k]
                 text.append(c)
                 start.append(self.start[x])
                 end.append(self.end[y - 1])
+                k += 1
             at = b
         text.append(self.text[at:])
         self.text, self.start, self.end = "".join(text), start + self.start[at:], end + self.end[at:]
@@ -178,8 +285,10 @@ def has_glyph(text: str) -> bool:
     return not text.isascii() and MAYBE_GLYPH.search(text) is not None and not GLYPHS.keys().isdisjoint(text)
 
 
-def glyph_edits(text: str) -> list:
-    return [(i, i + 1, [(i, i + 1, GLYPHS[c])] if GLYPHS[c] else []) for i, c in enumerate(text) if c in GLYPHS]
+def glyphs(text: str) -> tuple[list[Piece], list[tuple[int, int]]]:
+    """The one-state transducer of the table GLYPHS, a character at a time."""
+    runs = [(i, i + 1) for i, c in enumerate(text) if c in GLYPHS]
+    return [(a, b, GLYPHS[text[a]]) for a, b in runs if GLYPHS[text[a]]], runs
 
 
 #: What re.I takes for i and s besides what lower() makes of them; lower() would make two characters of the first.
@@ -191,55 +300,61 @@ def folded(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(ALSO).lower()
 
 
-def digit_edits(text: str) -> list:
-    out = []
-    for m in SPELLED.finditer(text):
-        if not re.search(WORD, m[0], re.I):
+def spelled(text: str) -> tuple[list[Piece], list[tuple[int, int]]]:
+    out, runs, least = [], [], 0
+    for m in DIGIT_START.finditer(text):
+        at = m.start()
+        if at < least:
             continue
-        pieces = []
-        for p in SPELLED_PART.finditer(text, m.start(), m.end()):
-            if p[1] or p[2]:
-                pieces.append((p.start(), p.end(), "+" if p[1] else "."))
-            else:
-                pieces += [(p.start(), p.end(), DIGITS[folded(p[4])] if p[4] else p[5])] * TIMES.get(folded(p[3] or ""), 1)
-        if m.start() and text[m.start() - 1] == "+":  # a phone number needs a character after its first digit
-            first = pieces[1] if len(pieces) > 1 else pieces[0]
-            pieces = [pieces[0], (pieces[0][0], pieces[0][1], "-"), first, *pieces[2:]] if len(pieces) > 1 else pieces
-        out.append((m.start(), m.end(), pieces))
-    return out
+        read = max((r for r in (LONG_RUN.read(text, at), DOTTED_RUN.read(text, at)) if r), key=lambda r: r[0], default=None)
+        if read is None:
+            continue
+        least, pieces, _ = read
+        if all(text[b - 1] in "0123456789" for _, b, c in pieces if c in "0123456789"):  # none is spelled
+            continue
+        if at and text[at - 1] == "+" and len(pieces) > 1:  # a phone number needs a character after its first digit
+            pieces.insert(1, (*pieces[0][:2], "-"))
+        out += pieces
+        runs.append((at, least))
+    return out, runs
 
 
-def address_edits(text: str) -> list:
-    out = []
-    for m in DISGUISED.finditer(text):
-        if not BRACKETED_AT.match(m[0]) and re.split(r"[^A-Za-z0-9-]+", m[0])[-1].lower() not in TOP_LEVEL:
+#: What stands in every match of AT_START and of NAME_DOT.
+AT_SIGN = re.compile(r"[ \[({<_]at[ \])}>_]|@", re.I)
+DOT_SIGN = re.compile(r"[ \[({<_](?:dot|point|\.)[ \])}>_]", re.I)
+
+
+def marked(text: str) -> tuple[list[Piece], list[tuple[int, int]]]:
+    out, least = [], 0
+    for m in AT_START.finditer(text) if AT_SIGN.search(text) else ():
+        if m.start() < least or (read := MARKED.read(text, m.start())) is None:
+            continue
+        end, pieces, state = read
+        name, dots = name_before(text, m.start())
+        if not m["mark"] and re.split(r"[^A-Za-z0-9-]+", text[m.start() : end])[-1].lower() not in TOP_LEVEL:
             continue
-        if not MARKS_DOT.search(m[0]) and not BRACKETED_AT.match(m[0]) and "@" not in m[0] and not name_like(text, m.start()):
+        if state == "bare2" and "@" not in m[0] and not name_like(name):
             continue
-        name = NAME_BEFORE.search(text, max(0, m.start() - 100), m.start())
-        out += [(p.start(), p.end(), [(p.start(), p.end(), ".")]) for p in MARKS_IN.finditer(text, name.start(), m.start()) if p[2]] if name else []
-        for p in MARKS_IN.finditer(text, m.start(), m.end()):
-            out.append((p.start(), p.end(), [(p.start(), p.end(), "@" if p[1] else ".")]))
+        out += [d for d in dots if d[0] >= least] + pieces
+        least = end
     taken = {a for a, _, _ in out}
-    out += [(m.start(), m.end(), [(m.start(), m.end(), ".")]) for m in NAME_DOT.finditer(text) if m.start() not in taken]
+    out += [(m.start(), m.end(), ".") for m in NAME_DOT.finditer(text) if m.start() not in taken] if DOT_SIGN.search(text) else []
     out.sort()
     clear, last = [], 0
-    for e in out:
-        if e[0] >= last:
-            clear.append(e)
-            last = e[1]
-    return clear
+    for p in out:
+        if p[0] >= last:
+            clear.append(p)
+            last = p[1]
+    return clear, [p[:2] for p in clear]
 
 
-#: What stands in every AT_MARK, AT_BARE and plain @, and in every DOT_MARK and DOT_BARE.
-AT_SIGN = re.compile(r"[ \[({<_]at[ \])}>_]|@", re.I)
-DOT_SIGN = re.compile(r"[ \[({<_](?:dot|point|\.)[ \])}>_]", re.I)
 NEXT_DIGIT = re.compile(rf"{WORD}{APART}(?:{WORD}|[0-9]|double|triple)")
 DIGIT_BEFORE = re.compile(rf"[0-9]{APART}{TIMED}{WORD}")
 
 
 def may_spell(text: str) -> bool:
-    """Whether a spelled digit stands where a run of digits could be: not inside a word, a digit before or after it."""
+    """Whether a spelled digit stands in a run of digits: every run that `spelled` rewrites holds one, not inside a word,
+    with a digit before or after it."""
     low = folded(text)
     for word in DIGITS:
         at = low.find(word)
@@ -250,25 +365,15 @@ def may_spell(text: str) -> bool:
     return DIGIT_BEFORE.search(low) is not None
 
 
-def may_mark(text: str) -> bool:
-    """Whether there is an at/dot disguise, by the patterns that address_edits uses; the signs only spare them work."""
-    return (AT_SIGN.search(text) and DISGUISED.search(text) or DOT_SIGN.search(text) and NAME_DOT.search(text)) is not None
-
-
-def may_hide(text: str) -> tuple[bool, bool, bool]:
-    """Whether homoglyphs, spelled digits or at/dot disguises are worth a look; False is certain."""
-    return has_glyph(text), may_spell(text), may_mark(text)
-
-
 def hidden_spans(text: str) -> list[Span]:
     """Identifiers that show in the normalised text only, as spans of the source. Each step looks at what the one before
     it left."""
     mapped = None
-    for may, edits in ((has_glyph, glyph_edits), (may_spell, digit_edits), (may_mark, address_edits)):
-        now = mapped.text if mapped else text
-        if may(now):
+    for rewrites in (lambda t: has_glyph(t) and glyphs(t), lambda t: may_spell(t) and spelled(t), marked):
+        found = rewrites(mapped.text if mapped else text)
+        if found and found[1]:
             mapped = mapped or Mapped(text)
-            mapped.replace(edits(now))
+            mapped.rewrite(*found)
     if mapped is None or mapped.text == text:
         return []
     out = []
