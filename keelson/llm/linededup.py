@@ -1,10 +1,14 @@
 """Line dedup (operator 9): lines found in many documents go, by probing a sharded minimal perfect hash.
 
 A line's key is the line stripped of space and U+0009 to U+000D at both ends, with A-Z lower-cased. Distinct line
-hashes (128 bits) are counted by documents; those with enough documents go to a minimal perfect hash of shards, each a
-file of the shared folder with bit arrays, fingerprints and counts. Documents probe these arrays; lines aren't joined.
+hashes (128 bits) are counted by documents. All of them go to a minimal perfect hash of shards, each a file of the shared
+folder with bit arrays, 32-bit fingerprints and counts (kept up to the threshold, in a byte where that fits). Documents
+probe these arrays, whose counts decide; lines aren't joined. A task reads each shard once for every PROBE_BYTES of text
+that it has, beyond what its worker keeps.
 
 Null text is one empty line. Empty keys never go. A row that repeats (same doc_id and text) counts as one more document.
+Texts and lines of any length are read whole. An empty table gives an empty result. `drop_common_lines` looks at doc_id
+and text only; `drop_common_lines_in_place` returns all columns as they are but for text and n_chars, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +34,8 @@ COUNT_SPARK, COUNT_ARROW = schema_of(hi="long", lo="long", n="long")
 CACHE_BYTES = 192 << 20
 #: A batch's line counts are merged over so many lines before they go to the shuffle.
 MERGE_LINES = 400_000
+#: Bytes of text whose lines are probed at once.
+PROBE_BYTES = 32 << 20
 
 
 def key_of(line: bytes) -> bytes:
@@ -93,7 +100,7 @@ def _slots(keys: np.ndarray, level: int, size: int) -> np.ndarray:
 
 class PerfectHash:
     """A minimal perfect hash of distinct (hi, lo) pairs: at each level a key takes a slot that it has alone, the
-    others go on; the rank of the slot among all taken slots is the index. lo is kept as fingerprint, n as count."""
+    others go on; the rank of the slot among all taken slots is the index. Half of lo is kept as fingerprint, n as count."""
 
     def __init__(self, levels: list[np.ndarray], prints: np.ndarray, counts: np.ndarray):
         self.levels, self.prints, self.counts = levels, prints, counts
@@ -104,7 +111,8 @@ class PerfectHash:
             before += int(each.sum())
 
     @classmethod
-    def build(cls, hi: np.ndarray, lo: np.ndarray, n: np.ndarray, gamma: float = 1.7) -> PerfectHash:
+    def build(cls, hi: np.ndarray, lo: np.ndarray, n: np.ndarray, most: int, gamma: float = 1.7) -> PerfectHash:
+        """Counts over `most` are kept as most."""
         keys, levels, left = hi ^ (lo << np.uint64(1)), [], np.arange(len(hi))
         while len(left):
             size = max(64, int(gamma * len(left)) + 63 & ~63)
@@ -117,10 +125,10 @@ class PerfectHash:
             left = left[~alone]
             if len(levels) > 200:
                 raise ValueError("two distinct lines have one hash")
-        out = cls(levels, np.zeros(len(hi), np.uint64), np.zeros(len(hi), np.uint32))
+        out = cls(levels, np.zeros(len(hi), np.uint32), np.zeros(len(hi), np.min_scalar_type(most)))
         at = out.index(hi, lo)
-        out.prints[at] = lo
-        out.counts[at] = np.minimum(n, 2**32 - 1)
+        out.prints[at] = lo >> np.uint64(32)
+        out.counts[at] = np.minimum(n, most)
         return out
 
     def index(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
@@ -143,8 +151,8 @@ class PerfectHash:
         """Documents that have the line; 0 for lines that aren't indexed."""
         at = self.index(hi, lo)
         ok = at >= 0
-        ok[ok] = self.prints[at[ok]] == lo[ok]
-        out = np.zeros(len(hi), np.uint32)
+        ok[ok] = self.prints[at[ok]] == lo[ok] >> np.uint64(32)
+        out = np.zeros(len(hi), self.counts.dtype)
         out[ok] = self.counts[at[ok]]
         return out
 
@@ -160,10 +168,10 @@ class PerfectHash:
 
 
 class _BuildShard:
-    """Builds a shard from its whole partition: rows (shard, hi, lo, n) sorted by shard."""
+    """Builds the shards of a partition: rows (shard, hi, lo, n) sorted by shard."""
 
-    def __init__(self, folder: str):
-        self.folder = folder
+    def __init__(self, folder: str, most: int):
+        self.folder, self.most = folder, most
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[int] = []
@@ -173,7 +181,7 @@ class _BuildShard:
             if parts:
                 rows = np.concatenate(parts)
                 hi, lo = np.ascontiguousarray(rows[:, 1]).view(np.uint64), np.ascontiguousarray(rows[:, 2]).view(np.uint64)
-                put_file(self.folder, f"shard-{rows[0, 0]}", PerfectHash.build(hi, lo, rows[:, 3]).dump())
+                put_file(self.folder, f"shard-{rows[0, 0]}", PerfectHash.build(hi, lo, rows[:, 3], self.most).dump())
                 done.append(int(rows[0, 0]))
                 parts.clear()
 
@@ -188,19 +196,17 @@ class _BuildShard:
         yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64())], names=["shard"])
 
 
-def build_index(counts: DataFrame, min_docs: int, shard_keys: int = 500_000) -> tuple[str, int, list[int]]:
-    """The index of the lines found in min_docs documents or more: its folder, its number of shards, which have lines.
-
-    A line of fewer documents could not change a verdict, so it isn't indexed; a probe finds it absent."""
+def build_index(counts: DataFrame, min_docs: int, least: int = 1, shard_keys: int = 500_000) -> tuple[str, int, list[int]]:
+    """The index of the lines found in `least` documents or more, which is all of them unless least is raised: its folder,
+    its number of shards, and which of these have lines. Up to min_docs a higher least changes no verdict."""
     spark = counts.sparkSession
     folder = new_folder(spark, "line-index")
-    hot = counts.where(F.col("n") >= min_docs)
     table = f"{folder}/counts"
-    hot.write.parquet(table)
-    hot = spark.read.schema("hi bigint, lo bigint, n bigint").parquet(table)
-    shards = max(1, -(-hot.count() // shard_keys))
-    of = hot.select(F.pmod(F.col("lo"), F.lit(shards)).alias("shard"), "hi", "lo", "n")
-    built = of.repartition(min(shards, 4096), "shard").sortWithinPartitions("shard").mapInArrow(_BuildShard(folder), "shard bigint")
+    counts.where(F.col("n") >= least).write.parquet(table)
+    lines = spark.read.schema("hi bigint, lo bigint, n bigint").parquet(table)
+    shards = max(1, -(-lines.count() // shard_keys))
+    of = lines.select(F.pmod(F.col("lo"), F.lit(shards)).alias("shard"), "hi", "lo", "n")
+    built = of.repartition(min(shards, 4096), "shard").sortWithinPartitions("shard").mapInArrow(_BuildShard(folder, min_docs), "shard bigint")
     return folder, shards, sorted(r[0] for r in built.collect())
 
 
@@ -234,9 +240,16 @@ class _Drop:
         return out
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                yield self.part(batch.slice(at, 2000))
+            for at in range(0, batch.num_rows, 500):
+                held.append(batch.slice(at, 500))
+                size += pc.sum(pc.binary_length(held[-1].column(batch.num_columns - 1))).as_py() or 0
+                if size >= PROBE_BYTES:
+                    yield self.part(pa.concat_batches(held))
+                    held, size = [], 0
+        if held:
+            yield self.part(pa.concat_batches(held))
 
     def part(self, batch: pa.RecordBatch) -> pa.RecordBatch:
         docs = [x.split(b"\n") for x in batch.column(batch.num_columns - 1).to_pylist()]
@@ -256,9 +269,9 @@ class _Drop:
         return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, self.schema)], schema=self.schema)
 
 
-def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, texts: bool = True) -> DataFrame:
+def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, texts: bool = True, least: int = 1) -> DataFrame:
     """docs with doc_id, n_lines, n_dropped and either kept_text or kept_sha256 (texts=False), a row for each row."""
-    folder, shards, full = build_index(line_counts(docs, min_chars), min_docs)
+    folder, shards, full = build_index(line_counts(docs, min_chars), min_docs, least)
     name = "kept_text" if texts else "kept_sha256"
     spark_schema, arrow = schema_of(doc_id="long", n_lines="long", n_dropped="long", **{name: "string"})
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).cast("binary").alias("t"))

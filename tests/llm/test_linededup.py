@@ -23,17 +23,22 @@ def test_perfect_hash():
     r = np.random.default_rng(3)
     hi, lo = r.integers(0, 2**64, (2, 20_000), dtype=np.uint64)
     n = r.integers(1, 1000, 20_000)
-    h = linededup.PerfectHash.load(linededup.PerfectHash.build(hi, lo, n).dump())
+    h = linededup.PerfectHash.load(linededup.PerfectHash.build(hi, lo, n, 5000).dump())
     assert sorted(h.index(hi, lo).tolist()) == list(range(20_000))
     assert (h.count(hi, lo) == n).all()
     assert not h.count(r.integers(0, 2**64, 5000, dtype=np.uint64), r.integers(0, 2**64, 5000, dtype=np.uint64)).any()
+    capped = linededup.PerfectHash.build(hi, lo, n, 10)
+    assert capped.counts.dtype == np.uint8 and (capped.count(hi, lo) == np.minimum(n, 10)).all()
     with pytest.raises(ValueError):
-        linededup.PerfectHash.build(hi[[0, 0]], lo[[0, 0]], n[:2])
+        linededup.PerfectHash.build(hi[[0, 0]], lo[[0, 0]], n[:2], 10)
 
 
-@pytest.mark.parametrize("shard_keys", [1, 500_000])
-def test_against_brute_force(spark, monkeypatch, shard_keys):
-    monkeypatch.setattr(linededup.build_index, "__defaults__", (shard_keys,))
+@pytest.mark.parametrize("shard_keys,cache,probe", [(40, 5000, 3000), (500_000, 192 << 20, 32 << 20)])
+def test_against_brute_force(spark, monkeypatch, shard_keys, cache, probe):
+    """Also with many shards, of which few are kept, and few lines probed at once."""
+    monkeypatch.setattr(linededup.build_index, "__defaults__", (1, shard_keys))
+    monkeypatch.setattr(linededup, "CACHE_BYTES", cache)
+    monkeypatch.setattr(linededup, "PROBE_BYTES", probe)
     got = linededup.drop_common_lines(cases.clashing(spark), min_docs=10, texts=False).collect()
     key = lambda x: (x[0] is None, x)
     assert sorted((tuple(r) for r in got), key=repr) == sorted(brute(cases.rows(), 10), key=repr), key
@@ -50,3 +55,18 @@ def test_two_documents_and_columns(spark):
     assert all(hashlib.sha256((r["text"] or "").encode()).hexdigest() == want[i] for i, r in got.items())
     assert all(r["n_chars"] == len(r["text"]) for r in got.values() if r["text"] is not None)
     assert linededup.drop_common_lines(cases.empty(spark)).collect() == []
+
+
+def test_index_has_every_line_and_may_have_fewer(spark):
+    counts = linededup.line_counts(cases.docs(spark))
+    every = {(r["hi"] & (2**64 - 1), r["lo"] & (2**64 - 1)): r["n"] for r in counts.collect()}
+    hi, lo = (np.array(x, np.uint64) for x in zip(*every))
+    for least in (1, 10):
+        folder, shards, full = linededup.build_index(counts, 10, least)
+        assert shards == len(full) == 1
+        index = linededup.PerfectHash.load(linededup.get_file(folder, "shard-0"))
+        want = np.minimum(np.array([*every.values()]), 10)
+        assert (index.count(hi, lo) == np.where(want >= least, want, 0)).all()
+        assert len(index.counts) == (want >= least).sum()
+    one, ten = (sorted(tuple(r) for r in linededup.drop_common_lines(cases.docs(spark).where("doc_id is not null"), least=x).collect()) for x in (1, 10))
+    assert one == ten
