@@ -5,9 +5,13 @@ ceil(j * period / a). Each slot takes the released block with the earliest deadl
 its share of blocks to within less than one. The schedule of one period repeats, hence a block's slot follows from its
 number within its source; only numbering needs a shuffle.
 
+A period has 1000 slots for every 500 sources or part of them, so any number of sources has room; one task makes its
+schedule from one row that holds the sources, in time slots * sources.
+
 Every row gets a place; none is dropped. Where a source runs out its later slots stay empty, and the others go on in the
-same order. Null sources count as the source ''. Within a source, rows are in the order of md5(doc_id), then doc_id;
-rows that repeat take places one after the other. An empty table gives an empty result.
+same order. Null sources count as the source ''. Within a source, rows are in the order of md5(doc_id), then doc_id, then
+their place in the files; rows that repeat take places one after the other. Rows are numbered range by range of that
+order, also where one doc_id or null holds most of them. Texts aren't looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,10 +19,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keelson.llm.common import tucked, untucked, written
+from keelson.llm.common import SHARE, tucked, untucked, written
+from keelson.llm.rows import addressed
 
 #: Rows of a source that one task numbers at a time, about.
 NUMBERED = 2_000
+#: Slots of a period for every so many sources.
+SLOTS, SOURCES = 1000, 500
 
 
 def shares(sizes: DataFrame, weights: dict[str, float] | None, alpha: float, period: int) -> DataFrame:
@@ -58,43 +65,60 @@ def schedule(share: DataFrame, period: int) -> DataFrame:
     return took.select(F.col("s")[F.col("x.i")]["source"].alias("source"), F.col("s")[F.col("x.i")]["a"].alias("a"), F.col("x.j").alias("j"), F.col("x.slot").alias("slot"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, block: int = 8, period: int = 1000) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, block: int = 8, period: int | None = None) -> DataFrame:
     """docs with source_rank (from 0 within the source), slot and position, by which the mixture is ordered. Columns of
     docs that have these names give way to them.
 
     weights: target weight of each source; None: size ** alpha. block: rows that one slot takes. period: slots after
-    which the schedule repeats, to whose fractions weights are rounded; at least the number of sources."""
+    which the schedule repeats, to whose fractions weights are rounded; None: SLOTS for every SOURCES sources."""
     placed, own = _placed(docs, weights, alpha, block, period)
     places = ("source_rank", "slot", "position")
     return placed.select(*untucked(own, places), *places)
 
 
-def mix_in_order(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, block: int = 8, period: int = 1000) -> DataFrame:
+def mix_in_order(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, block: int = 8, period: int | None = None) -> DataFrame:
     """docs with its own columns, in the order of the mixture: files of a range of positions each, sorted."""
     placed, own = _placed(docs, weights, alpha, block, period)
     placed = placed.select(*own.values(), "position")
     return placed.repartitionByRange("position").sortWithinPartitions("position").select(*untucked(own))
 
 
-def _placed(docs: DataFrame, weights: dict[str, float] | None, alpha: float, block: int, period: int) -> tuple[DataFrame, dict[str, str]]:
+def digits_of(n: int) -> int:
+    """How many hexadecimal digits of a hash split n rows into parts of about NUMBERED."""
+    digits = 0
+    while n > NUMBERED * 16**digits and digits < 8:
+        digits += 1
+    return digits
+
+
+def _placed(docs: DataFrame, weights: dict[str, float] | None, alpha: float, block: int, period: int | None) -> tuple[DataFrame, dict[str, str]]:
     rows, own = tucked(docs)
     key = F.coalesce(F.col(own["source"]).cast("string"), F.lit(""))
     id_ = own["doc_id"]
-    rows = rows.withColumns({"_source": key, "_order": F.md5(F.coalesce(F.col(id_).cast("string"), F.lit("")).cast("binary"))})
+    rows = addressed(rows).withColumns({"_source": key, "_order": F.md5(F.coalesce(F.col(id_).cast("string"), F.lit("")).cast("binary"))})
     sizes = written(rows.groupBy(F.col("_source").alias("source")).agg(F.count("*").alias("n")), "mix-sizes")
-    found, most = sizes.agg(F.count("*"), F.max("n")).first()
+    found, most, total = sizes.agg(F.count("*"), F.max("n"), F.sum("n")).first()
+    period = period or SLOTS * max(1, -(-found // SOURCES))
     if found > period:
         raise ValueError(f"{found} sources need a period of as many slots at least")
-    digits = 0
-    while (most or 0) > NUMBERED * 16**digits and digits < 7:
-        digits += 1
     plan = schedule(shares(sizes, weights, alpha, period), period)
-    rows = rows.withColumn("_part", F.substring("_order", 1, digits) if digits else F.lit(""))
-    counts = rows.groupBy("_source", "_part").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(F.col("_source").alias("_s"), F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_source", "_part").orderBy("_order", id_))
-    ranked = rows.withColumn("_within", within).join(starts, (F.col("_source") == F.col("_s")) & (F.col("_part") == F.col("_p")))
+    rows = rows.withColumn("_part", F.substring("_order", 1, digits_of(most or 0)))
+    # a part that holds far more than its share of hashes holds a doc_id, or null, with very many rows; such parts are few
+    counts = written(rows.groupBy("_source", "_part").agg(F.count("*").alias("_n")), "mix-parts")
+    over = counts.where(F.col("_n") > max(8 * NUMBERED, (total or 0) / SHARE))
+    large = over.agg(F.max("_n")).first()[0]
+    tie = F.lit("")
+    if large:
+        rows = rows.join(F.broadcast(over.select("_source", "_part", F.lit(True).alias("_over"))), ["_source", "_part"], "left")
+        tie = F.when(F.col("_over"), F.concat("_order", F.substring(F.md5(F.concat_ws(",", "_file", "_row").cast("binary")), 1, digits_of(large)))).otherwise("")
+        rows = rows.withColumn("_tie", tie)
+        counts = rows.groupBy("_source", "_part", "_tie").agg(F.count("*").alias("_n"))
+    else:
+        rows, counts = rows.withColumn("_tie", tie), counts.withColumn("_tie", tie)
+    before = F.sum("_n").over(Window.partitionBy("_source").orderBy("_part", "_tie").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(F.col("_source").alias("_s"), F.col("_part").alias("_p"), F.col("_tie").alias("_t"), F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_source", "_part", "_tie").orderBy("_order", id_, "_file", "_row"))
+    ranked = rows.withColumn("_within", within).join(starts, (F.col("_source") == F.col("_s")) & (F.col("_part") == F.col("_p")) & (F.col("_tie") == F.col("_t")))
     ranked = ranked.withColumn("source_rank", (F.col("_before") + F.col("_within") - 1).cast("long"))
     plan = plan.select(F.col("source").alias("_ps"), F.col("a").alias("_a"), F.col("j").alias("_j"), F.col("slot").alias("_slot"))
     # the plan has one row for each slot of a period, a bound that is checked above

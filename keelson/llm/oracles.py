@@ -23,20 +23,24 @@ FROM p JOIN f ON p.h = f.h
 MIX_SQL = r"""
 WITH RECURSIVE docs AS (SELECT doc_id, coalesce(source, '') AS s, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS o FROM documents),
 sizes AS (SELECT s, pow(count(*), 0.5) AS w FROM docs GROUP BY s),
-quota AS (SELECT s, w / sum(w) OVER () * 1000 AS q, greatest(1, floor(w / sum(w) OVER () * 1000)) AS base FROM sizes),
-spare AS (SELECT s, base, 1000 - sum(base) OVER () AS r, row_number() OVER (ORDER BY q - floor(q) DESC, s) AS more, row_number() OVER (ORDER BY base DESC, s) AS less FROM quota),
-share AS (SELECT s, CAST(base + CASE WHEN r > 0 AND more <= r THEN 1 WHEN r < 0 AND less <= -r THEN -1 ELSE 0 END AS BIGINT) AS a FROM spare),
+per AS (SELECT 1000 * greatest(1, (count(*) + 499) // 500) AS p FROM sizes),
+quota AS (SELECT s, w / sum(w) OVER () * p AS q, greatest(1, floor(w / sum(w) OVER () * p)) AS base, p FROM sizes CROSS JOIN per),
+spare AS (SELECT s, base, p - sum(base) OVER () AS r, row_number() OVER (ORDER BY q - floor(q) DESC, s) AS more FROM quota),
+take AS (SELECT s, count(*) AS less FROM (
+  SELECT s, r, row_number() OVER (ORDER BY CASE WHEN k > 1 THEN k / base ELSE 0 END, base DESC, s) AS o
+  FROM (SELECT s, base, r, unnest(range(1, CAST(base AS BIGINT))) AS k FROM spare WHERE r < 0)) WHERE o <= -r GROUP BY s),
+share AS (SELECT spare.s, CAST(base + CASE WHEN r > 0 AND more <= r THEN 1 ELSE 0 END - coalesce(less, 0) AS BIGINT) AS a FROM spare LEFT JOIN take ON take.s = spare.s),
 srt AS (SELECT list(s ORDER BY s) AS ss, list(a ORDER BY s) AS aa FROM share),
 run AS (
-  SELECT 0 AS t, list_transform(aa, lambda x: CAST(0 AS BIGINT)) AS done, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS j, ss, aa FROM srt
+  SELECT 0 AS t, list_transform(aa, lambda x: CAST(0 AS BIGINT)) AS done, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS j, ss, aa, p AS per FROM srt CROSS JOIN per
   UNION ALL
-  SELECT t + 1, list_transform(range(1, len(aa) + 1), lambda i: done[i] + CASE WHEN i = p THEN 1 ELSE 0 END), p, done[p], ss, aa
-  FROM (SELECT *, list_min(list_transform(list_filter(range(1, len(aa) + 1), lambda i: done[i] < aa[i] AND (done[i] * 1000) // aa[i] <= t),
-      lambda i: ((done[i] + 1) * 1000 + aa[i] - 1) // aa[i] * 100000 + i)) % 100000 AS p FROM run WHERE t < 1000)),
+  SELECT t + 1, list_transform(range(1, len(aa) + 1), lambda i: done[i] + CASE WHEN i = p THEN 1 ELSE 0 END), p, done[p], ss, aa, per
+  FROM (SELECT *, list_min(list_transform(list_filter(range(1, len(aa) + 1), lambda i: done[i] < aa[i] AND (done[i] * per) // aa[i] <= t),
+      lambda i: ((done[i] + 1) * per + aa[i] - 1) // aa[i] * 100000 + i)) % 100000 AS p FROM run WHERE t < per)),
 plan AS (SELECT ss[k] AS s, aa[k] AS a, j, t - 1 AS slot FROM run WHERE t > 0),
 ranked AS (SELECT doc_id, s, row_number() OVER (PARTITION BY s ORDER BY o, doc_id) - 1 AS r FROM docs)
-SELECT d.doc_id, d.s AS source, CAST(r AS BIGINT) AS source_rank, CAST((r // 8) // share.a * 1000 + plan.slot AS BIGINT) AS slot, CAST(((r // 8) // share.a * 1000 + plan.slot) * 8 + r % 8 AS BIGINT) AS position
-FROM ranked d JOIN share ON share.s = d.s JOIN plan ON plan.s = d.s AND plan.j = (r // 8) % share.a
+SELECT d.doc_id, d.s AS source, CAST(r AS BIGINT) AS source_rank, CAST((r // 8) // share.a * p + plan.slot AS BIGINT) AS slot, CAST(((r // 8) // share.a * p + plan.slot) * 8 + r % 8 AS BIGINT) AS position
+FROM ranked d JOIN share ON share.s = d.s JOIN plan ON plan.s = d.s AND plan.j = (r // 8) % share.a CROSS JOIN per
 """
 
 NEAR_SQL = r"""

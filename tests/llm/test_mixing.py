@@ -1,8 +1,12 @@
+import hashlib
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 
 from keelson.llm import mixing
+from keelson.llm.oracles import MIX_SQL
+from tests.conftest import same_rows
 from tests.llm import cases
 
 
@@ -76,3 +80,31 @@ def test_odd_tables(spark):
     assert mixing.mix(cases.empty(spark)).collect() == [] == mixing.mix_in_order(cases.empty(spark)).collect()
     with pytest.raises(ValueError):
         mixing.mix(docs, period=2)
+
+
+def test_rows_that_share_a_doc_id_are_numbered_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "NUMBERED", 10)
+    docs = spark.createDataFrame([(None if i % 3 else i, "xy"[i % 2], i % 7) for i in range(1500)], "doc_id bigint, source string, more int").repartition(5)
+    rows = mixing.mix(docs, block=2, period=20).collect()
+    assert len(rows) == len({r["position"] for r in rows}) == 1500
+    for s in "xy":
+        own = sorted((r for r in rows if r["source"] == s), key=lambda r: r["source_rank"])
+        assert [r["source_rank"] for r in own] == list(range(len(own)))
+        keys = [hashlib.md5(str("" if r["doc_id"] is None else r["doc_id"]).encode()).hexdigest() for r in own]
+        assert keys == sorted(keys)
+    parts = mixing.mix(docs)._jdf.queryExecution().toString()
+    assert "_tie" in parts
+
+
+def test_more_sources_than_slots_of_a_period(spark):
+    docs = spark.createDataFrame([(i, f"s{i % 1500}") for i in range(3000)], "doc_id bigint, source string")
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == len({r["position"] for r in rows}) == 3000 and len({r["source"] for r in rows}) == 1500
+
+
+def test_sql_with_a_tail_of_small_sources(spark):
+    tail = [(k * 1000 + i, f"s{k:03}" if k else "big") for k in range(590) for i in range(1 if k else 4000)]
+    docs = spark.createDataFrame(tail, "doc_id bigint, source string")
+    documents = docs.toPandas()  # noqa: F841
+    want = duckdb.sql(MIX_SQL)
+    same_rows(mixing.mix(docs).collect(), mixing.mix(docs).columns, want)
