@@ -42,7 +42,7 @@ END = b""
 #: Words whose counts are sent to the executors; others are joined.
 HEAD_WORDS = 300_000
 VOCABULARY, GROUPS, CLASSES, HIDDEN = 1024, 32, 24, 16
-LANES, TRAIN_STEPS, SCORE_STEPS = 256, 16, 16
+LANES, SCORE_LANES, TRAIN_STEPS, SCORE_STEPS = 256, 1024, 16, 16
 #: Tokens that a task trains on or scores at once.
 CHUNK_TOKENS = 3_000_000
 #: A shard has about so many training tokens, but there are at most MOST_SHARDS; each is dealt to so many rounds.
@@ -281,16 +281,22 @@ class Net:
         for at in range(0, int(sizes[0]), steps):
             live = int(np.searchsorted(-sizes, -at, "left"))
             place = at + np.arange(min(steps, int(sizes[0]) - at))[:, None]
-            real = place < sizes[None, :live]
-            index = np.where(real, offsets[None, :live] + place, offsets[None, :live])
-            ids, new = token[index], fresh[index] & real
+            index = offsets[None, :live] + place
+            whole = place[-1, 0] < sizes[live - 1]  # else some lanes end in this window
+            if not whole:
+                real = place < sizes[None, :live]
+                index = np.where(real, index, offsets[None, :live])
+            ids, new = token[index], fresh[index]
+            if not whole:
+                new &= real
             hs, h, kept = self.steps(ids, new, h[:live], rate is not None)
-            flat = index[real]
-            lp, dh, grads = self.output(hs[real], target[flat], rate is not None)
+            flat = index.ravel() if whole else index[real]
+            lp, dh, grads = self.output(hs.reshape(-1, self.h) if whole else hs[real], target[flat], rate is not None)
             out += np.bincount(doc[flat], weights=lp, minlength=len(docs))
             if rate is not None:
-                full = np.zeros(hs.shape, np.float32)
-                full[real] = dh
+                full = dh.reshape(hs.shape) if whole else np.zeros(hs.shape, np.float32)
+                if not whole:
+                    full[real] = dh
                 grads |= self.backward(full, ids, new, kept)
                 self.update(grads, rate, 1 / live)
         return out
@@ -460,7 +466,7 @@ class _Score:
 
         def score() -> pa.RecordBatch:
             with np.errstate(over="ignore"):
-                lp = net.read(docs, words.end, LANES, SCORE_STEPS) / LN10
+                lp = net.read(docs, words.end, SCORE_LANES, SCORE_STEPS) / LN10
             return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(lp, pa.float64())], names=["row", "lp"])
 
         for batch in batches:
