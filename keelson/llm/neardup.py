@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from keelson.llm.common import hot_keys, join_spread, schema_of, text_of, tucked, untucked, written
 from keelson.llm.graph import components
-from keelson.llm.rows import addressed, choose, chosen
+from keelson.llm.rows import addressed, choose, chosen, mask
 
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 #: Members of a posting list in one side of a tile of signatures; members and shingles in one of a tile of sets.
@@ -102,19 +102,21 @@ def least_matches(k: int, percent: int, miss: float) -> int:
 
 
 class _Marks:
-    """Rows (file, at, doc_id, text) to their marks, or to their sets."""
+    """Rows (file, at, doc_id, text) to their marks, or, given the folder of chosen rows, these to their sets."""
 
-    def __init__(self, width: int, k: int, sets: bool):
-        self.width, self.k, self.sets = width, k, sets
+    def __init__(self, width: int, k: int, folder: str = ""):
+        self.width, self.k, self.folder = width, k, folder
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, (a, b) = WordHashes(), multipliers(self.k)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
+                if self.folder:
+                    batch = batch.filter(pa.array(mask(self.folder, batch.column(0).to_numpy(), batch.column(1).to_numpy())))
                 every = [shingles(text, self.width, known) for text in batch.column(3).to_pylist()]
                 nodes = pa.array([int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(x.tobytes())).astype(np.int64))) if len(x) else None for x in every], pa.int64())
-                if self.sets:
+                if self.folder:
                     yield pa.RecordBatch.from_arrays([nodes, pa.array([x.view(np.int64) for x in every], pa.list_(pa.int64()))], schema=SET_ARROW)
                 else:
                     sigs = pa.array([signature(x, a, b).tobytes() if len(x) else None for x in every], pa.binary())
@@ -298,7 +300,7 @@ def near_rows(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 32, m
     matches = least_matches(k, percent, miss)
     rows = addressed(docs.select("doc_id", "text"))
     rows = rows.select("_file", "_row", F.col("doc_id").cast("long").alias("doc_id"), text_of(rows).cast("binary").alias("text"))
-    marks = written(rows.mapInArrow(_Marks(width, k, False), MARK_SPARK), "near-marks")
+    marks = written(rows.mapInArrow(_Marks(width, k), MARK_SPARK), "near-marks")
     classes = marks.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("sig").alias("sig"), F.max("n_shingles").alias("n"), F.min(F.struct(F.col("file").alias("_file"), F.col("at").alias("_row"))).alias("at"))
     classes = written(classes, "near-classes")
     comps = linked_classes(rows, classes, width, percent, k, matches)
@@ -336,7 +338,7 @@ def linked_classes(rows: DataFrame, classes: DataFrame, width: int, percent: int
     stars = written(prefix.select(F.col("node").alias("a"), "key").join(lists, "key").where("a <> b").select("a", "b").distinct(), "near-stars")
     members = written(stars.select("a").union(stars.select("b")).distinct().select(F.col("a").alias("node")), "near-members")
     one = classes.join(members, "node").select("at._file", "at._row")
-    sets = written(rows.where(chosen(choose(one))).mapInArrow(_Marks(width, k, True), SET_SPARK), "near-sets")
+    sets = written(rows.mapInArrow(_Marks(width, k, choose(one)), SET_SPARK), "near-sets")
     first = written(link_confirmed(stars, classes, sets, percent, matches, k), "near-links")
     labels = components(first)
     more = written(tile_links(prefix, labels, sets, classes, percent, matches, k), "near-links")

@@ -11,7 +11,6 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,19 +86,23 @@ def _page(folder: str, file: int, page: int) -> np.ndarray | None:
     return _kept[key]
 
 
+def mask(folder: str, files: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Which of the addresses are among those of `choose`."""
+    out = np.zeros(len(files), bool)
+    pages = rows // PAGE
+    edges = np.flatnonzero((np.diff(files) != 0) | (np.diff(pages) != 0)) + 1
+    for a, b in zip([0, *edges], [*edges, len(files)]):
+        if a < b and (bits := _page(folder, int(files[a]), int(pages[a]))) is not None:
+            at = rows[a:b] % PAGE
+            out[a:b] = bits[at >> 3] >> (at & 7).astype(np.uint8) & 1
+    return out
+
+
 def chosen(folder: str) -> Column:
     """Whether the row at (_file, _row) is among those of `choose`."""
 
-    @F.pandas_udf("boolean")
-    def look(file: pd.Series, row: pd.Series) -> pd.Series:
-        files, rows = file.to_numpy(np.int64), row.to_numpy(np.int64)
-        out = np.zeros(len(files), bool)
-        pages = rows // PAGE
-        edges = np.flatnonzero((np.diff(files) != 0) | (np.diff(pages) != 0)) + 1
-        for a, b in zip([0, *edges], [*edges, len(files)]):
-            if a < b and (bits := _page(folder, int(files[a]), int(pages[a]))) is not None:
-                at = rows[a:b] % PAGE
-                out[a:b] = bits[at >> 3] >> (at & 7).astype(np.uint8) & 1
-        return pd.Series(out)
+    @F.arrow_udf("boolean")
+    def look(file: pa.Array, row: pa.Array) -> pa.Array:
+        return pa.array(mask(folder, file.to_numpy(), row.to_numpy()))
 
     return look("_file", "_row")

@@ -4,8 +4,14 @@ Spark's FP-growth finds token combinations among labelled URLs; those whose conf
 kept, less any that a shorter rule with as high a confidence makes needless. A rule is posted under its rarest token
 only; URLs look their tokens up there and then check the whole rule. DataFrame functions only.
 
-Null urls and those without '://' have an empty host and path, fit no rule and are allowed. Urls that repeat are judged
-once; rows that repeat each get the verdict. Labels that are null teach nothing; without labels there are no mined rules.
+What is mined on is bounded: the labelled rows with the least hash (`max_labelled`), and tokens whose support is a share
+of these (`min_share`). So the items that FP-growth brings to the driver are bounded too: no more than the tokens of a
+URL divided by that share. Rules are joined to the tokens of all rows; tokens that many rows have are dealt to several
+tasks, and rows get their verdict back by their address (`rows`), so that urls that repeat, or are null, weigh nothing.
+
+Null urls and those without '://' have an empty host and path, fit no rule and are allowed. Urls of any length are read
+whole. Rows that repeat each get the verdict. Labels that are null teach nothing; without labels there are no mined rules.
+An empty table gives an empty result. Other columns of pages are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,13 +20,12 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import ascii_lower, written
+from keelson.llm.common import SHARE, ascii_lower, join_spread, written
+from keelson.llm.rows import addressed
 
 #: (verdict, host, path)
 Rule = tuple[str, str, str]
 BLOCK = "y=block"
-#: Rules are sent to all executors up to this number; more are joined by a shuffle.
-SENT_RULES = 20_000
 
 
 def host_of(url: Column) -> Column:
@@ -88,31 +93,45 @@ def mined_rules(labelled: DataFrame, min_support: int, min_confidence: float) ->
     return each.select(F.explode(ways).alias("items"), "n", "n_block", "confidence").withColumn("items", F.array_sort("items"))
 
 
-def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """url and the surest of the rules that its tokens have, from urls (url, tokens) by an inverted index of rules."""
+def matches(urls: DataFrame, rules: DataFrame, hot: DataFrame) -> DataFrame:
+    """_file, _row and the surest of the rules that its tokens have, from urls (_file, _row, tokens) by an inverted index
+    of rules. hot: tokens (t) that many urls have."""
     rules = written(rules, "url-rules")
-    n = rules.count()
     each = rules.select("items", "confidence", F.explode("items").alias("t"))
     uses = each.groupBy("t").agg(F.count("*").alias("uses"))
     # posted under the item that the fewest rules use
     index = each.join(uses, "t").groupBy("items", "confidence").agg(F.min_by("t", F.struct("uses", "t")).alias("t"))
-    index = F.broadcast(index) if n <= SENT_RULES else index
-    found = urls.select("url", "tokens", F.explode("tokens").alias("t")).join(index, "t").where(F.size(F.array_except("items", "tokens")) == 0)
-    return found.groupBy("url").agg(F.max(F.struct("confidence", F.array_join("items", " ").alias("mined"))).alias("_m")).select("url", F.col("_m.mined").alias("mined"), F.col("_m.confidence").alias("confidence"))
+    posted = join_spread(urls.select("_file", "_row", "tokens", F.explode("tokens").alias("t")), index, "t", by=["_file", "_row"], hot=hot)
+    found = posted.where(F.size(F.array_except("items", "tokens")) == 0)
+    best = found.groupBy("_file", "_row").agg(F.max(F.struct("confidence", F.array_join("items", " ").alias("mined"))).alias("_m"))
+    return best.select("_file", "_row", F.col("_m.mined").alias("mined"), F.col("_m.confidence").alias("confidence"))
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[Rule], min_support: int = 10, min_confidence: float = 0.6) -> DataFrame:
-    """page_id, host, path, rule, verdict, mined (the association rule that blocks, if it decides) and confidence.
-
-    labels: doc_id (the page's id), quality and toxic; a page is to block if it is toxic or of quality 0."""
-    rows = pages.select("page_id", "url").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    urls = rows.where("host <> ''").select("url", "host", "path").distinct().withColumn("tokens", url_tokens(F.col("url"), F.col("host"), F.col("path")))
+def labelled_urls(rows: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
+    """tokens and block of the labelled rows (page_id, url, host, path), at most about max_labelled, of the least hashes."""
     bad = (F.coalesce("toxic", F.lit(0)) == 1) | (F.col("quality") == 0)
     taught = labels.where("quality is not null or toxic is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.coalesce(bad, F.lit(False))).alias("block"))
-    known = rows.where("host <> ''").join(taught, F.col("page_id") == F.col("_id")).select(url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"), "block")
-    mined = mined_rules(written(known, "url-labelled"), min_support, min_confidence)
-    hits = matches(urls.select("url", "tokens"), mined).withColumnRenamed("url", "_url")
+    low = F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)).alias("_h")
+    known = written(rows.where("host <> ''").join(taught, F.col("page_id") == F.col("_id")).select(low, "url", "host", "path", "block"), "url-labelled")
+    share = min(1.0, max_labelled / max(1, known.count()))
+    return known.where(F.col("_h") < int(share * (1 << 30))).select(url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"), "block")
+
+
+def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[Rule], min_share: float = 0.002, min_confidence: float = 0.6, max_labelled: int = 100_000, least: int = 10) -> DataFrame:
+    """page_id, host, path, rule, verdict, mined (the association rule that blocks, if it decides) and confidence.
+
+    labels: doc_id (the page's id), quality and toxic; a page is to block if it is toxic or of quality 0. A rule stands if
+    min_share of the labelled rows, and `least` rows at least, have all its tokens and are to block, and min_confidence of
+    the rows with all its tokens are to block."""
+    at = addressed(pages.select("page_id", "url"))
+    rows = at.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    known = labelled_urls(rows, labels, max_labelled)
+    n = known.count()
+    mined = mined_rules(known, max(least, int(n * min_share)), min_confidence)
+    hot = known.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("_c")).where(F.col("_c") > n / SHARE).select("t")
+    urls = rows.where("host <> ''").select("_file", "_row", url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"))
+    hits = matches(urls, mined, hot)
     text, verdict = fixed_rule(rules, F.col("host"), F.col("path"))
-    out = rows.join(hits, F.col("url") == F.col("_url"), "left").withColumns({"rule": text, "_v": verdict})
+    out = rows.join(hits, ["_file", "_row"], "left").withColumns({"rule": text, "_v": verdict})
     own = F.when(F.col("mined").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("_v", own).alias("verdict"), F.when(F.col("_v").isNull(), F.col("mined")).alias("mined"), F.when(F.col("_v").isNull(), F.col("confidence")).alias("confidence"))

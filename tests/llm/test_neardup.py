@@ -50,6 +50,7 @@ def copies(n=150):
 @pytest.mark.parametrize("width,percent,tile", [(3, 85, 1024), (3, 85, 16), (5, 80, 16)])
 def test_against_brute_force(spark, monkeypatch, width, percent, tile):
     monkeypatch.setattr(neardup, "TILE_ROWS", tile)
+    monkeypatch.setattr(neardup, "SET_ROWS", tile // 2)
     rows = [*cases.rows(), *copies()]
     got = neardup.near_duplicates(spark.createDataFrame(rows, cases.SCHEMA).repartition(4), width, percent).collect()
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == brute(rows, width, percent)

@@ -36,7 +36,7 @@ def test_rules_are_mined_and_matched(spark):
     rows = [(i, f"http://{'bad' if i % 2 else 'good'}.site{i % 7}.org/{'shop' if i % 3 == 0 else 'news'}/{i}") for i in range(600)]
     bad = lambda i: i % 2 == 1 and i % 3 == 0
     known = [(i, 0 if bad(i) else 1, 0) for i in range(400)] + [(None, None, None), (3, None, 1)]
-    got = urlfilter.judge_urls(spark.createDataFrame(rows, "page_id bigint, url string"), labels(spark, known), URL_RULES, min_support=10).collect()
+    got = urlfilter.judge_urls(spark.createDataFrame(rows, "page_id bigint, url string"), labels(spark, known), URL_RULES, least=10).collect()
     assert len(got) == 600 and all((r["verdict"] == "block") == bad(r["page_id"]) for r in got)
     mined = {r["mined"] for r in got if r["mined"]}
     assert mined == {"l=bad p=shop"}
@@ -54,7 +54,7 @@ def test_long_urls_are_mined_whole(spark):
     bad = lambda i: i % 4 == 3
     rows = [(i, url(i)) for i in range(720)]
     known = [(i, 0 if bad(i) else 1, 0) for i in range(480)]
-    got = urlfilter.judge_urls(spark.createDataFrame(rows, "page_id bigint, url string"), labels(spark, known), URL_RULES, min_support=20).collect()
+    got = urlfilter.judge_urls(spark.createDataFrame(rows, "page_id bigint, url string"), labels(spark, known), URL_RULES, least=20).collect()
     assert len(got) == 720 and all((r["verdict"] == "block") == bad(r["page_id"]) for r in got)
 
 
@@ -87,3 +87,14 @@ def test_ending_is_a_token(spark):
     rows = spark.createDataFrame([("http://h.org/a/b.HTML?x=1",), ("http://h.org/v1.0/b",), ("http://h.org/.x",)], "url string")
     got = [r[0] for r in rows.select(urlfilter.url_tokens(F.col("url"), urlfilter.host_of(F.col("url")), urlfilter.path_of(F.col("url")))).collect()]
     assert [[t for t in x if t.startswith("e=")] for x in got] == [["e=html"], [], []]
+
+
+def test_very_long_urls_clashing_columns_and_the_bound(spark):
+    long = "http://bad.org/" + "/".join(f"p{i}" for i in range(20_000))
+    rows = [(i, f"http://{'bad' if i % 2 else 'good'}.org/{i}", "x", "y", 1, 2) for i in range(200)] + [(500, long, "x", "y", 1, 2), (501, None, "x", "y", 1, 2)]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, tokens string, mined string, _file int, _row int")
+    known = labels(spark, [(i, 1 - i % 2, 0) for i in range(150)])
+    for most in (100_000, 80):
+        got = {r["page_id"]: r for r in urlfilter.judge_urls(table, known, URL_RULES, max_labelled=most).collect()}
+        assert len(got) == 202 and got[500]["verdict"] == "block" and got[501]["verdict"] == "allow"
+        assert all((got[i]["verdict"] == "block") == bool(i % 2) for i in range(200))
