@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.functions import rules as R
+from keelson.sources.ranged import copy_objects
 
 #: Result sets in the order of summaries.
 RESULTS = ("ok_objects", "corrupted_objects", "check_failed", "ok_mp", "corrupted_mp", "mp_check_failed", "mp", "list_parse_failed", "list_failed", "invalid_keys", "parse_failed")
@@ -105,6 +106,16 @@ def backup_plan(manifest: DataFrame, head: DataFrame, copies: DataFrame) -> Data
     return joined.withColumns({"result": result, "stage": stage})
 
 
+def backup(manifest: DataFrame, head: DataFrame, source: str, target: str) -> DataFrame:
+    """backup_plan of manifest (key, is_multipart, offsets) after its objects have been copied from folder source to
+    folder target: those that are there and whose type is the declared one."""
+    joined = head_joined(manifest, head)
+    todo = joined.where(F.col("found") & (F.col("is_multipart") == ~R.is_normal_etag(F.col("etag"))))
+    at = lambda folder: F.concat(F.lit(f"{folder}/"), "key")
+    copies = copy_objects(todo.select("key", at(source).alias("source"), at(target).alias("target"), F.when(F.col("is_multipart"), F.col("offsets")).alias("offsets"), "size"))
+    return backup_plan(manifest, head, copies.select("key", F.col("dst_etag").alias("etag")))
+
+
 def part_ranges(offsets: DataFrame) -> DataFrame:
     """key, part_no, start, length for rows (key, size, offsets): each part ends where the next starts."""
     parts = offsets.select("key", "size", "offsets", F.posexplode("offsets").alias("i", "start"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.functions import rules as R
+from keelson.sources.listing import in_ranges, numbered
 
 
 def journal_states(events: DataFrame) -> DataFrame:
@@ -53,13 +54,26 @@ def call_metrics(calls: DataFrame) -> DataFrame:
 
 
 def failure_streaks(calls: DataFrame, threshold: int = 3) -> DataFrame:
-    """calls with streak (failures in a row of the worker before this call) and slow (streak at the threshold)."""
-    order = Window.partitionBy("worker").orderBy("call_id")
+    """calls with streak (failures in a row of the worker before this call) and slow (streak at the threshold).
+
+    The failures before a call, less those up to the last success before it; both are carried from range to range of the
+    worker's calls, so that no task holds a worker."""
     failed = ~((F.col("http_code") >= 200) & (F.col("http_code") < 300))
-    at = calls.withColumn("_f", failed.cast("int")).withColumn("_g", F.sum(1 - F.col("_f")).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    group = F.coalesce("_g", F.lit(0))
-    within = Window.partitionBy("worker", "_group").orderBy("call_id").rowsBetween(Window.unboundedPreceding, -1)
-    return at.withColumn("_group", group).withColumn("streak", F.coalesce(F.sum("_f").over(within), F.lit(0)).cast("bigint")).withColumn("slow", F.col("streak") >= threshold).drop("_f", "_g", "_group")
+    at = in_ranges(calls.withColumn("_f", failed.cast("int")), ["worker"], [F.col("call_id")])
+    within = Window.partitionBy("worker", "_range").orderBy("call_id")
+    before = within.rowsBetween(Window.unboundedPreceding, -1)
+    at = at.withColumn("_so_far", F.sum("_f").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    at = at.withColumn("_settled", F.when(F.col("_f") == 0, F.col("_so_far")))  # failures up to a success
+    each = at.groupBy("worker", "_range").agg(F.sum("_f").alias("_n"), F.max("_settled").alias("_s"))
+    ranges = Window.partitionBy("worker").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("_n0", F.coalesce(F.sum("_n").over(ranges), F.lit(0)))
+    each = each.withColumn("_s0", F.coalesce(F.max(F.col("_n0") + F.col("_s")).over(ranges), F.lit(0)))
+    starts = each.select(F.col("worker").alias("_w"), F.col("_range").alias("_r"), "_n0", "_s0")
+    at = at.withColumns({"_c": F.coalesce(F.sum("_f").over(before), F.lit(0)), "_last": F.max("_settled").over(before)})
+    at = at.join(starts, F.col("worker").eqNullSafe(F.col("_w")) & (F.col("_range") == F.col("_r")))
+    settled = F.coalesce(F.col("_n0") + F.col("_last"), F.col("_s0"))
+    streak = (F.col("_n0") + F.col("_c") - settled).cast("bigint")
+    return at.select(*calls.columns, streak.alias("streak"), (streak >= threshold).alias("slow"))
 
 
 def isolation(calls: DataFrame, threshold: int = 3) -> DataFrame:
@@ -74,13 +88,15 @@ def isolation(calls: DataFrame, threshold: int = 3) -> DataFrame:
 
 def tick_deltas(ticks: DataFrame) -> DataFrame:
     """ticks (scope, tick, n) with delta since the tick before."""
-    w = Window.partitionBy("scope").orderBy("tick")
-    return ticks.withColumn("delta", F.col("n") - F.lag("n", 1, 0).over(w))
+    at = numbered(ticks, ["scope"], [F.col("tick")])
+    last = at.select(F.col("scope").alias("_s"), (F.col("row_no") + 1).alias("_r"), F.col("n").alias("_before"))
+    joined = at.join(last, F.col("scope").eqNullSafe(F.col("_s")) & (F.col("row_no") == F.col("_r")), "left")
+    return joined.select(*ticks.columns, (F.col("n") - F.coalesce("_before", F.lit(0))).alias("delta"))
 
 
 def every_nth(rows: DataFrame, scope: str, order: str, n: int) -> DataFrame:
     """The rows whose number within the scope is a multiple of n."""
-    return rows.withColumn("row_no", F.row_number().over(Window.partitionBy(scope).orderBy(order)).cast("bigint")).where(F.col("row_no") % n == 0)
+    return numbered(rows, [scope], [F.col(order)]).where(F.col("row_no") % n == 0)
 
 
 def latency_windows(calls: DataFrame, seconds: int = 60) -> DataFrame:

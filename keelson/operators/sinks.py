@@ -30,9 +30,12 @@ def write_log(rows: DataFrame, path: str) -> None:
 
 
 def failure_log(calls: DataFrame) -> DataFrame:
-    """level, msg, op, http_code ('N/A' for none), s3_code and err ('-' for empty) of failed calls."""
+    """time, level, msg, req_id, bucket, key or prefix (the other is null), http_code ('N/A' for none), s3_code and err ('-'
+    for empty) of failed calls (call_id, ts, op, req_id, bucket, target, ...); the target of a listing is a prefix."""
     failed = calls.where((F.col("http_code") < 200) | (F.col("http_code") >= 300))
-    return failed.select("call_id", F.lit("WARN").alias("level"), F.concat("op", F.lit(" failed")).alias("msg"), F.when(F.col("http_code") == 0, "N/A").otherwise(F.col("http_code").cast("string")).alias("http_code"), R.or_dash(F.col("s3_code")).alias("s3_code"), R.or_dash(F.col("err")).alias("err"))
+    listing = F.col("op") == "list"
+    what = [R.rfc3339(F.col("ts").cast("timestamp")).alias("time"), R.or_dash(F.col("req_id")).alias("req_id"), R.or_dash(F.col("bucket")).alias("bucket"), F.when(~listing, F.col("target")).alias("key"), F.when(listing, F.col("target")).alias("prefix")]
+    return failed.select("call_id", *what, F.lit("WARN").alias("level"), F.concat("op", F.lit(" failed")).alias("msg"), F.when(F.col("http_code") == 0, "N/A").otherwise(F.col("http_code").cast("string")).alias("http_code"), R.or_dash(F.col("s3_code")).alias("s3_code"), R.or_dash(F.col("err")).alias("err"))
 
 
 def parse_failures(uploads: DataFrame) -> DataFrame:

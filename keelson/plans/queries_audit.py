@@ -8,6 +8,7 @@ from keelson.functions import rules as R
 from keelson.operators import audit as A
 from keelson.operators import sinks as K
 from keelson.plans.registry import query
+from keelson.sources import listing as L
 from keelson.sources import manifest as M
 from keelson.sources import ranged
 from keelson.sources.shared import new_folder
@@ -339,7 +340,7 @@ def k12(v):
     return v.spark.read.text(path).withColumnRenamed("value", "line")
 
 
-@query("k13_run_folders")
+@query("k13_run_folders", CORE + " SELECT result, count(*) AS n FROM r GROUP BY result")
 def k13(v):
     at = datetime.datetime(2024, 1, 2, 3, 4, 5)
     paths = [K.run_folder(new_folder(v.spark, "run") + "/", at + datetime.timedelta(seconds=i)) for i in range(2)]
@@ -348,9 +349,9 @@ def k13(v):
     return K.read_lines(v.spark, paths[0]).unionByName(K.read_lines(v.spark, paths[1])).groupBy("result").agg(F.count("*").alias("n"))
 
 
-@query("k14_relay_regular", "SELECT key, md5(body) AS dst_etag FROM f1_inventory WHERE doc_id % 10 = 0 AND NOT contains(key, '|')")
+@query("k14_relay_regular", "SELECT key, md5(body) AS dst_etag FROM f1_inventory WHERE NOT contains(key, '|')")
 def k14(v):
-    return relayed_regular(v, v("f1_inventory").where("doc_id % 10 = 0"))
+    return relayed_regular(v, v("f1_inventory"))
 
 
 @query("k14_relay_regular_whole")
@@ -365,54 +366,46 @@ def relayed_regular(v, rows):
 PARTS = "substring(hex(encode(body)), CAST(2 * (size // 2) * i + 1 AS BIGINT), CAST(CASE WHEN i = 0 THEN 2 * (size // 2) ELSE 2 * size END AS BIGINT))"
 
 
-@query("k15_relay_multipart", f", x AS (SELECT key, body, size, unnest([0, 1]) AS i FROM f1_inventory WHERE doc_id % 10 = 3 AND size > 1 AND NOT contains(key, '|')) SELECT key, md5(unhex(string_agg(md5(unhex({PARTS})), '' ORDER BY i))) || '-2' AS dst_etag FROM x GROUP BY key")
+@query("k15_relay_multipart", f", x AS (SELECT key, body, size, unnest([0, 1]) AS i FROM f1_inventory WHERE NOT contains(key, '|')) SELECT key, CASE WHEN size > 1 THEN md5(unhex(string_agg(md5(unhex({PARTS})), '' ORDER BY i))) || '-2' END AS dst_etag FROM x GROUP BY key, size")
 def k15(v):
-    return relayed_multipart(v, v("f1_inventory").where("doc_id % 10 = 3"))
+    return relayed(v, halves(v))
 
 
 @query("k15_relay_multipart_whole")
 def k15_whole(v):
-    return relayed_multipart(v, v("f1_inventory"))
+    return relayed(v, halves(v).where("size > 1"))
 
 
-def relayed_multipart(v, rows):
-    rows = rows.where("size > 1 AND NOT contains(key, '|')")
-    return relayed(v, rows.withColumn("offsets", F.array(F.lit(0).cast("bigint"), F.expr("size div 2"))))
+def halves(v):
+    """Objects in two parts; of an empty object or of one byte a part has no bytes, and the copy fails."""
+    return v("f1_inventory").where("NOT contains(key, '|')").withColumn("offsets", F.array(F.lit(0).cast("bigint"), F.expr("size div 2")))
 
 
 def relayed(v, rows):
     """Bodies stored as objects of a folder, copied to another."""
     source, target = new_folder(v.spark, "bucket"), new_folder(v.spark, "backup")
-
-    def store(batches):
-        import pyarrow as pa
-        import pyarrow.fs as pafs
-
-        for batch in batches:
-            for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                fs, at = pafs.FileSystem.from_uri(f"{source}/{key}")
-                fs.create_dir(at.rpartition("/")[0], recursive=True)
-                with fs.open_output_stream(at) as out:
-                    out.write(body)
-            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["key"])
-
-    stored = rows.select("key", F.col("body").cast("binary").alias("body")).mapInArrow(store, "key string")
-    keys = stored.groupBy("key").agg(F.count("*").alias("_n"))
-    objects = rows.join(keys, "key").select("key", F.concat(F.lit(source + "/"), "key").alias("source"), F.concat(F.lit(target + "/"), "key").alias("target"), "offsets", "size")
+    ranged.store_objects(rows, source)
+    objects = rows.select("key", F.concat(F.lit(source + "/"), "key").alias("source"), F.concat(F.lit(target + "/"), "key").alias("target"), "offsets", "size")
     return ranged.copy_objects(objects).select("key", "dst_etag")
 
 
-@query("k16_archive")
+@query("k16_archive", "SELECT line FROM f6_lines")
 def k16(v):
     lines = v("f6_lines").select("line")
     return v.spark.read.text(K.archive(lines, new_folder(v.spark, "archive"), "lines", datetime.datetime(2024, 1, 2))).withColumnRenamed("value", "line")
 
 
-@query("s15_ranged_read")
+RANGE = "hex(CAST(unhex(substring(hex(encode(body)), CAST(2 * s + 1 AS BIGINT), CAST(2 * n AS BIGINT))) AS BLOB))"
+
+
+@query("s15_ranged_read", f", x AS (SELECT key, body, unnest([0, greatest(size - 128, 0)]) AS s, 128 AS n, unnest([0, 1]) AS no FROM f1_inventory) SELECT key, no, CAST(s AS BIGINT) AS start, {RANGE} AS bytes FROM x")
 def s15(v):
-    files = v.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(v.sf_dir).select("path", "length")
-    probes = files.select("path", F.explode(F.array(F.lit(0).cast("bigint"), F.col("length") - 4)).alias("start"), F.lit(4).alias("length"))
-    return ranged.read_ranges(probes).select(F.element_at(F.split("path", "/"), -1).alias("file"), "start", F.hex("body").alias("bytes"))
+    """The first and the last 128 bytes of every stored object."""
+    rows, folder = v("f1_inventory"), new_folder(v.spark, "bucket")
+    ranged.store_objects(rows, folder)
+    windows = rows.select("key", F.concat(F.lit(folder + "/"), "key").alias("path"), F.posexplode(F.array(F.lit(0).cast("bigint"), F.greatest(F.col("size") - 128, F.lit(0)))).alias("no", "start"))
+    read = ranged.read_ranges(windows.select("path", "start", F.lit(128).alias("length")).distinct())
+    return windows.join(read, ["path", "start"]).select("key", F.col("no").cast("int").alias("no"), "start", F.hex("body").alias("bytes"))
 
 
 DECL = ", d AS (SELECT d.key, d.is_multipart AS declared, h.etag, h.size FROM f7_declared d LEFT JOIN f7_head h ON d.key = h.key)"
@@ -435,17 +428,33 @@ def j2(v):
     return joined.select("key", F.col("is_multipart").alias("declared"), now.alias("now_multipart"), (F.col("found") & (F.col("is_multipart") != now)).alias("drifted"))
 
 
-BACK = DECL + ", b AS (SELECT key, CASE WHEN etag IS NULL THEN 'backup_failed' WHEN declared <> contains(etag, '-') THEN 'mismatch' WHEN length(key) % 3 = 0 THEN 'backup_failed' WHEN length(key) % 5 = 0 THEN 'backup_failed' ELSE 'backup_ok' END AS result, CASE WHEN etag IS NULL THEN 'head' WHEN declared <> contains(etag, '-') THEN '' WHEN length(key) % 3 = 0 THEN 'upload' WHEN length(key) % 5 = 0 THEN 'etag' ELSE '' END AS stage, declared, etag FROM d)"
+#: The store has lost the second half of the objects of the owner '..', and plain multipart ETags aren't those of two halves.
+BACK = DECL + """, s AS (SELECT key, owner_id = '..' AND size > 0 AS short FROM f1_inventory),
+b AS (SELECT d.key, CASE WHEN etag IS NULL THEN 'head' WHEN declared <> contains(etag, '-') THEN '' WHEN short OR declared AND size < 2 THEN 'upload' WHEN declared THEN 'etag' ELSE '' END AS stage, declared, etag,
+  CASE WHEN etag IS NULL THEN 'backup_failed' WHEN declared <> contains(etag, '-') THEN 'mismatch' WHEN short OR declared THEN 'backup_failed' ELSE 'backup_ok' END AS result FROM d JOIN s ON d.key = s.key)"""
+
+
+def planned(v):
+    """Every line before its copy is made: what isn't there, and what has another type now."""
+    none = v("f7_head").select("key", "etag").limit(0)
+    return A.backup_plan(declared(v), v("f7_head"), none)
 
 
 def backed_up(v):
-    copies = v("f7_head").where(F.length("key") % 3 != 0).select("key", F.when(F.length("key") % 5 == 0, "other").otherwise(F.col("etag")).alias("etag"))
-    return A.backup_plan(declared(v), v("f7_head"), copies)
+    """The whole job: the lines are archived, then each object that is there as declared is copied and compared."""
+    folder = new_folder(v.spark, "backup-job")
+    kept = F.when(F.col("owner_id") == "..", F.substring("body", F.lit(1), F.expr("length(body) div 2"))).otherwise(F.col("body"))
+    ranged.store_objects(v("f1_inventory").select("key", kept.alias("body")), f"{folder}/bucket")
+    head = v("f7_head")
+    lines = declared(v).drop("offsets").join(head.select("key", F.col("size").alias("_n")), "key", "left")
+    manifest = lines.select("key", "is_multipart", F.when(F.col("is_multipart"), F.array(F.lit(0).cast("bigint"), F.expr("_n div 2"))).alias("offsets"))
+    K.archive(manifest.select(F.concat_ws("|", F.lit("bkt"), "key").alias("line")), f"{folder}/copies", "lines", datetime.datetime(2024, 1, 2))
+    return A.backup(manifest, head, f"{folder}/bucket", f"{folder}/copies")
 
 
 @query("j3_type_gate", BACK + " SELECT key FROM b WHERE result = 'mismatch'")
 def j3(v):
-    return backed_up(v).where("result = 'mismatch'").select("key")
+    return planned(v).where("result = 'mismatch'").select("key")
 
 
 @query("j4_copy_etags", BACK + " SELECT key, result FROM b WHERE stage = 'etag' OR result = 'backup_ok'")
@@ -465,7 +474,7 @@ def c4(v):
 
 @query("k6_mismatch_reasons", BACK + " SELECT key, CASE WHEN contains(etag, '-') THEN 'the line is regular, the current ETag is multipart' ELSE 'the line is multipart, the current ETag is a plain MD5' END AS reason FROM b WHERE result = 'mismatch'")
 def k6(v):
-    return backed_up(v).where("result = 'mismatch'").select("key", R.mismatch_reason(F.col("is_multipart"), F.col("etag")).alias("reason"))
+    return planned(v).where("result = 'mismatch'").select("key", R.mismatch_reason(F.col("is_multipart"), F.col("etag")).alias("reason"))
 
 
 @query("c3_check_file", CORE + """ SELECT d.key, CASE WHEN e.etag IS NULL THEN CASE WHEN d.is_multipart THEN 'mp_check_failed' ELSE 'check_failed' END WHEN contains(e.etag, '-') THEN CASE WHEN d.is_multipart THEN CASE WHEN r.size > 0 AND r.bad THEN 'corrupted_mp' ELSE 'ok_mp' END ELSE 'mp' END
@@ -511,12 +520,10 @@ def j8(v):
     return rows.select("line").join(rows.where("result = 'ok_objects'").select("line").distinct(), "line", "left_anti")
 
 
-@query("t2_sorted_union", FAILS + " SELECT line, row_number() OVER (PARTITION BY substr(line, 1, 6) ORDER BY line) AS n FROM (SELECT DISTINCT line FROM fl WHERE result <> 'ok_objects')")
+@query("t2_sorted_union", FAILS + " SELECT line, row_number() OVER (ORDER BY line) AS n FROM (SELECT DISTINCT line FROM fl WHERE result <> 'ok_objects')")
 def t2(v):
-    from pyspark.sql import Window
-
     lines = failures(v).where("result <> 'ok_objects'").select("line").distinct()
-    return lines.withColumn("n", F.row_number().over(Window.partitionBy(F.substring("line", 1, 6)).orderBy("line")).cast("bigint"))
+    return L.ordered(lines, [F.col("line")]).select("line", F.col("row_no").alias("n"))
 
 
 @query("a14_convergence", FAILS + " SELECT 2 AS run_id, count(*) FILTER (WHERE result IN ('check_failed', 'mp_check_failed', 'mismatch')) AS open, count(*) FILTER (WHERE result IN ('check_failed', 'mp_check_failed', 'mismatch')) = 0 AS converged FROM fl WHERE run_id = (SELECT max(run_id) FROM fl)")

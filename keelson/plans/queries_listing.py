@@ -42,8 +42,14 @@ def s5(v):
 
 @query("s6_count_only", "SELECT count(*) AS bfs, count(*) AS walk, count(*) FILTER (WHERE key <> '' AND NOT ends_with(key, '/')) AS iter, count(*) FILTER (WHERE key <> '' AND NOT ends_with(key, '/')) AS sub FROM f1_inventory")
 def s6(v):
-    real = (F.col("key") != "") & ~F.col("key").endswith("/")
-    return v("f1_inventory").agg(F.count("*").alias("bfs"), F.count("*").alias("walk"), F.count_if(real).alias("iter"), F.count_if(real).alias("sub"))
+    """Level by level, by a walk, by one flat listing, and by root objects and sub-prefixes: each counts its own rows."""
+    inv = v("f1_inventory")
+    total = lambda df, name: df.agg(F.count("*").alias("n")).withColumn("how", F.lit(name))
+    dirs = L.prefixes(inv)
+    parent = F.element_at(L.ancestors(F.col("key")), -1).alias("prefix")
+    ways = [total(inv.select("key", parent).join(dirs, "prefix"), "bfs"), total(L.walk(inv)[0], "walk"), total(L.countable(L.flat(inv, "")), "iter"), total(L.countable(L.two_phase(inv)), "sub")]
+    every = ways[0].unionByName(ways[1]).unionByName(ways[2]).unionByName(ways[3])
+    return every.agg(*(F.max(F.when(F.col("how") == h, F.col("n"))).alias(h) for h in ("bfs", "walk", "iter", "sub")))
 
 
 @query("s7_walk_totals", f"SELECT count(*) AS files, CAST(sum(CASE WHEN size > 0 THEN size ELSE 0 END) AS BIGINT) AS bytes, (SELECT count(DISTINCT prefix) FROM (SELECT {UP} AS prefix FROM f1_inventory)) AS dirs FROM f1_inventory")
@@ -227,24 +233,26 @@ def w9(v):
     return L.versions_after(versions, *(marker or ("", ""))).select("key", "version_id")
 
 
-PAGES = ", pg AS (SELECT *, substr(key, 1, instr(key, '/') - 1) AS prefix, (row_number() OVER (PARTITION BY bucket, substr(key, 1, instr(key, '/') - 1) ORDER BY key, last_modified DESC, version_id) - 1) // 20 + 1 AS page FROM f3_versions), tails AS (SELECT prefix, page, count(*) AS entries, max(key) AS tail_key, arg_max(version_id, {'k': key, 't': -epoch_us(last_modified), 'v': version_id}) AS tail_version FROM pg WHERE o_orderkey % 41 <> 0 GROUP BY prefix, page)"
+PAGES = ", pg AS (SELECT *, substr(key, 1, instr(key, '/') - 1) AS prefix, (row_number() OVER (PARTITION BY bucket, substr(key, 1, instr(key, '/') - 1) ORDER BY key, last_modified DESC, version_id) - 1) // 20 + 1 AS page FROM f3_versions), tails AS (SELECT prefix, page, count(*) AS entries, max(key) AS tail_key, arg_max(version_id, {'k': key, 't': -epoch_us(last_modified), 'v': version_id}) AS tail_version FROM pg GROUP BY prefix, page)"
 
 
-@query("w10_short_pages", PAGES + " SELECT prefix, page, entries, page < max(page) OVER (PARTITION BY prefix) AS truncated, page < max(page) OVER (PARTITION BY prefix) AND entries < 20 AS short FROM tails")
+@query("w10_short_pages", PAGES + ", live AS (SELECT prefix, page, count(*) FILTER (WHERE NOT is_delete_marker) AS entries FROM pg GROUP BY ALL) SELECT prefix, page, entries, page < max(page) OVER (PARTITION BY prefix) AS truncated, page < max(page) OVER (PARTITION BY prefix) AND entries < 20 AS short FROM live")
 def w10(v):
-    tails = V_.page_tails(V_.paged(v("f3_versions"), 20).where("o_orderkey % 41 <> 0"))
-    return V_.short_pages(tails, 20).select("prefix", "page", "entries", "truncated", "short")
+    """Pages of 20 versions from which delete markers are hidden: pages that had some come back short."""
+    paged = V_.paged(v("f3_versions"), 20)
+    live = paged.groupBy("prefix", "page").agg(F.count_if(~F.col("is_delete_marker")).alias("entries"))
+    return V_.short_pages(live, 20).select("prefix", "page", "entries", "truncated", "short")
 
 
 @query("a11_page_tail", PAGES + " SELECT prefix, page, tail_key, tail_version FROM tails")
 def a11(v):
-    return V_.page_tails(V_.paged(v("f3_versions"), 20).where("o_orderkey % 41 <> 0")).select("prefix", "page", "tail_key", "tail_version")
+    return V_.page_tails(V_.paged(v("f3_versions"), 20)).select("prefix", "page", "tail_key", "tail_version")
 
 
 @query("p35_marker_repair", PAGES + """, raw AS (SELECT *, CASE page % 4 WHEN 0 THEN '0' WHEN 1 THEN '17' WHEN 2 THEN tail_version ELSE 'null' END AS marker, CASE WHEN page % 8 = 1 THEN tail_key ELSE 'elsewhere' END AS next_key FROM tails)
 SELECT prefix, page, marker, CASE WHEN NOT regexp_full_match(marker, '[+-]?[0-9]+') THEN marker WHEN CAST(marker AS BIGINT) = 0 THEN 'null' WHEN next_key = tail_key THEN tail_version ELSE marker END AS repaired FROM raw""")
 def p35(v):
-    tails = V_.page_tails(V_.paged(v("f3_versions"), 20).where("o_orderkey % 41 <> 0"))
+    tails = V_.page_tails(V_.paged(v("f3_versions"), 20))
     raw = tails.withColumns({"marker": F.expr("CASE page % 4 WHEN 0 THEN '0' WHEN 1 THEN '17' WHEN 2 THEN tail_version ELSE 'null' END"), "next_key": F.expr("CASE WHEN page % 8 = 1 THEN tail_key ELSE 'elsewhere' END")})
     return raw.select("prefix", "page", "marker", R.repaired_marker(F.col("marker"), F.col("next_key"), F.col("tail_key"), F.col("tail_version")).alias("repaired"))
 
@@ -268,9 +276,11 @@ def p21(v):
     return v("f3_versions").select("version_id", "key", R.rfc3339(ts).alias("at"))
 
 
-@query("t1_listing_order", f"SELECT key, version_id, {ORDER} AS n FROM f3_versions")
+@query("t1_listing_order", "SELECT key, version_id, row_number() OVER (ORDER BY key, last_modified DESC, version_id) AS n FROM f3_versions")
 def t1(v):
-    return v("f3_versions").select("key", "version_id", F.row_number().over(L.version_order(None)).cast("bigint").alias("n"))
+    """The place of every version in the whole listing: keys ascending, of a key the newest first."""
+    at = L.ordered(v("f3_versions"), [F.col("key"), F.col("last_modified").desc(), F.col("version_id")])
+    return at.select("key", "version_id", F.col("row_no").alias("n"))
 
 
 @query("t3_next_page", "SELECT key, size FROM f1_inventory WHERE key > 'src12/' ORDER BY key LIMIT 25")

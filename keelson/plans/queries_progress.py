@@ -109,12 +109,18 @@ def p23(v):
     return v("f5_calls").select("call_id", R.delete_state(F.col("http_code"), F.col("s3_code")).alias("state"))
 
 
-LOG = "SELECT call_id, CASE WHEN http_code = 0 THEN 'N/A' ELSE CAST(http_code AS VARCHAR) END AS http_code, CASE WHEN s3_code = '' THEN '-' ELSE s3_code END AS s3_code, CASE WHEN err = '' THEN '-' ELSE err END AS err, op || ' failed' AS msg, 'WARN' AS level FROM f5_calls WHERE http_code NOT BETWEEN 200 AND 299"
+LOG = "SELECT call_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS time, CASE WHEN http_code = 0 THEN '-' ELSE 'req-' || call_id END AS req_id, 'bkt' AS bucket, CASE WHEN op <> 'list' THEN 'k/' || call_id END AS key, CASE WHEN op = 'list' THEN 'p' || worker || '/' END AS prefix, CASE WHEN http_code = 0 THEN 'N/A' ELSE CAST(http_code AS VARCHAR) END AS http_code, CASE WHEN s3_code = '' THEN '-' ELSE s3_code END AS s3_code, CASE WHEN err = '' THEN '-' ELSE err END AS err, op || ' failed' AS msg, 'WARN' AS level FROM f5_calls WHERE http_code NOT BETWEEN 200 AND 299"
+
+
+def logged(v):
+    """Failed calls with what their log lines name; calls without a response have no request id."""
+    target = F.when(F.col("op") == "list", F.concat(F.lit("p"), "worker", F.lit("/"))).otherwise(F.concat(F.lit("k/"), "call_id"))
+    return K.failure_log(v("f5_calls").withColumns({"req_id": F.when(F.col("http_code") == 0, "").otherwise(F.concat(F.lit("req-"), "call_id")), "bucket": F.lit("bkt"), "target": target}))
 
 
 @query("p25_error_fields", f"SELECT call_id, http_code, s3_code, err FROM ({LOG})")
 def p25(v):
-    return K.failure_log(v("f5_calls")).select("call_id", "http_code", "s3_code", "err")
+    return logged(v).select("call_id", "http_code", "s3_code", "err")
 
 
 @query("k4_failure_log", LOG)
@@ -122,7 +128,7 @@ def k4(v):
     from keelson.sources.shared import new_folder
 
     path = new_folder(v.spark, "log")
-    rows = K.failure_log(v("f5_calls"))
+    rows = logged(v)
     K.write_log(rows, path)
     return v.spark.read.schema(rows.schema).json(path)
 

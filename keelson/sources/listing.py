@@ -41,8 +41,7 @@ def walk(inventory: DataFrame, failed: DataFrame | None = None) -> tuple[DataFra
     """Objects that a recursive walk reaches, and the failed prefixes; siblings of a failed prefix are kept."""
     if failed is None:
         return inventory, inventory.select(F.lit("").alias("prefix")).limit(0)
-    up = inventory.select("*", F.explode(ancestors(F.col("key"))).alias("_p")).join(F.broadcast(failed.select(F.col("prefix").alias("_p"))), "_p", "left_semi")
-    return inventory.join(up.select("key").distinct(), "key", "left_anti"), failed
+    return inventory.join(keys_under(inventory, failed), "key", "left_anti"), failed
 
 
 def two_phase(inventory: DataFrame, start_after: str = "") -> DataFrame:
@@ -81,26 +80,43 @@ def versions_after(versions: DataFrame, key_marker: str, version_marker: str) ->
     return ranked.withColumn("_at", at).where((F.col("key") > key_marker) | (F.col("_rn") > F.coalesce("_at", F.lit(0)))).drop("_rn", "_at")
 
 
+def keys_under(rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """The distinct keys of rows that start with the prefix of an entry and, if entries have a token, come after it.
+
+    A key is cut to the lengths that prefixes have, which are no more than a key has characters, and each cut is looked up
+    by an equi-join; of entries with one prefix the least token decides."""
+    lengths = [r[0] for r in entries.where("prefix is not null").select(F.length("prefix").alias("n")).distinct().orderBy("n").collect()]
+    token = F.col("token") if "token" in entries.columns else F.lit(None).cast("string")
+    least = entries.groupBy(F.col("prefix").alias("_p")).agg(F.min(F.coalesce(token, F.lit(""))).alias("_t"), F.lit("token" in entries.columns).alias("_after"))
+    fit = F.filter(F.array(*(F.lit(n) for n in lengths)).cast("array<int>"), lambda n: n <= F.length("key"))
+    cut = rows.select("key", F.explode(fit).alias("_n")).select("key", F.expr("substring(key, 1, _n)").alias("_p"))
+    return cut.join(least, "_p").where(~F.col("_after") | (F.col("key") > F.col("_t"))).select("key").distinct()
+
+
 def under_entries(rows: DataFrame, entries: DataFrame) -> DataFrame:
-    """Rows (key) under any of a few entries (prefix), once each."""
-    return rows.join(F.broadcast(entries.select(F.col("prefix").alias("_p"))), F.expr("startswith(key, _p)"), "left_semi")
+    """Rows (key) under any of the entries (prefix), once each."""
+    return rows.join(keys_under(rows, entries.select("prefix")), "key", "left_semi")
 
 
 def resumed(inventory: DataFrame, entries: DataFrame) -> DataFrame:
-    """Rows under an entry's prefix and after its token; a range join with few entries, which are sent around."""
-    e = F.broadcast(entries.select(F.col("prefix").alias("_p"), F.col("token").alias("_t")))
-    return inventory.join(e, F.expr("startswith(key, _p) AND key > _t"), "left_semi")
+    """Rows under the prefix of an entry (prefix, token) and after its token, once each."""
+    return inventory.join(keys_under(inventory, entries.select("prefix", "token")), "key", "left_semi")
+
+
+def in_ranges(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """rows with _range, dealt by ranges of (by, order) and written once: no task holds a whole group."""
+    spark = rows.sparkSession
+    path = new_folder(spark, "ranges")
+    rows.repartitionByRange(*(F.col(c) for c in by), *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def numbered(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """rows with row_no (from 1) within `by` in a total order, without a task that holds a whole group.
 
-    Rows are dealt by ranges of (by, order) and written once; a group's rows in a range are numbered from the count of
-    those in the ranges before it. The one window over a whole group has a row for each of its ranges."""
-    spark = rows.sparkSession
-    path = new_folder(spark, "numbered")
-    rows.repartitionByRange(*(F.col(c) for c in by), *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
-    dealt = spark.read.parquet(path)
+    A group's rows in a range are numbered from the count of those in the ranges before it. The one window over a whole
+    group has a row for each of its ranges."""
+    dealt = in_ranges(rows, by, order)
     each = dealt.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     starts = each.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_range").alias("_r"), F.coalesce(before, F.lit(0)).alias("_before"))
@@ -110,6 +126,11 @@ def numbered(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return at.select(*rows.columns, (F.col("_before") + F.col("_within")).cast("bigint").alias("row_no"))
 
 
+def ordered(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """rows with row_no, their place in one order of all rows."""
+    return numbered(rows.withColumn("_all", F.lit(0)), ["_all"], order).drop("_all")
+
+
 def pages(entries: DataFrame, size: int) -> DataFrame:
     """prefix, page, entries, first, next_marker and truncated for the ordered entries (prefix, entry) of each prefix."""
     at = numbered(entries.select("prefix", "entry"), ["prefix"], [F.col("entry")])

@@ -159,3 +159,75 @@ def test_check_in_each_mode(spark):
     assert at("segment", 1500) == one | {"mid": "corrupted_mp", "plain-mp": "ok_mp"}
     line = {r["key"]: r["line"] for r in A.check(inv, "offset").collect()}
     assert line["mid"] == "b|mid|2|0|1500" and line["whole"] == "b|whole"
+
+
+def test_copies_that_fail_leave_nothing(spark, tmp_path):
+    (tmp_path / "src").write_bytes(b"0123456789")
+    at = lambda n: f"file://{tmp_path}/{n}"
+    rows = [("ok", at("src"), at("a/ok"), [0, 5], 10), ("empty part", at("src"), at("a/e"), [0, 5, 5], 10), ("no last part", at("src"), at("a/l"), [0, 10], 10), ("short", at("src"), at("a/s"), None, 12), ("short part", at("src"), at("a/p"), [0, 20], 30), ("gone", at("none"), at("a/g"), None, 1), ("zero", at("src"), at("a/z"), None, 0)]
+    got = {r["key"]: (r["dst_etag"], r["error"]) for r in ranged.copy_objects(spark.createDataFrame(rows, "key string, source string, target string, offsets array<bigint>, size bigint")).collect()}
+    assert {k for k, (etag, _) in got.items() if etag} == {"ok", "zero"} and all(e for k, (_, e) in got.items() if k not in ("ok", "zero"))
+    assert "length 0" in got["empty part"][1] and "ends at 10" in got["short"][1]
+    assert sorted(p.name for p in (tmp_path / "a").iterdir()) == ["ok", "z"]
+
+
+def test_backup_job(spark, tmp_path):
+    import hashlib
+
+    md5 = lambda b: hashlib.md5(b).hexdigest()
+    bodies = {"one": b"x" * 10, "two": b"y" * 10, "short": b"z" * 4, "drift": b"d", "tiny": b"t"}
+    composite = md5(hashlib.md5(b"y" * 5).digest() * 2) + "-2"
+    manifest = spark.createDataFrame([("one", False, None), ("two", True, [0, 5]), ("short", False, None), ("drift", True, [0]), ("gone", False, None), ("tiny", True, [0, 0])], "key string, is_multipart boolean, offsets array<bigint>")
+    head = spark.createDataFrame([("one", md5(bodies["one"]), 10), ("two", composite, 10), ("short", md5(b"z" * 10), 10), ("drift", md5(b"d"), 1), ("tiny", md5(b"t") + "-2", 1)], "key string, etag string, size bigint")
+    rows = spark.createDataFrame([(k, bytearray(b)) for k, b in bodies.items()], "key string, body binary")
+    source, target = f"file://{tmp_path}/bucket", f"file://{tmp_path}/copies"
+    assert ranged.store_objects(rows, source) == 5
+    got = {r["key"]: (r["result"], r["stage"]) for r in A.backup(manifest, head, source, target).collect()}
+    assert got == {"one": ("backup_ok", ""), "two": ("backup_ok", ""), "short": ("backup_failed", "upload"), "drift": ("mismatch", ""), "gone": ("backup_failed", "head"), "tiny": ("backup_failed", "upload")}
+    assert {p.name: p.read_bytes() for p in (tmp_path / "copies").iterdir()} == {"one": bodies["one"], "two": bodies["two"]}
+
+
+def test_a_failed_archive_stops_the_job(spark, tmp_path, monkeypatch):
+    from keelson.plans import queries_audit
+
+    made = []
+    monkeypatch.setattr(queries_audit.A, "backup", lambda *a: made.append(a))
+    monkeypatch.setattr(queries_audit, "new_folder", lambda *a: f"file://{tmp_path}/job")
+    run = queries_audit.backed_up
+
+    def v(what):
+        from keelson.plans.fixtures import view
+
+        return view(spark, "/root/testdata/sf0.001", what)
+
+    v.spark = spark
+    run(v)
+    assert len(made) == 1
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        run(v)  # the list of that name is there
+    assert len(made) == 1
+
+
+def test_rows_under_entries(spark):
+    keys = ["a", "a/1", "a/2", "ab/1", "b", "b/é/x", "", None, "a/2"]
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key string, n int")
+    got = lambda e: sorted(r["n"] for r in L.resumed(rows, spark.createDataFrame(e, "prefix string, token string")).collect())
+    assert got([("a", "a/1"), ("a/", "")]) == [1, 2, 3, 8] and got([("", "b")]) == [5] and got([("b/é/", None)]) == [5] and got([]) == []
+    under = lambda e: sorted(r["n"] for r in L.under_entries(rows, spark.createDataFrame([(x,) for x in e], "prefix string")).collect())
+    assert under(["a", "a/"]) == [0, 1, 2, 3, 8] and under([""]) == [0, 1, 2, 3, 4, 5, 6, 8]
+
+
+def test_streaks_and_numbers_across_ranges(spark):
+    import random
+
+    draw = random.Random(2)
+    rows = [(i, w, draw.choice((200, 500, 500, 0))) for i, w in enumerate(draw.choices((0, 0, 0, 1, 2), k=400))] + [(1000 + i, 3, 500) for i in range(50)]
+    calls = spark.createDataFrame(rows, "call_id bigint, worker bigint, http_code int").repartition(7)
+    want, run = {}, {}
+    for i, w, code in rows:
+        want[i] = run.get(w, 0)
+        run[w] = 0 if code == 200 else run.get(w, 0) + 1
+    got = P.failure_streaks(calls).collect()
+    assert {r["call_id"]: r["streak"] for r in got} == want and all(r["slow"] == (r["streak"] >= 3) for r in got)
+    places = [r["row_no"] for r in sorted(L.ordered(calls, [F.col("call_id")]).collect(), key=lambda r: r["call_id"])]
+    assert places == list(range(1, 451))
