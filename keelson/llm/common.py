@@ -76,9 +76,9 @@ SHARE, SPREAD = 512, 16
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """Keys with over 1 / SHARE of df's rows: fewer than SHARE, whatever the data."""
+    """Keys with over 1 / SHARE of df's rows: fewer than SHARE, whatever the data. Found once, and written."""
     n = df.count()
-    return df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > n / SHARE).select(key)
+    return written(df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > n / SHARE).select(key), "hot-keys")
 
 
 def join_spread(many: DataFrame, one: DataFrame, key: str, by: str | list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
@@ -86,7 +86,7 @@ def join_spread(many: DataFrame, one: DataFrame, key: str, by: str | list[str],
 
     hot: keys as `hot_keys` finds them. This short list is sent around; its keys' rows of many are dealt by a hash of the
     columns `by` to SPREAD tasks, and one's row goes to each of these."""
-    hot = F.broadcast(written(hot.select(F.col(key).alias("_hot")), "hot-keys"))
+    hot = F.broadcast(hot.select(F.col(key).alias("_hot")))
     by = [by] if isinstance(by, str) else by
     salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*by), F.lit(SPREAD))).otherwise(F.lit(0).cast("long"))
     left = many.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot")

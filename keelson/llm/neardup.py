@@ -33,13 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import hot_keys, join_spread, schema_of, text_of, tucked, untucked, written
+from keelson.llm.common import SHARE, hot_keys, join_spread, schema_of, text_of, tucked, untucked, written
 from keelson.llm.graph import components
 from keelson.llm.rows import addressed, choose, chosen, mask
 
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 #: Members of a posting list in one side of a tile of signatures; members and shingles in one of a tile of sets.
-TILE_ROWS, SET_ROWS, TILE_SHINGLES = 4096, 1024, 1_000_000
+TILE_ROWS, SET_ROWS, TILE_SHINGLES = 4096, 1024, 500_000
 MARK_SPARK, MARK_ARROW = schema_of(file="long", at="long", doc_id="long", n_shingles="long", node="long", sig="binary")
 SET_SPARK, SET_ARROW = schema_of(node="long", shingles="longs")
 
@@ -48,7 +48,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -189,11 +189,11 @@ class _Tiles:
         left = [r for r in rows if r[3] == bi]
         return left, left if bi == bj else [r for r in rows if r[3] == bj]
 
-    def near(self, left: list[tuple], right: list[tuple], key: int) -> np.ndarray:
-        """Which pairs of other components collide often enough, less those that an earlier list finds, by rows of left."""
+    def near(self, left: list[tuple], right: list[tuple], key: int) -> Iterator[np.ndarray]:
+        """Which pairs of other components collide often enough, less those that an earlier list finds: 256 rows of left
+        and all of right at a time."""
         side = lambda rs: (np.array([r[5] for r in rs]), np.array([r[6] for r in rs]), np.array([r[7] for r in rs]), np.frombuffer(b"".join([r[8] for r in rs]), "<u4").reshape(-1, self.k))
         (cb, nb, pb, kb) = side(right)
-        out = np.zeros((len(left), len(right)), bool)
         for at in range(0, len(left), 256):
             ca, na, pa_, ka = side(left[at : at + 256])
             count = np.zeros((len(ca), len(right)), np.uint8)
@@ -205,17 +205,19 @@ class _Tiles:
                     earlier |= same & (pa_[:, None] & pb[None, :] >> c & 1).astype(bool)
             ok = ~earlier & (count >= self.matches) & (ca[:, None] != cb[None, :])
             ok &= (100 * na[:, None] >= self.percent * nb[None, :]) & (100 * nb[None, :] >= self.percent * na[:, None])
-            out[at : at + 256] = ok
-        if left is right:
-            out &= np.triu(np.ones_like(out), 1)
-        return out
+            if left is right:  # each pair once
+                ok &= np.arange(len(right))[None, :] > np.arange(at, at + len(ca))[:, None]
+            yield ok
 
     def found(self, rows: list[tuple]) -> list[tuple[int, int]]:
         left, right = self.sides(rows)
         if not left or not right or len({r[5] for r in rows}) < 2:
             return []
-        near = self.near(left, right, rows[0][0])
-        nodes = {left[i][4] for i in np.flatnonzero(near.any(axis=1))} | {right[j][4] for j in np.flatnonzero(near.any(axis=0))}
+        one, other = [], np.zeros(len(right), bool)
+        for near in self.near(left, right, rows[0][0]):
+            one.append(near.any(axis=1))
+            other |= near.any(axis=0)
+        nodes = {left[i][4] for i in np.flatnonzero(np.concatenate(one))} | {right[j][4] for j in np.flatnonzero(other)}
         return [(rows[0][0], n) for n in nodes]
 
 
@@ -228,7 +230,7 @@ class _SetTiles(_Tiles):
         left, right = self.sides(rows)
         if not left or not right or len({r[5] for r in rows}) < 2:
             return []
-        near = self.near(left, right, rows[0][0])
+        near = np.concatenate(list(self.near(left, right, rows[0][0])))
         if not near.any():
             return []
         both = left if left is right else left + right
@@ -281,10 +283,11 @@ def _rows(column: pa.Array) -> list[np.ndarray]:
 def link_confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, matches: int, k: int) -> DataFrame:
     """Those of pairs (a, b) with enough collisions whose full sets are alike enough. Many a may share a b."""
     sig = lambda c: classes.select(F.col("node").alias(c), F.col("sig").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
-    met = join_spread(pairs.join(sig("a"), "a"), sig("b"), "b", by="a", hot=hot_keys(pairs, "b"))
+    hubs = hot_keys(pairs, "b")
+    met = join_spread(pairs.join(sig("a"), "a"), sig("b"), "b", by="a", hot=hubs)
     alike = written(met.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(_Alike(percent, matches, k), "a bigint, b bigint"), "near-alike")
     full = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"))
-    both = join_spread(alike.join(full("a"), "a"), full("b"), "b", by="a", hot=hot_keys(alike, "b"))
+    both = join_spread(alike.join(full("a"), "a"), full("b"), "b", by="a", hot=hubs)
     common = F.size(F.array_intersect("sa", "sb"))
     return both.withColumn("_c", common).where(100 * F.col("_c") >= percent * (F.size("sa") + F.size("sb") - F.col("_c"))).select("a", "b")
 
@@ -301,14 +304,15 @@ def near_rows(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 32, m
     rows = addressed(docs.select("doc_id", "text"))
     rows = rows.select("_file", "_row", F.col("doc_id").cast("long").alias("doc_id"), text_of(rows).cast("binary").alias("text"))
     marks = written(rows.mapInArrow(_Marks(width, k), MARK_SPARK), "near-marks")
-    classes = marks.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("sig").alias("sig"), F.max("n_shingles").alias("n"), F.min(F.struct(F.col("file").alias("_file"), F.col("at").alias("_row"))).alias("at"))
+    classes = marks.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("sig").alias("sig"), F.max("n_shingles").alias("n"), F.count("*").alias("rows"), F.min(F.struct(F.col("file").alias("_file"), F.col("at").alias("_row"))).alias("at"))
     classes = written(classes, "near-classes")
     comps = linked_classes(rows, classes, width, percent, k, matches)
     named = classes.select("node", "first").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("first").alias("component"))
     of_node = written(named.join(least, "comp").select("node", "comp", "component"), "near-names")
     thin = marks.select(F.col("file").alias("_file"), F.col("at").alias("_row"), "doc_id", "n_shingles", "node")
-    out = join_spread(thin, of_node, "node", by=["_file", "_row"], hot=hot_keys(marks.where("node is not null"), "node"), how="left")
+    many = classes.where(F.col("rows") > marks.count() / SHARE).select("node")  # classes of very many copies
+    out = join_spread(thin, of_node, "node", by=["_file", "_row"], hot=many, how="left")
     return out.select("_file", "_row", "doc_id", "n_shingles", "node", "comp", F.coalesce("component", "doc_id").alias("component_id"))
 
 

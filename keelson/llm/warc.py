@@ -105,7 +105,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, file_bytes: int = FILE_
     shared = rows.where(long_enough).groupBy("_sha").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"), F.lit(True).alias("_met")).where("_n > 1")
     # written, so that Spark knows its size and sends it around only if it is small
     shared = written(shared, "warc-shared")
-    hot = shared.where(F.col("_n") > rows.count() / SHARE)  # a payload that many pages have is dealt to several tasks
+    hot = shared.where(F.col("_n") > rows.count() / SHARE).select("_sha")  # a payload that many pages have is dealt to several tasks
     marked = join_spread(rows, shared.select("_sha", "_first", "_met"), "_sha", by=["page_id", "url"], hot=hot, how="left")
     revisit = F.col("_met").isNotNull() & long_enough & ~F.col("page_id").eqNullSafe(F.col("_first"))
     out = marked.select("page_id", "url", "html", revisit.alias("revisit"), F.when(revisit, F.col("_first")).alias("refers_to"))
