@@ -27,10 +27,10 @@ import pickle
 import zlib
 from collections import Counter, OrderedDict
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,8 +51,8 @@ SHARD_TOKENS, MOST_SHARDS, ROUNDS = 1_000_000, 16_384, 4
 LEARN_TOKENS = 512
 #: Multiplications of one matrix product: for larger ones the BLAS starts threads, whose waiting takes other tasks' cores.
 PRODUCT = 200_000
-#: Distinct words that a task counts before it passes them on.
-COUNTED_WORDS = 400_000
+#: Words that a task counts before it passes the counts on.
+COUNTED_WORDS = 5_000_000
 LN10 = float(np.log(10))
 
 
@@ -60,25 +60,35 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
 
+def flat_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words (bytes) of all texts, one after the other, and where each text's words end."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, ends = parts.flatten(), parts.offsets.to_numpy()
+    full = pc.greater(pc.binary_length(words), 0)  # blanks at a text's ends make empty parts
+    ends = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])[ends - ends[0]]
+    return words.filter(full).cast(pa.binary()), ends[1:]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
+    held, n, docs = [], 0, 0
 
     def flush() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+        counts = pc.value_counts(pa.chunked_array(held, pa.binary()))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([counts.field("values"), pa.array([END], pa.binary())]), pa.concat_arrays([counts.field("counts"), pa.array([docs], pa.int64())])], names=["word", "n"])
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts.update(text.lower().split())
-            counts[END] += 1
-            if len(counts) >= COUNTED_WORDS:
-                yield flush()
-                counts = Counter()
+        held.append(flat_words(batch.column(0))[0])
+        n += len(held[-1])
+        docs += batch.num_rows
+        if n >= COUNTED_WORDS:
+            yield flush()
+            held, n, docs = [], 0, 0
     yield flush()
 
 
 def word_counts(train: DataFrame) -> DataFrame:
-    """word (bytes; empty: the end) and n over all training documents (text as bytes)."""
-    return train.select("text").mapInArrow(_count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    """word (bytes; empty: the end) and n, where it is over 0, over all training documents (text)."""
+    return train.select("text").mapInArrow(_count, "word binary, n bigint").where("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def group_of(word: bytes) -> int:
@@ -321,6 +331,7 @@ class Words:
         rank = np.argsort(order)
         self.group_token = rank[len(named) :].astype(np.int32)
         words = list(self.known)
+        self.head = pa.array(words, pa.binary())
         self.token = np.array([self.group_token[group_of(w)] for w in words], np.int32)
         self.token[named] = rank[: len(named)]
         #: log10 of a word's share of its group; 0 for words of the vocabulary
@@ -330,17 +341,21 @@ class Words:
         self.end = int(self.token[self.known[END]])
         self.log_total = float(np.log10(n + 0.5 * (v + 1)))
 
-    def read(self, text: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-        """The model's tokens of a text, its words that aren't of the head, and the head's numbers of the others."""
-        words = text.lower().split()
-        get = self.known.get
-        head = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
-        out = self.token[head] if len(words) else np.zeros(0, np.int32)
+    def read(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray]]:
+        """For each text the model's tokens, its words that aren't of the head, and the head's numbers of the others."""
+        words, ends = flat_words(texts)
+        head = pc.fill_null(pc.index_in(words, value_set=self.head), -1).to_numpy(zero_copy_only=False)
+        out = self.token[head] if len(head) else np.zeros(0, np.int32)
         rare = np.flatnonzero(head < 0)
-        tail = [words[i] for i in rare.tolist()]
+        tail = words.take(pa.array(rare)).to_pylist()
         if tail:
             out[rare] = self.group_token[[zlib.crc32(w[-3:]) % GROUPS for w in tail]]
-        return out, tail, head[head >= 0]
+        bounds = np.searchsorted(rare, ends)
+        start = first = 0
+        for end, last in zip(ends.tolist(), bounds.tolist()):
+            h = head[start:end]
+            yield out[start:end], tail[first:last], h[h >= 0]
+            start, first = end, last
 
 
 _loaded: OrderedDict[tuple[str, str], object] = OrderedDict()
@@ -373,8 +388,7 @@ class _Tokens:
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for batch in batches:
             rows = []
-            for doc, held, h, text in zip(*(c.to_pylist() for c in batch.columns)):
-                tokens, tail, head = words.read(text)
+            for doc, held, h, (tokens, tail, head) in zip(*(c.to_pylist() for c in batch.columns[:3]), words.read(batch.column(3))):
                 uses = Counter(tail)
                 # what is missing of words of the tail is their log10(count + 0.5), in both scores
                 share = float(words.log_share[head].sum()) - sum(words.log_groups[group_of(w)] * n for w, n in uses.items())
@@ -500,7 +514,7 @@ def head_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
 def score_documents(docs: DataFrame, warm_docs: int = 800, head: int = HEAD_WORDS, rate: float = 0.06) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).cast("binary").alias("text"), held_out(docs["doc_id"]).alias("held_out"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"), held_out(docs["doc_id"]).alias("held_out"))
     counts = written(word_counts(rows.where(~F.col("held_out"))), "lm-counts")
     n, v, found = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.sum(F.when(F.octet_length("word") == 0, F.col("n")))).first()
     words = head_and_groups(counts, n, v, found, head)

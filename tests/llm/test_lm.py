@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from keelson.llm import lm
 from tests.llm import cases
@@ -145,12 +146,21 @@ def plain_score(net, words, docs):
     return out
 
 
+def test_words_are_as_split():
+    texts = ["  Foo bar\x1cx \t\n baz ", "", "   ", "É\xa0a B", "x", "\x0b\x0cq\r\nUNKNOWN thing"]
+    for part in (pa.array(texts), pa.array(["junk", *texts, "z"]).slice(1, 6)):
+        flat, ends = lm.flat_words(part)
+        starts = [0, *ends[:-1]]
+        assert [flat.to_pylist()[a:b] for a, b in zip(starts, ends)] == [t.encode().lower().split() for t in texts]
+    assert lm.flat_words(pa.array([], pa.string()))[0].to_pylist() == []
+
+
 def test_against_a_plain_model():
     counts = [(f"w{i}".encode(), 100 - i) for i in range(30)]
     words = lm.Words(counts, np.full(lm.GROUPS, 3.0), 3000, 40, vocabulary=20)
     net = lm.Net(words.freq, classes=4, hidden=5)
     texts = [b"w1 W2 w3 w25 unknown w1", b"", b"w9", b" ".join(b"w%d" % (i * 7 % 30) for i in range(70))]
-    docs = [words.read(t)[0] for t in texts]
+    docs = [t for t, *_ in words.read(pa.array([t.decode() for t in texts]))]
     for _ in range(3):
         net.read(docs, words.end, 2, 8, 0.1)
     assert np.allclose(net.read(docs, words.end, 3, 16), plain_score(net, words, docs), rtol=1e-4)
@@ -166,7 +176,7 @@ def test_scores_do_not_depend_on_partitions_or_chunks(spark, monkeypatch):
     net = lm.Net(words.freq)
     monkeypatch.setattr(lm, "loaded", lambda folder, name: {"words": words, "net": net}[name])
     rows = [(i, np.array([i % 2] * i, lm.ID).tobytes()) for i in range(40)]
-    batch = __import__("pyarrow").RecordBatch.from_arrays([[r[0] for r in rows], [r[1] for r in rows]], names=["row", "ids"])
+    batch = pa.RecordBatch.from_arrays([[r[0] for r in rows], [r[1] for r in rows]], names=["row", "ids"])
     whole = {r: s for b in lm._Score("")(iter([batch])) for r, s in zip(b[0].to_pylist(), b[1].to_pylist())}
     monkeypatch.setattr(lm, "CHUNK_TOKENS", 50)
     parts = [b for b in lm._Score("")(iter([batch]))]
