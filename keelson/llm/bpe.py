@@ -2,7 +2,8 @@
 
 The pattern is matched on whole texts, or on the parts of a long one split where the pattern always has a border: a
 character that isn't white space before one that is. So the ids never depend on the split. Null text counts as empty
-(no ids). Rows that repeat are each encoded.
+(no ids). Rows that repeat are each encoded. An empty table gives an empty result. Other columns of docs are not looked
+at, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from keelson.llm.common import schema_of, text_of
+from keelson.llm.common import text_of
 
 #: Texts of more characters are split before they are matched.
 LONG = 1 << 16

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -36,8 +38,33 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_watched: list[list[str]] = []
+
+
+@contextmanager
+def folders_made() -> Iterator[list[str]]:
+    """The folders that new_folder names meanwhile, the last one last."""
+    made: list[str] = []
+    _watched.append(made)
+    try:
+        yield made
+    finally:
+        _watched.remove(made)
+
+
+def remove_folders(folders: list[str]) -> None:
+    """Delete intermediate folders that nothing will read again; those that were never written are passed over."""
+    for folder in folders:
+        fs, root = pafs.FileSystem.from_uri(folder)
+        if fs.get_file_info(root).type == pafs.FileType.Directory:
+            fs.delete_dir(root)
+
+
 def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    for made in _watched:
+        made.append(path)
+    return path
 
 
 def written(df: DataFrame, what: str) -> DataFrame:

@@ -5,7 +5,8 @@ A rolling hash of the last eight bytes marks chunk borders; every chunk gives on
 fingerprints are compared at block sizes that both have, by the edit distance (insertions and deletions) of letters.
 
 Texts are read whole, null as empty. Equal texts have equal fingerprints. For neighbours, rows are ordered by
-(doc_id, hash of the text), null doc_ids first; a row that repeats is its own neighbour's text.
+(doc_id, hash of the text), null doc_ids first; a row that repeats is its own neighbour's text. An empty table gives an
+empty result. Other columns of docs are not looked at, whatever their names.
 """
 
 from __future__ import annotations

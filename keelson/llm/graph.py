@@ -1,4 +1,7 @@
-"""Connected components of an edge table, by least labels and pointer jumping, all in joins and grouped minima."""
+"""Connected components of an edge table, by least labels and pointer jumping, all in joins and grouped minima.
+
+Rows of a round are two or three numbers wide. Where many nodes share a label or a neighbour, grouped minima combine
+before the shuffle, and the joins on that key are left to Spark's splitting of skewed partitions."""
 
 from __future__ import annotations
 

@@ -43,6 +43,70 @@ def test_segments_change_nothing(monkeypatch):
     assert fp.fingerprint(data) == want
 
 
+M32, M64 = 2**32 - 1, 2**64 - 1
+
+
+def plain_letters(data, block):
+    """Chunk by chunk, a byte after the other, from the definition."""
+    table = []
+    for x in range(1, 257):
+        y = (x * 0x9E3779B97F4A7C15 & M64) ^ (x << 29 & M64)
+        table.append(((y ^ y >> 31) * 0xBF58476D1CE4E5B9 & M64) >> 32)
+    out, chunk = "", 0
+
+    def letter(chunk):
+        return "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"[((chunk ^ chunk >> 33) * 0xFF51AFD7ED558CCD & M64) >> 58]
+
+    for i in range(len(data)):
+        g = sum(table[data[i - k]] << k for k in range(8) if i >= k) & M32
+        mixed = g * 0xD6E8FEB86659FD93 & M64
+        chunk = chunk + (mixed ^ mixed >> 32) & M64
+        t = g * 0x9E3779B1 & M32
+        if (t ^ t >> 15) & (block - 1) == 0:
+            out, chunk = out + letter(chunk), 0
+    return out + (letter(chunk) if chunk else "")
+
+
+def plain_fingerprint(data):
+    block = 4
+    while block * 64 < len(data):
+        block *= 2
+    while block > 4 and len(plain_letters(data, block)) < 32:
+        block //= 2
+    return f"{block}:{plain_letters(data, block)}:{plain_letters(data, 2 * block)}"
+
+
+def plain_likeness(one, two):
+    (a, *x), (b, *y) = one.split(":"), two.split(":")
+    best = 1.0 if one == two else 0.0
+    for i, k in enumerate((int(a), 2 * int(a))):
+        for j, m in enumerate((int(b), 2 * int(b))):
+            p, q = x[i], y[j]
+            if k != m or not p or not q or one == two:
+                continue
+            need = min(5, max(1, min(len(p), len(q)) // 2))
+            if not {p[n : n + need] for n in range(len(p) - need + 1)} & {q[n : n + need] for n in range(len(q) - need + 1)}:
+                continue
+            row = list(range(len(q) + 1))
+            for n, c in enumerate(p, 1):
+                last, row = row, [n]
+                for o, d in enumerate(q, 1):
+                    row.append(last[o - 1] if c == d else 1 + min(last[o], row[-1]))
+            best = max(best, 1 - row[-1] / (len(p) + len(q)))
+    return best
+
+
+def test_fingerprints_and_likeness_from_the_definition():
+    r = random.Random(8)
+    texts = [b"", b"a", b"abc" * 3, bytes(r.choices(range(256), k=900)), *(cases.prose(n, n).encode() for n in (20, 60, 150, 400))]
+    texts += [t[: len(t) // 2] + u[: len(u) // 2] for t, u in zip(texts[3:], texts[4:])]
+    marks = [fp.fingerprint(t) for t in texts]
+    assert marks == [plain_fingerprint(t) for t in texts]
+    for a in marks:
+        for b in marks:
+            assert abs(fp.likeness(a, b) - plain_likeness(a, b)) < 1e-12
+
+
 def brute(rows):
     out = []
     for k, (i, t) in enumerate(rows):

@@ -57,3 +57,15 @@ def test_verdicts(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in got if r["kept"])
     none = labels.limit(0)
     assert quality.quality_verdicts(cases.empty(spark), none).collect() == [] == quality.kept_documents(cases.empty(spark), none).collect()
+
+
+def test_more_distinct_words_than_a_product_of_three_holds():
+    n = 2_100_000
+    ids = np.concatenate([np.arange(n), [5, 6, 7], np.arange(n, n + 3), [n - 2, n - 1, n, n + 1], [5, 6, 8]])
+    keys = list(zip(ids[:-2].tolist(), ids[1:-1].tolist(), ids[2:].tolist()))
+    twice = Counter(keys)
+    hit = set()
+    for i, k in enumerate(keys):
+        if twice[k] > 1:
+            hit |= {i, i + 1, i + 2}
+    assert quality.repeated_words(ids) == len(hit) > 0
