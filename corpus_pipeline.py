@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.llm import bpe, linededup, mixing, neardup, quality
-from keelson.llm.common import in_files, parallel, table, written
+from keelson.llm.common import folders_made, in_files, parallel, remove_folders, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents, each written to the shared folder and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"stage-{k + 1}")
-    return docs
+    """All stages over the table documents, each written to the shared folder and read again by the next. What a stage has
+    left there, and the table before it, are removed once its own table is written."""
+    docs, before = table(spark, sf_dir, "documents"), []
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with folders_made() as made:
+            docs = written(stage(spark, docs, sf_dir), f"stage-{k + 1}")
+        remove_folders([*made[:-1], *before])
+        before = made[-1:]
+    return STAGES[-1][1](spark, docs, sf_dir)
