@@ -288,7 +288,9 @@ def t3(v):
     return L.first_page(v("f1_inventory"), "src12/", 25)
 
 
-@query("u5_strategies_agree", "SELECT CAST(0 AS BIGINT) AS only_walk, CAST(0 AS BIGINT) AS only_flat, count(*) AS both FROM f1_inventory")
+@query("u5_strategies_agree", """, flat AS (SELECT key, size, count(*) AS n FROM f1_inventory GROUP BY ALL), phased AS (SELECT key, size, count(*) AS n FROM (SELECT key, size FROM f1_inventory WHERE instr(key, '/') = 0 AND key > '' UNION ALL SELECT key, size FROM f1_inventory WHERE instr(key, '/') > 0 AND substr(key, 1, instr(key, '/')) > '') GROUP BY ALL)
+SELECT CAST(sum(greatest(coalesce(p.n, 0) - coalesce(f.n, 0), 0)) AS BIGINT) AS only_walk, CAST(sum(greatest(coalesce(f.n, 0) - coalesce(p.n, 0), 0)) AS BIGINT) AS only_flat, CAST(sum(least(coalesce(p.n, 0), coalesce(f.n, 0))) AS BIGINT) AS both
+FROM flat f FULL JOIN phased p ON f.key = p.key AND f.size = p.size""")
 def u5(v):
     inv = v("f1_inventory")
     flat, phased = L.flat(inv, "").select("key", "size"), L.two_phase(inv).select("key", "size")
@@ -350,7 +352,9 @@ def c6(v):
     return V_.scan_counters(L.flat(v("f3_versions"), "c2/"))
 
 
-@query("c7_delete_and_recheck", "SELECT DISTINCT bucket, key, version_id, 'absent' AS state FROM f3_versions WHERE is_delete_marker")
+@query("c7_delete_and_recheck", """, m AS (SELECT DISTINCT bucket, key, version_id FROM f3_versions WHERE is_delete_marker),
+left_over AS (SELECT v.bucket, v.key, v.version_id, bool_or(v.is_delete_marker) AS marker FROM f3_versions v WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.bucket = v.bucket AND m.key = v.key AND m.version_id = v.version_id) GROUP BY ALL)
+SELECT m.bucket, m.key, m.version_id, CASE WHEN l.marker IS NULL THEN 'absent' WHEN l.marker THEN 'marker' ELSE 'not_marker' END AS state FROM m LEFT JOIN left_over l ON l.bucket = m.bucket AND l.key = m.key AND l.version_id = m.version_id""")
 def c7(v):
     versions = v("f3_versions")
     markers = versions.where("is_delete_marker").select(*V_.KEY).distinct()
