@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from keelson.llm.common import text_of
+from keelson.llm.common import text_of, tidy
 
 #: Texts of more characters are split before they are matched.
 LONG = 1 << 16
@@ -74,6 +74,7 @@ class _Encode:
     def __init__(self, ranks: str, pattern: str, schema: pa.Schema, ids: bool):
         self.ranks, self.pattern, self.schema, self.ids = ranks, pattern, schema, ids
 
+    @tidy
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(self.ranks, self.pattern)
         names = [str(i) for i in range(enc.n_vocab)]

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from keelson.llm.common import get_file, new_folder, put_file, schema_of, text_of, tucked, untucked
+from keelson.llm.common import get_file, new_folder, put_file, schema_of, text_of, tidy, tucked, untucked
 
 COUNT_SPARK, COUNT_ARROW = schema_of(hi="long", lo="long", n="long")
 #: Shards are read when a probe needs them; a worker keeps so many bytes of them.
@@ -64,6 +64,7 @@ class _LineCounts:
     def __init__(self, min_chars: int):
         self.min_chars = min_chars
 
+    @tidy
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
@@ -239,6 +240,7 @@ class _Drop:
                 out[m] = shard(self.folder, int(k)).count(hi[m], lo[m]) >= self.min_docs
         return out
 
+    @tidy
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
@@ -252,19 +254,20 @@ class _Drop:
             yield self.part(pa.concat_batches(held))
 
     def part(self, batch: pa.RecordBatch) -> pa.RecordBatch:
-        docs = [x.split(b"\n") for x in batch.column(batch.num_columns - 1).to_pylist()]
+        texts = batch.column(batch.num_columns - 1).to_pylist()
+        docs = [(x or b"").split(b"\n") for x in texts]
         keys = [key_of(x) for lines in docs for x in lines]
         distinct = {k: i for i, k in enumerate(dict.fromkeys(k for k in keys if long_enough(k, self.min_chars)))}
         hit = self.often(hashes_of(list(distinct))) if distinct else np.zeros(0, bool)
         gone = {k for k, i in distinct.items() if hit[i]}
         n_lines, n_dropped, out, at = [], [], [], 0
-        for lines in docs:
+        for whole, lines in zip(texts, docs):
             kept = [x for x, k in zip(lines, keys[at : at + len(lines)]) if k not in gone] if gone else lines
             at += len(lines)
             n_lines.append(len(lines))
             n_dropped.append(len(lines) - len(kept))
             text = b"\n".join(kept)
-            out.append(text.decode() if self.texts else hashlib.sha256(text).hexdigest())
+            out.append(None if whole is None else text.decode() if self.texts else hashlib.sha256(text).hexdigest())
         cols = [*batch.columns[:-1], pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(out, pa.string())]
         return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, self.schema)], schema=self.schema)
 
@@ -284,11 +287,11 @@ def drop_common_lines_in_place(docs: DataFrame, min_docs: int = 10, min_chars: i
     A document whose text is null keeps null. A document all of whose lines go stays, with an empty text."""
     folder, shards, full = build_index(line_counts(docs, min_chars), min_docs)
     rows, own = tucked(docs)
-    rows = rows.withColumn("bytes", F.coalesce(F.col(own["text"]).cast("string"), F.lit("")).cast("binary"))
+    # texts cross to Python and back once; null stays null
+    rows = rows.select(*(n for c, n in own.items() if c != "text"), F.col(own["text"]).cast("string").cast("binary").alias("bytes"))
     schema = StructType([*rows.schema.fields[:-1], StructField("n_lines", LongType()), StructField("n_dropped", LongType()), StructField("kept", StringType())])
     out = rows.mapInArrow(_Drop(folder, shards, full, min_docs, min_chars, True, to_arrow_schema(schema)), schema)
-    missing = F.col(own["text"]).isNull()
-    changed = {own["text"]: F.when(~missing, F.col("kept"))}
+    changed = {own["text"]: F.col("kept")}
     if "n_chars" in own:
-        changed[own["n_chars"]] = F.when(missing, F.col(own["n_chars"])).otherwise(F.length("kept")).cast(docs.schema["n_chars"].dataType)
+        changed[own["n_chars"]] = F.when(F.col("kept").isNull(), F.col(own["n_chars"])).otherwise(F.length("kept")).cast(docs.schema["n_chars"].dataType)
     return out.withColumns(changed).select(*untucked(own))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import SHARE, hot_keys, join_spread, schema_of, text_of, tucked, untucked, written
+from keelson.llm.common import SHARE, hot_keys, join_spread, schema_of, text_of, tidy, tucked, untucked, written
 from keelson.llm.graph import components
 from keelson.llm.rows import addressed, choose, chosen, mask
 
@@ -107,6 +107,7 @@ class _Marks:
     def __init__(self, width: int, k: int, folder: str = ""):
         self.width, self.k, self.folder = width, k, folder
 
+    @tidy
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, (a, b) = WordHashes(), multipliers(self.k)
         for whole in batches:
@@ -161,6 +162,7 @@ class _Tiles:
     def __init__(self, percent: int, matches: int, k: int):
         self.percent, self.matches, self.k = percent, matches, k
 
+    @tidy
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         out: list[tuple[int, int]] = []

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import schema_of, text_of, tucked, untucked, written
+from keelson.llm.common import schema_of, text_of, tidy, tucked, untucked, written
 
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -75,6 +75,7 @@ def stats_of(text: str) -> tuple[int, ...]:
     )
 
 
+@tidy
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [stats_of(x) for x in batch.column(1).to_pylist()]
@@ -209,11 +210,14 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
+@tidy
 def _stats_beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [stats_of(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
-        cols = list(zip(*rows)) if rows else [()] * 10
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, pa.int64()) for c in cols)], names=[*batch.schema.names[:-1], *STATS_ARROW.names[1:]])
+    """Rows whose last column is the text, and its statistics."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1000):
+            batch = whole.slice(at, 1000)
+            rows = [stats_of(x or "") for x in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in zip(*rows))], names=[*batch.schema.names, *STATS_ARROW.names[1:]])
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, **how: float) -> DataFrame:
@@ -223,7 +227,8 @@ def kept_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_00
     conditional expression over them. Columns of docs are renamed on the way, so that none clashes."""
     rules = fit(docs, labels, max_labelled, **how)
     rows, own = tucked(docs)
-    rows = rows.withColumn("t", F.coalesce(F.col(own["text"]).cast("string"), F.lit("")))
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + [f"{c} bigint" for c in STATS_ARROW.names[1:]]
+    # texts cross to Python and back once
+    rows = rows.select(*(n for c, n in own.items() if c != "text"), F.col(own["text"]).cast("string").alias(own["text"]))
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields] + [f"{c} bigint" for c in STATS_ARROW.names[1:]]
     judged = with_features(rows.mapInArrow(_stats_beside, ", ".join(fields)))
     return judged.where(~base_failed() & rejected(rules).isNull()).select(*untucked(own))
