@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from keelson.llm import linededup
@@ -33,12 +34,23 @@ def test_perfect_hash():
         linededup.PerfectHash.build(hi[[0, 0]], lo[[0, 0]], n[:2], 10)
 
 
-@pytest.mark.parametrize("shard_keys,cache,probe", [(40, 5000, 3000), (500_000, 192 << 20, 32 << 20)])
-def test_against_brute_force(spark, monkeypatch, shard_keys, cache, probe):
-    """Also with many shards, of which few are kept, and few lines probed at once."""
+def test_few_kept_shards_and_small_probes(spark, monkeypatch):
+    """A task as the worker runs it, with many shards of which few are kept."""
+    rows = cases.rows()
+    folder, shards, full = linededup.build_index(linededup.line_counts(cases.docs(spark)), 10, 1, 20)
+    assert shards == len(full) > 5
+    monkeypatch.setattr(linededup, "CACHE_BYTES", 5000)
+    monkeypatch.setattr(linededup, "PROBE_BYTES", 3000)
+    schema = linededup.schema_of(doc_id="long", n_lines="long", n_dropped="long", kept_sha256="string")[1]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([(r[1] or "").encode() for r in part], pa.binary())], names=["doc_id", "t"]) for part in (rows[:10], rows[10:], rows[:0])]
+    out = list(linededup._Drop(folder, shards, full, 10, 1, False, schema)(iter(batches)))
+    assert len(out) > 1 and len(linededup._kept) < 5
+    assert sorted((tuple(r.values()) for b in out for r in b.to_pylist()), key=repr) == sorted(brute(rows, 10), key=repr)
+
+
+@pytest.mark.parametrize("shard_keys", [40, 500_000])
+def test_against_brute_force(spark, monkeypatch, shard_keys):
     monkeypatch.setattr(linededup.build_index, "__defaults__", (1, shard_keys))
-    monkeypatch.setattr(linededup, "CACHE_BYTES", cache)
-    monkeypatch.setattr(linededup, "PROBE_BYTES", probe)
     got = linededup.drop_common_lines(cases.clashing(spark), min_docs=10, texts=False).collect()
     key = lambda x: (x[0] is None, x)
     assert sorted((tuple(r) for r in got), key=repr) == sorted(brute(cases.rows(), 10), key=repr), key

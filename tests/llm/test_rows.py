@@ -1,15 +1,16 @@
+import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from keelson.llm import common, neardup, rows
 from tests.llm import cases
 
 
-@pytest.mark.parametrize("page", [64, 1 << 20])
-def test_chosen_rows(spark, tmp_path, monkeypatch, page):
-    """The same path for no, few and all rows; a page holds some of a file's rows or all of them."""
-    monkeypatch.setattr(rows, "PAGE", page)
+def test_chosen_rows(spark, tmp_path):
+    """The same path for no, few and all rows."""
     path = f"file://{tmp_path}/t"
     spark.range(1000).selectExpr("id", "cast(null as string) as _file").repartition(3).write.parquet(path)
     table = rows.addressed(spark.read.parquet(path).select("id"))
@@ -21,6 +22,24 @@ def test_chosen_rows(spark, tmp_path, monkeypatch, page):
         assert got == sorted(r["id"] for r in table.where(keep).collect())
 
 
+def test_files_of_many_pages(tmp_path, monkeypatch):
+    monkeypatch.setattr(rows, "PAGE", 128)
+    monkeypatch.setattr(rows, "KEPT_PAGES", 2)
+    folder, draw = f"file://{tmp_path}/bits", random.Random(3)
+    picks = sorted({(draw.choice((-5, 0, 7)), draw.randrange(3000)) for _ in range(400)})
+    words = Counter()
+    for file, row in picks:
+        words[file, row // 128, row % 128 // 64] |= 1 << row % 64
+    parts = [(*k, v - 2**64 if v >= 2**63 else v) for k, v in sorted(words.items())]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part)], names=["_file", "page", "word", "bits"]) for part in (parts[:50], parts[50:51], parts[51:])]
+    assert [b.to_pylist() for b in rows._Put(folder)(iter(batches))] == [[{"pages": len({k[:2] for k in words})}]]
+    every = [(f, r) for f in (-5, 0, 7, 9) for r in range(3000)]
+    draw.shuffle(every)
+    got = rows.mask(folder, np.array([f for f, _ in every]), np.array([r for _, r in every]))
+    assert [x for x, m in zip(every, got) if m] == [x for x in every if x in set(picks)]
+    assert rows.mask(folder, np.zeros(0, np.int64), np.zeros(0, np.int64)).tolist() == []
+
+
 def test_tables_that_are_no_files_get_places(spark):
     table = rows.addressed(spark.range(100).toDF("id"))
     assert table.columns == ["id", "_file", "_row"] and table.select("_file", "_row").distinct().count() == 100
