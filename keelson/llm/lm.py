@@ -507,8 +507,8 @@ def head_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
         least = r["least"]
     if least is None:
         return []
-    rows = counts.where(F.col("n") >= least).collect()
-    return sorted(((bytes(r["word"]), r["n"]) for r in rows), key=lambda x: (-x[1], x[0]))
+    rows = counts.where(F.col("n") >= least).select("word", "n").toArrow()
+    return sorted(zip(rows["word"].to_pylist(), rows["n"].to_pylist()), key=lambda x: (-x[1], x[0]))
 
 
 def score_documents(docs: DataFrame, warm_docs: int = 800, head: int = HEAD_WORDS, rate: float = 0.06) -> DataFrame:
