@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -76,11 +77,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What a plan may hold whose rows are rows of a file, each once.
+SCANS = re.compile(r"[ :+-]*(Project|Filter|Repartition|SubqueryAlias|View|Relation)\b")
+
+
 def in_files(df: DataFrame) -> DataFrame:
-    """df if it is a scan of files, whose rows have a place; else df written and read back."""
+    """df if it is a scan of files, perhaps with fewer rows or columns or in other partitions: its rows have a place of
+    their own. Else, as after a join, df written and read back."""
+    plain = all(SCANS.match(line) for line in df._jdf.queryExecution().analyzed().toString().splitlines())
     try:
         df.select(df.metadataColumn("_metadata")["row_index"])
-        return df
+        return df if plain else written(df, "rows")
     except AnalysisException:
         return written(df, "rows")
 

@@ -24,8 +24,8 @@ KEPT_PAGES = 64
 
 
 def addressed(docs: DataFrame) -> DataFrame:
-    """docs with _file and _row (longs). docs is a scan of files, perhaps with fewer rows or columns; joined or exploded
-    scans must be `written` before, as one address would stand for several rows. Other tables are written here."""
+    """docs with _file and _row (longs). What is no plain scan of files is written first: after a join, say, one place in a
+    file may stand for several rows."""
     docs = in_files(docs)
     of = docs.metadataColumn("_metadata")
     return docs.withColumns({"_file": F.xxhash64(of["file_path"]), "_row": of["row_index"].cast("long")})

@@ -45,6 +45,19 @@ def test_tables_that_are_no_files_get_places(spark):
     assert table.columns == ["id", "_file", "_row"] and table.select("_file", "_row").distinct().count() == 100
 
 
+def test_only_plain_scans_keep_their_places(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    spark.range(50).write.parquet(path)
+    scan = spark.read.parquet(path)
+    plain = [scan, scan.where("id > 5").selectExpr("id", "id + 1 as b").repartition(3)]
+    other = [scan.selectExpr("id", "explode(array(1, 2)) as x"), scan.join(spark.range(60), "id"), scan.union(scan), scan.distinct(), scan.orderBy("id"), spark.range(9).toDF("id")]
+    for tables, written in ((plain, 0), (other, 1)):
+        for t in tables:
+            with common.folders_made() as made:
+                got = rows.addressed(t)
+            assert len(made) == written and got.select("_file", "_row").distinct().count() == got.count() == t.count()
+
+
 def test_rows_that_repeat_are_dropped_where_they_stand(spark):
     docs = spark.createDataFrame([*cases.rows(), *cases.rows()], cases.SCHEMA).repartition(3)
     out = neardup.drop_near_duplicates(docs, 5, 80)
