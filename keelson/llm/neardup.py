@@ -238,6 +238,13 @@ class _SetTiles(_Tiles):
         both = left if left is right else left + right
         sizes = np.array([len(r[9]) for r in both])
         words, number, uses = np.unique(np.concatenate([r[9] for r in both]), return_inverse=True, return_counts=True)
+        # shingles that one row of the tile has are in no intersection: those that are left must be enough
+        shared = sizes - np.add.reduceat((uses[number] == 1).astype(np.int64), np.cumsum(sizes) - sizes)
+        one, other = slice(0, len(left)), slice(0, None) if left is right else slice(len(left), None)
+        most = np.minimum(shared[one, None], shared[None, other])
+        near &= (100 + self.percent) * most >= self.percent * (sizes[one, None] + sizes[None, other])
+        if not near.any():
+            return []
         rank = np.empty(len(words), np.int64)
         rank[np.argsort(uses, kind="stable")] = np.arange(len(words))
         ids = np.split(rank[number], np.cumsum(sizes)[:-1])
