@@ -204,7 +204,7 @@ class _Tiles:
                 same = ka[:, c, None] == kb[None, :, c]
                 count += same
                 if c < key >> 32:
-                    earlier |= same & (pa_[:, None] & pb[None, :] >> c & 1).astype(bool)
+                    earlier |= same & ((pa_[:, None] & pb[None, :]) >> c & 1).astype(bool)
             ok = ~earlier & (count >= self.matches) & (ca[:, None] != cb[None, :])
             ok &= (100 * na[:, None] >= self.percent * nb[None, :]) & (100 * nb[None, :] >= self.percent * na[:, None])
             if left is right:  # each pair once

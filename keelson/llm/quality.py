@@ -191,14 +191,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, **how: f
     """Learn rules from the statistics of labelled documents.
 
     max_labelled bounds what is fitted on: the labels with the least hash of doc_id. So their list can be sent to the
-    tasks, and only texts with such a label are counted. Rows whose label is null, or that the base rules reject already,
+    tasks, and only texts with such a label are counted. Of rows that share a labelled doc_id the one with the least statistics
+    teaches, so no more rows than labels come to the driver. Rows whose label is null, or that the base rules reject already,
     teach nothing. No usable label: no rules."""
     lab = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     share = min(1.0, 1.2 * max_labelled / max(1, lab.count()))  # of the hashes, so that few rows more than the bound are sorted
     low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     taken = written(lab.withColumn("_h", low).where(F.col("_h") < int(share * (1 << 30))).orderBy("_h", "doc_id").limit(max_labelled), "quality-labels")
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).join(F.broadcast(taken.select("doc_id")), "doc_id", "left_semi")
-    rows = with_features(document_stats(texts)).where(~base_failed()).join(F.broadcast(taken), "doc_id").select("_h", "doc_id", *FEATURES, "quality")
+    least = with_features(document_stats(texts)).where(~base_failed()).groupBy("doc_id").agg(F.min(F.struct(*FEATURES)).alias("_f"))
+    rows = least.join(F.broadcast(taken), "doc_id").select("_h", "doc_id", "_f.*", "quality")
     found = rows.toPandas().sort_values(["_h", "doc_id", *FEATURES], kind="stable")
     return learn({k: found[k].to_numpy(float) for k in FEATURES}, found["quality"].to_numpy() == 0, **how)
 

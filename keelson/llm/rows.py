@@ -1,8 +1,10 @@
 """Rows of files by address, and sets of chosen rows that tasks look up page by page.
 
 An address is (_file, _row): a hash of the data file's path and the row's number in the file. Chosen rows are kept as
-bit maps, one for each page of PAGE rows of a file, in the shared folder. A task reads only the pages of the files that
-it scans, so rows are chosen where they are: no whole row is shuffled and nothing is sent to all executors, at any size.
+bit maps, one for each page of PAGE rows of a file, in the shared folder, with a list of these pages: 16 bytes for each file
+that has a chosen row, as many as the files that Spark's driver lists for a scan. A task reads only the list and the pages of
+the files that it scans, so rows are chosen where they are: no whole row is shuffled and nothing is sent to all executors. A
+page that is on the list and can't be read is an error, as is a list that is gone.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ from keelson.llm.common import get_file, in_files, new_folder, put_file
 
 #: Rows of a page: 128 KB of bits.
 PAGE = 1 << 20
-#: Pages that a worker keeps.
-KEPT_PAGES = 64
+#: Pages that a worker keeps, and lists.
+KEPT_PAGES, KEPT_LISTS = 64, 4
+LIST = "pages"
 
 
 def addressed(docs: DataFrame) -> DataFrame:
@@ -42,7 +45,7 @@ class _Put:
         self.folder = folder
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, bits, pages = None, np.zeros(0, np.int64), 0
+        of, bits, pages = None, np.zeros(0, np.int64), []
         for batch in batches:
             file, page, word, value = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             edges = np.flatnonzero((np.diff(file) != 0) | (np.diff(page) != 0)) + 1
@@ -52,11 +55,12 @@ class _Put:
                 if of != (int(file[a]), int(page[a])):
                     if of:
                         put_file(self.folder, _name(*of), bits.tobytes())
-                    of, bits, pages = (int(file[a]), int(page[a])), np.zeros(PAGE // 64, np.int64), pages + 1
+                    of, bits = (int(file[a]), int(page[a])), np.zeros(PAGE // 64, np.int64)
+                    pages.append(of)
                 bits[word[a:b]] |= value[a:b]
         if of:
             put_file(self.folder, _name(*of), bits.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([pages], pa.int64())], names=["pages"])
+        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pages], pa.int64()) for i in (0, 1)], names=["file", "page"])
 
 
 def choose(picks: DataFrame) -> str:
@@ -65,21 +69,40 @@ def choose(picks: DataFrame) -> str:
     at = F.pmod("_row", F.lit(PAGE))
     bits = picks.select("_file", F.expr(f"_row div {PAGE}").alias("page"), F.shiftright(at, 6).cast("long").alias("word"), F.expr(f"shiftleft(1L, int(pmod(_row, 64)))").alias("bit"))
     words = bits.groupBy("_file", "page", "word").agg(F.bit_or("bit").alias("bits"))
-    words.repartition("_file", "page").sortWithinPartitions("_file", "page").mapInArrow(_Put(folder), "pages bigint").agg(F.sum("pages")).collect()
+    found = words.repartition("_file", "page").sortWithinPartitions("_file", "page").mapInArrow(_Put(folder), "file bigint, page bigint").toArrow()
+    put_list(folder, found.column("file").to_numpy(), found.column("page").to_numpy())
     return folder
 
 
-_kept: OrderedDict[tuple[str, int, int], np.ndarray | None] = OrderedDict()
+def put_list(folder: str, files: np.ndarray, pages: np.ndarray) -> None:
+    """Write the list of a folder's pages, in their order."""
+    order = np.lexsort((pages, files))
+    put_file(folder, LIST, np.stack([files[order], pages[order]]).astype("<i8").tobytes())
+
+
+_lists: OrderedDict[str, np.ndarray] = OrderedDict()
+_kept: OrderedDict[tuple[str, int, int], np.ndarray] = OrderedDict()
+
+
+def _listed(folder: str, file: int, page: int) -> bool:
+    """Whether a page has chosen rows."""
+    if folder not in _lists:
+        _lists[folder] = np.frombuffer(get_file(folder, LIST), "<i8").reshape(2, -1)
+        while len(_lists) > KEPT_LISTS:
+            _lists.popitem(last=False)
+    files, pages = _lists[folder]
+    a, b = np.searchsorted(files, file), np.searchsorted(files, file, "right")
+    at = a + np.searchsorted(pages[a:b], page)
+    return bool(at < b and pages[at] == page)
 
 
 def _page(folder: str, file: int, page: int) -> np.ndarray | None:
-    """The bits of a page as bytes; None if no row of it is chosen, for then it has no file."""
+    """The bits of a page as bytes; None if no row of it is chosen."""
+    if not _listed(folder, file, page):
+        return None
     key = (folder, file, page)
     if key not in _kept:
-        try:
-            _kept[key] = np.frombuffer(get_file(folder, _name(file, page)), np.uint8)
-        except FileNotFoundError:
-            _kept[key] = None
+        _kept[key] = np.frombuffer(get_file(folder, _name(file, page)), np.uint8)
         while len(_kept) > KEPT_PAGES:
             _kept.popitem(last=False)
     _kept.move_to_end(key)

@@ -6,7 +6,8 @@ any number of records, and checks each of them (gzip's sum, version line, length
 looks for the next valid version line or member, goes on there, and logs the bytes between as a quarantined gap, in a
 member by places in its unpacked bytes. Of a member that is cut off or damaged the records before the fault are kept,
 after damage only those whose block digest proves them. Members are unpacked piece by piece: a record and a piece are
-held, not the member. Records of over MAX_RECORD bytes count as damage; a table's cell holds no more.
+held, not the member. A record of over MAX_RECORD bytes counts as damage; that is above what a cell of a table can hold, so the
+writer makes none. `page_round_trip` fails unless each archive gives as many records as were written to it.
 
 Null html is an empty payload; html and urls of any length up to that are written whole. Rows that share the smallest page_id of a payload are all responses; a null page_id is
 later than all others. An empty table writes no file and reads as no rows. Other columns of pages are not looked at.
@@ -36,8 +37,8 @@ MAGIC = b"\x1f\x8b\x08"
 READ = 1 << 20
 #: A file is closed when it has so many bytes.
 FILE_BYTES = 32 << 20
-#: A record of more bytes counts as damage.
-MAX_RECORD = 1 << 30
+#: A record of more bytes counts as damage: a cell holds fewer than 2 GiB, and headers little more.
+MAX_RECORD = 1 << 32
 #: Bytes of an archive that are unpacked at once.
 PIECE = 1 << 16
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -343,7 +344,15 @@ def list_archives(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def page_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write pages as archives and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    read = read_archives(write_archives(pages, min_bytes), payloads=False).where("reason is null")
+    """Write pages as archives and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    An archive that gives back fewer or more records than were written to it is an error: no row is lost in silence."""
+    files = write_archives(pages, min_bytes)
+    every = written(read_archives(files, payloads=False), "warc-read")
+    read = every.where("reason is null")
+    each = read.groupBy("path").agg(F.count("*").alias("_n"))
+    short = files.join(each, "path", "left").where("coalesce(_n, 0) <> records").select("path", "records", "_n").take(5)
+    if short:
+        raise RuntimeError(f"archives that did not give back what was written (path, written, read): {[tuple(r) for r in short]}; first gaps: {[tuple(r) for r in every.where('reason is not null').select('path', 'start', 'end', 'reason').take(5)]}")
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '<urn:page:(-?[0-9]+)>', 1) as bigint)")
     return read.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))

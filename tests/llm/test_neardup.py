@@ -2,7 +2,10 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from keelson.llm import neardup
 from keelson.llm.graph import components
@@ -71,3 +74,40 @@ def test_components(spark):
     got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
     assert got == {i: 0 for i in range(101)} | {200: 200, 300: 200, 400: 200}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
+def tile_row(node, posted, sig, key, comp=None, n=100):
+    return (key, 0, 0, 0, node, node if comp is None else comp, n, posted, np.array(sig, "<u4").tobytes())
+
+
+@pytest.mark.parametrize("one,other", [(0, 3), (3, 0), (1, 3), (3, 1), (3, 4)])
+def test_pairs_that_no_earlier_list_holds_are_found(one, other):
+    """Two classes of equal signatures in a list of coordinate 5, each posted under one more coordinate than the other."""
+    rows = [tile_row(1, 1 << 5 | 1 << one, range(32), 5 << 32), tile_row(2, 1 << 5 | 1 << other, range(32), 5 << 32)]
+    assert sorted(neardup._Tiles(85, 16, 32).found(rows)) == [(5 << 32, 1), (5 << 32, 2)]
+    both = [tile_row(1, 1 << 5 | 1 << one, range(32), 5 << 32), tile_row(2, 1 << 5 | 1 << one, range(32), 5 << 32)]
+    assert bool(neardup._Tiles(85, 16, 32).found(both)) == (one > 5)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(2, 12))
+def test_each_pair_is_proposed_by_exactly_one_list(seed, n):
+    """Whatever coordinates classes are posted under: a pair with enough collisions that shares a list is proposed once."""
+    r = np.random.default_rng(seed)
+    k, matches = 8, 3
+    sigs, posted = r.integers(0, 3, (n, k)), r.integers(0, 1 << k, n)
+    lists = {}
+    for i in range(n):
+        for c in range(k):
+            if posted[i] >> c & 1:
+                lists.setdefault((c, sigs[i, c]), []).append(i)
+    tiles, times = neardup._Tiles(50, matches, k), {}
+    for (c, value), members in lists.items():
+        rows = [tile_row(i, int(posted[i]), sigs[i], (c << 32) + int(value)) for i in members]
+        for near in tiles.near(rows, rows, rows[0][0]):
+            for a, b in zip(*np.nonzero(near)):
+                pair = frozenset((members[a], members[b]))
+                times[pair] = times.get(pair, 0) + 1
+    shared = lambda i, j: any(posted[i] & posted[j] & 1 << c and sigs[i, c] == sigs[j, c] for c in range(k))
+    want = {frozenset((i, j)) for i in range(n) for j in range(i) if (sigs[i] == sigs[j]).sum() >= matches and shared(i, j)}
+    assert times == dict.fromkeys(want, 1)

@@ -69,3 +69,14 @@ def test_more_distinct_words_than_a_product_of_three_holds():
         if twice[k] > 1:
             hit |= {i, i + 1, i + 2}
     assert quality.repeated_words(ids) == len(hit) > 0
+
+
+def test_one_row_for_each_label_comes_to_the_driver(spark, monkeypatch):
+    """A labelled doc_id that repeats teaches once: the row of the least statistics."""
+    text = lambda n, mark: " ".join(f"w{i}{mark if i % 2 else ''}" for i in range(n))
+    docs = spark.createDataFrame([(i, text(60 + i, "#" if i % 2 else "")) for i in range(40)] + [(7, text(300 + i, "")) for i in range(200)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 0 if i % 2 else 1) for i in range(40)], "doc_id bigint, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "learn", lambda x, bad, **how: seen.append((len(bad), sorted(x["n_words"]))) or [])
+    quality.fit(docs, labels)
+    assert seen == [(40, [60.0 + i for i in range(40)])]

@@ -32,12 +32,25 @@ def test_files_of_many_pages(tmp_path, monkeypatch):
         words[file, row // 128, row % 128 // 64] |= 1 << row % 64
     parts = [(*k, v - 2**64 if v >= 2**63 else v) for k, v in sorted(words.items())]
     batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part)], names=["_file", "page", "word", "bits"]) for part in (parts[:50], parts[50:51], parts[51:])]
-    assert [b.to_pylist() for b in rows._Put(folder)(iter(batches))] == [[{"pages": len({k[:2] for k in words})}]]
+    (put,) = rows._Put(folder)(iter(batches))
+    assert sorted(map(tuple, (r.values() for r in put.to_pylist()))) == sorted({k[:2] for k in words})
+    rows.put_list(folder, put.column(0).to_numpy(), put.column(1).to_numpy())
     every = [(f, r) for f in (-5, 0, 7, 9) for r in range(3000)]
     draw.shuffle(every)
     got = rows.mask(folder, np.array([f for f, _ in every]), np.array([r for _, r in every]))
     assert [x for x, m in zip(every, got) if m] == [x for x in every if x in set(picks)]
     assert rows.mask(folder, np.zeros(0, np.int64), np.zeros(0, np.int64)).tolist() == []
+    # a page on the list that is gone is an error, and so is a list that is gone; a page that isn't on it has no rows
+    gone = next(iter(words))
+    (tmp_path / "bits" / rows._name(*gone[:2])).unlink()
+    rows._kept.clear()
+    with pytest.raises(FileNotFoundError):
+        rows.mask(folder, np.array([gone[0]]), np.array([gone[1] * 128]))
+    assert not rows.mask(folder, np.array([9]), np.array([0])).any()
+    (tmp_path / "bits" / rows.LIST).unlink()
+    rows._lists.clear()
+    with pytest.raises(FileNotFoundError):
+        rows.mask(folder, np.array([9]), np.array([0]))
 
 
 def test_tables_that_are_no_files_get_places(spark):

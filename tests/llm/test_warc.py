@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -136,3 +138,13 @@ def test_table(spark):
     assert len(whole) == len(rows) and files.count() > 1 and "é" * 50_000 in {bytes(r["payload"]).decode() for r in whole}
     folder = files.first()["path"].rpartition("/")[0]
     assert warc.list_archives(spark, folder).count() == files.count()
+
+
+def test_no_row_is_lost_in_silence(spark, monkeypatch):
+    """A reader that takes less than the writer gave fails; at the module's own bound it can't."""
+    pages = spark.createDataFrame([(1, "u", "x" * 5000), (2, "u", "y")], "page_id bigint, url string, html string")
+    assert warc.page_round_trip(pages).count() == 2 and warc.MAX_RECORD > 1 << 31
+    read = warc.read_archives
+    monkeypatch.setattr(warc, "read_archives", lambda *a, **b: read(*a, **b).where("payload_bytes < 1000"))
+    with pytest.raises(RuntimeError, match="did not give back"):
+        warc.page_round_trip(pages)
