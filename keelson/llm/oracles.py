@@ -62,4 +62,26 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m, s.doc_id) A
 FROM s LEFT JOIN c ON c.s = s.s LEFT JOIN comp ON comp.c = c.c
 """
 
-ORACLES = {"op6_near_dedup": NEAR_SQL, "op2_mix_sources": MIX_SQL, "op7_warc": WARC_SQL, "op9_line_dedup": LINE_SQL}
+
+
+def codes_sql(rounds: int = 6) -> str:
+    """Rounds of plain assignment and floored means over 8 parts and 16 entries."""
+    out = ["""WITH kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, k, v[k * (len(v) // 8) + 1 : (k + 1) * (len(v) // 8)] AS q FROM kept CROSS JOIN (SELECT unnest(range(8)) AS k)),
+b0 AS MATERIALIZED (SELECT k, row_number() OVER (PARTITION BY k ORDER BY vec_id) - 1 AS e, q AS c FROM p WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 16))"""]
+    near = "SELECT vec_id, p.k, min(CAST(list_sum(list_transform(list_zip(q, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) * 16 + e) AS de FROM p JOIN b{0} b ON p.k = b.k GROUP BY vec_id, p.k"
+    for i in range(rounds):
+        out.append(f"a{i} AS MATERIALIZED ({near.format(i)})")
+        out.append(f"""m{i} AS (SELECT k, e, list(m ORDER BY j) AS c FROM (SELECT k, e, j, (sum(x) - ((sum(x) % count(*) + count(*)) % count(*))) // count(*) AS m
+  FROM (SELECT a.k, de % 16 AS e, CAST(unnest(q) AS BIGINT) AS x, unnest(range(len(q))) AS j FROM a{i} a JOIN p ON p.vec_id = a.vec_id AND p.k = a.k) GROUP BY k, e, j) GROUP BY k, e)""")
+        out.append(f"b{i + 1} AS MATERIALIZED (SELECT b.k, b.e, coalesce(list_transform(m.c, lambda x: CAST(x AS BIGINT)), b.c) AS c FROM b{i} b LEFT JOIN m{i} m ON m.k = b.k AND m.e = b.e)")
+    out.append(f"last AS ({near.format(rounds)})")
+    out.append("coded AS (SELECT vec_id, string_agg(printf('%02x', de % 16), '' ORDER BY k) AS code, CAST(sum(de // 16) AS BIGINT) AS error FROM last GROUP BY vec_id)")
+    return ",\n".join(out) + f"""
+SELECT coded.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY k, e, j)) FROM (SELECT k, e, unnest(c) AS x, unnest(range(len(c))) AS j FROM b{rounds})) AS codebooks_sha256
+FROM coded JOIN kept ON kept.vec_id = coded.vec_id"""
+
+
+ORACLES = {"op12_vector_codes": codes_sql(), "op6_near_dedup": NEAR_SQL, "op2_mix_sources": MIX_SQL, "op7_warc": WARC_SQL, "op9_line_dedup": LINE_SQL}

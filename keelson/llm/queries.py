@@ -5,13 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from keelson.llm import bpe, fingerprint, linededup, lm, mixing, neardup, pii, quality, urlfilter, warc
+from keelson.llm import bpe, codes, fingerprint, linededup, lm, mixing, neardup, packing, pii, quality, urlfilter, warc, whitening
 from keelson.llm.common import parallel, table
 from keelson.llm.oracles import ORACLES
 
 #: The rule list that op1 judges by before the mined rules.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,5 +56,17 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints_with_next(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mix_sources, op3_pii, op4_bpe, op5_lm_scores, op6_near_dedup, op7_warc, op8_quality_rules, op9_line_dedup, op10_fingerprints)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(parallel(table(spark, sf_dir, "embeddings")))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(parallel(table(spark, sf_dir, "documents")), TOKENIZER, public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mix_sources, op3_pii, op4_bpe, op5_lm_scores, op6_near_dedup, op7_warc, op8_quality_rules, op9_line_dedup, op10_fingerprints, op11_whitening, op12_vector_codes, op13_packing)}
 __all__ = ["ORACLES", "QUERIES"]
