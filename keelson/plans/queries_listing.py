@@ -30,7 +30,7 @@ def s3(v):
 @query("s4_recursive_walk", "SELECT 'object' AS kind, key AS entry FROM f1_inventory WHERE NOT starts_with(key, 'src3/') AND NOT starts_with(key, 'src5/en/') UNION ALL SELECT 'list_failed', 'src3/' UNION ALL SELECT 'list_failed', 'src5/en/'")
 def s4(v):
     inv = v("f1_inventory")
-    failed = inv.select(F.explode(F.array(F.lit("src3/"), F.lit("src5/en/"))).alias("prefix")).distinct()
+    failed = v.spark.createDataFrame([("src3/",), ("src5/en/",)], "prefix string")
     reached, lost = L.walk(inv, failed)
     return reached.select(F.lit("object").alias("kind"), F.col("key").alias("entry")).unionByName(lost.select(F.lit("list_failed").alias("kind"), F.col("prefix").alias("entry")))
 
@@ -64,7 +64,7 @@ def s8(v):
 
 @query("s9_version_entries", "SELECT key, version_id FROM f3_versions WHERE starts_with(key, 'c1/') OR starts_with(key, 'c3/k_1')")
 def s9(v):
-    entries = v("f3_versions").select(F.explode(F.array(F.lit("c1/"), F.lit("c1/k_1"), F.lit("c3/k_1"))).alias("prefix")).distinct()
+    entries = v.spark.createDataFrame([("c1/",), ("c1/k_1",), ("c3/k_1",)], "prefix string")
     return L.under_entries(v("f3_versions"), entries).select("key", "version_id")
 
 
@@ -204,7 +204,7 @@ def l4(v):
 @query("j10_resume_range", "SELECT key FROM f1_inventory WHERE starts_with(key, 'src1/') AND key > 'src1/en/doc_3' OR starts_with(key, 'src4/') AND key > ''")
 def j10(v):
     inv = v("f1_inventory")
-    entries = inv.select(F.explode(F.expr("array(named_struct('prefix', 'src1/', 'token', 'src1/en/doc_3'), named_struct('prefix', 'src4/', 'token', ''), named_struct('prefix', 'src4/en/', 'token', ''))")).alias("e")).select("e.*").distinct()
+    entries = v.spark.createDataFrame([("src1/", "src1/en/doc_3"), ("src4/", ""), ("src4/en/", "")], "prefix string, token string")
     return L.resumed(inv, entries).select("key")
 
 

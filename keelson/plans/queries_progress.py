@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from keelson.functions import rules as R
 from keelson.operators import progress as P
 from keelson.operators import sinks as K
+from keelson.operators.anchored import anchored_windows
 from keelson.plans.registry import query
 from keelson.sources import listing as L
 from keelson.sources import manifest as M
@@ -178,10 +179,12 @@ def m1(v):
     return found.select(F.unix_micros("window_start").alias("window_us"), "calls", F.round("avg_ms", 3).alias("avg_ms"), F.round("max_ms", 3).alias("max_ms"))
 
 
-@query("m2_anchored_windows", """, c AS (SELECT worker, epoch_us(ts) AS us, latency_ms FROM f5_calls), a AS (SELECT worker, min(us) AS s FROM c GROUP BY worker UNION ALL SELECT a.worker, (SELECT min(us) FROM c WHERE c.worker = a.worker AND c.us >= a.s + 3600000000) FROM a WHERE a.s IS NOT NULL),
-w AS (SELECT worker, s, lead(s, 1, 9000000000000000000) OVER (PARTITION BY worker ORDER BY s) AS e FROM a WHERE s IS NOT NULL) SELECT w.worker, w.s AS window_us, count(*) AS calls, round(sum(latency_ms), 3) AS total_ms, round(max(latency_ms), 3) AS max_ms FROM w JOIN c ON c.worker = w.worker AND c.us >= w.s AND c.us < w.e GROUP BY ALL""")
+@query("m2_anchored_windows", """, c AS (SELECT worker, epoch_us(ts) AS us, latency_ms FROM f5_calls),
+a AS (SELECT worker, list_reduce(list_transform(list_sort(list(DISTINCT us)), lambda x: [x]), lambda done, x: CASE WHEN x[1] >= done[-1] + 60000000 THEN list_concat(done, x) ELSE done END) AS starts FROM c GROUP BY worker),
+w AS (SELECT worker, unnest(starts) AS s, unnest(list_append(starts[2:], 9000000000000000000)) AS e FROM a)
+SELECT w.worker, w.s AS window_us, count(*) AS calls, round(sum(latency_ms), 3) AS total_ms, round(max(latency_ms), 3) AS max_ms FROM c ASOF JOIN w ON c.worker = w.worker AND c.us >= w.s GROUP BY ALL""")
 def m2(v):
-    return T.anchored_windows(calls(v), 3600).select("worker", F.unix_micros("window_start").alias("window_us"), "calls", F.round("total_ms", 3).alias("total_ms"), F.round("max_ms", 3).alias("max_ms"))
+    return anchored_windows(calls(v), 60).select("worker", F.unix_micros("window_start").alias("window_us"), "calls", F.round("total_ms", 3).alias("total_ms"), F.round("max_ms", 3).alias("max_ms"))
 
 
 @query("m3_journal_stream", J + " SELECT prefix, done, token FROM js")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keelson.sources import intervals
 from keelson.sources.shared import new_folder
 
 
@@ -41,7 +42,7 @@ def walk(inventory: DataFrame, failed: DataFrame | None = None) -> tuple[DataFra
     """Objects that a recursive walk reaches, and the failed prefixes; siblings of a failed prefix are kept."""
     if failed is None:
         return inventory, inventory.select(F.lit("").alias("prefix")).limit(0)
-    return inventory.join(keys_under(inventory, failed), "key", "left_anti"), failed
+    return intervals.select(inventory, failed.select("prefix"), inside=False), failed
 
 
 def two_phase(inventory: DataFrame, start_after: str = "") -> DataFrame:
@@ -80,27 +81,14 @@ def versions_after(versions: DataFrame, key_marker: str, version_marker: str) ->
     return ranked.withColumn("_at", at).where((F.col("key") > key_marker) | (F.col("_rn") > F.coalesce("_at", F.lit(0)))).drop("_rn", "_at")
 
 
-def keys_under(rows: DataFrame, entries: DataFrame) -> DataFrame:
-    """The distinct keys of rows that start with the prefix of an entry and, if entries have a token, come after it.
-
-    A key is cut to the lengths that prefixes have, which are no more than a key has characters, and each cut is looked up
-    by an equi-join; of entries with one prefix the least token decides."""
-    lengths = [r[0] for r in entries.where("prefix is not null").select(F.length("prefix").alias("n")).distinct().orderBy("n").collect()]
-    token = F.col("token") if "token" in entries.columns else F.lit(None).cast("string")
-    least = entries.groupBy(F.col("prefix").alias("_p")).agg(F.min(F.coalesce(token, F.lit(""))).alias("_t"), F.lit("token" in entries.columns).alias("_after"))
-    fit = F.filter(F.array(*(F.lit(n) for n in lengths)).cast("array<int>"), lambda n: n <= F.length("key"))
-    cut = rows.select("key", F.explode(fit).alias("_n")).select("key", F.expr("substring(key, 1, _n)").alias("_p"))
-    return cut.join(least, "_p").where(~F.col("_after") | (F.col("key") > F.col("_t"))).select("key").distinct()
-
-
 def under_entries(rows: DataFrame, entries: DataFrame) -> DataFrame:
     """Rows (key) under any of the entries (prefix), once each."""
-    return rows.join(keys_under(rows, entries.select("prefix")), "key", "left_semi")
+    return intervals.select(rows, entries.select("prefix"))
 
 
 def resumed(inventory: DataFrame, entries: DataFrame) -> DataFrame:
     """Rows under the prefix of an entry (prefix, token) and after its token, once each."""
-    return inventory.join(keys_under(inventory, entries.select("prefix", "token")), "key", "left_semi")
+    return intervals.select(inventory, entries.select("prefix", "token"))
 
 
 def in_ranges(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:

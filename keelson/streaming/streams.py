@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,35 +46,6 @@ def latency(calls: DataFrame, seconds: int = 60) -> DataFrame:
     return latency_windows(calls.withWatermark("ts", "2 minutes"), seconds)
 
 
-def anchored_windows(calls: DataFrame, seconds: int = 60) -> DataFrame:
-    """worker, window_start, calls, total_ms, max_ms with windows anchored at calls.
-
-    Each window starts where the last one ended, so a worker's calls are read in order; a task holds a batch of them and
-    the open window, and steps from window to window."""
-    span = seconds * 1_000_000
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_, out = None, []  # worker, start, calls, total, top
-        for rows in batches:
-            worker, at, value = (rows[c].to_numpy() for c in ("worker", "us", "latency_ms"))
-            i = 0
-            while i < len(at):
-                if open_ is None or open_[0] != worker[i] or at[i] >= open_[1] + span:
-                    out += [open_] if open_ else []
-                    open_ = (worker[i], at[i], 0, 0.0, 0.0)
-                same = i + int(np.searchsorted(worker[i:], worker[i], "right"))
-                j = i + int(np.searchsorted(at[i:same], open_[1] + span))
-                open_ = (*open_[:2], open_[2] + j - i, open_[3] + float(value[i:j].sum()), max(open_[4], float(value[i:j].max())))
-                i = j
-            yield pd.DataFrame(out, columns=["worker", "us", "calls", "total_ms", "max_ms"])
-            out = []
-        yield pd.DataFrame([open_] if open_ else [], columns=["worker", "us", "calls", "total_ms", "max_ms"])
-
-    rows = calls.select("worker", F.unix_micros("ts").alias("us"), "call_id", "latency_ms").repartition("worker").sortWithinPartitions("worker", "us", "call_id")
-    windows = rows.select("worker", "us", "latency_ms").mapInPandas(each, "worker bigint, us bigint, calls bigint, total_ms double, max_ms double")
-    return windows.select("worker", F.timestamp_micros("us").alias("window_start"), "calls", "total_ms", "max_ms")
-
-
 def anchored_stream(calls: DataFrame, seconds: int = 60) -> DataFrame:
     """anchored_windows as a stream: state holds a worker's open window, closed ones are returned."""
 

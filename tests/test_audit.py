@@ -10,6 +10,7 @@ from keelson.operators import audit as A
 from keelson.operators import progress as P
 from keelson.operators import sinks as K
 from keelson.operators import versions as V
+from keelson.operators.anchored import anchored_windows
 from keelson.sources import listing as L
 from keelson.sources import manifest as M
 from keelson.sources import ranged
@@ -132,7 +133,7 @@ def test_health_and_windows(spark):
     base = datetime.datetime(2024, 1, 1)
     calls = [(1, i, base + datetime.timedelta(seconds=s), float(s)) for i, s in enumerate((0, 59, 60, 119, 125, 200))]
     df = spark.createDataFrame(calls, "worker bigint, call_id bigint, ts timestamp, latency_ms double")
-    got = sorted(tuple(r) for r in T.anchored_windows(df).collect())
+    got = sorted(tuple(r) for r in anchored_windows(df).collect())
     assert [(r[1] - base).total_seconds() for r in got] == [0, 60, 125, 200] and [r[2] for r in got] == [2, 2, 1, 1]
     closed = sorted(tuple(r) for r in T.drained(T.anchored_stream(T.as_stream(df, 1))).collect())
     assert closed == got[:-1]
