@@ -6,11 +6,12 @@ linked with nothing. Documents with equal sets are one class. Each class posts i
 pairs; pairs held by one class only are dropped, the rarest few that a match cannot do without are kept (the prefix).
 
 Groups are never expanded into all pairs. First each posting list links its members to one hub. Lists that still hold
-several components are compared by signatures alone in tiles of bounded size, where coordinates before the list's own
+several components are compared by signatures alone in tiles of bounded size. Of long lists, members first go too many of whose
+shingles no other member of a long list has: a union without pairs. In tiles, coordinates before the list's own
 are skipped over if they would find the pair too and collisions are counted. Only classes with enough collisions in
 another component meet again with their full sets, in tiles bounded by shingles; there a prefix of the rarest shingles
 leaves pairs that can be alike, the sets decide, and links that join components only come out. A list of n members
-ships n * n / TILE_ROWS signatures; comparing them takes time with the square of n. A pair at the similarity itself is
+ships n * n / TILE_ROWS signatures; comparing them takes time with the square of n, n being what is left of a long list. A pair at the similarity itself is
 missed by its signature with a chance under `miss`.
 
 Full sets are made for classes in such lists only, from one row each, chosen where it stands in the scan (`rows`): texts
@@ -40,6 +41,8 @@ from keelson.llm.rows import addressed, choose, chosen, mask
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 #: Members of a posting list in one side of a tile of signatures; members and shingles in one of a tile of sets.
 TILE_ROWS, SET_ROWS, TILE_SHINGLES = 4096, 1024, 500_000
+#: Lists of more members drop those that can't be alike to any member of such a list, by their shingles, before tiles.
+LONG = 256
 MARK_SPARK, MARK_ARROW = schema_of(file="long", at="long", doc_id="long", n_shingles="long", node="long", sig="binary")
 SET_SPARK, SET_ARROW = schema_of(node="long", shingles="longs")
 
@@ -367,12 +370,27 @@ def tiles_of(posts: DataFrame, blocks: DataFrame) -> DataFrame:
     return met.withColumns({"bi": F.least("block", "o"), "bj": F.greatest("block", "o")}).drop("o", "blocks")
 
 
+def several(held: DataFrame) -> DataFrame:
+    """Lists of held (key, node, comp, n) with more than one component, and sums that tell lists of other members apart."""
+    return held.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size"), F.sum("n").alias("total"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).where("c0 <> c1")
+
+
+def lone(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of nodes (node, n) too many of whose shingles no other of nodes has: they are alike to none of them."""
+    own = sets.join(nodes, "node").select("node", "n", F.explode("shingles").alias("s"))
+    once = own.groupBy("s").agg(F.count("*").alias("_uses"), F.min("node").alias("node"), F.min("n").alias("n")).where("_uses = 1")
+    return once.groupBy("node", "n").agg(F.count("*").alias("_own")).where(100 * (F.col("n") - F.col("_own")) < percent * F.col("n")).select("node")
+
+
 def tile_links(prefix: DataFrame, labels: DataFrame, sets: DataFrame, classes: DataFrame, percent: int, matches: int, k: int) -> DataFrame:
     """Links (a, b) between components, from the posting lists that hold more than one."""
     held = prefix.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(classes.select("node", "n"), "node")
     held = written(held.select("key", "node", "comp", "n"), "near-held")
-    lists = held.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size"), F.sum("n").alias("total"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).where("c0 <> c1")
+    long = written(several(held).where(F.col("size") > LONG).select("key"), "near-long")
+    drop = held.join(long, "key").join(lone(held.join(long, "key", "left_semi").select("node", "n").distinct(), sets, percent), "node").select("key", "node")
+    held = written(held.join(drop, ["key", "node"], "left_anti"), "near-held")
     # of lists with the same members one is enough
+    lists = several(held)
     lists = lists.groupBy("size", "total", "who", "c0", "c1").agg(F.min("key").alias("key"))
     lists = written(lists.select("key", F.ceil(F.col("size") / TILE_ROWS).cast("int").alias("blocks")), "near-lists")
     posts = held.join(lists.select("key"), "key")

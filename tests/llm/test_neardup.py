@@ -50,9 +50,10 @@ def copies(n=150):
     return [(1000 + i, edited(base, r.randrange(0, 9), r), "en", "s", 0) for i in range(n)] + [(5000 + i, f"{cases.prose(40, i)}\n{base[:400]}", "en", "s", 0) for i in range(30)]
 
 
-@pytest.mark.parametrize("width,percent,tile", [(3, 85, 1024), (3, 85, 16), (5, 80, 16)])
-def test_against_brute_force(spark, monkeypatch, width, percent, tile):
+@pytest.mark.parametrize("width,percent,tile,long", [(3, 85, 1024, 256), (3, 85, 16, 8), (5, 80, 16, 8)])
+def test_against_brute_force(spark, monkeypatch, width, percent, tile, long):
     monkeypatch.setattr(neardup, "TILE_ROWS", tile)
+    monkeypatch.setattr(neardup, "LONG", long)
     monkeypatch.setattr(neardup, "SET_ROWS", tile // 2)
     rows = [*cases.rows(), *copies()]
     got = neardup.near_duplicates(spark.createDataFrame(rows, cases.SCHEMA).repartition(4), width, percent).collect()
@@ -60,6 +61,19 @@ def test_against_brute_force(spark, monkeypatch, width, percent, tile):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_lone_members(spark):
+    """Whoever is alike to another member stays, whatever else it holds."""
+    r = np.random.default_rng(3)
+    base = list(range(100))
+    sets = [sorted({*r.choice(base, 100 - k % 30, replace=False).tolist(), *(1000 * i + x for x in range(k % 30))}) for i, k in enumerate(r.integers(0, 60, 80).tolist(), 1)]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "node bigint, shingles array<bigint>")
+    gone = {r["node"] for r in neardup.lone(df.selectExpr("node", "size(shingles) as n"), df, 85).collect()}
+    alike = {i for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and 100 * len(set(a) & set(b)) >= 85 * len(set(a) | set(b))}
+    assert gone and not gone & alike
+    others = [set().union(*(sets[:i] + sets[i + 1 :])) for i in range(len(sets))]
+    assert gone == {i for i, s in enumerate(sets) if 100 * len(set(s) & others[i]) < 85 * len(s)}
+
+
 def test_columns_and_empty(spark):
     assert neardup.near_duplicates(cases.clashing(spark)).count() == len(cases.rows())
     assert neardup.near_duplicates(cases.empty(spark)).collect() == []
