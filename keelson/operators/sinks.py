@@ -4,29 +4,44 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.functions import rules as R
+from keelson.operators.commits import commit, read_committed
 
 
-def write_owner_lines(routed: DataFrame, path: str) -> None:
-    """routed (owner_dir, result, line) as text files below owner_dir=.../result=...; a set without rows has no folder."""
-    routed.select("owner_dir", "result", "line").repartition("owner_dir", "result", F.pmod(F.xxhash64("line"), F.lit(16))).write.mode("append").partitionBy("owner_dir", "result").text(path)
+def write_owner_lines(routed: DataFrame, path: str, run: str = "run") -> None:
+    """routed (owner_dir, result, line) as text files below owner_dir=.../result=...; a set without rows has no folder. A
+    run that is written again takes the place of what it wrote before."""
+    rows = routed.select("owner_dir", "result", "line").repartition("owner_dir", "result", F.pmod(F.xxhash64("line"), F.lit(16)))
+    commit(path, run, lambda folder: rows.write.partitionBy("owner_dir", "result").text(folder))
 
 
-def write_lines(routed: DataFrame, path: str) -> None:
-    """routed (result, line) as text files below result=..."""
-    routed.select("result", "line").write.mode("append").partitionBy("result").text(path)
+def write_lines(routed: DataFrame, path: str, run: str = "run") -> None:
+    """routed (result, line) as text files below result=..., a run once."""
+    commit(path, run, lambda folder: routed.select("result", "line").write.partitionBy("result").text(folder))
 
 
 def read_lines(spark: SparkSession, path: str, columns: str = "result string") -> DataFrame:
-    """What write_lines or write_owner_lines has written."""
-    return spark.read.schema(f"value string, {columns}").text(path).withColumnRenamed("value", "line")
+    """What write_lines or write_owner_lines has written, each run once."""
+    return read_committed(spark, path, "text", f"value string, {columns}").withColumnRenamed("value", "line")
 
 
-def write_log(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
+def write_log(rows: DataFrame, path: str, run: str = "run") -> None:
+    commit(path, run, lambda folder: rows.write.json(folder))
+
+
+def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What write_log has written, each run once."""
+    return read_committed(spark, path, "json", schema)
+
+
+def counted(rows: DataFrame, **counters: Column) -> tuple[DataFrame, Observation]:
+    """rows, and an observation that holds counters (aggregates) over them once a job has read all of them: results and
+    counters come from one pass. Tasks that are repeated count once."""
+    seen = Observation()
+    return rows.observe(seen, *(c.alias(n) for n, c in counters.items())), seen
 
 
 def failure_log(calls: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from keelson.plans.registry import query
 from keelson.sources import listing as L
 from keelson.sources import manifest as M
 from keelson.streaming import streams as T
+from keelson.streaming.tracker import latest, page_events, track
 
 J = """, jl AS (SELECT line_no, CASE WHEN starts_with(line, 'discovered|') THEN 'discovered' WHEN starts_with(line, 'done|') THEN 'done' ELSE 'cursor' END AS kind, line, regexp_extract(line, '^cursor\\|(.*)\\|([^|]*)$', 2) AS tk FROM f4_journal),
 je AS (SELECT line_no, kind, CASE WHEN kind = 'cursor' THEN substr(line, 8, length(line) - 8 - length(tk)) ELSE substr(line, instr(line, '|') + 1) END AS prefix, CASE WHEN kind = 'cursor' THEN tk ELSE '' END AS token FROM jl),
@@ -131,7 +132,7 @@ def k4(v):
     path = new_folder(v.spark, "log")
     rows = logged(v)
     K.write_log(rows, path)
-    return v.spark.read.schema(rows.schema).json(path)
+    return K.read_log(v.spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
 
 
 STREAK = ", f AS (SELECT call_id, worker, CASE WHEN http_code BETWEEN 200 AND 299 THEN 0 ELSE 1 END AS bad FROM f5_calls), g AS (SELECT *, coalesce(sum(1 - bad) OVER (PARTITION BY worker ORDER BY call_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp FROM f), s AS (SELECT call_id, worker, CAST(coalesce(sum(bad) OVER (PARTITION BY worker, grp ORDER BY call_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS streak FROM g)"
@@ -194,6 +195,13 @@ def m3(v):
     return last.select("prefix", "s.done", "s.token")
 
 
+@query("m3_journal_tracker", PG + " SELECT prefix, position, token, done FROM ps")
+def m3_tracker(v):
+    """Page accounting on a stream of pages and finished objects."""
+    events = page_events(v("f4_pages"), v("f4_terminals"))
+    return latest(T.drained(track(T.as_stream(events)), "update")).select("prefix", "position", "token", "done")
+
+
 @query("m4_node_health")
 def m4(v):
     return T.drained(T.node_health_stream(T.as_stream(v("f5_calls"), 1)))
@@ -221,8 +229,12 @@ def m6(v):
 
 @query("m7_marker_feed", "SELECT DISTINCT bucket, key, version_id FROM f3_versions WHERE is_delete_marker")
 def m7(v):
+    from keelson.sources.shared import new_folder
+
     rows = v("f3_versions").withColumn("last_modified", F.col("last_modified").cast("timestamp"))
-    return T.drained(T.marker_feed(T.as_stream(rows)))
+    path = new_folder(v.spark, "markers")
+    T.feed_markers(T.as_stream(rows), path, new_folder(v.spark, "state"))
+    return T.fed_markers(v.spark, path)
 
 
 @query("m8_running_counts", "SELECT op, count(*) AS n FROM f5_calls GROUP BY op")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 
 
@@ -17,3 +18,24 @@ def new_folder(spark: SparkSession, what: str) -> str:
         root = "file://" + tempfile.mkdtemp(prefix="spark-keelson-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def put_small(folder: str, name: str, text: str) -> None:
+    """Write a small file whole or not at all, in the place of one of that name."""
+    fs, root = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(root, recursive=True)
+    part = f"{root}/.{uuid.uuid4().hex}"
+    with fs.open_output_stream(part) as out:
+        out.write(text.encode())
+    fs.move(part, f"{root}/{name}")
+
+
+def get_small(folder: str) -> dict[str, str]:
+    """The small files of a folder by name; none if it isn't there."""
+    fs, root = pafs.FileSystem.from_uri(folder)
+    out = {}
+    for info in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        if info.is_file and not info.base_name.startswith("."):
+            with fs.open_input_file(info.path) as f:
+                out[info.base_name] = f.read().decode()
+    return out

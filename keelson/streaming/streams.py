@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from keelson.functions import rules as R
+from keelson.operators.commits import commit, read_committed
 from keelson.operators.progress import latency_windows
 from keelson.sources.shared import new_folder
 
@@ -131,9 +133,40 @@ def node_health_stream(calls: DataFrame, threshold: int = 3, good: int = 2) -> D
     return rows.groupBy("node").applyInPandasWithState(each, "node bigint, call_id bigint, change string", "faults bigint, isolated boolean, streak bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def marker_feed(versions: DataFrame) -> DataFrame:
-    """Delete markers of a stream of version events, each (bucket, key, version_id) once."""
-    return versions.where("is_delete_marker").withWatermark("last_modified", "3650 days").dropDuplicatesWithinWatermark(["bucket", "key", "version_id"]).select("bucket", "key", "version_id")
+#: Folders by hash that the table of a feed has, so that a small batch reads few of them.
+FEED_HASHES = 64
+MARKER = ["bucket", "key", "version_id"]
+
+
+def marker_feed(versions: DataFrame, kept: str = "2 hours") -> DataFrame:
+    """Delete markers of a stream of version events, each (bucket, key, version_id) once among those that came within the
+    time `kept`. That is time of arrival: no row is late, however old the version, and state holds the keys of that time."""
+    seen = versions.where("is_delete_marker").withColumn("_arrived", F.current_timestamp())
+    return seen.withWatermark("_arrived", kept).dropDuplicatesWithinWatermark(MARKER).select(*MARKER)
+
+
+def feed_markers(versions: DataFrame, path: str, state: str, kept: str = "2 hours") -> StreamingQuery:
+    """Run marker_feed over what is there into the table at path, each marker once at any distance of time.
+
+    Keys that came before are in the table itself, by batch and hash: a batch leaves those out by an anti-join on its
+    own hashes and is then put on the list of batches. A repeated batch looks at the other batches only and takes its own place."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        run = f"batch-{number}"
+        new = batch.dropDuplicates(MARKER).withColumn("h", F.pmod(F.xxhash64(*MARKER), F.lit(FEED_HASHES)).cast("int"))
+        before = read_committed(batch.sparkSession, path, "parquet", "bucket string, key string, version_id string, h int", but=run).alias("b")
+        same = [new[c].eqNullSafe(before[c]) for c in MARKER]
+        fresh = new.join(before, [*same, new["h"] == before["h"]], "left_anti")
+        commit(path, run, lambda folder: fresh.write.partitionBy("h").parquet(folder))
+
+    query = marker_feed(versions, kept).writeStream.outputMode("append").foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def fed_markers(spark: SparkSession, path: str) -> DataFrame:
+    """The table of a feed."""
+    return read_committed(spark, path, "parquet", "bucket string, key string, version_id string, h int").drop("h")
 
 
 def running_counts(rows: DataFrame, by: str) -> DataFrame:
@@ -145,6 +178,6 @@ def lines_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.text(folder).select(F.col("value").alias("line"))
 
 
-def per_batch(stream: DataFrame, act: Callable[[DataFrame, int], None], state: str) -> None:
+def per_batch(stream: DataFrame, act: Callable[[DataFrame, int], None], state: str, mode: str = "append") -> None:
     """Results first, progress after: the offsets of a batch are kept once act has returned; act must bear a repeat."""
-    stream.writeStream.foreachBatch(act).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.outputMode(mode).foreachBatch(act).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()

@@ -115,7 +115,8 @@ def test_ranged_reads_and_copies(spark, tmp_path):
 def test_files(spark, tmp_path):
     rows = spark.createDataFrame([("o1", "ok_objects", "b|k1"), ("o2", "mp", "b|k2")], "owner_dir string, result string, line string")
     K.write_owner_lines(rows, f"file://{tmp_path}/out")
-    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir()) == ["owner_dir=o1", "owner_dir=o2"]
+    (run,) = (tmp_path / "out/runs").iterdir()
+    assert sorted(p.name for p in run.iterdir() if p.is_dir()) == ["owner_dir=o1", "owner_dir=o2"]
     assert sorted((r["owner_dir"], r["line"]) for r in K.read_lines(spark, f"file://{tmp_path}/out", "owner_dir string, result string").collect()) == [("o1", "b|k1"), ("o2", "b|k2")]
     assert K.run_folder("/a/b//", datetime.datetime(2024, 1, 2, 3, 4, 5)) == "/a/b_20240102_030405"
     at = datetime.datetime(2024, 1, 2)
