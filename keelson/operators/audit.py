@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.functions import rules as R
-from keelson.sources.ranged import copy_objects
+from keelson.sources.ranged import copy_objects, object_path
 
 #: Result sets in the order of summaries.
 RESULTS = ("ok_objects", "corrupted_objects", "check_failed", "ok_mp", "corrupted_mp", "mp_check_failed", "mp", "list_parse_failed", "list_failed", "invalid_keys", "parse_failed")
@@ -56,15 +56,19 @@ def check(inventory: DataFrame, mode: str = "off", segment: int = 0, threshold:
     return routed.select("bucket", "key", "owner_dir", "is_multipart", "size", "result", line.alias("line"))
 
 
-def summary(routed: DataFrame) -> DataFrame:
-    """One row of counters over result and is_multipart. Keys with a separator aren't counted as listed."""
-    n = lambda c: F.count_if(c)
+def summary_counters() -> dict[str, Column]:
+    """Counters over result and is_multipart. Keys with a separator aren't counted as listed."""
     is_ = lambda r: F.col("result") == r
     listed = ~is_("invalid_keys")
-    return routed.agg(
-        n(listed).alias("list_all"), n(listed & ~F.col("is_multipart")).alias("list_obj"), n(listed & F.col("is_multipart")).alias("list_mp"), n(is_("ok_objects")).alias("ok_obj"), n(is_("corrupted_objects")).alias("corrupt_obj"),
-        n(is_("ok_mp")).alias("ok_mp"), n(is_("corrupted_mp")).alias("corrupt_mp"), n(is_("list_failed")).alias("list_failed"), n(is_("list_parse_failed")).alias("list_parse_failed"), n(is_("check_failed")).alias("check_failed"),
-        n(is_("mp_check_failed")).alias("mp_check_failed"), n(is_("invalid_keys")).alias("invalid_keys"))
+    each = {
+        "list_all": listed, "list_obj": listed & ~F.col("is_multipart"), "list_mp": listed & F.col("is_multipart"), "ok_obj": is_("ok_objects"), "corrupt_obj": is_("corrupted_objects"), "ok_mp": is_("ok_mp"), "corrupt_mp": is_("corrupted_mp"),
+        "list_failed": is_("list_failed"), "list_parse_failed": is_("list_parse_failed"), "check_failed": is_("check_failed"), "mp_check_failed": is_("mp_check_failed"), "invalid_keys": is_("invalid_keys")}
+    return {n: F.count_if(c) for n, c in each.items()}
+
+
+def summary(routed: DataFrame) -> DataFrame:
+    """One row of the counters."""
+    return routed.agg(*(c.alias(n) for n, c in summary_counters().items()))
 
 
 def enabled(result: Column, is_check: bool = True, mode: str = "off", file_input: bool = False, check_file: bool = False, success_log: bool = False, multipart_success_log: bool = False, backup: bool = False) -> Column:
@@ -111,8 +115,7 @@ def backup(manifest: DataFrame, head: DataFrame, source: str, target: str) -> Da
     folder target: those that are there and whose type is the declared one."""
     joined = head_joined(manifest, head)
     todo = joined.where(F.col("found") & (F.col("is_multipart") == ~R.is_normal_etag(F.col("etag"))))
-    at = lambda folder: F.concat(F.lit(f"{folder}/"), "key")
-    copies = copy_objects(todo.select("key", at(source).alias("source"), at(target).alias("target"), F.when(F.col("is_multipart"), F.col("offsets")).alias("offsets"), "size"))
+    copies = copy_objects(todo.select("key", object_path(source).alias("source"), object_path(target).alias("target"), F.when(F.col("is_multipart"), F.col("offsets")).alias("offsets"), "size"))
     return backup_plan(manifest, head, copies.select("key", F.col("dst_etag").alias("etag")))
 
 

@@ -28,13 +28,16 @@ def page_outstanding(pages: DataFrame, terminals: DataFrame) -> DataFrame:
 
 
 def positions(outstanding: DataFrame) -> DataFrame:
-    """prefix, position (greatest page with all up to it complete, -1 if none), token there, and done."""
-    w = Window.partitionBy("prefix").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    at = outstanding.withColumn("_open", F.sum(F.when(F.col("outstanding") > 0, 1).otherwise(0)).over(w))
-    full = F.when(F.col("_open") == 0, F.col("seq"))
-    each = at.groupBy("prefix").agg(F.max(full).alias("p"), F.max_by("next_token", full).alias("t"), F.max("seq").alias("last"), F.max(F.when(F.col("next_token") == "", 1).otherwise(0)).alias("ended"))
-    p = F.coalesce("p", F.lit(-1))
-    return each.select("prefix", p.alias("position"), F.when(F.col("p").isNull(), "").otherwise(F.col("t")).alias("token"), ((F.col("ended") == 1) & (p == F.col("last"))).alias("done"))
+    """prefix, position (greatest page with all up to it complete, -1 if none), token there, and done.
+
+    The position is the greatest page below the least open one: two grouped extremes, of which tasks combine their own part
+    before the shuffle, so no task reads the pages of a prefix in a row."""
+    each = outstanding.groupBy("prefix").agg(F.min(F.when(F.col("outstanding") > 0, F.col("seq"))).alias("_open"), F.max("seq").alias("_last"), F.max(F.when(F.col("next_token") == "", 1).otherwise(0)).alias("_ended"))
+    full = outstanding.join(each.select(F.col("prefix").alias("_p"), "_open"), F.col("prefix").eqNullSafe(F.col("_p"))).where(F.col("_open").isNull() | (F.col("seq") < F.col("_open")))
+    at = full.groupBy(F.col("prefix").alias("_p")).agg(F.max(F.struct("seq", "next_token")).alias("_at"))
+    p = F.coalesce(F.col("_at.seq"), F.lit(-1))
+    found = each.join(at, F.col("prefix").eqNullSafe(F.col("_p")), "left")
+    return found.select("prefix", p.alias("position"), F.coalesce("_at.next_token", F.lit("")).alias("token"), ((F.col("_ended") == 1) & (p == F.col("_last"))).alias("done"))
 
 
 def snapshot(positions_: DataFrame) -> DataFrame:

@@ -18,9 +18,11 @@ def write_owner_lines(routed: DataFrame, path: str, run: str = "run") -> None:
     commit(path, run, lambda folder: rows.write.partitionBy("owner_dir", "result").text(folder))
 
 
-def write_lines(routed: DataFrame, path: str, run: str = "run") -> None:
-    """routed (result, line) as text files below result=..., a run once."""
-    commit(path, run, lambda folder: routed.select("result", "line").write.partitionBy("result").text(folder))
+def write_lines(routed: DataFrame, path: str, run: str = "run", **counters: Column) -> None:
+    """routed (result, line) as text files below result=..., a run once; counters (aggregates over routed) are taken in the
+    pass that writes and kept with the run."""
+    rows, seen = counted(routed, **counters) if counters else (routed, None)
+    commit(path, run, lambda folder: rows.select("result", "line").write.partitionBy("result").text(folder), lambda: seen.get if seen else {})
 
 
 def read_lines(spark: SparkSession, path: str, columns: str = "result string") -> DataFrame:

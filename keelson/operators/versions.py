@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.functions import rules as R
+from keelson.operators.commits import commit
+from keelson.operators.sinks import counted
 from keelson.sources.listing import numbered
 
 KEY = ["bucket", "key", "version_id"]
@@ -19,9 +21,19 @@ def delete_marker_rows(versions: DataFrame) -> DataFrame:
     return versions.where("is_delete_marker").select(F.when(torn, "invalid_keys").otherwise("delete_markers").alias("result"), line.alias("line"))
 
 
-def scan_counters(versions: DataFrame) -> DataFrame:
+def counters_of_scan() -> dict[str, Column]:
     torn = R.tears_row(F.col("key"))
-    return versions.agg(F.count("*").alias("scanned"), F.count_if(F.col("is_delete_marker") & ~torn).alias("delete_markers"), F.count_if(F.col("is_delete_marker") & torn).alias("invalid_keys"))
+    return {"scanned": F.count("*"), "delete_markers": F.count_if(F.col("is_delete_marker") & ~torn), "invalid_keys": F.count_if(F.col("is_delete_marker") & torn)}
+
+
+def scan_counters(versions: DataFrame) -> DataFrame:
+    return versions.agg(*(c.alias(n) for n, c in counters_of_scan().items()))
+
+
+def write_scan(versions: DataFrame, path: str, run: str = "run") -> None:
+    """delete_marker_rows as result files, with the counters of the scan, from one pass."""
+    rows, seen = counted(versions, **counters_of_scan())
+    commit(path, run, lambda folder: delete_marker_rows(rows).write.partitionBy("result").text(folder), lambda: seen.get)
 
 
 def states(listed: DataFrame, current: DataFrame) -> DataFrame:

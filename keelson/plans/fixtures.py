@@ -57,7 +57,9 @@ FROM lineitem WHERE NOT (l_linenumber > l_suppkey % 9 AND l_returnflag = 'R')"""
     WHEN 6 THEN '   ' WHEN 7 THEN 'bkt| ' WHEN 8 THEN 'bkt|' || k || '|0' WHEN 9 THEN 'bkt|' || k || '|1|7'
     WHEN 10 THEN 'bkt|' || k || '|2|0|-5' WHEN 11 THEN 'bkt|' || k || '|2|0| 5' ELSE 'bkt' END AS line
 FROM (SELECT o_orderkey, o_custkey, 'k/' || CAST(o_custkey AS STRING) AS k FROM orders) o""",
-    "f7_head": """SELECT key, CASE WHEN doc_id % 6 = 0 THEN md5(body) || '-2' ELSE md5(body) END AS etag, size FROM f1_inventory WHERE doc_id % 10 <> 9""",
+    "f7_head": """SELECT key, CASE WHEN doc_id % 24 = 0 THEN COMPOSITE(body) WHEN doc_id % 6 = 0 THEN md5(body) || '-2' ELSE md5(body) END AS etag, size FROM f1_inventory WHERE doc_id % 10 <> 9""",
+    "f7_target": """SELECT CASE WHEN doc_id % 10 = 3 THEN 'copy/' || key ELSE key END AS key, CASE WHEN doc_id % 6 = 0 THEN md5(body) || '-2' ELSE md5(body) END AS etag,
+  CASE WHEN doc_id % 14 = 5 THEN size + 1 ELSE size END AS size FROM f1_inventory WHERE doc_id % 10 <> 9""",
     "f7_declared": """SELECT key, doc_id % 4 = 0 AS is_multipart, doc_id FROM f1_inventory""",
     "f8_trees": """SELECT s_suppkey AS tree, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'data' || CAST(s_suppkey AS STRING) || CASE WHEN s_suppkey % 3 = 1 THEN '/' ELSE '' END END AS prefix,
   CAST(s_suppkey % 4 + 1 AS INT) AS depth, CAST(s_nationkey % 5 + 1 AS INT) AS width, CAST(s_suppkey % 11 + 1 AS INT) AS files FROM supplier""",
@@ -69,7 +71,11 @@ FROM (SELECT o_orderkey, o_custkey, 'k/' || CAST(o_custkey AS STRING) AS k FROM
 
 
 def dialect(sql: str, spark: bool) -> str:
-    """BYTES and JOIN_ORDERED in the words of one engine."""
+    """BYTES, JOIN_ORDERED and COMPOSITE (the ETag of a text stored in two halves) in the words of one engine."""
+    half = "CAST(2 * floor(BYTES({0}) / 2) AS INT)"
+    composite = "md5(unhex(md5(unhex(substring(HEX({0}), 1, " + half + "))) || md5(unhex(substring(HEX({0}), " + half + " + 1))))) || '-2'"
+    sql = re.sub(r"COMPOSITE\((\w+)\)", lambda m: composite.format(m[1]), sql)
+    sql = re.sub(r"HEX\((\w+)\)", r"hex(\1)" if spark else r"hex(encode(\1))", sql)
     sql = re.sub(r"BYTES\((\w+)\)", r"octet_length(\1)" if spark else r"strlen(\1)", sql)
     ordered = r"listagg(\1, \2) WITHIN GROUP (ORDER BY \3)" if spark else r"string_agg(\1, \2 ORDER BY \3)"
     return re.sub(r"JOIN_ORDERED\((CAST\(\w+ AS STRING\)|\w+), ('[^']*'), (\w+)\)", ordered, sql)

@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from keelson.functions import rules as R
 from keelson.operators import audit as A
+from keelson.operators import commits as C
 from keelson.operators import sinks as K
+from keelson.operators.compare import compare_buckets
 from keelson.plans.registry import query
 from keelson.sources import listing as L
 from keelson.sources import manifest as M
 from keelson.sources import ranged
 from keelson.sources.shared import new_folder
+from keelson.streaming import streams as T
 
 NORMAL = "regexp_full_match({}, '[0-9a-f]{{32}}')"
 ETAG = "CASE WHEN length(etag_raw) >= 2 AND starts_with(etag_raw, '\"') AND ends_with(etag_raw, '\"') THEN substr(etag_raw, 2, length(etag_raw) - 2) ELSE etag_raw END"
@@ -258,6 +261,16 @@ def a1(v):
     return A.summary(routed(v))
 
 
+@query("a1_written_summary", CORE + SUMMARY)
+def a1_written(v):
+    """The same counters, taken by the job that writes the results and kept with them."""
+    path = new_folder(v.spark, "counted")
+    counters = A.summary_counters()
+    K.write_lines(routed(v), path, **counters)
+    found = C.counters(path)
+    return v.spark.createDataFrame([tuple(found[n] for n in counters)], ", ".join(f"{n} bigint" for n in counters))
+
+
 @query("a3_first_settled_probe", CORE + " SELECT doc_id, CASE WHEN size > 0 AND bad THEN 'corrupted' ELSE 'clean' END AS verdict FROM t JOIN h USING (doc_id)")
 def a3(v):
     return A.verdicts(A.tasks(v("f1_inventory"))).select("doc_id", "verdict")
@@ -385,7 +398,7 @@ def relayed(v, rows):
     """Bodies stored as objects of a folder, copied to another."""
     source, target = new_folder(v.spark, "bucket"), new_folder(v.spark, "backup")
     ranged.store_objects(rows, source)
-    objects = rows.select("key", F.concat(F.lit(source + "/"), "key").alias("source"), F.concat(F.lit(target + "/"), "key").alias("target"), "offsets", "size")
+    objects = rows.select("key", ranged.object_path(source).alias("source"), ranged.object_path(target).alias("target"), "offsets", "size")
     return ranged.copy_objects(objects).select("key", "dst_etag")
 
 
@@ -403,12 +416,12 @@ def s15(v):
     """The first and the last 128 bytes of every stored object."""
     rows, folder = v("f1_inventory"), new_folder(v.spark, "bucket")
     ranged.store_objects(rows, folder)
-    windows = rows.select("key", F.concat(F.lit(folder + "/"), "key").alias("path"), F.posexplode(F.array(F.lit(0).cast("bigint"), F.greatest(F.col("size") - 128, F.lit(0)))).alias("no", "start"))
+    windows = rows.select("key", ranged.object_path(folder).alias("path"), F.posexplode(F.array(F.lit(0).cast("bigint"), F.greatest(F.col("size") - 128, F.lit(0)))).alias("no", "start"))
     read = ranged.read_ranges(windows.select("path", "start", F.lit(128).alias("length")).distinct())
     return windows.join(read, ["path", "start"]).select("key", F.col("no").cast("int").alias("no"), "start", F.hex("body").alias("bytes"))
 
 
-DECL = ", d AS (SELECT d.key, d.is_multipart AS declared, h.etag, h.size FROM f7_declared d LEFT JOIN f7_head h ON d.key = h.key)"
+DECL = ", d AS (SELECT d.key, d.doc_id, d.is_multipart AS declared, h.etag, h.size FROM f7_declared d LEFT JOIN f7_head h ON d.key = h.key)"
 
 
 def declared(v):
@@ -428,10 +441,10 @@ def j2(v):
     return joined.select("key", F.col("is_multipart").alias("declared"), now.alias("now_multipart"), (F.col("found") & (F.col("is_multipart") != now)).alias("drifted"))
 
 
-#: The store has lost the second half of the objects of the owner '..', and plain multipart ETags aren't those of two halves.
-BACK = DECL + """, s AS (SELECT key, owner_id = '..' AND size > 0 AS short FROM f1_inventory),
-b AS (SELECT d.key, CASE WHEN etag IS NULL THEN 'head' WHEN declared <> contains(etag, '-') THEN '' WHEN short OR declared AND size < 2 THEN 'upload' WHEN declared THEN 'etag' ELSE '' END AS stage, declared, etag,
-  CASE WHEN etag IS NULL THEN 'backup_failed' WHEN declared <> contains(etag, '-') THEN 'mismatch' WHEN short OR declared THEN 'backup_failed' ELSE 'backup_ok' END AS result FROM d JOIN s ON d.key = s.key)"""
+#: The store has lost the second half of the objects of the owner '..'; some multipart ETags are those of two halves.
+BACK = DECL + """, s AS (SELECT key, owner_id = '..' AND size > 0 AS short, COMPOSITE(body) AS halves FROM f1_inventory),
+b AS (SELECT d.key, CASE WHEN etag IS NULL THEN 'head' WHEN declared <> contains(etag, '-') THEN '' WHEN short OR declared AND size < 2 THEN 'upload' WHEN declared AND etag <> halves THEN 'etag' ELSE '' END AS stage, declared, etag,
+  CASE WHEN etag IS NULL THEN 'backup_failed' WHEN declared <> contains(etag, '-') THEN 'mismatch' WHEN short OR declared AND (size < 2 OR etag <> halves) THEN 'backup_failed' ELSE 'backup_ok' END AS result FROM d JOIN s ON d.key = s.key)"""
 
 
 def planned(v):
@@ -462,6 +475,15 @@ def j4(v):
     return backed_up(v).where("stage = 'etag' OR result = 'backup_ok'").select("key", "result")
 
 
+@query("j4_bucket_audit", """, a AS (SELECT key, md5(body) AS etag, size FROM f1_inventory), b AS (SELECT key, etag, size FROM f7_target)
+SELECT coalesce(a.key, b.key) AS key, CASE WHEN b.key IS NULL THEN 'only_source' WHEN a.key IS NULL THEN 'only_target' ELSE 'differs' END AS status, a.etag AS source_etag, b.etag AS target_etag, a.size AS source_size, b.size AS target_size
+FROM a FULL JOIN b ON a.key = b.key WHERE a.key IS NULL OR b.key IS NULL OR a.etag <> b.etag OR a.size <> b.size""")
+def j4_audit(v):
+    """Two whole buckets, opened only where digests of their hash ranges differ."""
+    source = v("f1_inventory").select("key", F.md5("body").alias("etag"), "size")
+    return compare_buckets(source, v("f7_target"), ["etag", "size"]).select("key", "status", "source_etag", "target_etag", "source_size", "target_size")
+
+
 @query("p37_backup_routing", BACK + " SELECT result, stage, count(*) AS n FROM b GROUP BY ALL")
 def p37(v):
     return backed_up(v).groupBy("result", "stage").agg(F.count("*").alias("n"))
@@ -483,6 +505,16 @@ def c3(v):
     return A.recheck(declared(v), v("f7_head"), v("f1_inventory")).select("key", "result")
 
 
+@query("m6_recheck_verdicts", CORE + """ SELECT 'bkt|' || d.key || CASE WHEN d.is_multipart THEN '|1|0' ELSE '' END AS line, CASE WHEN contains(d.key, '|') THEN 'parse_failed' WHEN e.etag IS NULL THEN CASE WHEN d.is_multipart THEN 'mp_check_failed' ELSE 'check_failed' END
+  WHEN contains(e.etag, '-') THEN CASE WHEN d.is_multipart THEN CASE WHEN r.size > 0 AND r.bad THEN 'corrupted_mp' ELSE 'ok_mp' END ELSE 'mp' END WHEN r.size > 0 AND r.bad THEN 'corrupted_objects' ELSE 'ok_objects' END AS result
+FROM f7_declared d LEFT JOIN f7_head e ON d.key = e.key JOIN (SELECT key, size, bad FROM t JOIN h USING (doc_id)) r ON r.key = d.key""")
+def m6_verdicts(v):
+    """Failure lines as they come, with the objects' current state and a verdict."""
+    path = new_folder(v.spark, "lines")
+    v("f7_declared").select(F.concat(F.lit("bkt|"), "key", F.when(F.col("is_multipart"), "|1|0").otherwise("")).alias("value")).write.text(path)
+    return T.drained(T.recheck_stream(T.lines_stream(v.spark, path), v("f7_head"), v("f1_inventory"), "bkt"))
+
+
 FAILS = REASON + ", fl AS (SELECT line_no % 3 AS run_id, line, CASE WHEN reason IS NULL THEN CASE line_no % 7 WHEN 0 THEN 'check_failed' WHEN 1 THEN 'mp_check_failed' WHEN 2 THEN 'mismatch' WHEN 3 THEN 'corrupted_objects' WHEN 4 THEN 'corrupted_mp' ELSE 'ok_objects' END ELSE 'parse_failed' END AS result FROM pm)"
 
 

@@ -3,10 +3,14 @@
 from pyspark.sql import functions as F
 
 from keelson.functions import rules as R
+from keelson.operators import commits as C
 from keelson.operators import versions as V_
 from keelson.plans.registry import query
 from keelson.sources import listing as L
+from keelson.sources import ranged
+from keelson.sources import store
 from keelson.sources import synth as S
+from keelson.sources.shared import new_folder
 
 UP = "unnest(list_prepend('', list_transform(range(1, len(string_split(key, '/'))), lambda i: array_to_string(string_split(key, '/')[1:i], '/') || '/')))"
 
@@ -40,6 +44,14 @@ def s5(v):
     return L.two_phase(v("f1_inventory"), "src12/").select("key", "size")
 
 
+@query("s3_stored_tree", f"SELECT 'object' AS kind, key AS entry, CAST(size AS BIGINT) AS size FROM f1_inventory UNION ALL SELECT 'prefix', prefix, NULL FROM (SELECT DISTINCT {UP} AS prefix FROM f1_inventory) WHERE prefix <> ''")
+def s3_stored(v):
+    """The bodies stored as objects, and the store listed level by level: a round lists all prefixes of its level in tasks."""
+    folder = new_folder(v.spark, "bucket")
+    ranged.store_objects(v("f1_inventory").select("key", "body"), folder)
+    return store.listed(v.spark, folder).select("kind", "entry", "size")
+
+
 @query("s6_count_only", "SELECT count(*) AS bfs, count(*) AS walk, count(*) FILTER (WHERE key <> '' AND NOT ends_with(key, '/')) AS iter, count(*) FILTER (WHERE key <> '' AND NOT ends_with(key, '/')) AS sub FROM f1_inventory")
 def s6(v):
     """Level by level, by a walk, by one flat listing, and by root objects and sub-prefixes: each counts its own rows."""
@@ -312,6 +324,15 @@ def a5(v):
     return V_.scan_counters(v("f3_versions"))
 
 
+@query("a5_written_counters", f"SELECT {COUNTERS} FROM f3_versions")
+def a5_written(v):
+    """The same counters, taken by the job that writes the delete markers of the scan and kept with them."""
+    path = new_folder(v.spark, "markers")
+    V_.write_scan(v("f3_versions"), path)
+    found = C.counters(path)
+    return v.spark.createDataFrame([(found["scanned"], found["delete_markers"], found["invalid_keys"])], "scanned bigint, delete_markers bigint, invalid_keys bigint")
+
+
 @query("a16_invalid_key_alarm", f"SELECT invalid_keys, invalid_keys > 0 AS alarm FROM (SELECT {COUNTERS} FROM f3_versions)")
 def a16(v):
     return V_.scan_counters(v("f3_versions")).select("invalid_keys", (F.col("invalid_keys") > 0).alias("alarm"))

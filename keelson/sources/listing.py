@@ -33,9 +33,15 @@ def ancestors(key: Column) -> Column:
     return F.concat(F.array(F.lit("")), F.coalesce(inner, F.array().cast("array<string>")))
 
 
+def parent(key: Column) -> Column:
+    """The directory that a key lies in: up to its last '/', '' at the root."""
+    return F.substring(key, F.lit(1), F.length(key) - F.length(F.substring_index(key, "/", -1)))
+
+
 def prefixes(inventory: DataFrame) -> DataFrame:
-    """Every directory of the tree once, the root included. Distinct paths per task first, then one shuffle."""
-    return inventory.select(F.explode(ancestors(F.col("key"))).alias("prefix")).distinct()
+    """Every directory of the tree once, the root included: distinct parents of keys first, then those above them."""
+    own = inventory.select(parent(F.col("key")).alias("d")).distinct()
+    return own.select(F.explode(ancestors(F.col("d"))).alias("prefix")).distinct()
 
 
 def walk(inventory: DataFrame, failed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -58,10 +64,13 @@ def countable(inventory: DataFrame) -> DataFrame:
 
 
 def usage(inventory: DataFrame) -> DataFrame:
-    """prefix, files, dirs (itself included) and bytes below it. Sizes below 0 count as 0."""
-    up = inventory.select(F.explode(ancestors(F.col("key"))).alias("prefix"), F.greatest("size", F.lit(0)).alias("size"))
-    files = up.groupBy("prefix").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
-    below = files.select(F.col("prefix").alias("d")).select(F.explode(F.filter(ancestors(F.col("d")), lambda p: F.lit(True))).alias("prefix"), "d")
+    """prefix, files, dirs (itself included) and bytes below it. Sizes below 0 count as 0.
+
+    Rows are added up by the directory that they lie in, within tasks first; only directories go up the tree."""
+    own = inventory.groupBy(parent(F.col("key")).alias("d")).agg(F.count("*").alias("files"), F.sum(F.greatest("size", F.lit(0))).alias("size"))
+    up = own.select(F.explode(ancestors(F.col("d"))).alias("prefix"), "files", "size")
+    files = up.groupBy("prefix").agg(F.sum("files").alias("files"), F.sum("size").alias("bytes"))
+    below = files.select(F.explode(ancestors(F.col("prefix"))).alias("prefix"))
     dirs = below.groupBy("prefix").agg(F.count("*").alias("dirs"))
     return files.join(dirs, "prefix").select("prefix", "files", "dirs", "bytes")
 

@@ -9,12 +9,32 @@ from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.sources.shared import new_folder
 
 PIECE = 4 << 20
+#: Characters of an encoded segment in one name of a file system.
+NAME = 200
+
+
+def object_name(key: str) -> str:
+    """Where a key's object lies below a folder: a segment of the key is a name, '+' marks those that others lie below, '~' a name
+    that goes on in the next one. So no key leaves the folder, and 'a' lies beside 'a/b'."""
+    segments = [quote(s, safe="-_").replace(".", "%2E").replace("~", "%7E") for s in key.split("/")]
+    cut = ["~/".join(s[i : i + NAME] for i in range(0, len(s), NAME)) for s in segments]
+    return "/".join([*(f"{s}+" for s in cut[:-1]), cut[-1] or "%"])
+
+
+def object_path(folder: str, key: str | Column = "key") -> Column:
+    """The address of a key's object, as a column."""
+    own = F.col(key) if isinstance(key, str) else key
+    encoded = lambda s: F.replace(F.replace(F.replace(F.url_encode(s), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("."), F.lit("%2E"))
+    cut = F.transform(F.split(own, "/"), lambda s: F.regexp_replace(encoded(s), f"(.{{{NAME}}})(?=.)", "$1~/"))
+    last = F.element_at(cut, -1)
+    above = F.transform(F.slice(cut, F.lit(1), F.size(cut) - 1), lambda s: F.concat(s, F.lit("+/")))
+    return F.concat(F.lit(f"{folder}/"), F.array_join(above, ""), F.when(last == "", "%").otherwise(last))
 
 
 def located(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -43,7 +63,7 @@ def _store(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                fs, at = located(f"{folder}/{key}")
+                fs, at = located(f"{folder}/{object_name(key)}")
                 fs.create_dir(at.rpartition("/")[0], recursive=True)
                 with fs.open_output_stream(at) as out:
                     out.write(body)
@@ -53,7 +73,8 @@ def _store(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 
 def store_objects(rows: DataFrame, folder: str) -> int:
-    """Write each row (key, body) as the object folder/key; how many there are. A repeated task writes the same again."""
+    """Write each row (key, body) as the object `object_path` of its key; how many there are. A repeated task writes the same
+    again."""
     return rows.select("key", F.col("body").cast("binary").alias("body")).mapInArrow(_store(folder), "key string").count()
 
 

@@ -11,8 +11,10 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from keelson.functions import rules as R
+from keelson.operators.audit import recheck
 from keelson.operators.commits import commit, read_committed
 from keelson.operators.progress import latency_windows
+from keelson.sources.manifest import split_manifest
 from keelson.sources.shared import new_folder
 
 
@@ -178,6 +180,14 @@ def lines_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.text(folder).select(F.col("value").alias("line"))
 
 
+def recheck_stream(lines: DataFrame, head: DataFrame, bodies: DataFrame, bucket: str) -> DataFrame:
+    """line and result of a stream of manifest lines: each is parsed, joined with the object's current etag and size and its
+    body, and judged as in `audit.recheck`. A line that can't be parsed is parse_failed."""
+    parsed = split_manifest(lines.select(F.lit(0).alias("line_no"), "line"), bucket)
+    judged = recheck(parsed.withColumn("is_multipart", F.coalesce("is_multipart", F.lit(False))), head, bodies)
+    return judged.select("line", F.when(F.col("reason").isNotNull(), "parse_failed").otherwise(F.col("result")).alias("result"))
+
+
 def per_batch(stream: DataFrame, act: Callable[[DataFrame, int], None], state: str, mode: str = "append") -> None:
     """Results first, progress after: the offsets of a batch are kept once act has returned; act must bear a repeat."""
     stream.writeStream.outputMode(mode).foreachBatch(act).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
