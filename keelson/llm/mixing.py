@@ -6,7 +6,7 @@ its share of blocks to within less than one. The schedule of one period repeats,
 number within its source; only numbering needs a shuffle.
 
 A period has 1000 slots for every 500 sources or part of them, so any number of sources has room; one task makes its
-schedule from one row that holds the sources, in time slots * sources.
+schedule from one row that holds the sources, in time slots * different shares.
 
 Every row gets a place; none is dropped. Where a source runs out its later slots stay empty, and the others go on in the
 same order. Null sources count as the source ''. Within a source, rows are in the order of md5(doc_id), then doc_id, then
@@ -16,6 +16,8 @@ order, also where one doc_id or null holds most of them. Texts aren't looked at.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ from keelson.llm.rows import addressed
 NUMBERED = 2_000
 #: Slots of a period for every so many sources.
 SLOTS, SOURCES = 1000, 500
+#: Slots of a plan that is sent to all tasks, some MB.
+SENT_SLOTS = 100_000
 
 
 def shares(sizes: DataFrame, weights: dict[str, float] | None, alpha: float, period: int) -> DataFrame:
@@ -52,17 +56,28 @@ def shares(sizes: DataFrame, weights: dict[str, float] | None, alpha: float, per
 
 
 def schedule(share: DataFrame, period: int) -> DataFrame:
-    """source, a, j (from 0) and slot: one period, by earliest deadline among released blocks.
-
-    One row of arrays holds the sources; a fold over the slots picks a source at each. Bounded by period * sources."""
-    packed = share.agg(F.sort_array(F.collect_list(F.struct("source", "a"))).alias("s"), F.sum("a").alias("slots"))
-    release = "floor(done[i] * {p} / s[i].a)".format(p=period)
-    due = "ceil((done[i] + 1) * {p} / s[i].a)".format(p=period)
-    pick = f"array_min(transform(filter(sequence(0, size(s) - 1), i -> done[i] < s[i].a and {release} <= t), i -> named_struct('due', {due}, 'i', i))).i"
-    step = f"transform(array({pick}), k -> named_struct('done', transform(done, (x, i) -> if(i = k, x + 1, x)), 'took', concat(acc.took, array(named_struct('slot', t, 'i', k, 'j', done[k])))))[0]".replace("done[", "acc.done[").replace("transform(done,", "transform(acc.done,")
-    fold = f"aggregate(sequence(0, {period} - 1), named_struct('done', transform(s, x -> 0), 'took', cast(array() as array<struct<slot:int,i:int,j:int>>)), (acc, t) -> {step}).took"
-    took = packed.where(F.size("s") > 0).select("s", F.explode(F.expr(fold)).alias("x"))
-    return took.select(F.col("s")[F.col("x.i")]["source"].alias("source"), F.col("s")[F.col("x.i")]["a"].alias("a"), F.col("x.j").alias("j"), F.col("x.slot").alias("slot"))
+    """source, a, j (from 0) and slot: one period, by earliest deadline among released blocks, of equal ones the first source.
+
+    Sources of one share have the same releases and deadlines, so they take turns: a group of m of them is one queue, whose
+    position q is block q div m of source q mod m. A fold over the slots picks a queue at each; there are at most about
+    sqrt(2 * period) different shares. One row of arrays holds the sources; slots are collected in chunks."""
+    numbered = share.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("source")) - 1)  # a row for each source
+    groups = numbered.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("i", "source"))).alias("m"))
+    packed = groups.agg(F.collect_list(F.struct("a", "m")).alias("g")).where(F.size("g") > 0)
+    # the state of the fold is the position of each queue, and what the slots of a chunk took
+    block = "acc.done[x] div size(g[x].m)"
+    ready = f"{block} < g[x].a and ({block} * {period}L) div g[x].a <= t"
+    first = f"named_struct('due', (({block} + 1) * {period}L + g[x].a - 1) div g[x].a, 'i', g[x].m[cast(acc.done[x] % size(g[x].m) as int)].i, 'x', x)"
+    pick = f"array_min(transform(filter(sequence(0, size(g) - 1), x -> {ready}), x -> {first})).x"
+    step = f"transform(array({pick}), k -> named_struct('done', transform(acc.done, (q, x) -> if(x = k, q + 1, q)), 'took', concat(acc.took, array(named_struct('slot', t, 'x', k, 'q', acc.done[k])))))[0]"
+    none = "cast(array() as array<struct<slot:int,x:int,q:bigint>>)"
+    chunk = max(1, math.isqrt(period))
+    part = f"aggregate(sequence(c * {chunk}, least({period}, (c + 1) * {chunk}) - 1), named_struct('done', whole.done, 'took', {none}), (acc, t) -> {step})"
+    joined = f"transform(array({part}), p -> named_struct('done', p.done, 'took', concat(whole.took, array(p.took))))[0]"
+    fold = f"flatten(aggregate(sequence(0, {-(-period // chunk) - 1}), named_struct('done', transform(g, x -> 0L), 'took', cast(array() as array<array<struct<slot:int,x:int,q:bigint>>>)), (whole, c) -> {joined}).took)"
+    named = "transform(took, y -> named_struct('source', g[y.x].m[cast(y.q % size(g[y.x].m) as int)].source, 'a', g[y.x].a, 'j', cast(y.q div size(g[y.x].m) as int), 'slot', y.slot))"
+    took = packed.select("g", F.expr(fold).alias("took")).select(F.explode(F.expr(named)).alias("y"))
+    return took.select("y.*")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, block: int = 8, period: int | None = None) -> DataFrame:
@@ -116,15 +131,16 @@ def _placed(docs: DataFrame, weights: dict[str, float] | None, alpha: float, blo
     else:
         rows, counts = rows.withColumn("_tie", tie), counts.withColumn("_tie", tie)
     before = F.sum("_n").over(Window.partitionBy("_source").orderBy("_part", "_tie").rowsBetween(Window.unboundedPreceding, -1))
+    plan = written(plan.select(F.col("source").alias("_ps"), F.col("a").alias("_a"), F.col("j").alias("_j"), F.col("slot").alias("_slot")), "mix-plan")
+    share = plan.where("_j = 0").select(F.col("_ps").alias("_as"), F.col("_a").alias("_share"))
     starts = counts.select(F.col("_source").alias("_s"), F.col("_part").alias("_p"), F.col("_tie").alias("_t"), F.coalesce(before, F.lit(0)).alias("_before"))
+    starts = starts.join(share, F.col("_s") == F.col("_as"))
     within = F.row_number().over(Window.partitionBy("_source", "_part", "_tie").orderBy("_order", id_, "_file", "_row"))
     ranked = rows.withColumn("_within", within).join(starts, (F.col("_source") == F.col("_s")) & (F.col("_part") == F.col("_p")) & (F.col("_tie") == F.col("_t")))
     ranked = ranked.withColumn("source_rank", (F.col("_before") + F.col("_within") - 1).cast("long"))
-    plan = plan.select(F.col("source").alias("_ps"), F.col("a").alias("_a"), F.col("j").alias("_j"), F.col("slot").alias("_slot"))
-    # the plan has one row for each slot of a period, a bound that is checked above
-    ranked = ranked.withColumn("_block", F.expr(f"source_rank div {block}"))
-    share = F.broadcast(plan.where("_j = 0").select(F.col("_ps").alias("_as"), F.col("_a").alias("_share")))
-    ranked = ranked.join(share, F.col("_source") == F.col("_as")).withColumn("_jj", F.expr("cast(_block % _share as int)"))
-    out = ranked.join(F.broadcast(plan), (F.col("_source") == F.col("_ps")) & (F.col("_jj") == F.col("_j")))
+    ranked = ranked.withColumn("_block", F.expr(f"source_rank div {block}")).withColumn("_jj", F.expr("cast(_block % _share as int)"))
+    # a row for each slot: sent around up to so many; beyond, a large source's blocks spread over its slots
+    plan = F.broadcast(plan) if period <= SENT_SLOTS else plan
+    out = ranked.join(plan, (F.col("_source") == F.col("_ps")) & (F.col("_jj") == F.col("_j")))
     slot = F.expr(f"(_block div _share) * {period} + _slot").cast("long")
     return out.withColumn("slot", slot).withColumn("position", F.expr(f"slot * {block} + source_rank % {block}").cast("long")), own

@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -220,7 +221,9 @@ def dot_before(text: str, at: int) -> int:
     """Where the disguised dot that ends at a place starts; -1 if none ends there."""
     if m := DOT_AT_END.search(text, max(0, at - LONGEST_MARK), at):
         return m.start()
-    word = len(text[:at].rstrip(" ")) if text[at - 1 : at] == " " else at
+    word = at
+    while word and text[word - 1] == " ":
+        word -= 1
     low = folded(text[max(0, word - 5) : word])
     size = 5 if low == "_dot_" else 3 if low.endswith("dot") and word < at and text[word - 4 : word - 3] == " " else 0
     if not size:
@@ -241,11 +244,11 @@ def name_before(text: str, at: int) -> tuple[str, list[Piece]]:
         if last is None:
             last = text[start:end]
         if start == end:  # a dot with no name before it is none of the name's
-            return last, dots[1:]
+            return last, dots[-2::-1] if dots else []
         mark = dot_before(text, start)
         if mark < 0:
-            return last, dots
-        dots.insert(0, (mark, start, "."))
+            return last, dots[::-1]
+        dots.append((mark, start, "."))
         end = mark
 
 
@@ -388,7 +391,13 @@ def hidden_spans(text: str) -> list[Span]:
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     """The base spans, and these with the added ones; nothing is added inside a base span of its kind."""
     base = base_spans(text)
-    added = [s for s in hidden_spans(text) if not any(k == s[1] and a <= s[0] and s[2] <= b for a, k, b in base)]
+    added = hidden_spans(text)
+    if not added:
+        return base, base
+    # spans of a kind don't overlap, so only the last base span that starts no later can hold an added one
+    own = [[(a, b) for a, k, b in base if k == kind] for kind in range(len(KINDS))]
+    holder = lambda s: bisect_right(own[s[1]], (s[0], len(text))) - 1
+    added = [s for s in added if (at := holder(s)) < 0 or own[s[1]][at][1] < s[2]]
     return base, sorted({*added}.union(base)) if added else base
 
 

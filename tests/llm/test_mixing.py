@@ -1,4 +1,6 @@
 import hashlib
+import random
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -108,3 +110,34 @@ def test_sql_with_a_tail_of_small_sources(spark):
     documents = docs.toPandas()  # noqa: F841
     want = duckdb.sql(MIX_SQL)
     same_rows(mixing.mix(docs).collect(), mixing.mix(docs).columns, want)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_groups_of_one_share_take_turns(spark, seed):
+    """Many sources of few shares, also with ties between groups, against the whole simulation."""
+    r = random.Random(seed)
+    a = {}
+    while sum(a.values()) < 300:
+        a[f"s{r.randrange(10**6):06}"] = min(r.choice([1, 1, 1, 2, 3, 5, 20]), 300 - sum(a.values()))
+    period = sum(a.values())
+    rows = mixing.schedule(spark.createDataFrame(list(a.items()), "source string, a int"), period).collect()
+    rows = sorted(rows, key=lambda x: x["slot"])
+    assert [x["source"] for x in rows] == edf(a, period) and [x["slot"] for x in rows] == list(range(period))
+    assert {s: sorted(x["j"] for x in rows if x["source"] == s) for s in a} == {s: list(range(n)) for s, n in a.items()}
+
+
+def test_ten_thousand_sources_in_seconds(spark):
+    r = random.Random(1)
+    sizes = [(f"host{i}", int(r.paretovariate(1.1))) for i in range(10_000)]
+    period = mixing.SLOTS * 20
+    share = mixing.shares(spark.createDataFrame(sizes, "source string, n bigint"), None, 0.5, period)
+    began = time.time()
+    rows = mixing.schedule(share, period).collect()
+    assert len(rows) == period and len({x["source"] for x in rows}) == 10_000 and time.time() - began < 90
+
+
+def test_plans_that_are_not_sent_around(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"s{i % 7 if i % 3 else 0}") for i in range(500)], "doc_id bigint, source string")
+    want = sorted(map(tuple, mixing.mix(docs, block=2).collect()))
+    monkeypatch.setattr(mixing, "SENT_SLOTS", 0)
+    assert sorted(map(tuple, mixing.mix(docs, block=2).collect())) == want

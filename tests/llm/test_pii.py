@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 
@@ -159,3 +160,22 @@ def test_table(spark):
         assert got[i]["base_sha256"] == hashlib.sha256(pii.as_text(base).encode()).hexdigest()
         assert [got[i][f"n_{k}"] for k in pii.KINDS] == [sum(x == k for _, x, _ in base) for k in range(4)]
     assert len(pii.find_pii(cases.clashing(spark)).collect()) == len(cases.rows()) and pii.find_pii(cases.empty(spark)).collect() == []
+
+
+@pytest.mark.parametrize("text", ["a@b.co " * 80_000 + "y.com x [at] y.com " * 80_000, "a.b1 at b.com " * 80_000, "x dot " * 80_000 + "x at y dot com", " " * 200_000 + "a at b.com"])
+def test_time_is_linear(text):
+    began = time.process_time()
+    pii.all_spans(text)
+    assert time.process_time() - began < 25  # the square would take some minutes
+
+
+def plain_spans(text):
+    base = pii.base_spans(text)
+    added = [s for s in pii.hidden_spans(text) if not any(k == s[1] and a <= s[0] and s[2] <= b for a, k, b in base)]
+    return base, sorted({*added, *base})
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["a@b.co", "x [at] y.com", " at ", " dot ", "[dot]", "a", "b1", "y.com", "1.2.3.4", "one", "two", " ", ".", "\u0430@b.co", "+1 (716) 555-8176", "@", "  "]), max_size=12))
+def test_added_spans_against_every_base_span(parts):
+    assert pii.all_spans("".join(parts)) == plain_spans("".join(parts))
