@@ -33,6 +33,8 @@ from keelson.llm.common import SHARE, join_spread, new_folder, put_file, schema_
 
 VERSION = b"WARC/1.1"
 VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
+#: A version line inside of what should be a header.
+BROKEN = re.compile(rb"\r\nWARC/1\.[01]\r\n")
 MAGIC = b"\x1f\x8b\x08"
 READ = 1 << 20
 #: A file is closed when it has so many bytes.
@@ -136,6 +138,7 @@ class Source:
             fs, at = pafs.FileSystem.from_uri(path)
             self.file = fs.open_input_file(at)
         self.size = len(data) if data is not None else self.file.size()
+        self.total: int | None = self.size
 
     def read(self, at: int, n: int) -> bytes:
         if self.data is not None:
@@ -148,13 +151,15 @@ class Source:
 
     def find(self, what: re.Pattern[bytes], at: int) -> int:
         """The first place from at on where what begins, or the end."""
-        while window := self.read(at, READ):
+        size = 1 << 10  # what is near is found without a look at all that follows
+        while window := self.read(at, size):
             if m := what.search(window):
                 return at + m.start()
-            if len(window) < READ:
+            if len(window) < size:
                 return at + len(window)
             at += len(window) - 16
             self.forget(at)
+            size = min(READ, 4 * size)
         return at
 
 
@@ -167,6 +172,7 @@ class Member(Source):
         self.source, self.at = source, at
         self.z, self.fed, self.rest = zlib.decompressobj(31), at, b""
         self.held, self.start, self.end, self.fault = bytearray(), 0, -1, ""
+        self.total = None  # how many bytes it unpacks to, once that is known
 
     def read(self, at: int, n: int) -> bytes:
         while self.end < 0 and len(self.held) < at + n - self.start:
@@ -174,8 +180,9 @@ class Member(Source):
         return bytes(self.held[at - self.start : at - self.start + n])
 
     def forget(self, at: int) -> None:
-        del self.held[: max(0, at - self.start)]
-        self.start = max(self.start, at)
+        if at - self.start >= READ:  # in large steps, for what stays is moved
+            del self.held[: at - self.start]
+            self.start += at - self.start
 
     def more(self) -> None:
         """Unpack another piece, of READ bytes at most."""
@@ -207,6 +214,9 @@ def parse_record(source: Source, at: int) -> tuple[dict[str, str], bytes, int, s
     while (end := (data := source.read(at, size)).find(b"\r\n\r\n")) < 0:
         if not VERSION_LINE.match(data):
             return {}, b"", 0, "no version line"
+        # a header ends before the next version line: what a run of broken headers costs is their length, not its square
+        if BROKEN.search(data):
+            return {}, b"", 0, "header line has no colon"
         if len(data) < size or size > MAX_RECORD:
             return {}, b"", 0, "header has no end"
         size *= 4
@@ -223,6 +233,8 @@ def parse_record(source: Source, at: int) -> tuple[dict[str, str], bytes, int, s
     length = int(fields["content-length"])
     if length > MAX_RECORD:
         return {}, b"", 0, "record is too long"
+    if source.total is not None and at + end + 8 + length > source.total:  # nothing is read for a length that can't be
+        return {}, b"", 0, "record is cut off"
     body = data[end + 4 :] if len(data) >= end + 8 + length else source.read(at + end + 4, length + 4)
     block, after = body[:length], body[length : length + 4]
     if len(block) < length or after != b"\r\n\r\n":
@@ -274,7 +286,8 @@ def salvage(source: Source) -> Iterator[Found]:
                 whole = Member(source, at)
                 while whole.end < 0:
                     whole.more()
-                    whole.forget(whole.start + len(whole.held))
+                    whole.start, whole.held = whole.start + len(whole.held), bytearray()
+            m.total = whole.start + len(whole.held)
             # what follows a fault may begin before the place where the fault showed
             bad, end = whole.fault, source.find(mark, at + 1) if whole.fault else whole.end
             found = unpacked_records(m, at, end, bad)

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -148,3 +149,13 @@ def test_no_row_is_lost_in_silence(spark, monkeypatch):
     monkeypatch.setattr(warc, "read_archives", lambda *a, **b: read(*a, **b).where("payload_bytes < 1000"))
     with pytest.raises(RuntimeError, match="did not give back"):
         warc.page_round_trip(pages)
+
+
+@pytest.mark.parametrize("line", [b"WARC/1.1\r\n", b"WARC/1.1\r\nA: b\r\n", b"WARC/1.1\r\nContent-Length: 900000000\r\n\r\n"])
+@pytest.mark.parametrize("pack", [bytes, warc.member])
+def test_damaged_runs_cost_no_square(line, pack):
+    """Hundreds of thousands of broken headers, then a whole record."""
+    data = pack(line * 200_000 + record(7))
+    began = time.process_time()
+    found = list(warc.salvage(warc.Source(data)))
+    assert ids(found) == ["<urn:page:7>"] and time.process_time() - began < 30
