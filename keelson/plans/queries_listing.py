@@ -226,6 +226,16 @@ def a9(v):
     return L.usage(v("f1_inventory"))
 
 
+SIZED = "(SELECT key, CAST(o_orderkey % 1000 AS BIGINT) AS size FROM f3_versions)"
+
+
+@query("a9_usage_of_versions", f"""SELECT f.prefix, files, dirs, bytes FROM (SELECT prefix, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT {UP} AS prefix, size FROM {SIZED}) GROUP BY prefix) f
+JOIN (SELECT prefix, count(*) AS dirs FROM (SELECT {UP} AS prefix, key FROM (SELECT DISTINCT prefix AS key FROM (SELECT {UP} AS prefix FROM {SIZED}))) GROUP BY prefix) d ON f.prefix = d.prefix""")
+def a9_versions(v):
+    """The same totals over the version listing."""
+    return L.usage(v("f3_versions").select("key", (F.col("o_orderkey") % 1000).cast("bigint").alias("size")))
+
+
 @query("w8_pagination", """, e AS (SELECT substr(key, 1, instr(key, '/')) AS prefix, key AS entry FROM f1_inventory), n AS (SELECT prefix, entry, (row_number() OVER (PARTITION BY prefix ORDER BY entry) - 1) // 10 + 1 AS page FROM e)
 SELECT prefix, page, count(*) AS entries, min(entry) AS first, max(entry) AS next_marker, page < max(page) OVER (PARTITION BY prefix) AS truncated FROM n GROUP BY prefix, page""")
 def w8(v):
