@@ -53,6 +53,24 @@ def merged(ranges: DataFrame) -> DataFrame:
     return begun.drop("_carry").join(F.broadcast(last), "_range").withColumn("_lo", F.coalesce(own, "_from")).groupBy(F.col("_lo").alias("lo")).agg(F.max("hi").alias("hi"))
 
 
+def merged_few(ranges: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
+    """The same for a few ranges at hand."""
+    out: list[tuple[bytes, bytes]] = []
+    for lo, hi in sorted(ranges):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def kept(ranges: DataFrame) -> DataFrame:
+    """ranges (lo, hi) written, so that the entries are computed once."""
+    path = new_folder(ranges.sparkSession, "key-ranges")
+    ranges.write.parquet(path)
+    return ranges.sparkSession.read.schema("lo binary, hi binary").parquet(path)
+
+
 def text_bound(bound: bytes) -> str | None:
     """The least text at or after a bound: itself, or for one that ends in FF the least one after the prefix; None if none is."""
     if not bound.endswith(END):
@@ -79,14 +97,15 @@ def as_filter(key: str, ranges: list[tuple[bytes, bytes]]) -> Column:
 def select(rows: DataFrame, entries: DataFrame, inside: bool = True, key: str = "key", filtered: int = FILTERED) -> DataFrame:
     """The rows whose key is in a range of entries (prefix and perhaps token), or, not inside, all others; each row once,
     whole, as often as it is there. A row without a key is in no range."""
-    path = new_folder(rows.sparkSession, "key-ranges")
-    merged(intervals(entries)).write.parquet(path)
-    ranges = rows.sparkSession.read.schema("lo binary, hi binary").parquet(path)
+    ranges = kept(intervals(entries))
     few = ranges.limit(filtered + 1).collect()
-    if len(few) <= filtered:
-        within = as_filter(key, sorted((bytes(r["lo"]), bytes(r["hi"])) for r in few))
-        return rows.where(within if inside else ~F.coalesce(within, F.lit(False)))
-    return swept(rows, ranges, inside, key)
+    if len(few) > filtered:
+        ranges = kept(merged(ranges))
+        few = ranges.limit(filtered + 1).collect()
+    if len(few) > filtered:
+        return swept(rows, ranges, inside, key)
+    within = as_filter(key, merged_few([(bytes(r["lo"]), bytes(r["hi"])) for r in few]))
+    return rows.where(within if inside else ~F.coalesce(within, F.lit(False)))
 
 
 def swept(rows: DataFrame, ranges: DataFrame, inside: bool, key: str) -> DataFrame:

@@ -27,7 +27,13 @@ def put_small(folder: str, name: str, text: str) -> None:
     part = f"{root}/.{uuid.uuid4().hex}"
     with fs.open_output_stream(part) as out:
         out.write(text.encode())
-    fs.move(part, f"{root}/{name}")
+    try:
+        fs.move(part, f"{root}/{name}")
+    except OSError:  # a file system that doesn't rename over a file
+        if fs.get_file_info(f"{root}/{name}").type == pafs.FileType.NotFound:
+            raise
+        fs.delete_file(f"{root}/{name}")
+        fs.move(part, f"{root}/{name}")
 
 
 def get_small(folder: str) -> dict[str, str]:

@@ -42,6 +42,7 @@ def test_merged(spark):
     df = spark.createDataFrame(ranges, "lo binary, hi binary").repartition(3)
     assert sorted((bytes(r["lo"]), bytes(r["hi"])) for r in I.merged(df).collect()) == [(b"a", b"e"), (b"f", b"g"), (b"h", b"z")]
     assert I.merged(df.limit(0)).collect() == []
+    assert I.merged_few(ranges) == [(b"a", b"e"), (b"f", b"g"), (b"h", b"z")] and I.merged_few([]) == []
 
 
 def test_bounds():
