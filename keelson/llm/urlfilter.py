@@ -1,8 +1,10 @@
 """URL filters (operator 1): fixed host and path rules, then association rules of URL tokens mined from labels.
 
 Spark's FP-growth finds token combinations among labelled URLs; those whose confidence and support are high enough are
-kept, less any that a shorter rule with as high a confidence makes needless. A rule is posted under its rarest token
-only; URLs look their tokens up there and then check the whole rule. DataFrame functions only.
+kept, less any that a shorter rule with as high a confidence makes needless. Tokens that nearly the same URLs have (a
+site's template) would make a power set of frequent sets: one of them is mined, and the others take its place in the rules
+where exact counts of their own allow it. A rule is posted under its rarest token only; URLs look their tokens up there
+and then check the whole rule. DataFrame functions only.
 
 What is mined on is bounded: the labelled rows with the least hash (`max_labelled`), and tokens whose support is a share
 of these (`min_share`). So the items that FP-growth brings to the driver are bounded too: no more than the tokens of a
@@ -26,6 +28,8 @@ from keelson.llm.rows import addressed
 #: (verdict, host, path)
 Rule = tuple[str, str, str]
 BLOCK = "y=block"
+#: Tokens are alike if so much of the support, in rows, has one without the other at most.
+ALIKE = 0.1
 
 
 def host_of(url: Column) -> Column:
@@ -58,11 +62,47 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(every, lambda x: F.length(x) > 2)))
 
 
+def token_groups(rows: DataFrame, often: DataFrame, slack: int) -> DataFrame:
+    """leader and members: the tokens of `often` (t, c rows each) that are alike to a leader, from rows (items).
+
+    Two tokens are alike if at most `slack` rows have one without the other, either way. A token's leader is the most frequent
+    one (of equal ones the least) that is alike to it, itself included. Only pairs whose numbers of rows allow it are counted."""
+    counted = rows.select("_row", F.explode("items").alias("t")).join(often.select("t", "c"), "t")
+    counted = counted.groupBy("_row").agg(F.collect_list(F.struct("c", "t")).alias("items"))
+    near = lambda x: F.filter("items", lambda y: F.abs(x["c"] - y["c"]) <= slack)
+    pairs = counted.select(F.explode(F.flatten(F.transform("items", lambda x: F.transform(near(x), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
+    met = pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n"))
+    alike = met.where((F.col("a.c") - F.col("n") <= slack) & (F.col("b.c") - F.col("n") <= slack))
+    led = alike.groupBy(F.col("a.t").alias("t")).agg(F.min_by("b.t", F.struct(-F.col("b.c"), F.col("b.t"))).alias("leader"))
+    each = led.select("leader", "t").union(led.select("leader", F.col("leader").alias("t")))
+    return each.groupBy("leader").agg(F.collect_set("t").alias("members"))
+
+
+def in_turn(rules: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """rules with each item replaced by each member of its group in turn (groups: key and members), items sorted."""
+    each = rules.select("*", F.explode("items").alias("_t"))
+    each = each.join(groups.select(F.col(key).alias("_t"), "members"), "_t").groupBy(*rules.columns).agg(F.collect_list("members").alias("_members"))
+    ways = F.aggregate("_members", F.array(F.array().cast("array<string>")), lambda done, m: F.flatten(F.transform(done, lambda d: F.transform(m, lambda x: F.concat(d, F.array(x))))))
+    return each.withColumn("items", F.explode(ways)).select(F.array_sort(F.array_distinct("items")).alias("items"), *(c for c in rules.columns if c != "items"))
+
+
+def recounted(items: DataFrame, rows: DataFrame, often: DataFrame) -> DataFrame:
+    """items (distinct), n and n_block: how many of rows (block, items) have them all. Posted under the rarest item."""
+    items = items.select("items").distinct()
+    rarest = items.select("items", F.explode("items").alias("t")).join(often.select("t", "c"), "t").groupBy("items").agg(F.min_by("t", F.struct("c", "t")).alias("t"))
+    have = rows.select("block", F.col("items").alias("_have"), F.explode("items").alias("t"))
+    found = have.join(rarest, "t").where(F.size(F.array_except("items", "_have")) == 0)
+    return found.groupBy("items").agg(F.count("*").alias("n"), F.count(F.when(F.col("block"), 1)).alias("n_block"))
+
+
 def mined_rules(labelled: DataFrame, min_support: int, min_confidence: float) -> DataFrame:
     """items (sorted), n, n_block and confidence of the rules that stand, from rows (tokens, block).
 
-    All tokens that min_support rows to block have are mined. Tokens of the very same rows are mined as one, since no rule
-    that stands has two of them; each of them then takes its place in the rules."""
+    All tokens that min_support rows to block have are mined, but in three steps that keep the frequent sets few. Tokens of
+    the very same rows are mined as one. Of tokens that are alike (ALIKE of min_support rows differ at most) the leader is
+    mined, and the others then take its place in rules where their own exact counts allow it: a rule has no two tokens of
+    one group. A token that is to block wherever it is met is a rule of its own and goes no further, since no set that holds
+    it is surer."""
     tokens = labelled.withColumn("_row", F.monotonically_increasing_id()).select("_row", "block", F.explode("tokens").alias("t"))
     tokens = written(tokens, "url-tokens")
     n = labelled.count()
@@ -70,14 +110,29 @@ def mined_rules(labelled: DataFrame, min_support: int, min_confidence: float) ->
     often = tokens.groupBy("t").agg(F.count("*").alias("c"), F.count(F.when(F.col("block"), 1)).alias("b"), *same)
     # a token in nearly all rows says nothing
     often = often.where((F.col("b") >= min_support) & (F.col("c") < 0.95 * max(n, 1)))
-    alike = written(often.groupBy("c", "x0", "x1").agg(F.min("t").alias("t"), F.collect_list("t").alias("members")).select("t", "members"), "url-alike")
-    rows = tokens.join(alike.select("t"), "t").groupBy("_row", "block").agg(F.collect_list("t").alias("items"))
-    rows = written(rows.select("block", "items"), "url-rows")
-    if not rows.where("block").take(1):
-        return rows.limit(0).select("items", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("n_block"), F.lit(0.0).alias("confidence"))
+    equal = often.groupBy("c", "b", "x0", "x1").agg(F.min("t").alias("t"), F.collect_list("t").alias("members"))
+    equal = written(equal.select("t", "c", "b", "members"), "url-alike")
+    rows = tokens.join(equal.select("t"), "t").groupBy("_row", "block").agg(F.collect_list("t").alias("items"))
+    rows = written(rows, "url-rows")
+    groups = written(token_groups(rows, equal, int(ALIKE * min_support)), "url-groups")
+    mined = groups.join(equal.where("b < c"), F.col("leader") == F.col("t")).select("t")
+    known = rows.select("_row", "block", F.explode("items").alias("t")).join(mined, "t").groupBy("_row", "block").agg(F.collect_list("t").alias("items"))
+    known = written(known.select("block", "items"), "url-mined")
+    counts = known.agg(F.count("*"), F.count(F.when(F.col("block"), 1))).first()
+    sure = equal.where("b = c").join(groups, F.col("t") == F.col("leader"))
+    rules = sure.select(F.array("t").alias("items"), F.col("c").alias("n"), F.col("b").alias("n_block"), F.lit(1.0).alias("confidence"))
+    if counts[1]:
+        rules = rules.union(frequent_rules(known, counts[0], min_support, min_confidence))
+    found = recounted(in_turn(written(rules, "url-leaders"), groups, "leader"), rows, equal)
+    found = found.withColumn("confidence", F.col("n_block") / F.col("n")).where((F.col("n_block") >= min_support) & (F.col("confidence") >= min_confidence))
+    return in_turn(found, equal, "t")
+
+
+def frequent_rules(rows: DataFrame, n: int, min_support: int, min_confidence: float) -> DataFrame:
+    """items (sorted), n, n_block and confidence of the rules that stand among n rows (block, items), by FP-growth."""
     marked = rows.select(F.when(F.col("block"), F.concat("items", F.array(F.lit(BLOCK)))).otherwise(F.col("items")).alias("items"))
-    share = min_support / rows.count()
-    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, share), minConfidence=1.0).fit(marked).freqItemsets
+    # FP-growth rounds share * n up: half a row less than the support is the support, whatever the division does
+    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (min_support - 0.5) / n), minConfidence=1.0).fit(marked).freqItemsets
     sets = written(sets.select(F.array_sort("items").alias("items"), "freq"), "url-itemsets")
     alone = sets.where(~F.array_contains("items", BLOCK))
     both = sets.where(F.array_contains("items", BLOCK) & (F.size("items") > 1)).select(F.array_remove("items", BLOCK).alias("items"), F.col("freq").alias("n_block"))
@@ -87,10 +142,7 @@ def mined_rules(labelled: DataFrame, min_support: int, min_confidence: float) ->
     shorter = rules.where(F.size("items") > 1).select("items", "confidence", F.explode("items").alias("x")).select("items", "confidence", F.array_remove("items", F.col("x")).alias("less"))
     sure = rules.select(F.col("items").alias("less"), F.col("confidence").alias("c"))
     needless = shorter.join(sure, "less").where(F.col("c") >= F.col("confidence")).select("items").distinct()
-    rules = rules.join(needless, "items", "left_anti")
-    each = rules.select("*", F.explode("items").alias("t")).join(alike, "t").groupBy(*rules.columns).agg(F.collect_list("members").alias("members"))
-    ways = F.aggregate("members", F.array(F.array().cast("array<string>")), lambda done, m: F.flatten(F.transform(done, lambda d: F.transform(m, lambda x: F.concat(d, F.array(x))))))
-    return each.select(F.explode(ways).alias("items"), "n", "n_block", "confidence").withColumn("items", F.array_sort("items"))
+    return rules.join(needless, "items", "left_anti")
 
 
 def matches(urls: DataFrame, rules: DataFrame, hot: DataFrame) -> DataFrame:

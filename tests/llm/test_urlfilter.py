@@ -98,3 +98,76 @@ def test_very_long_urls_clashing_columns_and_the_bound(spark):
         got = {r["page_id"]: r for r in urlfilter.judge_urls(table, known, URL_RULES, max_labelled=most).collect()}
         assert len(got) == 202 and got[500]["verdict"] == "block" and got[501]["verdict"] == "allow"
         assert all((got[i]["verdict"] == "block") == bool(i % 2) for i in range(200))
+
+
+def plain_rules(rows, support, confidence, alike=0.1):
+    """The rules by trying all sets of leaders, with counts made one row after the other."""
+    from itertools import combinations, product
+
+    have = {}
+    for k, (items, block) in enumerate(rows):
+        for t in items:
+            have.setdefault(t, set()).add(k)
+    bad = {k for k, (_, block) in enumerate(rows) if block}
+    often = {t: r for t, r in have.items() if len(r & bad) >= support and len(r) < 0.95 * len(rows)}
+    slack = int(alike * support)
+    first = {t: min(o for o in often if often[o] == often[t]) for t in often}  # of equal tokens the least
+    heads = sorted(set(first.values()))
+    near = lambda a, b: len(often[a] - often[b]) <= slack and len(often[b] - often[a]) <= slack
+    leader = {t: min((o for o in heads if near(t, o)), key=lambda o: (-len(often[o]), o)) for t in heads}
+    members = {head: [t for t in heads if leader[t] == head or t == head] for head in set(leader.values())}
+    count = lambda rule: set.intersection(*(often[t] for t in rule))
+    stats = lambda rule: (len(count(rule)), len(count(rule) & bad))
+    holds = lambda n, b: b >= support and b >= confidence * n
+    sure = {}
+    for k in range(1, len(members) + 1):
+        level = {r: stats(r) for r in combinations(sorted(members), k)}
+        sure |= {r: v for r, v in level.items() if holds(*v)}
+        if all(b < support for _, b in level.values()):
+            break
+    stand = [r for r, (n, b) in sure.items() if not any(s in sure and sure[s][1] * n >= b * sure[s][0] for s in combinations(r, len(r) - 1))]
+    out = {}
+    for rule in stand:
+        for way in product(*(members[t] for t in rule)):
+            if holds(*stats(way)):
+                for each in product(*([t for t in often if first[t] == w] for w in set(way))):
+                    out[tuple(sorted(each))] = stats(way)
+    return out
+
+
+def test_tokens_that_are_alike_take_turns(spark):
+    draw = random.Random(11)
+    for share in (0.85, 0.6):
+        rows = []
+        for k in range(240):
+            bad = draw.random() < 0.3
+            tokens = {t for t in "mno" if draw.random() < 0.5}
+            if k % 2:  # tokens of one template, each of which some rows lack
+                tokens |= {f"t{i}" for i in range(4)} - {f"t{k // 2 % 60}"}
+            if k % 3 == 0:
+                tokens |= {"u1", "u2"}
+            rows.append((sorted(tokens), draw.random() < share if k % 2 and "m" in tokens else bad))
+        want = plain_rules(rows, 20, 0.6)
+        got = urlfilter.mined_rules(spark.createDataFrame(rows, "tokens array<string>, block boolean"), 20, 0.6).collect()
+        assert len(got) == len(want) and {tuple(r["items"]): (r["n"], r["n_block"]) for r in got} == want
+        assert {f"t{i}" for i in range(4)} <= {t for r in want for t in r}
+
+
+def test_twenty_five_shared_tokens_in_seconds(spark):
+    import time
+
+    # 25 tokens of one template, each lacked by two rows of its own, and 25 of another that is bad wherever it is met
+    def row(k):
+        kind, j = k % 4, k // 4
+        names = [f"{'ab'[kind]}{i}" for i in range(25) if j % 200 not in (2 * i, 2 * i + 1)] if kind < 2 else [f"z{k % 5}"]
+        return [*names, f"h{k % 9}", "shop" if j % 2 else "news"], kind == 1 or kind == 0 and j % 2 == 1
+
+    rows = [row(k) for k in range(800)]
+    began = time.time()
+    got = {tuple(r["items"]): (r["n"], r["n_block"]) for r in urlfilter.mined_rules(spark.createDataFrame(rows, "tokens array<string>, block boolean"), 20, 0.7).collect()}
+    assert time.time() - began < 60
+    for i in range(25):
+        assert got[f"b{i}",] == (198, 198) and got[f"a{i}", "shop"] == (99, 99)
+    for rule, (n, b) in got.items():
+        have = [block for items, block in rows if set(rule) <= set(items)]
+        assert (len(have), sum(have)) == (n, b) and b >= 20 and b >= 0.7 * n and len({t[0] for t in rule if t[0] in "ab"}) == sum(t[0] in "ab" for t in rule)
