@@ -44,7 +44,7 @@ HEAD_WORDS = 300_000
 VOCABULARY, GROUPS, CLASSES, HIDDEN = 1024, 32, 24, 16
 LANES, SCORE_LANES, TRAIN_STEPS, SCORE_STEPS = 256, 1024, 16, 16
 #: Tokens that a task trains on or scores at once.
-CHUNK_TOKENS = 3_000_000
+CHUNK_TOKENS = 1_500_000
 #: A shard has about so many training tokens, but there are at most MOST_SHARDS; each is dealt to so many rounds.
 SHARD_TOKENS, MOST_SHARDS, ROUNDS = 1_000_000, 16_384, 4
 #: In learning, longer documents are read in pieces of so many tokens, in lanes of their own; scores read them whole.
@@ -52,7 +52,7 @@ LEARN_TOKENS = 512
 #: Multiplications of one matrix product: for larger ones the BLAS starts threads, whose waiting takes other tasks' cores.
 PRODUCT = 200_000
 #: Words that a task counts before it passes the counts on.
-COUNTED_WORDS = 5_000_000
+COUNTED_WORDS = 2_000_000
 LN10 = float(np.log(10))
 
 
@@ -529,6 +529,7 @@ def score_documents(docs: DataFrame, warm_docs: int = 800, head: int = HEAD_WORD
     put_file(folder, "net", pickle.dumps(net))
     scored = tokens.select("row", "ids").mapInArrow(_Score(folder), "row bigint, lp double")
     tail = tokens.select("row", F.explode(F.arrays_zip("tail", "uses")).alias("x")).select("row", F.col("x.tail").alias("word"), F.col("x.uses").alias("uses"))
+    # a word that many held-out documents have and no other is no word of the head: adaptive execution splits its rows
     joined = tail.join(counts, "word", "left")
     sums = joined.groupBy("row").agg(F.sum(F.col("uses") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("uses")).otherwise(0)).alias("met"))
     more, met = F.coalesce("more", F.lit(0.0)), F.coalesce("met", F.lit(0))

@@ -117,6 +117,24 @@ def test_odd_tables(spark):
     assert [(r["n_tokens"], r["n_known"], r["train_tokens"]) for r in one] == [(3, 0, 0)] and one[0]["score"] < 0
 
 
+def test_a_frequent_word_of_held_out_documents_only_is_split(spark):
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    table = spark.createDataFrame([(i, f"only {i}" if held(i) else f"a b c{i % 50}") for i in range(9000)], "doc_id bigint, text string").repartition(6)
+    small = {"autoBroadcastJoinThreshold": "-1", "adaptive.autoBroadcastJoinThreshold": "-1", "adaptive.advisoryPartitionSizeInBytes": "1k", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "adaptive.skewJoin.skewedPartitionFactor": "1.5", "shuffle.partitions": "8"}
+    before = {k: spark.conf.get(f"spark.sql.{k}", None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        scores = lm.score_documents(table)
+        got = {r["doc_id"]: r for r in scores.collect()}
+        plan = scores._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(f"spark.sql.{k}") if v is None else spark.conf.set(f"spark.sql.{k}", v)
+    assert "skew=true" in plan
+    assert len(got) == 9000 and all((r["n_tokens"], r["n_known"]) == ((3, 1) if held(i) else (4, 4)) for i, r in got.items())
+
+
 def test_products_in_blocks(monkeypatch):
     r = np.random.default_rng(3)
     a, b, c = r.standard_normal((50, 7)), r.standard_normal((7, 9)), r.standard_normal((50, 4))
