@@ -38,8 +38,8 @@ def object_path(folder: str, key: str | Column = "key") -> Column:
 
 
 def located(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system and the path of an address whose key may hold any character."""
-    return pafs.FileSystem.from_uri(quote(uri, safe="/:@"))
+    """The file system and the path of an address whose key may hold any character. Arrow decodes addresses, not plain paths."""
+    return pafs.FileSystem.from_uri(uri if uri.startswith("/") else quote(uri, safe="/:@"))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

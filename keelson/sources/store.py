@@ -32,9 +32,8 @@ def entries_of(root: str, place: str) -> Iterator[tuple[str, str, str, int | Non
     """kind (object, prefix, part), entry, place below root, size and error of what a directory holds. A part is a long
     segment that goes on below: no prefix of keys yet."""
     fs, at = located(f"{root}/{place}".rstrip("/"))
-    base = len(at.rstrip("/")) + 1
     for info in fs.get_file_info(pafs.FileSelector(at)):
-        below = f"{place}{info.path[base:]}"
+        below = f"{place}{info.base_name}"
         if info.type != pafs.FileType.Directory:
             yield "object", key_at(below), below, info.size, None
         elif below.endswith("~"):

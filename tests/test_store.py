@@ -30,6 +30,19 @@ def test_any_key_is_one_object_inside_the_folder(spark, tmp_path):
     assert sorted(r["entry"] for r in found if r["kind"] == "prefix") == sorted(r["prefix"] for r in L.prefixes(inv).collect() if r["prefix"])
 
 
+def test_a_shared_folder_may_be_a_plain_path(spark, tmp_path):
+    rows = spark.createDataFrame([(k, bytearray(k.encode() * 2)) for k in [*KEYS, "what?#%41:x"]], "key string, body binary")
+    want = {r["key"]: len(r["body"]) for r in rows.collect()}
+    for folder in (f"{tmp_path}/plain", f"{tmp_path}//twice", f"file:{tmp_path}/short", f"{tmp_path}/odd %2B+"):
+        assert ranged.store_objects(rows, folder) == len(want)
+        found = store.listed(spark, folder).collect()
+        assert {r["entry"]: r["size"] for r in found if r["kind"] == "object"} == want
+        assert {r["kind"] for r in found} == {"object", "prefix"} and "a/b/" in {r["entry"] for r in found}
+        read = ranged.read_ranges(rows.select(ranged.object_path(folder).alias("path"), F.lit(0).alias("start"), F.lit(5000).alias("length")))
+        assert {bytes(r["body"]) for r in read.collect()} == {k.encode() * 2 for k in want}
+    assert (tmp_path / "plain" / ranged.object_name("a/b")).read_bytes() == b"a/ba/b"
+
+
 def test_a_failing_prefix_leaves_its_siblings(spark, tmp_path, monkeypatch):
     rows = spark.createDataFrame([(k, bytearray(b"x")) for k in ("a/1", "b/1", "b/c/2", "d")], "key string, body binary")
     ranged.store_objects(rows, f"file://{tmp_path}/bucket")
