@@ -129,8 +129,8 @@ def s20_whole(v):
 
 
 def bodies(keys):
-    body = S.body(F.col("key"), F.col("size"))
-    return keys.select("tree", "idx", F.octet_length(body).cast("bigint").alias("n"), F.md5(body.cast("binary")).alias("body_md5"))
+    stored = keys.select("tree", "idx", S.body(F.col("key"), F.col("size")).alias("body"))
+    return stored.select("tree", "idx", F.octet_length("body").cast("bigint").alias("n"), F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
 
 @query("p27_trailing_slash", "SELECT DISTINCT prefix, CASE WHEN prefix = '' OR ends_with(prefix, '/') THEN prefix ELSE prefix || '/' END AS dir FROM f8_trees")

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Objects whose numbers a task gets as one row.
+RANGE = 500
+
+
 def total_objects(depth: Column, width: Column, files: Column) -> Column:
     """files * (depth * width + 1): a directory for each leaf and for each step of the chain."""
     return (files * (depth * width + 1)).cast("bigint")
@@ -14,8 +18,13 @@ def total_objects(depth: Column, width: Column, files: Column) -> Column:
 def tree_keys(trees: DataFrame) -> DataFrame:
     """trees (tree, prefix, depth, width, files) with idx and key of every object, in the walk's order of idx.
 
-    A layer holds files beside the next one's directory, then width - 1 leaf directories; the last has one leaf more."""
-    rows = trees.withColumn("idx", F.explode(F.sequence(F.lit(0).cast("bigint"), total_objects(F.col("depth"), F.col("width"), F.col("files")) - 1)))
+    A layer holds files beside the next one's directory, then width - 1 leaf directories; the last has one leaf more. Parameters are
+    few bytes, which Spark reads in one task, so they are dealt out as ranges of numbers; those of a large tree spread."""
+    spark = trees.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counted = trees.withColumn("_n", total_objects(F.col("depth"), F.col("width"), F.col("files"))).where("_n > 0")
+    dealt = counted.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(RANGE).cast("bigint")))).repartition(parts, "tree", "_from")
+    rows = dealt.withColumn("idx", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + RANGE, F.col("_n")) - 1))).drop("_n", "_from")
     rows = rows.withColumn("_block", F.col("files") * F.col("width")).withColumn("layer", (F.least(F.expr("idx div _block"), F.col("depth") - 1) + 1).cast("int"))
     rest = F.col("idx") - (F.col("layer") - 1) * F.col("_block")
     rows = rows.withColumn("_rest", rest).withColumns({"slot": F.expr("_rest div files").cast("int"), "file": (F.col("_rest") % F.col("files") + 1).cast("int")})

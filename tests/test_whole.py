@@ -4,6 +4,7 @@ import hashlib
 
 import __spark_entry__
 from keelson.plans import fixtures, queries_listing
+from keelson.sources import synth
 
 SF = "/root/testdata/sf0.001"
 QUERIES = __spark_entry__.queries()
@@ -39,3 +40,11 @@ def test_bodies(spark):
     assert len(got) == len(keys) and {(r["tree"], r["idx"]): (r["n"], r["body_md5"]) for r in got} == {k: (len(b), md5(b)) for k, b in body.items()}
     got = sorted(r["line"] for r in QUERIES["c8_synthetic_bucket_whole"](spark, SF).collect())
     assert got == sorted(f"bkt{k['tree']}|{k['key']}|{md5(body[k['tree'], k['idx']])}" for k in keys)
+
+
+def test_keys_of_one_tree_spread(spark):
+    """Parameters are read in one task, whatever grows from them; a tree without files has no keys."""
+    trees = spark.createDataFrame([(1, "a/", 20, 10, 30), (2, "b", 3, 2, 0)], "tree bigint, prefix string, depth int, width int, files int").coalesce(1)
+    parts = [[r["idx"] for r in part] for part in synth.tree_keys(trees).select("idx").rdd.glom().collect()]
+    assert sorted(i for part in parts for i in part) == list(range(30 * 201))
+    assert sum(bool(part) for part in parts) > 1 and max(map(len, parts)) < 30 * 201 * 0.7
