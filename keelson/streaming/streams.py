@@ -18,9 +18,10 @@ from keelson.sources.manifest import split_manifest
 from keelson.sources.shared import new_folder
 
 
-def as_stream(rows: DataFrame, files: int = 4, order: str | None = None) -> DataFrame:
-    """rows written to a folder and read as a stream of Parquet files, for trials."""
+def as_stream(rows: DataFrame, files: int | None = None, order: str | None = None) -> DataFrame:
+    """rows written to a folder and read as a stream of Parquet files, for trials; as many files as there are cores, unless told."""
     path = new_folder(rows.sparkSession, "stream-in")
+    files = files or max(4, rows.sparkSession.sparkContext.defaultParallelism)
     (rows.repartitionByRange(files, order).sortWithinPartitions(order) if order else rows.repartition(files)).write.parquet(path)
     return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1000).parquet(path)
 

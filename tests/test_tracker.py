@@ -2,6 +2,8 @@
 
 import random
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +119,41 @@ def test_results_and_counters_come_from_one_pass(spark, tmp_path):
     counting, seen = K.counted(rows, n=F.count("*"), mp=F.count_if(F.col("result") == "mp"))
     K.write_lines(counting, f"file://{tmp_path}/out")
     assert seen.get == {"n": 11, "mp": 1} and K.read_lines(spark, f"file://{tmp_path}/out").count() == 11
+
+
+def batch_of(rows):
+    fields = [("prefix", pa.string()), ("kind", pa.string()), ("seq", pa.int32()), ("n", pa.int64()), ("token", pa.string())]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], names=[f[0] for f in fields])
+
+
+@pytest.mark.parametrize("most", [500_000, 7])
+def test_a_task_adds_up_terminals_of_many_batches(monkeypatch, most):
+    monkeypatch.setattr(tracker, "SUMMED_PAGES", most)
+    batches = [batch_of([*((f"p{i % 10}", "terminal", i % 2, 1, "") for i in range(100)), (f"q{k}", "page", 0, 5, "T")]) for k in range(50)]
+    rows = [r for b in tracker.added_up(iter(batches)) for r in b.to_pylist()]
+    assert sorted(r["prefix"] for r in rows if r["kind"] == "page") == sorted(f"q{k}" for k in range(50))
+    sums = {}
+    for r in rows:
+        if r["kind"] == "terminal":
+            sums[r["prefix"], r["seq"]] = sums.get((r["prefix"], r["seq"]), 0) + r["n"]
+    assert sums == {(f"p{i}", i % 2): 500 for i in range(10)}
+    assert len(rows) == 50 + 10 if most > 7 else len(rows) <= 50 + 50 * 10
+
+
+def test_pages_that_come_and_go_in_a_batch_stay_out_of_the_state():
+    calls = []
+
+    class State:
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name)
+
+        def exists(self):
+            return False
+
+    t = tracker.Tracker()
+    t.head, t.pages = State(), State()
+    events = pd.DataFrame([("page", s, 1, "" if s == 99 else f"T{s}") for s in range(100)] + [("terminal", s, 1, "") for s in range(100)], columns=["kind", "seq", "n", "token"])
+    (out,) = t.handleInputRows(("p",), iter([events]), None)
+    assert out.values.tolist() == [["p", 99, "", True, 1]] and calls == []
+    (out,) = t.handleInputRows(("p",), iter([events[:150]]), None)
+    assert out.values.tolist() == [["p", 49, "T49", False, 1]] and calls == ["updateValue"] * 50 + ["update"]
