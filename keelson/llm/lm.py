@@ -43,6 +43,8 @@ END = b""
 HEAD_WORDS = 300_000
 VOCABULARY, GROUPS, CLASSES, HIDDEN = 1024, 32, 24, 16
 LANES, SCORE_LANES, TRAIN_STEPS, SCORE_STEPS = 256, 1024, 16, 16
+#: When few lanes are left in scoring, windows are up to so many times as long.
+LONGER = 32
 #: Tokens that a task trains on or scores at once.
 CHUNK_TOKENS = 1_500_000
 #: A shard has about so many training tokens, but there are at most MOST_SHARDS; each is dealt to so many rounds.
@@ -112,6 +114,12 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def row_sums(a: np.ndarray) -> np.ndarray:
+    """The sum of each short row: a product does it in fewer steps than the sum along an axis. Two columns, since the BLAS
+    starts threads for much smaller products with a vector."""
+    return product(a, np.ones((a.shape[1], 2), a.dtype))[:, 0]
+
+
 def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a.T @ b, by blocks of rows."""
     step = max(1, PRODUCT // max(1, a.shape[1] * b.shape[1]))
@@ -157,11 +165,11 @@ class Net:
         x = p["e"][ids]
         x += p["b"]
         out, kept = np.empty((*ids.shape, n), np.float32), []
-        any_fresh = fresh.any(axis=1)
+        any_fresh, few = fresh.any(axis=1).tolist(), ids.shape[1] * p["u"].size <= PRODUCT
         for t in range(len(ids)):
             if any_fresh[t]:
                 h = h * ~fresh[t][:, None]
-            hu = product(h, p["u"])
+            hu = h @ p["u"] if few else product(h, p["u"])
             zr = x[t, :, : 2 * n] + hu[:, : 2 * n]
             np.negative(zr, out=zr)
             np.exp(zr, out=zr)
@@ -187,7 +195,7 @@ class Net:
         rows = np.arange(len(target))
         picked = a[rows, own]
         np.exp(a, out=a)
-        total = a.sum(axis=1)
+        total = row_sums(a)
         lp = picked - np.log(total)
         grads, dh = {}, None
         if learn:
@@ -209,7 +217,7 @@ class Net:
             w += p["bo"][s:e]
             mine = w[rows[: j - i], at]
             np.exp(w, out=w)
-            total = w.sum(axis=1)
+            total = row_sums(w)
             sorted_lp[i:j] = mine - np.log(total)
             if learn:
                 w /= total[:, None]
@@ -288,9 +296,12 @@ class Net:
             doc[s:e] = i
         offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         h, out = np.zeros((len(heap), self.h), np.float32), np.zeros(len(docs))
-        for at in range(0, int(sizes[0]), steps):
+        at = 0
+        while at < sizes[0]:
             live = int(np.searchsorted(-sizes, -at, "left"))
-            place = at + np.arange(min(steps, int(sizes[0]) - at))[:, None]
+            # scores don't depend on where windows end: the few lanes of the longest documents go on in longer ones
+            span = steps * min(LONGER, max(1, lanes // live)) if rate is None else steps
+            place = at + np.arange(min(span, int(sizes[0]) - at))[:, None]
             index = offsets[None, :live] + place
             whole = place[-1, 0] < sizes[live - 1]  # else some lanes end in this window
             if not whole:
@@ -309,6 +320,7 @@ class Net:
                     full[real] = dh
                 grads |= self.backward(full, ids, new, kept)
                 self.update(grads, rate, 1 / live)
+            at += span
         return out
 
 

@@ -199,3 +199,19 @@ def test_scores_do_not_depend_on_partitions_or_chunks(spark, monkeypatch):
     monkeypatch.setattr(lm, "CHUNK_TOKENS", 50)
     parts = [b for b in lm._Score("")(iter([batch]))]
     assert len(parts) > 5 and all(math.isclose(whole[r], s, rel_tol=1e-4) for b in parts for r, s in zip(b[0].to_pylist(), b[1].to_pylist()))
+
+
+def test_a_long_document_is_scored_in_few_windows(monkeypatch):
+    """Windows grow when few lanes are left; scores don't depend on them."""
+    r = np.random.default_rng(1)
+    net = lm.Net(np.arange(40, 0, -1).astype(float))
+    docs = [r.integers(0, 40, n).astype(lm.ID) for n in [2000, *[20] * 64]]
+    seen = []
+    steps = lm.Net.steps
+    monkeypatch.setattr(lm.Net, "steps", lambda self, ids, *a: seen.append(ids.shape) or steps(self, ids, *a))
+    got = net.read(docs, 0, 64, 16)
+    assert len(seen) < 20 and max(a * b for a, b in seen) <= 64 * 16
+    monkeypatch.setattr(lm, "LONGER", 1)
+    assert np.allclose(got, net.read(docs, 0, 64, 16), rtol=1e-5) and len(seen) > 120
+    a = r.standard_normal((50_000, 24)).astype(np.float32)
+    assert np.allclose(lm.row_sums(a), a.sum(axis=1), atol=1e-4)
